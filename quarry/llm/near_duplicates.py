@@ -31,6 +31,8 @@ from quarry.session import cut
 BUCKET_ROWS = 50_000
 #: Share of the texts on which such variants are recognised, and the most of them that are.
 HOT_SAMPLE, MOST_HOT = 64, 10_000
+#: Up to so many keys are broadcast to fetch texts; more are joined by shuffling.
+FEW_KEYS = 50_000
 _WORD = re.compile(r"[^\W_]+")
 _GOLDEN, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -93,6 +95,11 @@ def shingle_sets(texts: pd.Series, words: int, table: _Words) -> list[np.ndarray
     return out
 
 
+def content_hash(shingles: np.ndarray, which: int) -> int:
+    """Order-free hash of a non-empty shingle set."""
+    return int(_mix(shingles + _GOLDEN * np.uint64(which)).sum(dtype=np.uint64).view(np.int64))
+
+
 class _Signer:
     """Variants of shingle sets: per segment and wildcard one hash of the other positions."""
 
@@ -102,8 +109,8 @@ class _Signer:
         self.odd = rng.integers(0, 1 << 63, (2, self.n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(0, 1 << 63, (2, *self.shape), dtype=np.uint64)
 
-    def variants(self, sets: list[np.ndarray]) -> np.ndarray:
-        """(texts, segments * width) of non-empty sets."""
+    def variants(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, segments * width) variants of non-empty sets, and (texts, 2) words of the lowest two bits of the first 64 positions."""
         flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
         least = np.empty((len(sets), self.n), dtype=np.uint64)
         for p in range(self.n):
@@ -115,13 +122,15 @@ class _Signer:
         term = _mix(least.reshape(-1, *self.shape) + self.salt[0])
         # A segment's hash is the sum of its terms; leaving one out is the wildcard, named by the salt.
         wild = term.sum(axis=2, dtype=np.uint64)[:, :, None] - term + self.salt[1]
-        return wild.reshape(len(sets), -1)
+        places = np.arange(min(64, self.n), dtype=np.uint64)
+        bits = [(((least[:, :64] >> np.uint64(b)) & np.uint64(1)) << places).sum(axis=1, dtype=np.uint64) for b in (0, 1)]
+        return wild.reshape(len(sets), -1), np.stack(bits, axis=1)
 
 
 def index(df: DataFrame, key: str, time: str | None, text: str, s: Signature) -> DataFrame:
-    """(k, t, c1, c2, size, variants) of every row: content hashes of the shingle set, its size, and the variants."""
+    """(k, t, c1, c2, size, low, high, variants) of every row: content hashes of the shingle set, its size, two bits of each position, the variants."""
 
-    @F.pandas_udf("c1 long, c2 long, size int, variants array<long>")
+    @F.pandas_udf("c1 long, c2 long, size int, low long, high long, variants array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, signer = _Words(), _Signer(s)
         for batch in batches:
@@ -129,11 +138,14 @@ def index(df: DataFrame, key: str, time: str | None, text: str, s: Signature) ->
             for a in range(0, len(batch), 256):
                 sets = shingle_sets(batch.iloc[a : a + 256], s.words, words)
                 full = [x for x in sets if len(x)]
-                signed = iter(signer.variants(full).view(np.int64) if full else [])
+                signed = iter(zip(*(a.view(np.int64) for a in signer.variants(full))) if full else [])
                 for x in sets:
-                    c = [int(_mix(x + add).sum(dtype=np.uint64).view(np.int64)) for add in (np.uint64(0), _GOLDEN)] if len(x) else [0, 0]
-                    out.append((*c, len(x), next(signed) if len(x) else np.empty(0, dtype=np.int64)))
-            yield pd.DataFrame(out, columns=["c1", "c2", "size", "variants"])
+                    if not len(x):
+                        out.append((0, 0, 0, 0, 0, np.empty(0, dtype=np.int64)))
+                        continue
+                    variants, bits = next(signed)
+                    out.append((content_hash(x, 0), content_hash(x, 1), len(x), *bits.tolist(), variants))
+            yield pd.DataFrame(out, columns=["c1", "c2", "size", "low", "high", "variants"])
 
     t = F.col(f"`{time}`").cast("timestamp") if time else F.lit(None).cast("timestamp")
     rows = df.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("k"), t.alias("t"), sign(F.col(f"`{text}`")).alias("s"))
@@ -170,33 +182,58 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("m IS NOT NULL AND m != n").select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
 
 
+def least_agreement(s: Signature) -> int:
+    """The fewest of 64 positions that agree in two bits, by 4.4 standard deviations, for a pair at the least similarity.
+
+    A position agrees with probability J, else by chance in one of four.
+    """
+    p = s.similarity + (1 - s.similarity) / 4
+    n = min(64, s.segments * s.width)
+    return int(max(0, np.floor(n * p - 4.4 * np.sqrt(n * p * (1 - p)))))
+
+
 class _Verifier:
-    """Exact similarity of candidate pairs; full shingle sets are made for contents in candidates only."""
+    """Exact similarity of candidate pairs.
+
+    Sizes and two bits of each signature position, which are narrow, sort out most chance pairs; full shingle
+    sets are made for the contents of what remains.
+    """
 
     def __init__(self, df: DataFrame, key: str, time: str | None, text: str, reps: DataFrame, s: Signature):
         t = F.col(f"`{time}`").cast("timestamp") if time else F.lit(None).cast("timestamp")
         self.texts = df.select(F.col(f"`{key}`").alias("k"), t.alias("t"), F.col(f"`{text}`").alias("text"))
         self.reps, self.s = reps, s
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        s, near = self.s, F.lit(self.s.similarity)
+        a = self.reps.select(F.col("c1").alias("a"), F.col("size").alias("size_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
+        b = self.reps.select(F.col("c1").alias("b"), F.col("size").alias("size_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+        differ = F.col("low_a").bitwiseXOR(F.col("low_b")).bitwiseOR(F.col("high_a").bitwiseXOR(F.col("high_b")))
+        agree = F.lit(min(64, s.segments * s.width)) - F.bit_count(differ)
+        # The intersection is at most the smaller set, the union at least the larger.
+        sizes = F.least("size_a", "size_b") >= near * F.greatest("size_a", "size_b")
+        return pairs.join(a, "a").join(b, "b").filter(sizes & (agree >= least_agreement(s))).select("a", "b").distinct()
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose similarity reaches the least; materialised."""
-        s, near = self.s, F.lit(self.s.similarity)
+        words, near = self.s.words, F.lit(self.s.similarity)
 
-        @F.pandas_udf("c1 long, set array<long>")
-        def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            words = _Words()
+        def sets(batches):
+            table = _Words()
             for batch in batches:
-                found = shingle_sets(batch, s.words, words)
-                yield pd.DataFrame({"c1": [int(_mix(x).sum(dtype=np.uint64).view(np.int64)) for x in found], "set": [x.view(np.int64) for x in found]})
+                found = [x for x in shingle_sets(batch["text"], words, table) if len(x)]
+                yield pd.DataFrame({"c1": [content_hash(x, 0) for x in found], "set": [x.view(np.int64) for x in found]})
 
-        size = self.reps.select("c1", "size")
-        sized = pairs.join(size.withColumnRenamed("c1", "a").withColumnRenamed("size", "sa"), "a").join(size.withColumnRenamed("c1", "b").withColumnRenamed("size", "sb"), "b")
-        # The intersection is at most the smaller set, the union at least the larger.
-        pairs = cut(sized.filter(F.least("sa", "sb") >= near * F.greatest("sa", "sb")).select("a", "b").distinct())
+        pairs = cut(self.plausible(pairs))
+        n = pairs.count()
+        if not n:
+            return pairs
         both = pairs.select(F.col("a").alias("c1")).unionByName(pairs.select(F.col("b").alias("c1"))).distinct()
         wanted = self.reps.join(both, "c1", "left_semi").select(F.col("k").alias("rk"), F.col("t").alias("rt"))
-        used = self.texts.join(wanted, F.col("k").eqNullSafe(F.col("rk")) & F.col("t").eqNullSafe(F.col("rt"))).select(sets("text").alias("s")).select("s.*")
-        used = used.groupBy("c1").agg(F.first("set").alias("set"))
+        if 2 * n <= FEW_KEYS:
+            wanted = F.broadcast(wanted)
+        used = self.texts.join(wanted, F.col("k").eqNullSafe(F.col("rk")) & F.col("t").eqNullSafe(F.col("rt"))).select("text")
+        used = cut(used.mapInPandas(sets, "c1 long, set array<long>").groupBy("c1").agg(F.first("set").alias("set")))
         a, b = used.select(F.col("c1").alias("a"), F.col("set").alias("x")), used.select(F.col("c1").alias("b"), F.col("set").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         return cut(pairs.join(a, "a").join(b, "b").filter(common >= near * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
@@ -213,15 +250,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, time: str | None = None,
     are one content and compared once.  An empty table gives an empty result; other columns are ignored, whatever
     their names.
 
-    Contents sharing a variant are first compared along a chain and with the bucket's first, and grouped.  While
-    a bucket still holds several groups, its contents are compared with those up to four times further along the
-    chain, across groups only, until every pair across groups has been.  So no link of a bucket is lost, and a
-    bucket of near copies costs as much as it has rows.
+    Contents sharing a variant are first compared along a chain and with the bucket's first, and grouped.  Where
+    a bucket still holds several groups, all its pairs across groups are compared: at once if those of all such
+    buckets are no more than the rows, else in rounds that each reach four times further along the chain and leave
+    out what has become one group.  So no link of a bucket is lost, and a bucket of near copies costs as much as
+    it has rows.
     """
     s = signature
     rows = cut(index(df, key, time, text, s))
-    docs = cut(rows.groupBy("k").agg(F.max(F.struct("t", "c1", "c2", "size")).alias("r")).select("k", "r.*"))
-    reps = docs.filter("size > 0").groupBy("c1", "c2").agg(F.min(F.struct("k", "t", "size")).alias("rep")).select("c1", "c2", "rep.*")
+    docs = cut(rows.groupBy("k").agg(F.max(F.struct("t", "c1", "c2", "size", "low", "high")).alias("r")).select("k", "r.*"))
+    reps = docs.filter("size > 0").groupBy("c1", "c2").agg(F.min(F.struct("k", "t", "size", "low", "high")).alias("rep")).select("c1", "c2", "rep.*")
     contents = rows.filter("size > 0").groupBy("c1", "c2").agg(F.first("variants").alias("variants")).join(reps.select("c1", "c2"), ["c1", "c2"], "left_semi")
     shared, cut_up = shared_variants(contents)
     verify = _Verifier(df, key, time, text, reps, s)
@@ -229,13 +267,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, time: str | None = None,
     near = shared.select("n", F.explode(F.array_distinct(F.array("first", "last", "anchor"))).alias("m"))
     links = verify.links(_ordered(near))
     roots = components(links, "a", "b")
-    low, high = (1, 4) if cut_up else (2, 4)
+    low, high, n_shared = 1 if cut_up else 2, 4, shared.count()
     while True:
         grouped = shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("v", "n", F.coalesce("root", "n").alias("g"))
         still = grouped.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("rows")).filter((F.col("lo") != F.col("hi")) & (F.col("rows") > low))
-        buckets = cut(grouped.join(still.select("v"), "v"))
-        if buckets.isEmpty():
+        open_pairs, longest = still.agg(F.sum(F.col("rows") * (F.col("rows") - 1) / 2), F.max("rows")).first()
+        if longest is None:
             break
+        if open_pairs <= n_shared:
+            high = max(high, longest)
+        buckets = grouped.join(still.select("v"), "v")
         further = Window.partitionBy("v").orderBy("n").rowsBetween(-high, -low)
         others = buckets.select("n", "g", F.collect_list(F.struct(F.col("n").alias("m"), F.col("g").alias("h"))).over(further).alias("others"))
         across = others.select("n", "g", F.explode("others").alias("o")).filter("g != o.h")
