@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["time_spans"]
-FLAGSHIP = "p4_found"
+MODULES = ["time_spans", "text_queries"]
+FLAGSHIP = "bm25_topk"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
