@@ -123,7 +123,7 @@ class Mix:
         got = self.documents.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("mixed_size"))
         total = got.agg(F.sum("mixed_size").alias("all_size"))
         size = F.coalesce("mixed_size", F.lit(0).cast("long"))
-        return want.join(got, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeat", "source_size", "reachable", size.alias("mixed_size"), (size / F.col("all_size")).alias("actual_share"))
+        return want.join(got, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeat", "source_size", "reachable", size.alias("mixed_size"), F.coalesce(F.try_divide(size, F.col("all_size")), F.lit(0.0)).alias("actual_share"))
 
 
 def mix(df: DataFrame, key: str, source: str, size: str, targets: DataFrame) -> Mix:
