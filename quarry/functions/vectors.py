@@ -23,7 +23,8 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null if either vector is all zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def sign_words(v: Column, dim: int) -> Column:
@@ -31,7 +32,8 @@ def sign_words(v: Column, dim: int) -> Column:
     words = []
     for start in range(0, dim, 32):
         part = F.slice(v, start + 1, min(32, dim - start))
-        weighted = F.transform(part, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+        values = F.array(*[F.lit(1 << i).cast("long") for i in range(min(32, dim - start))])
+        weighted = F.zip_with(part, values, lambda x, b: F.when(x > 0, b).otherwise(F.lit(0).cast("long")))
         words.append(F.aggregate(weighted, F.lit(0).cast("long"), lambda s, x: s + x))
     return F.array(*words)
 
