@@ -161,7 +161,7 @@ def passage_scores(mentions: DataFrame, mass: DataFrame) -> DataFrame:
 
 def chains(documents: DataFrame) -> DataFrame:
     """(from_id, to_id, kind): documents linked to a parent that is there too, by their relation tag, else linked."""
-    relation = F.coalesce(F.element_at(F.transform(F.filter("tags", lambda t: t.startswith("relation:")), lambda t: F.substring(t, 10, 100)), 1), F.lit("linked"))
+    relation = F.coalesce(F.try_element_at(F.transform(F.filter("tags", lambda t: t.startswith("relation:")), lambda t: F.substring(t, 10, 100)), F.lit(1)), F.lit("linked"))
     there = documents.select(F.col("doc_id").alias("parent_doc_id")).distinct()
     return documents.filter("parent_doc_id IS NOT NULL").join(there, "parent_doc_id").select(F.col("parent_doc_id").alias("from_id"), F.col("doc_id").alias("to_id"), relation.alias("kind")).distinct()
 

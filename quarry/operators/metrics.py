@@ -34,9 +34,9 @@ def evidence_recall(ranked: DataFrame, evidence: DataFrame, ladder: tuple[int, .
     return c.select("query_id", "k", F.when(F.col("h") == F.col("n"), 1.0).otherwise(0.0).alias("strict"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("h") / F.col("n")).alias("graded"), F.when(F.col("sn") > 0, F.col("sh") / F.col("sn")).alias("supporting"))
 
 
-def recall_by_class(per_query: DataFrame, classes: DataFrame) -> DataFrame:
+def recall_by_class(per_query: DataFrame, classes: DataFrame, digits: int = 4) -> DataFrame:
     """(query_class, k, n, strict, graded, supporting): means; supporting over the queries that have any."""
-    return per_query.join(classes, "query_id").groupBy("query_class", "k").agg(F.count(F.lit(1)).alias("n"), round4(F.avg("strict")).alias("strict"), round4(F.avg("graded")).alias("graded"), round4(F.avg("supporting")).alias("supporting"))
+    return per_query.join(classes, "query_id").groupBy("query_class", "k").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), digits).alias(c) for c in ("strict", "graded", "supporting")])
 
 
 def abstentions(ranked: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["time_spans", "text_queries", "vector_queries", "fusion_queries"]
+MODULES = ["time_spans", "text_queries", "vector_queries", "fusion_queries", "read_queries", "graph_queries", "metric_queries"]
 FLAGSHIP = "bm25_topk"
 Query = Callable[[SparkSession, str], DataFrame]
 

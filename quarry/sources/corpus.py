@@ -97,7 +97,7 @@ def gold_records(log: DataFrame, order: str) -> DataFrame:
     paired = placed.withColumn("event", F.lag(F.struct("result_ids", "query_chars", "type")).over(same)).filter("type = 'feedback' AND event.type = 'event'")
     bad = F.coalesce("irrelevant_ids", F.array().cast("array<long>"))
     good = F.array_except(F.coalesce("relevant_ids", F.array().cast("array<long>")), bad)
-    labels = F.map_from_entries(F.concat(F.transform(F.array_distinct(good), lambda i: F.struct(i, F.lit(1))), F.transform(F.array_distinct(bad), lambda i: F.struct(i, F.lit(0)))))
+    labels = F.map_from_entries(F.concat(F.transform(F.array_distinct(good), lambda i: F.struct(i.alias("id"), F.lit(1).alias("label"))), F.transform(F.array_distinct(bad), lambda i: F.struct(i.alias("id"), F.lit(0).alias("label")))))
     return paired.select("query_id", F.col("event.result_ids").alias("candidate_ids"), F.col("event.query_chars").alias("query_chars"), labels.alias("labels"))
 
 

@@ -22,8 +22,12 @@ RETRIES = (1.0, 4.0, 16.0)
 
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
-    """A stream of Parquet files in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A stream of the Parquet files in a folder, or of the one file at ``path``."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
 def project(stream: DataFrame, derive: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, failures: str, retries: tuple[float, ...] = RETRIES, sleep: Callable[[float], None] = time.sleep) -> StreamingQuery:
