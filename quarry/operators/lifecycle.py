@@ -211,5 +211,6 @@ def integrity_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dangling_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(write_cursor, side, id): each endpoint of an edge that no active current node has."""
     ends = edges.selectExpr("write_cursor", "stack(2, 'from', from_id, 'to', to_id) AS (side, id)")
-    known = nodes.filter(F.col("superseded_at").isNull() & (F.col("state") == "active")).select(F.col("logical_id").alias("id")).distinct()
+    versions = nodes.filter(F.col("superseded_at").isNull()) if "superseded_at" in nodes.columns else nodes
+    known = versions.filter(F.col("state") == "active").select(F.col("logical_id").alias("id")).distinct()
     return ends.join(known, "id", "left_anti").select("write_cursor", "side", "id")
