@@ -10,10 +10,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.errors import IllegalTransition, InvalidArgument, UnknownCollection, WriteRejected
-from quarry.operators.prefix import prefix_sum
+from quarry.operators.prefix import following, prefix_sum
 
 # Lifecycle changes a caller may make; purging asks for deleted.
 TRANSITIONS = {("pending", "active"), ("pending", "deleted"), ("active", "deleted"), ("deleted", "active")}
@@ -22,8 +21,7 @@ RESERVED = "_"
 
 def supersede(rows: DataFrame, key: str = "logical_id", cursor: str = "write_cursor") -> DataFrame:
     """All versions with ``superseded_at``: the cursor of the next version of the same key; rows without key stay current."""
-    following = F.lead(cursor).over(Window.partitionBy(key).orderBy(cursor))
-    keyed = rows.filter(F.col(key).isNotNull()).withColumn("superseded_at", following)
+    keyed = following(rows.filter(F.col(key).isNotNull()), [key], [cursor], [cursor]).withColumnRenamed(f"next_{cursor}", "superseded_at")
     return keyed.unionByName(rows.filter(F.col(key).isNull()).withColumn("superseded_at", F.lit(None).cast("long")))
 
 

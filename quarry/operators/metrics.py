@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarry.errors import InvalidArgument
 from quarry.functions.text import squad_tokens
+from quarry.operators.prefix import prefix_sum
 
 LADDER = (5, 10, 20, 50)
 # Fixed value: classes in which a hit needs the whole gold set.
@@ -93,8 +94,8 @@ def rank_auc(scored: DataFrame, group: str, score: str, label: str) -> DataFrame
     Works on counts per distinct score, so a group of any size is aggregated before its scores are ordered.
     """
     c = scored.groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = c.withColumn("u", F.col("p") * (below + F.col("n") / 2))
+    upto = prefix_sum(c, [group], [score], F.col("n"), "upto")
+    u = upto.withColumn("u", F.col("p") * (F.col("upto") - F.col("n") / 2))
     return u.groupBy(group).agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.round(F.sum("u") / (F.sum("p").cast("double") * F.sum("n")), 9)).alias("auc"))
 
 
@@ -163,8 +164,6 @@ def inject(ranked: DataFrame, distractors: DataFrame) -> DataFrame:
 
 def percentile_ceil(rows: DataFrame, value: str, p: float) -> DataFrame:
     """(value): the order statistic at ceil(p n), found on counts per distinct value."""
-    from quarry.operators.prefix import prefix_sum
-
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))
     upto = prefix_sum(counts, ["__all"], [value], F.col("__n"), "__upto")
     return upto.crossJoin(F.broadcast(counts.agg(F.sum("__n").alias("__total")))).filter(F.col("__upto") >= F.ceil(F.lit(p) * F.col("__total"))).agg(F.min(value).alias(value))

@@ -62,3 +62,20 @@ def with_carry(rows: DataFrame, carry: DataFrame, group: list[str], block: str)
     right = carry.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate([*group, block])], *[c for c in carry.columns if c not in {*group, block}])
     on = [F.col(f"`{c}`").eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate([*group, block])]
     return rows.join(F.broadcast(right), on, "left").drop(*[f"__c{i}" for i in range(len(group) + 1)])
+
+
+def following(df: DataFrame, group: list[str], order: list[str], columns: list[str], prefix: str = "next_", partitions: int | None = None) -> DataFrame:
+    """``df`` with the ``columns`` of the next row of its group in ``order``, named ``prefix`` + name; null for the last.
+
+    ``order`` must be unique within a group.  The last row of a block takes the first row of the group's next block.
+    """
+    block, pack, lead_ = fresh(df, "block", "pack", "lead")
+    cells = blocked(df.withColumn(pack, F.struct(*[F.col(f"`{c}`") for c in columns])), group, order, block, partitions)
+    keys, in_order = [F.col(f"`{c}`") for c in group], [F.col(f"`{c}`") for c in order]
+    within = Window.partitionBy(*keys, block).orderBy(*in_order)
+    first = cells.groupBy(*keys, block).agg(F.min_by(pack, F.struct(*in_order)).alias("__first"))
+    later = Window.partitionBy(*keys).orderBy(block)
+    carry = first.withColumn("__blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("__blocks > 1").select(*keys, block, F.lead("__first").over(later).alias("__after"))
+    joined = with_carry(cells.withColumn(lead_, F.lead(pack).over(within)), carry, group, block)
+    after = F.coalesce(F.col(lead_), F.col("__after"))
+    return joined.withColumns({f"{prefix}{c}": after[c] for c in columns}).drop(block, pack, lead_, "__after")

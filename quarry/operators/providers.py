@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.errors import ExtractionFailed
 from quarry.functions.epochs import epoch, malformed
+from quarry.operators.prefix import following
 
 
 def entity_id(kind: str, name: str) -> str:
@@ -105,8 +105,8 @@ def consolidate_by_recency(edges: DataFrame, subject: str = "from_id", relation:
     The others end when the next begins; a missing t_valid is the oldest; of equals the first presented (lowest
     cursor) is later.  Bodies are never rewritten.
     """
-    order = Window.partitionBy(subject, relation).orderBy(F.col("t_valid").asc_nulls_first(), F.col("write_cursor").desc())
-    following = F.lead("t_valid").over(order)
-    last = F.lead("write_cursor").over(order).isNull()
-    rows = edges.filter(F.col("superseded_at").isNull())
-    return rows.withColumn("verdict", F.when(last, "keep").otherwise("invalidate")).withColumn("new_t_invalid", F.when(last, F.col("t_invalid")).otherwise(F.coalesce(following, F.col("t_valid"))))
+    rows = edges.filter(F.col("superseded_at").isNull()).withColumn("__old", -F.col("write_cursor"))
+    judged = following(rows, [subject, relation], ["t_valid", "__old"], ["t_valid", "write_cursor"])
+    last = F.col("next_write_cursor").isNull()
+    end = F.when(last, F.col("t_invalid")).otherwise(F.coalesce("next_t_valid", "t_valid"))
+    return judged.withColumn("verdict", F.when(last, "keep").otherwise("invalidate")).withColumn("new_t_invalid", end).drop("__old", "next_t_valid", "next_write_cursor")

@@ -71,3 +71,17 @@ def test_prefix_sum_matches_a_window(spark):
         run_sum[k] = run_sum.get(k, 0) + (i % 5 if i % 4 else 0)
         want[(k, i)] = run_sum[k]
     assert got == want
+
+
+def test_following_matches_a_window(spark):
+    from quarry.operators.prefix import following
+
+    rows = [(["g", None, "h"][i % 7 % 3], i, i * 2 if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    by = {}
+    for k, o, v in rows:
+        by.setdefault(k, []).append((o, v))
+    want = {(k, a[0]): b for k, r in by.items() for a, b in zip(r, r[1:] + [(None, None)])}
+    for partitions in (1, 11):
+        got = {(r.k, r.o): (r.next_o, r.next_v) for r in following(df, ["k"], ["o"], ["o", "v"], partitions=partitions).collect()}
+        assert got == want
