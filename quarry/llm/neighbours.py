@@ -100,10 +100,13 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     """Vectors that lie one after another as unit rows; scaled by their largest entry first, so squares can't overflow."""
-    flat = flat.reshape(-1, dim).astype(np.float64)
-    flat /= np.abs(flat).max(axis=1, keepdims=True)
-    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
-    return flat.astype(np.float32)
+    rows = flat.reshape(-1, dim)
+    out = np.empty(rows.shape, dtype=np.float32)
+    for a in range(0, len(rows), 2048):
+        part = rows[a : a + 2048].astype(np.float64)
+        part /= np.abs(part).max(axis=1, keepdims=True)
+        out[a : a + 2048] = part / np.linalg.norm(part, axis=1, keepdims=True)
+    return out
 
 
 def scan_list(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, candidate_ids: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
