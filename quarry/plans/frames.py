@@ -39,3 +39,9 @@ ARTICLES = "article_rows AS (SELECT DISTINCT doc_id, title, body FROM article)"
 LIVE = f"superseded_at IS NULL AND (t_invalid IS NULL OR t_invalid > {NOW})"
 VALID = f"state = 'active' AND (valid_from IS NULL OR valid_from <= {NOW}) AND (valid_until IS NULL OR valid_until > {NOW})"
 SEARCHED = "searched(query_id, text) AS (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in SEARCHES) + ")"
+
+
+def as_integers(sql: dict[str, str], columns: dict[str, list[str]]) -> dict[str, str]:
+    """The SQL with the named rank columns as 32-bit integers, which Spark's are."""
+    cast = lambda q, cs: f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in cs)}) FROM ({q})"
+    return {n: cast(q, columns[n]) if n in columns else q for n, q in sql.items()}

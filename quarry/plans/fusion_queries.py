@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 from quarry.functions.vectors import cosine
 from quarry.operators import fusion, graph, metrics, textindex
 from quarry.operators.views import DEFAULT_VIEW, edge_live
-from quarry.plans.frames import EDGES, LIVE, NODES, NOW, VALID, edges, nodes, searches
+from quarry.plans.frames import EDGES, LIVE, NODES, NOW, VALID, as_integers, edges, nodes, searches
 from quarry.plans.text_queries import _bm25
 from quarry.session import table
 
@@ -176,3 +176,5 @@ SELECT doc_id, unit_index, round(s, 6) AS similarity FROM s WHERE s IS NOT NULL
 """,
 }
 _ = VALID
+
+SQL = as_integers(SQL, {"rrf_two_arm_weighted": ["place"], "rrf_three_arm": ["place"], "explain_ranks": ["vector_rank", "text_rank"], "score_blend": ["rank"]})

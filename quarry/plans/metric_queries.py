@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.operators import evalkit, fusion, metrics
-from quarry.plans.frames import NODES, nodes
+from quarry.plans.frames import NODES, as_integers, nodes
 from quarry.plans.fusion_queries import _POOL, _pool, _ranked_pool
 from quarry.session import table
 from quarry.sources import corpus
@@ -209,3 +209,5 @@ SELECT metric, run_at, coalesce(value > 1.15 * quantile_cont(value, 0.5) OVER (P
     "telemetry_events": f"WITH {_POOL} SELECT query_id, cast(length(query_id) AS INTEGER) AS query_chars, cast(count(*) AS INTEGER) AS results, cast(count(*) AS INTEGER) AS arms FROM ranked_pool WHERE rank <= 5 GROUP BY query_id",
     "stream_projection_equals_batch": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY event_type",
 }
+
+SQL = as_integers(SQL, {"gold_ranks": ["first_rank", "full_rank"], "perturbed_ranks": ["first_rank", "full_rank"]})

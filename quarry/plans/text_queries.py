@@ -6,7 +6,7 @@ from quarry.functions.text import STOPWORDS, canon, terms
 from quarry.operators import evalkit, textindex
 from quarry.operators.textindex import Okapi
 from quarry.operators.views import edge_live
-from quarry.plans.frames import ARTICLES, EDGES, LIVE, NOW, SEARCHED, articles, edges, searches
+from quarry.plans.frames import ARTICLES, EDGES, LIVE, NOW, SEARCHED, articles, as_integers, edges, searches
 from quarry.session import table
 
 
@@ -57,7 +57,7 @@ def text_one_per_body(spark, d):
     facts = edges(spark, d).filter(edge_live(NOW) & F.col("body").isNotNull())
     hits = textindex.bm25(facts, "write_cursor", F.col("body"), searches(spark), every=False)
     merged = textindex.one_per_body(hits.join(facts.select(F.col("write_cursor").alias("doc"), "body"), "doc"))
-    return merged.select("query_id", "body", F.round("score", 6).alias("score"), "doc")
+    return merged.select("query_id", "body", F.round("score", 9).alias("score"), "doc")
 
 
 def bm25_porter(spark, d):
@@ -151,7 +151,7 @@ SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10
 """,
     "content_or_match": "WITH " + _bm25("documents", "doc_id", "text", 1.5, 0.75, False) + "SELECT query_id, doc AS doc_id, count(*) AS matched FROM hit JOIN asked USING (term) GROUP BY query_id, doc",
     "text_edge_facts": _FACTS + "SELECT query_id, doc AS write_cursor, score, rank FROM ranked WHERE rank <= 10",
-    "text_one_per_body": _FACTS + "SELECT query_id, body, round(sum(score), 6) AS score, min(doc) AS doc FROM scored JOIN edge_rows ON doc = write_cursor GROUP BY query_id, body",
+    "text_one_per_body": _FACTS + "SELECT query_id, body, round(sum(score), 9) AS score, min(doc) AS doc FROM scored JOIN edge_rows ON doc = write_cursor GROUP BY query_id, body",
     "chunk_words": f"""
 WITH words AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{_BLANK}'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 starts AS (SELECT doc_id, text, w, unnest(CASE WHEN len(w) > 120 THEN range(0, cast(ceil((len(w) - 120) / 100) AS BIGINT) + 1) ELSE [0] END) AS i FROM words)
@@ -171,3 +171,5 @@ joined AS (SELECT doc_id, array_to_string(list_sort(list(name)), ' ') AS names F
 SELECT doc_id, md5(CASE WHEN body IS NULL THEN coalesce(names, '') WHEN names IS NULL THEN body ELSE body || chr(10) || names END) AS digest FROM article_rows LEFT JOIN joined USING (doc_id)
 """,
 }
+
+SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"]})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import terms
 from quarry.functions.vectors import sign_words
 from quarry.operators import evalkit, vector
+from quarry.plans.frames import as_integers
 from quarry.session import table
 
 DIM = 64
@@ -131,3 +132,5 @@ SELECT doc_id, count(*) AS buckets, round(max(n) / sqrt(sum(n * n)), 9) AS heavi
 """,
     "equivalence_probe": f"WITH {_E} SELECT vec_id AS probe, cast(CASE WHEN vec_id % 10 = 0 AND e[1] <> 0 THEN 1 ELSE 0 END AS INTEGER) AS flips, NOT (vec_id % 10 = 0 AND 2 * abs(e[1]) > 1e-5) AND NOT (vec_id % 10 = 0 AND e[1] <> 0) AS equivalent FROM v",
 }
+
+SQL = as_integers(SQL, {"knn_exact_l2": ["rank"], "knn_cosine": ["rank"], "knn_hamming_rerank": ["rank"], "knn_filtered": ["rank"], "knn_centred": ["rank"]})
