@@ -39,9 +39,9 @@ class Scan:
     """
 
     k: int = 10
-    slack: float = 0.2
+    slack: float = 0.25
     most_probes: int = 16
-    epsilon: float = 2.1
+    epsilon: float = 3.0
     per_list: int = 64
     seed: int = 7
 
