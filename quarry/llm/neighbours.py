@@ -39,7 +39,7 @@ class Scan:
     """
 
     k: int = 10
-    slack: float = 0.25
+    slack: float = 0.2
     most_probes: int = 16
     epsilon: float = 3.0
     per_list: int = 64
