@@ -161,7 +161,7 @@ def hot_variants(classes: DataFrame) -> DataFrame:
 
 
 def shared_variants(contents: DataFrame) -> tuple[DataFrame, bool]:
-    """(v, n, first, last, anchor): rows of variants that several contents share, in order within their bucket.
+    """(v, n, first, anchor): rows of variants that several contents share, with the first of their bucket.
 
     Also whether any bucket was cut into pieces.
     """
@@ -175,7 +175,7 @@ def shared_variants(contents: DataFrame) -> tuple[DataFrame, bool]:
         rows = rows.select("v", "n", F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("piece"))
     bucket = Window.partitionBy("v", "piece").orderBy("n")
     placed = rows.select("v", "n", "anchor", F.first("n").over(bucket).alias("first"), F.lag("n").over(bucket).alias("last"), F.lead("n").over(bucket).alias("next"))
-    return cut(placed.filter("last IS NOT NULL OR next IS NOT NULL OR anchor IS NOT NULL").drop("next")), cut_up
+    return cut(placed.filter("last IS NOT NULL OR next IS NOT NULL OR anchor IS NOT NULL").drop("last", "next")), cut_up
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -250,11 +250,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, time: str | None = None,
     are one content and compared once.  An empty table gives an empty result; other columns are ignored, whatever
     their names.
 
-    Contents sharing a variant are first compared along a chain and with the bucket's first, and grouped.  Where
-    a bucket still holds several groups, all its pairs across groups are compared: at once if those of all such
-    buckets are no more than the rows, else in rounds that each reach four times further along the chain and leave
-    out what has become one group.  So no link of a bucket is lost, and a bucket of near copies costs as much as
-    it has rows.
+    Contents sharing a variant are first compared with the bucket's first, and grouped.  Where a bucket still holds
+    several groups, all its pairs across groups are compared: at once if those of all such buckets are no more than
+    the rows, else in rounds that each reach four times further along the bucket's order and leave out what has become
+    one group.  So no link of a bucket is lost, and a bucket of near copies costs as much as it has rows.
     """
     s = signature
     rows = cut(index(df, key, time, text, s))
@@ -264,13 +263,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, time: str | None = None,
     shared, cut_up = shared_variants(contents)
     verify = _Verifier(df, key, time, text, reps, s)
 
-    near = shared.select("n", F.explode(F.array_distinct(F.array("first", "last", "anchor"))).alias("m"))
+    near = shared.select("n", F.explode(F.array_distinct(F.array("first", "anchor"))).alias("m"))
     links = verify.links(_ordered(near))
     roots = components(links, "a", "b")
-    low, high, n_shared = 1 if cut_up else 2, 4, shared.count()
+    low, high, n_shared = 1, 4, shared.count()
     while True:
         grouped = shared.join(roots.withColumnRenamed("node", "n"), "n", "left").select("v", "n", F.coalesce("root", "n").alias("g"))
-        still = grouped.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("rows")).filter((F.col("lo") != F.col("hi")) & (F.col("rows") > low))
+        still = grouped.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("rows")).filter((F.col("lo") != F.col("hi")) & (F.col("rows") > (low if low > 1 or cut_up else 2)))
         open_pairs, longest = still.agg(F.sum(F.col("rows") * (F.col("rows") - 1) / 2), F.max("rows")).first()
         if longest is None:
             break
