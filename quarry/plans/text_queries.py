@@ -35,6 +35,13 @@ def bm25_batch_queries(spark, d):
     return textindex.top(textindex.bm25(_docs(spark, d), "doc_id", F.col("text"), names), 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
 
 
+def bm25_title_queries(spark, d):
+    """Every article's title as a query over all documents: thousands of searches in one pass."""
+    titles = articles(spark, d).filter("title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    hits = textindex.bm25(_docs(spark, d), "doc_id", F.col("text"), titles, every=False)
+    return textindex.top(hits, 5).select("query_id", F.col("doc").alias("doc_id"), "rank")
+
+
 def text_prefix_limit(spark, d):
     """A smaller limit is a prefix of the larger one."""
     return bm25_topk(spark, d).filter("rank <= 3").select("query_id", "doc_id", "rank")
@@ -129,13 +136,14 @@ _TOPK = "WITH " + _bm25("documents", "doc_id", "text", 1.5, 0.75)
 _FACTS = f"WITH {EDGES}, " + _bm25("edge_rows", "write_cursor", "body", 1.5, 0.75, False, extra=f"WHERE {LIVE} AND body IS NOT NULL")
 _BLANK = r"[ \t\n\x0b\f\r]+"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus, bm25_fielded, bm25_batch_queries, text_prefix_limit, content_or_match, text_edge_facts, text_one_per_body, bm25_porter, chunk_words, paragraph_chunks, tfidf_terms, intent_classifier, canonical_names, enriched_text)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus, bm25_fielded, bm25_batch_queries, bm25_title_queries, text_prefix_limit, content_or_match, text_edge_facts, text_one_per_body, bm25_porter, chunk_words, paragraph_chunks, tfidf_terms, intent_classifier, canonical_names, enriched_text)}
 
 SQL = {
     "bm25_topk": _TOPK + "SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10",
     "text_prefix_limit": _TOPK + "SELECT query_id, doc AS doc_id, rank FROM ranked WHERE rank <= 3",
     "bm25_corpus": f"WITH {ARTICLES}, " + _bm25("article_rows", "doc_id", "body", 1.2, 0.75) + "SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 20",
     "bm25_batch_queries": "WITH " + _bm25("documents", "doc_id", "text", 1.5, 0.75, queries="named AS (SELECT DISTINCT logical_id AS query_id, body AS text FROM hub_node)", asked_from="named") + "SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10",
+    "bm25_title_queries": f"WITH {ARTICLES}, " + _bm25("documents", "doc_id", "text", 1.5, 0.75, False, queries="titled AS (SELECT doc_id AS query_id, title AS text FROM article_rows WHERE title IS NOT NULL)", asked_from="titled") + "SELECT query_id, doc AS doc_id, rank FROM ranked WHERE rank <= 5",
     "bm25_fielded": f"""
 WITH {ARTICLES}, {SEARCHED}, asked AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM searched),
 tok AS (
@@ -172,4 +180,4 @@ SELECT doc_id, md5(CASE WHEN body IS NULL THEN coalesce(names, '') WHEN names IS
 """,
 }
 
-SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"]})
+SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"], "bm25_title_queries": ["rank"]})
