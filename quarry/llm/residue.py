@@ -3,8 +3,9 @@
 Records made from one template are aligned on the words around a position: the two before it and the two
 after it, names and numbers masked.  Over the whole corpus each such frame collects what fills it.  A frame is
 a slot if it is filled by ordinary values, or by unfilled placeholders in several notations; a frame that
-always holds the same notation is a sentence that writes about placeholders.  A placeholder or default left in a
-slot makes its document residue.
+mostly holds the same notation, in texts that differ by more than names and numbers, is a sentence that writes about
+placeholders.  A placeholder or default left in a slot makes its document residue.  Texts count once, however many
+copies there are.
 
 Error pages are templates as wholes: their sentences come back word for word, with nothing but numbers and
 identifiers changed.  Sentences, lines and fragments that stand alone in several documents are collected; a page that
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.session import cut
+
 #: Entries of each evidence table that tasks receive, the most frequent first; a frame or fragment beyond it counts
 #: as unseen, and its document is judged by notation and wording alone.
 MOST_ENTRIES = 200_000
@@ -137,13 +140,14 @@ Frame = tuple[str, str, str]
 
 @dataclass
 class Filling:
-    """A placeholder or default, with the words before it and after it."""
+    """A placeholder or default, with the words before it and after it; ``setting`` is the hash of the masked text."""
 
     notation: str
     value: str
     left: Frame
     right: Frame
     quoted: bool
+    setting: int
 
 
 def fillings(text: str) -> Iterator[Filling]:
@@ -165,8 +169,9 @@ def fillings(text: str) -> Iterator[Filling]:
             found.append((len(masks), raw, notation, quoted))
             masks.append("<>")
     masks += ["^", "^"]
+    setting = _code(" ".join(masks)) if found else 0
     for i, raw, notation, quoted in found:
-        yield Filling(notation, raw, ("left", masks[i - 2], masks[i - 1]), ("right", masks[i + 1], masks[i + 2]), quoted)
+        yield Filling(notation, raw, ("left", masks[i - 2], masks[i - 1]), ("right", masks[i + 1], masks[i + 2]), quoted, setting)
 
 
 def _mask(word: str, first: bool) -> str:
@@ -179,7 +184,7 @@ Frames = dict[str, set[tuple[str, str]]]
 
 
 def ordinary(text: str, left: Frames, right: Frames, seen: Counter) -> None:
-    """Count the ordinary words that fill one of the frames, which are given by their word next to the filling."""
+    """Count the text for those of the frames that it fills with ordinary words; frames are given by their word next to the filling."""
     masks = ["^", "^"]
     if _hinted(text):
         for m in _TOKEN.finditer(text):
@@ -192,11 +197,13 @@ def ordinary(text: str, left: Frames, right: Frames, seen: Counter) -> None:
             else:
                 masks.append("#" if c.isdigit() else "^")
     masks += ["^", "^"]
+    here = set()
     for i, (b, x, c) in enumerate(zip(masks[1:], masks[2:], masks[3:])):
         if b in left and (frame := (masks[i], b)) in left[b] and x not in ("^", "<>"):
-            seen["left", *frame] += 1
+            here.add(("left", *frame))
         if c in right and i + 4 < len(masks) and (frame := (c, masks[i + 4])) in right[c] and x not in ("^", "<>"):
-            seen["right", *frame] += 1
+            here.add(("right", *frame))
+    seen.update(here)
 
 
 def _hinted(text: str) -> bool:
@@ -214,12 +221,17 @@ def _code(masked: str) -> int:
 
 
 def _tell(counts: Counter) -> pd.DataFrame:
-    """Counter of (kind, first, second, detail, code)."""
-    out = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "one", "two", "detail", "code", "n"])
-    return out.astype({"code": "int64", "n": "int64"})
+    """Counter of (kind, first, second, detail, code, setting)."""
+    out = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "one", "two", "detail", "code", "setting", "n"])
+    return out.astype({"code": "int64", "setting": "int64", "n": "int64"})
+
+
+_TOLD = "kind string, one string, two string, detail string, code long, setting long, n long"
 
 
-_TOLD = "kind string, one string, two string, detail string, code long, n long"
+def _added(told: DataFrame) -> DataFrame:
+    """Sums of what the tasks tell; ``varied``: whether in several settings."""
+    return told.groupBy("kind", "one", "two", "detail", "code").agg(F.sum("n").alias("n"), (F.min("setting") < F.max("setting")).alias("varied"))
 
 
 def _first_pass(batches):
@@ -229,9 +241,7 @@ def _first_pass(batches):
         for text in batch["text"]:
             if not text:
                 continue
-            for f in fillings(text):
-                seen[(*f.left, f.notation, 0)] += 1
-                seen[(*f.right, f.notation, 0)] += 1
+            seen.update({(*frame, f.notation, 0, f.setting) for f in fillings(text) for frame in (f.left, f.right)})
             low = text.lower()
             seeded = any(s in low for s in SEEDS)
             alone = set()
@@ -242,8 +252,8 @@ def _first_pass(batches):
                 elif seeded:
                     u = Unit(piece)
                 if seeded and len(SEEDS.intersection(u.words)) >= 2:
-                    seen.update(("word", w, "", "", 0) for w in u.words)
-            seen.update(("unit", "", "", "", c) for c in alone)
+                    seen.update(("word", w, "", "", 0, 0) for w in u.words)
+            seen.update(("unit", "", "", "", c, 0) for c in alone)
         yield _tell(seen)
 
 
@@ -253,10 +263,11 @@ class Evidence:
     def __init__(self, rows=()):
         self.notations: dict[Frame, set[str]] = defaultdict(set)
         self.placed: Counter = Counter()
+        self.varied: set[Frame] = set()
         self.filled: Counter = Counter()
         self.alone: set[int] = set()
         self.latin: set[str] = set(SEEDS)
-        for kind, one, two, detail, code, n in rows:
+        for kind, one, two, detail, code, n, varied in rows:
             if kind == "unit":
                 self.alone.add(code)
             elif kind == "word":
@@ -264,6 +275,8 @@ class Evidence:
             elif detail:
                 self.notations[kind, one, two].add(detail)
                 self.placed[kind, one, two] += n
+                if varied:
+                    self.varied.add((kind, one, two))
             else:
                 self.filled[kind, one, two] += n
 
@@ -271,12 +284,13 @@ class Evidence:
         return len(self.notations.get(frame, ())) >= 2 or self.filled[frame] >= max(3, self.placed[frame])
 
     def open_question(self, frame: Frame) -> bool:
-        """Whether the ordinary fillings of a frame can decide anything: one notation, and that repeated or a default."""
+        """Whether the ordinary fillings of a frame can decide anything: one notation, and that in several settings or a default."""
         held = self.notations[frame]
-        return len(held) == 1 and (self.placed[frame] >= 3 or not held <= NOTATIONS.keys())
+        return len(held) == 1 and (frame in self.varied or not held <= NOTATIONS.keys())
 
     def literal(self, frame: Frame) -> bool:
-        return len(self.notations.get(frame, ())) == 1 and self.placed[frame] >= 3 and self.filled[frame] < self.placed[frame]
+        """Whether most texts with the frame hold the one notation; copies and records of one template are no several texts."""
+        return len(self.notations.get(frame, ())) == 1 and frame in self.varied and self.filled[frame] < self.placed[frame]
 
 
 def left_over(text: str, e: Evidence) -> str | None:
@@ -366,11 +380,12 @@ def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_fill
     of filler.  Null and empty texts, and texts without a word, are no case.  Null keys pass through and repeated rows
     come out repeatedly; an empty table gives an empty result; other columns are ignored, whatever their names.
 
-    Two passes count over the whole corpus, combined per batch before the shuffle; a third judges each document.
+    Two passes count over the distinct texts, combined per batch before the shuffle; a third judges each document.
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
-    counted = docs.select("text").mapInPandas(_first_pass, _TOLD).groupBy("kind", "one", "two", "detail", "code").agg(F.sum("n").alias("n"))
+    texts = cut(docs.select("text").filter("text != ''").distinct())
+    counted = _added(texts.mapInPandas(_first_pass, _TOLD))
     telling = F.col("kind").isin("left", "right") | ((F.col("kind") == "unit") & (F.col("n") >= least_alone)) | ((F.col("kind") == "word") & (F.col("n") >= 2))
     by_kind = Window.partitionBy("kind").orderBy(F.col("n").desc(), "one", "two", "detail", "code")
     kept = counted.filter(telling).withColumn("place", F.row_number().over(by_kind)).filter(F.col("place") <= MOST_ENTRIES).drop("place")
@@ -393,14 +408,14 @@ def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_fill
             for text in batch["text"]:
                 if text:
                     ordinary(text, left, right, seen)
-            out = Counter({(*frame, "", 0): n for frame, n in seen.items()})
+            out = Counter({(*frame, "", 0, 0): n for frame, n in seen.items()})
             for text in batch["text"]:
                 low = text.lower() if text else ""
                 if any(w in low for w in words):
-                    out.update(("word", w, "", "", 0) for w in _WORDS.findall(low) if w in words)
+                    out.update(("word", w, "", "", 0, 0) for w in _WORDS.findall(low) if w in words)
             yield _tell(out)
 
-    again = [tuple(r) for r in docs.select("text").mapInPandas(second_pass, _TOLD).groupBy("kind", "one", "two", "detail", "code").agg(F.sum("n").alias("n")).collect()]
+    again = [tuple(r) for r in _added(texts.mapInPandas(second_pass, _TOLD)).collect()]
     filled = [r for r in again if r[0] != "word"]
     latin = [r for r in again if r[0] == "word" and in_seeded[r[1]] >= 0.4 * r[5]]
     facts = spark.sparkContext.broadcast([*filled, *latin, *(r for r in found if r[0] != "word")])

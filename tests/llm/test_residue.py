@@ -56,3 +56,11 @@ def test_very_long_text_stays_linear():
         list(fillings(text))
         filler_share(text, e)
         error_page(text, e)
+
+
+def test_copies_and_records_of_a_template_stay_residue(spark):
+    copies = [(i, "Dear {{name}}, your parcel is on its way to the depot.") for i in range(3)]
+    records_ = [(10 + i, f"Bonjour [client], votre commande {i} pour {PLACES[i % 5]} est partie.") for i in range(30)]
+    about = [(50 + i, f"{PLACES[i]} keeps {w} in the hall. The guide explains that %s in a form is swapped for the value.".replace("%s", "{{city}}")) for i, w in enumerate(("coal", "salt", "wool"))]
+    got = residue(spark.createDataFrame([*copies, *records_, *about], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id for r in got} == {i for i, _ in copies + records_}
