@@ -4,7 +4,8 @@ A text's possible cuts and their strengths (paragraph over sentence over word) f
 in text order.  A sparse table answers range-maximum queries over it in constant time: entry
 [j][i] is the position of the strongest cut among the 2**j cuts from i on, the later one on a
 tie.  From each piece's start the strongest cut in the permissible length window is asked for,
-the rightmost among equals, and the next piece starts the overlap before it.
+the rightmost among equals, and the next piece starts the overlap before it.  Where that window has
+none as strong as the text allows, every cut beyond the overlap is asked for.
 """
 
 from __future__ import annotations
@@ -112,11 +113,18 @@ class CutIndex:
         return int(self.at[best]), int(self.strength[best])
 
 
-def split_text(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, int, int]]:
-    """(start, end, strength of the cut at end) of the pieces of one text; the last has strength PARAGRAPH."""
+def split_text(text: str, limit: int, overlap: int, least: int, wanted: int = WORD) -> list[tuple[int, int, int]]:
+    """(start, end, strength of the cut at end) of the pieces of one text; the last has strength PARAGRAPH.
+
+    A cut weaker than ``wanted`` is taken only if no stronger one lies anywhere beyond the overlap.
+    """
     pieces, start, index = [], 0, CutIndex(text)
     while len(text) - start > limit:
         cut, strength = index.strongest(start + least, start + limit)
+        if strength < wanted:
+            earlier, stronger = index.strongest(start + overlap + 1, start + limit)
+            if stronger > strength:
+                cut, strength = earlier, stronger
         if cut < 0:
             cut, strength = start + limit, 0
         pieces.append((start, cut, strength))
@@ -132,7 +140,8 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 6000, overl
     characters before the end of the one before, so dropping the first ``overlap`` characters of
     all later pieces and joining gives the text back.  A piece is cut at the strongest boundary
     between ``least`` (half the limit unless given) and ``limit`` characters, the rightmost of
-    equals, and after exactly ``limit`` characters where there is none.  ``cut`` names the
+    equals; if that is weaker than ``boundary``, or there is none, at the strongest beyond the
+    overlap; and after exactly ``limit`` characters where that has none either.  ``cut`` names the
     boundary at the piece's end, ``boundary`` the coarsest unit of which no instance in the whole
     text exceeds the limit.  Texts that are null, empty or within the limit give no row.  Repeated
     rows come out repeatedly: bring one row per key.  Null keys pass through.  Other columns are
@@ -148,7 +157,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 6000, overl
             out = []
             for k, t in zip(batch["k"], batch["t"]):
                 boundary = coarsest_fitting_unit(t, limit)
-                for i, (s, e, strength) in enumerate(split_text(t, limit, overlap, low)):
+                for i, (s, e, strength) in enumerate(split_text(t, limit, overlap, low, max(WORD, LEVELS.index(boundary)))):
                     out.append((k, i, s, e, "end" if e == len(t) else LEVELS[strength], boundary, t[s:e]))
             yield pd.DataFrame(out, columns=["k", "piece", "piece_start", "piece_end", "cut", "boundary", "piece_text"])
 

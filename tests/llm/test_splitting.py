@@ -67,3 +67,11 @@ def test_operator_edges(spark):
     assert all(len(r.piece_text) <= 40 and r.piece_text == ("w " * 50 if r.id else "y" * 100)[r.piece_start : r.piece_end] for r in got)
     assert {r.boundary for r in got if r.id is None} == {"none"}
     assert split_oversized(df.limit(0), "id", "body", 40, 5).count() == 0
+
+
+def test_no_hard_cut_where_an_earlier_boundary_lies(spark):
+    text = "a" * 10 + " " + "b" * 45
+    assert split_text(text, 40, 5, 20)[0] == (0, 11, 1)
+    two = "A" * 14 + "\n\n" + "b c " * 6 + "\n\n" + "d" * 20
+    (first, *_) = split_oversized(spark.createDataFrame([(1, two)], "id int, body string"), "id", "body", 40, 5).orderBy("piece").collect()
+    assert (first.boundary, first.cut, first.piece_end) == ("paragraph", "paragraph", 16)
