@@ -214,6 +214,32 @@ def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
     return sims.groupBy("doc").agg(F.min_by("label", F.struct(-F.col("sim"), F.col("label"))).alias("predicted"))
 
 
+def held_out(docs: DataFrame, terms: Column, k: int) -> DataFrame:
+    """(doc, label, predicted): every document (doc, label, fold) once, by the nearest centroid of the other folds; ties to the first label.
+
+    Document frequencies, too, are those of the other folds.  Both are sums over all folds less the own one, a column
+    per fold, so postings are not repeated.  A document without a known term goes to the first label.
+    """
+    ks = range(k)
+    n = {r["fold"]: r["n"] for r in docs.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    others = [sum(n.values()) - n.get(f, 0) for f in ks]
+    split = docs.select("doc", "label", "fold", F.explode(terms).alias("term")).groupBy("doc", "label", "fold", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = split.groupBy("term").agg(*[F.count(F.when(F.col("fold") != f, 1)).alias(f"df{f}") for f in ks])
+    idf = [F.when(F.col(f"df{f}") > 0, F.log((1 + F.lit(others[f])) / (1 + F.col(f"df{f}"))) + 1).otherwise(0.0) for f in ks]
+    raw = split.join(df, "term").select("doc", "label", "fold", "term", *[(F.col("tf") * idf[f]).alias(f"w{f}") for f in ks])
+    in_doc = Window.partitionBy("doc")
+    weights = raw.select("doc", "label", "fold", "term", *[F.try_divide(f"w{f}", F.sqrt(F.sum(F.col(f"w{f}") * F.col(f"w{f}")).over(in_doc))).alias(f"w{f}") for f in ks])
+    total = weights.groupBy("label", "term").agg(*[F.sum(F.when(F.col("fold") != f, F.col(f"w{f}"))).alias(f"s{f}") for f in ks])
+    size = total.groupBy("label").agg(*[F.sqrt(F.sum(F.col(f"s{f}") * F.col(f"s{f}"))).alias(f"z{f}") for f in ks])
+    centre = total.join(F.broadcast(size), "label").select(F.col("label").alias("predicted"), "term", F.array(*[F.try_divide(f"s{f}", f"z{f}") for f in ks]).alias("c"))
+    test = weights.select("doc", "fold", "term", F.array(*[F.col(f"w{f}") for f in ks]).alias("w"))
+    part = F.get("w", F.col("fold")) * F.get("c", F.col("fold"))
+    sims = test.join(centre, "term").groupBy("doc", "predicted").agg(F.round(F.sum(part), 9).alias("sim")).filter("sim > 0")
+    best = sims.groupBy("doc").agg(F.min_by("predicted", F.struct(-F.col("sim"), F.col("predicted"))).alias("predicted"))
+    first = docs.agg(F.min("label").alias("first"))
+    return docs.select("doc", "label").join(best, "doc", "left").crossJoin(F.broadcast(first)).select("doc", "label", F.coalesce("predicted", "first").alias("predicted"))
+
+
 def folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """``rows`` with ``fold``: each label's rows dealt evenly over ``k`` folds in hash order; a label of any size is numbered in blocks."""
     from quarry.operators.prefix import prefix_sum

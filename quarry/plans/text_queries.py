@@ -94,11 +94,8 @@ def intent_classifier(spark, d):
     """Source type of a document by the nearest TF-IDF centroid, five folds, held out (no SQL counterpart)."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL AND source_type IS NOT NULL").select("doc_id", "text", F.col("source_type").alias("label"))
     dealt = evalkit.folds(docs, "doc_id", "label", 5)
-    weights = evalkit.tf_idf(docs, "doc_id", terms(F.col("text")))
-    labelled = weights.join(dealt.select(F.col("doc_id").alias("doc"), "label", "fold"), "doc")
-    test, train = labelled.filter("fold = 0"), labelled.filter("fold != 0")
-    predicted = evalkit.nearest_centroid(train, test.select("doc", "term", "weight"))
-    return predicted.join(dealt.select(F.col("doc_id").alias("doc"), "label"), "doc").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("documents"))
+    predicted = evalkit.held_out(dealt.withColumnRenamed("doc_id", "doc"), terms(F.col("text")), 5)
+    return predicted.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def canonical_names(spark, d):

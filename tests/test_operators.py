@@ -168,3 +168,22 @@ def test_prefix_stability(spark):
     for bad in (0, 101, True, 2.0):
         with pytest.raises(InvalidArgument):
             textindex.top(scored, bad)
+
+
+def test_every_document_is_predicted_by_the_other_folds(spark):
+    from quarry.functions.text import terms
+
+    rows = [(i, "xy"[i % 2], i % 3, f"{'red' if i % 2 else 'blue'} word own{i}") for i in range(12)] + [(12, "y", 0, ""), (13, "x", 1, "red red")]
+    got = evalkit.held_out(spark.createDataFrame(rows, "doc int, label string, fold int, text string"), terms(F.col("text")), 3).collect()
+    assert sorted(r.doc for r in got) == list(range(14))
+    assert all(r.predicted == r.label for r in got if r.doc < 12)
+    assert {r.doc: r.predicted for r in got if r.doc >= 12} == {12: "x", 13: "y"}
+
+
+def test_intent_classifier_covers_the_table(spark):
+    from quarry.plans.text_queries import intent_classifier
+    from quarry.session import table
+
+    sf = "/root/testdata/sf0.001"
+    want = table(spark, sf, "documents").filter("text IS NOT NULL AND source_type IS NOT NULL").count()
+    assert intent_classifier(spark, sf).agg(F.sum("documents")).first()[0] == want
