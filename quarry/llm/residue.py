@@ -244,7 +244,7 @@ def _first_pass(batches):
             seen.update({(*frame, f.notation, 0, f.setting) for f in fillings(text) for frame in (f.left, f.right)})
             low = text.lower()
             seeded = any(s in low for s in SEEDS)
-            alone = set()
+            alone, pseudo = set(), set()
             for piece in pieces(text):
                 if piece.count(" ") <= 16:
                     u = Unit(piece)
@@ -252,7 +252,8 @@ def _first_pass(batches):
                 elif seeded:
                     u = Unit(piece)
                 if seeded and len(SEEDS.intersection(u.words)) >= 2:
-                    seen.update(("word", w, "", "", 0, 0) for w in u.words)
+                    pseudo.update(u.words)
+            seen.update(("word", w, "", "", 0, 0) for w in pseudo)
             seen.update(("unit", "", "", "", c, 0) for c in alone)
         yield _tell(seen)
 
@@ -397,8 +398,6 @@ def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_fill
         else:
             right[frame[1]].add(frame[1:])
     in_seeded = {r[1]: r[5] for r in found if r[0] == "word"}
-    often = max(in_seeded.values(), default=0) / 5
-    in_seeded = {w: n for w, n in in_seeded.items() if n >= often}
     asked = spark.sparkContext.broadcast((dict(left), dict(right), set(in_seeded)))
 
     def second_pass(batches):
@@ -410,9 +409,8 @@ def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_fill
                     ordinary(text, left, right, seen)
             out = Counter({(*frame, "", 0, 0): n for frame, n in seen.items()})
             for text in batch["text"]:
-                low = text.lower() if text else ""
-                if any(w in low for w in words):
-                    out.update(("word", w, "", "", 0, 0) for w in _WORDS.findall(low) if w in words)
+                if text and words:
+                    out.update(("word", w, "", "", 0, 0) for w in words.intersection(_WORDS.findall(text.lower())))
             yield _tell(out)
 
     again = [tuple(r) for r in _added(texts.mapInPandas(second_pass, _TOLD)).collect()]

@@ -64,3 +64,11 @@ def test_copies_and_records_of_a_template_stay_residue(spark):
     about = [(50 + i, f"{PLACES[i]} keeps {w} in the hall. The guide explains that %s in a form is swapped for the value.".replace("%s", "{{city}}")) for i, w in enumerate(("coal", "salt", "wool"))]
     got = residue(spark.createDataFrame([*copies, *records_, *about], "doc_id long, text string"), "doc_id", "text").collect()
     assert {r.doc_id for r in got} == {i for i, _ in copies + records_}
+
+
+def test_a_frequent_pseudo_text_hides_no_other(spark):
+    short = [(i, f"Lorem ipsum dolor sit amet {PLACES[i % 5]} {i}.") for i in range(60)]
+    other = [(100 + i, f"Lorem ipsum porsit feugia velora. Tandris morvel feugia porsit quelum velora {i}.") for i in range(5)]
+    learned = [(200 + i, f"Ipsum dolor tandris morvel quelum feugia porsit velora {i}.") for i in range(5)]
+    got = residue(spark.createDataFrame([*short, *other, *learned], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {100 + i for i in range(5)} <= {r.doc_id for r in got if r.reason == "filler"}
