@@ -235,7 +235,7 @@ def _added(told: DataFrame) -> DataFrame:
 
 
 def _first_pass(batches):
-    """Counts of placeholder notations by frame, of short units, and of words in seeded units."""
+    """Counts of placeholder notations by frame, of units, and of words in seeded units."""
     for batch in batches:
         seen: Counter = Counter()
         for text in batch["text"]:
@@ -246,15 +246,12 @@ def _first_pass(batches):
             seeded = any(s in low for s in SEEDS)
             alone, pseudo = set(), set()
             for piece in pieces(text):
-                if piece.count(" ") <= 16:
-                    u = Unit(piece)
-                    alone.add(_code(u.masked))
-                elif seeded:
-                    u = Unit(piece)
+                u = Unit(piece)
+                alone.add((_code(u.masked), len(u.masked.split())))
                 if seeded and len(SEEDS.intersection(u.words)) >= 2:
                     pseudo.update(u.words)
             seen.update(("word", w, "", "", 0, 0) for w in pseudo)
-            seen.update(("unit", "", "", "", c, 0) for c in alone)
+            seen.update(("unit", str(n), "", "", c, 0) for c, n in alone)
         yield _tell(seen)
 
 
@@ -267,10 +264,12 @@ class Evidence:
         self.varied: set[Frame] = set()
         self.filled: Counter = Counter()
         self.alone: set[int] = set()
+        self.lengths: set[int] = set()
         self.latin: set[str] = set(SEEDS)
         for kind, one, two, detail, code, n, varied in rows:
             if kind == "unit":
                 self.alone.add(code)
+                self.lengths.add(int(one))
             elif kind == "word":
                 self.latin.add(one)
             elif detail:
@@ -338,12 +337,15 @@ def _strange(u: Unit, e: Evidence) -> tuple[int, int]:
         for m in pattern.finditer(u.masked):
             for i, (a, b) in enumerate(ends):
                 said[i] = said[i] or (a < m.end() and m.start() < b)
+    lengths = sorted(n for n in e.lengths if n >= 2)
     best: list[tuple[int, int, list]] = [(0, -1, [])] + [(10**9, -1, [])] * len(words)
     for i in range(len(words)):
         step = best[i][0] + (not said[i])
         if step < best[i + 1][0]:
             best[i + 1] = (step, i, [] if said[i] else [i])
-        for j in range(i + 2, min(len(words), i + 17) + 1):
+        for n in lengths:
+            if (j := i + n) > len(words):
+                break
             if best[i][0] < best[j][0] and _code(" ".join(words[i:j])) in e.alone:
                 best[j] = (best[i][0], i, [])
     bare, at = [], len(words)

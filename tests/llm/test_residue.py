@@ -72,3 +72,11 @@ def test_a_frequent_pseudo_text_hides_no_other(spark):
     learned = [(200 + i, f"Ipsum dolor tandris morvel quelum feugia porsit velora {i}.") for i in range(5)]
     got = residue(spark.createDataFrame([*short, *other, *learned], "doc_id long, text string"), "doc_id", "text").collect()
     assert {100 + i for i in range(5)} <= {r.doc_id for r in got if r.reason == "filler"}
+
+
+def test_long_sentences_of_error_pages_are_learned(spark):
+    stock = "If you are the system administrator of this resource then you should check the server records for details."
+    pages = [(i, f"Error {500 + i}\n\n{stock}" + "\nError 500" * i) for i in range(5)]
+    real = [(10, "Error 500\n\nThe long report on the mill in Norby tells how its owner came to the town and built a school.")]
+    got = residue(spark.createDataFrame([*pages, *real], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id for r in got if r.reason == "error page"} == set(range(5))
