@@ -22,15 +22,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.session import cut
 
-#: Entries of each evidence table that tasks receive, the most frequent first; a frame or fragment beyond it counts
-#: as unseen, and its document is judged by notation and wording alone.
+#: Stand-alone units up to so many are looked up in a hash set, more of them in a sorted array of 8 bytes each.
 MOST_ENTRIES = 200_000
 
 # Notations of unfilled placeholders.
@@ -255,22 +255,30 @@ def _first_pass(batches):
         yield _tell(seen)
 
 
+class Codes:
+    """A set of unit hashes as a sorted array."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(codes)
+
+    def __contains__(self, code: int) -> bool:
+        at = int(np.searchsorted(self.codes, code))
+        return at < len(self.codes) and int(self.codes[at]) == code
+
+
 class Evidence:
     """What the corpus says about frames, units and words."""
 
-    def __init__(self, rows=()):
+    def __init__(self, rows=(), codes=(), lengths=()):
         self.notations: dict[Frame, set[str]] = defaultdict(set)
         self.placed: Counter = Counter()
         self.varied: set[Frame] = set()
         self.filled: Counter = Counter()
-        self.alone: set[int] = set()
-        self.lengths: set[int] = set()
+        self.alone: set[int] | Codes = set(map(int, codes)) if len(codes) <= MOST_ENTRIES else Codes(codes)
+        self.lengths: set[int] = set(lengths)
         self.latin: set[str] = set(SEEDS)
         for kind, one, two, detail, code, n, varied in rows:
-            if kind == "unit":
-                self.alone.add(code)
-                self.lengths.add(int(one))
-            elif kind == "word":
+            if kind == "word":
                 self.latin.add(one)
             elif detail:
                 self.notations[kind, one, two].add(detail)
@@ -390,9 +398,11 @@ def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_fill
     texts = cut(docs.select("text").filter("text != ''").distinct())
     counted = _added(texts.mapInPandas(_first_pass, _TOLD))
     telling = F.col("kind").isin("left", "right") | ((F.col("kind") == "unit") & (F.col("n") >= least_alone)) | ((F.col("kind") == "word") & (F.col("n") >= 2))
-    by_kind = Window.partitionBy("kind").orderBy(F.col("n").desc(), "one", "two", "detail", "code")
-    kept = counted.filter(telling).withColumn("place", F.row_number().over(by_kind)).filter(F.col("place") <= MOST_ENTRIES).drop("place")
-    found = [tuple(r) for r in kept.collect()]
+    kept = cut(counted.filter(telling))
+    found = [tuple(r) for r in kept.filter("kind != 'unit'").collect()]
+    alone = kept.filter("kind = 'unit'").select("code", F.col("one").cast("int").alias("length"))
+    lengths = [r["length"] for r in alone.select("length").distinct().collect()]
+    codes = pa.concat_arrays([pa.array([], "int64"), *alone.select("code").toArrow()["code"].chunks]).to_numpy()
     placed, left, right = Evidence(r for r in found if r[0] in ("left", "right")), defaultdict(set), defaultdict(set)
     for frame in filter(placed.open_question, list(placed.notations)):
         if frame[0] == "left":
@@ -418,10 +428,10 @@ def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_fill
     again = [tuple(r) for r in _added(texts.mapInPandas(second_pass, _TOLD)).collect()]
     filled = [r for r in again if r[0] != "word"]
     latin = [r for r in again if r[0] == "word" and in_seeded[r[1]] >= 0.4 * r[5]]
-    facts = spark.sparkContext.broadcast([*filled, *latin, *(r for r in found if r[0] != "word")])
+    facts = spark.sparkContext.broadcast(([*filled, *latin, *(r for r in found if r[0] != "word")], codes, lengths))
 
     def judge(batches):
-        e = Evidence(facts.value)
+        e = Evidence(*facts.value)
         for batch in batches:
             out = []
             for k, text in zip(batch["k"], batch["text"]):

@@ -80,3 +80,18 @@ def test_long_sentences_of_error_pages_are_learned(spark):
     real = [(10, "Error 500\n\nThe long report on the mill in Norby tells how its owner came to the town and built a school.")]
     got = residue(spark.createDataFrame([*pages, *real], "doc_id long, text string"), "doc_id", "text").collect()
     assert {r.doc_id for r in got if r.reason == "error page"} == set(range(5))
+
+
+def test_no_evidence_is_dropped_beyond_the_bound(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.llm import residue as module
+
+    monkeypatch.setattr(module, "MOST_ENTRIES", 1)
+    stock = "The gardener of this place has been told and will see to it as soon as the day allows for it."
+    pages = [(i, f"Error {500 + i}\n\n{stock}" + "\nError 500" * i) for i in range(5)]
+    common = [(100 + i, f"Nice day\n\nPlace {'x' * i} was open.") for i in range(20)]
+    got = residue(spark.createDataFrame([*pages, *common], "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id for r in got} == set(range(5))
+    alone = Evidence((), np.array([9, 5, -3])).alone
+    assert isinstance(alone, module.Codes) and 5 in alone and -3 in alone and 6 not in alone and 10 not in alone
