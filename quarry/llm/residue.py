@@ -1,449 +1,486 @@
 """Problem 8: documents in which template residue, filler or an error page stands in place of content.
 
-Records made from one template are aligned on the words around a position: the two before it and the two
-after it, names and numbers masked.  Over the whole corpus each such frame collects what fills it.  A frame is
-a slot if it is filled by ordinary values, or by unfilled placeholders in several notations; a frame that
-mostly holds the same notation, in texts that differ by more than names and numbers, is a sentence that writes about
-placeholders.  A placeholder or default left in a slot makes its document residue.  Texts count once, however many
-copies there are.
-
-Error pages are templates as wholes: their sentences come back word for word, with nothing but numbers and
-identifiers changed.  Sentences, lines and fragments that stand alone in several documents are collected; a page that
-consists of them (and of error wording) and says error or script notice is residue.  Filler is found the same way:
-pseudo-text by the words that come with its seed words, stock phrases by their wording; it makes a document residue if
-it fills about half of it.
+Records made from one template say the same words around the places where they differ.  Those places are
+induced from the whole corpus.  A *hole* is a word's surrounding, the two words before it and the one after
+it, names and numbers masked.  A hole is an open slot if records fill it with many different words, or if the
+next record would likely fill it with a new one (at least half of its fillings were seen once).
+
+* Placeholders.  A variable name is a name that comes in several notations, a notation is a pair of brackets
+  that holds several such names; both are learned from the corpus, no notation is listed.  Where aligned records
+  have ordinary words, or variables in several notations, the place is a slot, and a record that retains a
+  variable, a default or a blank there is residue.  A place that mostly holds one notation, in texts that differ
+  by more than names and numbers, is a sentence about placeholders; quoted ones are no residue either.
+* Templates of whole pages.  Content fills open slots; error pages, script notices, page furniture and stock
+  filler fill none.  Sentences, lines and fragments without an open slot are collected, and what of them comes
+  back word for word in several texts is template.  A page that is template as a whole is residue, and so is a
+  text that is template by about half.  No wording decides.
+* Pseudo-text has no template.  Its words are learned from the sentences with two of its seed words.
+
+Texts count once, however many copies there are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import cut
 
-#: Stand-alone units up to so many are looked up in a hash set, more of them in a sorted array of 8 bytes each.
-MOST_ENTRIES = 200_000
-
-# Notations of unfilled placeholders.
-_NAME = r"[A-Za-z][\w.\- ]{0,40}?"
-NOTATIONS = {
-    "mustache": r"\{\{\s*" + _NAME + r"\s*\}\}",
-    "statement": r"\{%\s*" + _NAME + r"\s*%\}",
-    "inline_code": r"<%=?\s*" + _NAME + r"\s*%>",
-    "dollar_brace": r"\$\{" + _NAME + r"\}",
-    "dollar": r"\$[A-Z][A-Z_]{1,40}\$",
-    "percent": r"%[A-Z][A-Z_]{1,40}%",
-    "merge": r"\*\|[A-Z][A-Z_ ]{0,40}\|\*",
-    "at": r"@@\w{2,40}@@",
-    "underscore": r"__[A-Z][A-Z_]{0,40}?__",
-    "hash": r"#[A-Z][A-Z_]{1,40}#",
-    "double_square": r"\[\[" + _NAME + r"\]\]",
-    "double_angle": r"<<" + _NAME + r">>",
-    "guillemet": r"«[A-Z]\w*(?: [A-Z]\w*)*»",
-    "entity": r"&lt;" + _NAME + r"&gt;",
-    "request": r"\[(?:your|enter|insert|fill in|add|type) [^\]\n]{1,40}\]",
-    "square": r"\[[A-Za-z][\w ]{2,40}\]",
-    "angle": r"<(?!/|(?:html|head|title|body|main|div|span|p|h[1-6]|br|hr|a|b|i|em|strong|ul|ol|li|noscript|script|style|pre|code|table|tr|td|th|img|section|article|center)\b)[a-z][\w \-]{1,40}>",
-    "brace": r"\{[a-z]\w{1,40}\}",
-    "goes_here": r"\([\w ]{1,40} goes here\)",
-}
-# What is left when a value is missing; also ordinary words, so only a slot makes them residue.
-DEFAULTS = {"blank": r"_{3,}", "crosses": r"\bX{4,}\b", "format": r"%s", "null": r"\bnull\b|\bNone\b|\bundefined\b|\bNaN\b"}
+#: Up to so many open holes or repeated word triples go to every task, 8 bytes each; more of them are joined.
+MOST_BROADCAST = 4_000_000
+#: Bits of the filter that tells which surroundings are worth counting; what passes is joined exactly.
+FILTER_BITS = 26
+#: Characters of texts laid out together by a task.
+STRIP_CHARS = 4_000_000
+
 # Seed words of pseudo-text.
-SEEDS = {"lorem", "ipsum", "dolor", "amet"}
-# Wording of stock filler, by language, in lower case.
-FILLER = re.compile(
-    r"placeholder (?:paragraph|text|copy)|nothing here is final copy|sample text|replace this (?:paragraph|text)|your own words|type something here|add your (?:sub)?heading"
-    r"|dummy (?:content|text|copy)|layout purposes only|content coming soon|\btk\b|asdf|blah blah|^(?:test\W+){3}|filler text"
-    r"|blindtext|wie die seite später aussieht|platzhaltertext|beispieltext|texte de remplissage|remplacez-le|faux texte|texto de ejemplo|texto de relleno|sustituya estas|ダミーテキスト|サンプルテキスト",
-)
-# What every such wording has in it, to pass over texts without any.
-_FILLER_HINTS = (
-    "sample text|replace this|your own words|type something|add your|dummy |layout purposes|content coming soon| tk|asdf|blah|test test|filler|blindtext|wie die seite|platzhalter|beispieltext"
-    "|placeholder|final copy|remplissage|remplacez|faux texte|texto de|sustituya|ダミー|サンプル"
-).split("|")
-# Wording of error messages and script notices, by language, in lower case with # for numbers.
-ERROR = re.compile(
-    r"\b(?:http|err|error|fehler|erreur)\b\W{0,2}(?:/\d\W\d\s*)?#|#\W{0,3}(?:not found|forbidden|service|bad gateway|gateway|internal|error|unauthorized|too many)|internal server error|bad gateway|gateway timeout|service unavailable|\bforbidden\b|\bunauthorized\b|too many requests|too many calls"
-    r"|\bnot found\b|^gone\b|(?:can't|cannot|couldn't|could not) (?:find|be (?:found|loaded|displayed)|load)|isn't here any more|leads nowhere|nothing to see at this address|moved or deleted|access denied|permission to view|not authori[sz]ed"
-    r"|something went wrong|unexpected (?:condition|error)|over capacity|down for maintenance|timed out|session has expired|try again (?:in|later)|reload the page|log in again|unhandled exception|fatal error|stack trace|traceback|out of memory|query failed|returned no answer|upstream service|start page|spelling of the address|administrator and quote|incident id\b|trace=|does not exist|at handler"
-    r"|java ?script|\bjs\b|noscript|scripting|\bscripts?\b|checking your browser|browser (?:has it|is out of date|blocks)|enable it and try|reload once done|loading\.\.\.|if nothing happens"
-    r"|nicht gefunden|sitzung ist abgelaufen|serverfehler|fehler beim|versuchen sie es|vorgangsnummer|startseite|verschoben oder gelöscht|zugriff verweigert|bitte aktivieren|wartungsarbeiten"
-    r"|introuvable|session a expiré|erreur|réessayer|réessayez|déplacé ou supprimé|accès refusé|veuillez activer|page d'accueil|retour à l|numéro d'incident|référence"
-    r"|no encontrada|sesión ha caducado|vuelva a intentarlo|\breferencia\b|no se encuentra|error del servidor|inténtelo|intente|volver al inicio|movido o eliminado|acceso denegado|active javascript|habilite|número de"
-    r"|見つかりません|参照番号|サーバー|エラー|有効にして|もう一度|しばらく|トップページ|アクセス",
-)
-_PLACE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in {**NOTATIONS, **DEFAULTS}.items()))
-_WORD = r"[^\W_]+(?:['’_-][^\W_]+)*"
-_STOP = r"[.!?…。]+(?=\s|$)|[\r\n]+"
-_TOKEN = re.compile(f"(?P<candidate>{_PLACE.pattern})|(?P<stop>{_STOP})|(?P<word>{_WORD})")
-_PLAIN = re.compile(f"{_STOP}|{_WORD}")
-#: What every notation and default has in it, to pass over texts without any.
-_HINT = re.compile(r"[{<$%]|\*\||@@|__|#[A-Z]|\[[A-Za-z]{2}|\[\[|«[A-Z]|&lt;|goes here|XXXX|null|None|undefined|NaN")
-_HINTS = "{ < $ % *| @@ __ # [ « &lt; XXXX null None undefined NaN".split() + ["goes here"]
-# Substrings of which every error wording has one.
-_ERROR_HINTS = (
-    "http|err|#|fehler|found|gone|forbidden|bad gateway|gateway timeout|unavailable|unauthorized|too many|n't |cannot|could not|leads nowhere|nothing to see|deleted|denied|permission|authori|wrong|unexpected|capacity|maintenance|timed out"
-    "|expired|try again|reload|log in|exception|trace|out of memory|query failed|no answer|upstream|start page|spelling|administrator|incident id|not exist|handler|script|js|browser|enable|loading...|if nothing|gefunden|abgelaufen|versuchen"
-    "|vorgangsnummer|startseite|verschoben|zugriff|aktivieren|wartung|introuvable|session|réessay|déplacé|accès|activer|accueil|retour|numéro|référence|encontrada|encuentra|caducado|intent|inicio|movido|acceso|active|habilite|referencia|número"
-    "|見つかりません|参照番号|サーバー|エラー|有効にして|もう一度|しばらく|トップページ|アクセス"
-).split("|")
-_BREAK = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|\*{3,}|\{\s*\"error\"\s*:[^\n]{0,40}?\"message\"\s*:\s*\"|\"\s*\}|[\r\n\x0b\x0c\u2028\u2029]+|\s\|\s|(?<=[.!?…。])\s+|(?<=。)", re.I)
-_ID = re.compile(r"\b(?=\w*\d)[0-9a-f]{4}-\d+\b", re.I)
-_DIGITS = re.compile(r"\d+")
-_WORDS = re.compile(r"[^\W\d_]+")
-_MARKS = " \t\xa0\u3000\ufeff#>*-"
-_QUOTES = "\"'`“”„"
-
-
-class Unit:
-    """A sentence, line or fragment of a text; ``masked`` has numbers and identifiers replaced."""
-
-    def __init__(self, text: str):
-        self.text = text
-        masked = text.lower()
-        if _DIGITS.search(masked):
-            masked = _DIGITS.sub("#", _ID.sub("#", masked) if "-" in masked else masked)
-        self.masked = masked if masked.isascii() and "  " not in masked and "\t" not in masked else " ".join(masked.split())
-
-    @cached_property
-    def words(self) -> list[str]:
-        return _WORDS.findall(self.masked)
-
-
-def pieces(text: str) -> Iterator[str]:
-    """The text's sentences, lines and fragments, without markup, list and heading marks, one by one."""
-    start = 0
-    for m in _BREAK.finditer(text):
-        if piece := text[start : m.start()].strip(_MARKS):
-            yield piece
-        start = m.end()
-    if piece := text[start:].strip(_MARKS):
-        yield piece
-
-
-def units(text: str) -> Iterator[Unit]:
-    return map(Unit, pieces(text))
-
-
-Frame = tuple[str, str, str]
+SEEDS = ("lorem", "ipsum", "dolor", "amet")
+# What is left where a value is missing and no variable name is: blanks, formats, null values.
+DEFAULTS = r"_{3,}|\bX{4,}\b|%s|\bnull\b|\bNone\b|\bundefined\b|\bNaN\b|\[object Object\]|\{\d\}"
+# Elements of the markup language, whose tags end a line.
+_TAG = r"</?(?:html|head|title|body|main|div|span|p|h[1-6]|br|hr|a|b|i|em|strong|ul|ol|li|noscript|script|style|pre|code|table|tr|td|th|img|section|article|center)\b[^<>]{0,80}>"
+_JSON = r"\{\s*\"\w+\"\s*:|\"\s*[,:]\s*\"|\"\s*\}"
+_QUOTE = "[\"'`“”„]"
+_SYMBOL = r"[^\w\s.,;:!?'\"…。“”„`|/\\+=&~-]"
+_OPEN, _CLOSE = rf"(?<!\w)(?:&lt;|__|\*\||{_SYMBOL}{{1,3}}=?)", rf"(?:&gt;|__|\|\*|{_SYMBOL}{{1,3}})(?!\w)"
+_INNER = r"[^\W\d_][\w.-]{0,40}?(?: {1,2}[\w.-]{1,40}?){0,5}?"
+_SPAN = rf"{_OPEN} ?{_INNER} ?{_CLOSE}"
+_CHARACTER = "[぀-ヿ㐀-鿿]"  # of scripts without blanks between words
+_WORD = r"[^\W_぀-ヿ㐀-鿿]+(?:['’-][^\W_぀-ヿ㐀-鿿]+)*"
+_TOKEN = re.compile(rf"{_TAG}|{_QUOTE}?(?:{DEFAULTS}){_QUOTE}?|{_QUOTE}?{_SPAN}{_QUOTE}?|{_JSON}|[.!?…。]+(?=\s|$)|。|[\r\n\x0b\x0c  ]+|\s\|\s|{_CHARACTER}|{_WORD}")
+_LEFT_OUT = re.compile(rf"{_QUOTE}?(?:{DEFAULTS}){_QUOTE}?")
+_VARIABLE = re.compile(rf"({_QUOTE}?)({_OPEN}) ?({_INNER}) ?({_CLOSE})({_QUOTE}?)")
+_PLAIN = re.compile(rf"{_CHARACTER}|{_WORD}")
+_BETWEEN = re.compile(r"[\W_]+")
+_DIGIT = re.compile(r"\d")
+#: What every variable or default has in it, to pass over texts without any.
+_HINT = re.compile(r"[{}<>\[\]()$%@#«»*]|__|&lt;|XXXX|null|None|undefined|NaN")
+_MIRROR = str.maketrans("{}<>[]()«»", "}{><][)(»«")
+
+STOP, WORD, NUMBER, SPAN, DEFAULT, NAME, NAMES = range(7)
+_KIND, _NO_KIND = np.uint64(7), ~np.uint64(7)
+_GOLDEN, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Masks of a name and of a filling.
+_A_NAME, _A_FILLING = np.uint64(8), np.uint64(16)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser; wraps around."""
+    h = (h ^ (h >> np.uint64(30))) * _MIX_A
+    h = (h ^ (h >> np.uint64(27))) * _MIX_B
+    return h ^ (h >> np.uint64(31))
+
+
+def _hash(text: str) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(text) & ~7
 
-@dataclass
-class Filling:
-    """A placeholder or default, with the words before it and after it; ``setting`` is the hash of the masked text."""
-
-    notation: str
-    value: str
-    left: Frame
-    right: Frame
-    quoted: bool
-    setting: int
-
-
-def fillings(text: str) -> Iterator[Filling]:
-    """Every placeholder or default of a text with its frames."""
-    if not _hinted(text):
-        return
-    masks: list[str] = ["^", "^"]
-    found: list[tuple[int, str, str, bool]] = []
-    for m in _TOKEN.finditer(text):
-        raw = m.group()
-        if m.lastgroup == "stop":
-            masks.append("^")
-        elif m.lastgroup == "word":
-            masks.append(_mask(raw, masks[-1] == "^"))
-        else:
-            notation = next(n for n in (*NOTATIONS, *DEFAULTS) if m.group(n) is not None)
-            a, b = m.start(), m.end()
-            quoted = (a > 0 and text[a - 1] in _QUOTES) or (b < len(text) and text[b] in _QUOTES)
-            found.append((len(masks), raw, notation, quoted))
-            masks.append("<>")
-    masks += ["^", "^"]
-    setting = _code(" ".join(masks)) if found else 0
-    for i, raw, notation, quoted in found:
-        yield Filling(notation, raw, ("left", masks[i - 2], masks[i - 1]), ("right", masks[i + 1], masks[i + 2]), quoted, setting)
-
-
-def _mask(word: str, first: bool) -> str:
-    if word[0].isdigit():
-        return "#"
-    return "Aa" if word[0].isupper() and not first else word.lower()
-
-
-Frames = dict[str, set[tuple[str, str]]]
-
-
-def ordinary(text: str, left: Frames, right: Frames, seen: Counter) -> None:
-    """Count the text for those of the frames that it fills with ordinary words; frames are given by their word next to the filling."""
-    masks = ["^", "^"]
-    if _hinted(text):
-        for m in _TOKEN.finditer(text):
-            masks.append("^" if m.lastgroup == "stop" else _mask(m.group(), masks[-1] == "^") if m.lastgroup == "word" else "<>")
-    else:
-        for w in _PLAIN.findall(text):
-            c = w[0]
-            if c.isalpha():
-                masks.append(w.lower() if c.islower() or masks[-1] == "^" else "Aa" if c.isupper() else w)
-            else:
-                masks.append("#" if c.isdigit() else "^")
-    masks += ["^", "^"]
-    here = set()
-    for i, (b, x, c) in enumerate(zip(masks[1:], masks[2:], masks[3:])):
-        if b in left and (frame := (masks[i], b)) in left[b] and x not in ("^", "<>"):
-            here.add(("left", *frame))
-        if c in right and i + 4 < len(masks) and (frame := (c, masks[i + 4])) in right[c] and x not in ("^", "<>"):
-            here.add(("right", *frame))
-    seen.update(here)
 
+def variable(token: str) -> tuple[str, list[str], str, bool] | None:
+    """(opening, words of the name, closing, whether quoted) of a token whose closing mirrors its opening."""
+    m = _VARIABLE.fullmatch(token)
+    if m is None:
+        return None
+    before, opening, inner, closing, after = m.groups()
+    mirrored = opening.replace("&lt;", "&gt;") if "&" in opening else opening[::-1].translate(_MIRROR)
+    return (opening, [w for w in _BETWEEN.split(inner.lower()) if w], closing, bool(before or after)) if closing in mirrored else None
 
-def _hinted(text: str) -> bool:
-    return any(h in text for h in _HINTS) and _HINT.search(text) is not None
 
+class _Codes(dict):
+    """Codes of tokens, 61 bits of hash and 3 of kind, remembered up to a bound."""
 
-def _error_wording(masked: str) -> bool:
-    return any(h in masked for h in _ERROR_HINTS) and ERROR.search(masked) is not None
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        if _PLAIN.fullmatch(token) and not _LEFT_OUT.fullmatch(token):
+            if _DIGIT.search(token):
+                code = _hash("#") | NUMBER
+            else:
+                code = _hash(token.lower()) | (NAME if len(token) > 1 and token.istitle() else WORD)
+        elif _LEFT_OUT.fullmatch(token):
+            code = _hash(token) | DEFAULT
+        elif _VARIABLE.fullmatch(token):
+            code = _hash(token) | SPAN
+        else:
+            code = STOP
+        self[token] = code
+        return code
 
 
-def _code(masked: str) -> int:
-    import xxhash
+def word_code(word: str) -> int:
+    """The code of a word in lower case, as a signed number."""
+    return int(np.uint64(_hash(word) | WORD).view(np.int64))
 
-    return xxhash.xxh64_intdigest(masked) - (1 << 63)
 
+@dataclass
+class Layout:
+    """Tokens of several texts one after another, two stops around each.
+
+    ``code``, ``chars``, ``text`` and ``unit`` are by token; units are what stands between stops.  The others are by
+    ``at``, the tokens that begin a merged one: names that follow one another are one token there.
+    """
+
+    code: np.ndarray
+    chars: np.ndarray
+    text: np.ndarray
+    unit: np.ndarray
+    at: np.ndarray
+    kind: np.ndarray
+    context: np.ndarray
+    filling: np.ndarray
+    plain: np.ndarray
+
+    def _around(self, *offsets: int, seed: int) -> np.ndarray:
+        n, h = len(self.at), np.full(len(self.at), np.uint64(seed))
+        for o in offsets:
+            shifted = np.zeros(n, dtype=np.uint64)
+            a, b = max(0, -o), min(n, n - o)
+            shifted[a:b] = self.context[a + o : b + o]
+            h = _mix(_mix(h) ^ shifted)
+        return h.view(np.int64)
+
+    def holes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(which merged tokens are words in a surrounding with a plain word, their holes)."""
+        n = np.zeros(len(self.at), dtype=bool)
+        for o in (-2, -1, 1):
+            n |= np.roll(self.plain, -o)
+        ok = n & ((self.kind == WORD) | (self.kind == NAME) | (self.kind == NAMES))
+        return ok, self._around(-2, -1, 1, seed=1)
+
+    def left(self) -> np.ndarray:
+        return self._around(-2, -1, seed=2)
+
+    def right(self) -> np.ndarray:
+        return self._around(1, 2, seed=3)
+
+    def words(self) -> np.ndarray:
+        """Codes by token, titles as plain words."""
+        return np.where((self.code & _KIND) == NAME, (self.code & _NO_KIND) | np.uint64(WORD), self.code)
+
+    def triples(self) -> np.ndarray:
+        w = self.words()
+        return _mix(_mix(_mix(np.roll(w, 1) + _GOLDEN) ^ w) ^ np.roll(w, -1)).view(np.int64)
+
+
+def layout(texts, codes: _Codes, tokens: list[list[str]] | None = None) -> Layout:
+    """Lay out texts; ``tokens`` receives the tokens of each."""
+    flat, chars, counts = [], [], []
+    for text in texts:
+        found = _TOKEN.findall(text)
+        if tokens is not None:
+            tokens.append(found)
+        flat += (0, 0)
+        flat += [codes[t] for t in found]
+        flat += (0, 0)
+        chars += (0, 0)
+        chars += map(len, found)
+        chars += (0, 0)
+        counts.append(len(found) + 4)
+    code = np.array(flat, dtype=np.uint64)
+    kinds = (code & _KIND).astype(np.int8)
+    stop = kinds == STOP
+    name = kinds == NAME
+    starts = np.ones(len(code), dtype=bool)
+    starts[1:] = ~(name[1:] & name[:-1])
+    at = np.flatnonzero(starts)
+    merged = code[at]
+    if len(at):
+        size = np.diff(np.append(at, len(code)))
+        run = size > 1
+        if run.any():
+            merged = np.where(run, (np.add.reduceat(_mix(code), at) & _NO_KIND) | np.uint64(NAMES), merged)
+    kind = (merged & _KIND).astype(np.int8)
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = kind[:-1] == STOP
+    lower = (merged & _NO_KIND) | np.uint64(WORD)
+    context = merged.copy()
+    context[kind == NAME] = np.where(first, lower, _A_NAME)[kind == NAME]
+    context[kind == NAMES] = _A_NAME
+    context[(kind == SPAN) | (kind == DEFAULT)] = _A_FILLING
+    return Layout(
+        code, np.where(stop, 0, np.array(chars, dtype=np.int64)), np.repeat(np.arange(len(counts)), counts), np.cumsum(stop),
+        at, kind, context, np.where(kind == NAME, lower, merged).view(np.int64), (kind == WORD) | ((kind == NAME) & first),
+    )
+
+
+def _strips(batch: pd.DataFrame):
+    """A batch in pieces of at most ``STRIP_CHARS`` characters, or one text."""
+    begin = size = 0
+    for i, n in enumerate(batch["text"].str.len()):
+        if size and size + n > STRIP_CHARS:
+            yield batch.iloc[begin:i]
+            begin, size = i, 0
+        size += n
+    if begin < len(batch):
+        yield batch.iloc[begin:]
+
+
+_SPANS = "kind string, c1 long, c2 long, place int, name string, notation string, whole boolean, quoted boolean, setting long, l long, r long, code long"
+
+
+def _spans(batches):
+    """Variables in all readings, defaults, and words of sentences with two seed words."""
+    codes, columns = _Codes(), [c.split()[0] for c in _SPANS.split(", ")]
+    for batch in batches:
+        out: list[tuple] = []
+        for c1, c2, text in zip(batch["c1"], batch["c2"], batch["text"]):
+            low = text.lower()
+            if any(s in low for s in SEEDS):
+                for sentence in re.split(r"[.!?…。]+(?=\s|$)|[\r\n]+", low):
+                    words = set(re.findall(r"[^\W\d_]+", sentence))
+                    if len(words.intersection(SEEDS)) >= 2:
+                        out += [("word", c1, c2, 0, w, "", True, False, 0, 0, 0, word_code(w)) for w in words]
+            if not _HINT.search(text):
+                continue
+            tokens: list[list[str]] = []
+            page = layout([text], codes, tokens)
+            places = np.flatnonzero((page.kind == SPAN) | (page.kind == DEFAULT))
+            if not len(places):
+                continue
+            left, right = page.left(), page.right()
+            setting = int(_mix(page.context + _GOLDEN * np.arange(len(page.context), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+            for p in places.tolist():
+                token, where = tokens[0][int(page.at[p]) - 2], (setting, int(left[p]), int(right[p]), 0)
+                if page.kind[p] == DEFAULT:
+                    quoted = token[0] in "\"'`“”„" or token[-1] in "\"'`“”„"
+                    out.append(("default", c1, c2, p, "", token.strip("\"'`“”„")[:8], True, quoted, *where))
+                elif (v := variable(token)) is not None:
+                    opening, words, closing, quoted = v
+                    for i in range(len(words)):
+                        for j in range(i + 1, min(i + 4, len(words) + 1)):
+                            notation = " ".join([opening, *words[:i], "…", *words[j:], closing])
+                            out.append(("variable", c1, c2, p, " ".join(words[i:j]), notation, j - i == len(words), quoted, *where))
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _variables(spans: DataFrame) -> DataFrame:
+    """(c1, c2, place, notation, quoted, setting, l, r, token): the variables and defaults among all bracketed spans.
+
+    A name counts as one of a variable with three notations, a notation with three such names; a name not known takes part
+    if its notation holds known names in at least half of its texts.
+    """
+    read = spans.filter("kind = 'variable'")
+    whole = read.filter("whole")
+    known = whole.groupBy("name").agg(F.count_distinct("notation").alias("n")).filter("n >= 3").select("name", F.lit(True).alias("known"))
+    told = read.join(known, "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    notations = told.groupBy("notation").agg(
+        F.count_distinct(F.when(F.col("known"), F.col("name"))).alias("names"),
+        F.sum(F.when(F.col("known"), 1).otherwise(0)).alias("held"),
+        F.count(F.lit(1)).alias("all"),
+    )
+    kept = told.join(notations.filter("names >= 3"), "notation").filter("known OR (whole AND 2 * held >= all)")
+    one = kept.groupBy("c1", "c2", "place").agg(F.min(F.struct("notation", "quoted", "setting", "l", "r")).alias("v"))
+    variables = one.select("c1", "c2", "place", "v.*", F.lit(True).alias("variable"))
+    defaults = spans.filter("kind = 'default'").select("c1", "c2", "place", "notation", "quoted", "setting", "l", "r", F.lit(False).alias("variable"))
+    return variables.unionByName(defaults)
+
+
+def _filter(codes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit per remainder of the codes: a bound of 2**bits, whatever their number."""
+    at = F.pmod("code", F.lit(1 << bits)) + 1
+    rows = codes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        begin = (r.bucket - 1) * 4096
+        out[begin : begin + len(part)] |= part[: max(0, len(out) - begin)]
+    return out
+
+
+def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes & ((len(bits) << 3) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _among(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    if not len(sorted_codes):
+        return np.zeros(len(codes), dtype=bool)
+    return sorted_codes[np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)] == codes
+
+
+def _sorted_codes(rows: DataFrame) -> np.ndarray:
+    """At most ``MOST_BROADCAST`` codes, counted before."""
+    chunks = rows.toArrow()["code"].chunks
+    return np.sort(np.concatenate([np.empty(0, np.int64), *[c.to_numpy() for c in chunks]]))
+
+
+def _surroundings(texts: DataFrame, wanted) -> DataFrame:
+    """(code, open, filled): holes that are open slots, and in how many texts wanted surroundings have ordinary words or wanted words occur."""
+
+    def count(batches):
+        codes, bits = _Codes(), wanted.value
+        for batch in batches:
+            for strip in _strips(batch):
+                page = layout(strip["text"], codes)
+                ok, holes = page.holes()
+                keys, fills = [holes[ok]], [page.filling[ok]]
+                filled = np.flatnonzero((page.kind == WORD) | (page.kind == NUMBER) | (page.kind == NAME) | (page.kind == NAMES))
+                owner = page.text[page.at]
+                for surrounding, where in ((page.left(), filled), (page.right(), filled), (page.words().view(np.int64)[page.at], filled)):
+                    where = where[_passes(bits, surrounding[where])]
+                    once = np.unique(np.stack([owner[where], surrounding[where]]), axis=1)
+                    keys.append(once[1])
+                    fills.append(np.zeros(once.shape[1], dtype=np.int64))
+                key, fill = np.concatenate(keys), np.concatenate(fills)
+                _, first, n = np.unique(_mix(key.view(np.uint64)) ^ fill.view(np.uint64), return_index=True, return_counts=True)
+                yield pd.DataFrame({"code": key[first], "fill": fill[first], "n": n})
+
+    by_fill = texts.mapInPandas(count, "code long, fill long, n long").groupBy("code", "fill").agg(F.sum("n").alias("n"))
+    word = F.col("fill") != 0
+    by_hole = by_fill.groupBy("code").agg(
+        F.count(F.when(word, 1)).alias("fills"), F.sum(F.when(word, F.col("n"))).alias("seen"),
+        F.count(F.when(word & (F.col("n") == 1), 1)).alias("once"), F.sum(F.when(~word, F.col("n"))).alias("filled"),
+    )
+    slot = (F.col("fills") > 12) | ((F.col("seen") >= 5) & (2 * F.col("once") >= F.col("seen")))
+    return by_hole.select("code", slot.alias("open"), "filled").filter("open OR filled IS NOT NULL")
+
+
+def _left_over(variables: DataFrame, filled: DataFrame) -> DataFrame:
+    """(c1, c2) of texts that retain a variable or default in a slot."""
+    sides = variables.select("*", F.explode(F.array("l", "r")).alias("code"))
+    placed = sides.groupBy("code").agg(F.count_distinct("c1", "c2").alias("placed"), F.count_distinct("notation").alias("notations"), (F.min("setting") < F.max("setting")).alias("varied"))
+    judged = placed.join(filled, "code", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+    told = judged.select(
+        "code",
+        ((F.col("notations") >= 2) | (F.col("filled") >= F.greatest(F.col("placed"), F.lit(1)))).alias("weak"),
+        ((F.col("notations") >= 2) | (F.col("filled") >= F.greatest(F.col("placed"), F.lit(3)))).alias("strong"),
+        ((F.col("notations") == 1) & F.col("varied") & (F.col("filled") < F.col("placed"))).alias("literal"),
+    )
+    slot = F.when(F.col("variable"), F.col("weak")).otherwise(F.col("strong"))
+    by_place = sides.filter("NOT quoted").join(told, "code").groupBy("c1", "c2", "place").agg(F.max(slot).alias("slot"), F.max("literal").alias("literal"))
+    return by_place.filter("slot AND NOT literal").select("c1", "c2").distinct()
+
+
+_PAGES = "c1 long, c2 long, total long, pseudo long, closed long, triples array<long>, chars array<int>"
+
+
+def _pages(texts: DataFrame, holes: DataFrame, latin) -> DataFrame:
+    """Texts of which at least a third fills no open slot: their pseudo-text, and the triples of words of the other closed units."""
+    spark = texts.sparkSession
+    few = holes.count() <= MOST_BROADCAST
+    known = spark.sparkContext.broadcast(_sorted_codes(holes) if few else None)
+
+    def positions(batches):
+        codes = _Codes()
+        for batch in batches:
+            for strip in _strips(batch):
+                page = layout(strip["text"], codes)
+                ok, around = page.holes()
+                owner = page.text[page.at][ok]
+                yield pd.DataFrame({"c1": strip["c1"].to_numpy()[owner], "c2": strip["c2"].to_numpy()[owner], "unit": _in_text(page)[page.at][ok], "code": around[ok]})
+
+    def closed(batches):
+        codes = _Codes()
+        for batch in batches:
+            for strip in _strips(batch):
+                page = layout(strip["text"], codes)
+                n_units = int(page.unit[-1]) + 1
+                if known.value is not None:
+                    ok, around = page.holes()
+                    is_open = np.bincount(page.unit[page.at][ok], weights=_among(known.value, around[ok]), minlength=n_units) > 0
+                else:
+                    begins = np.searchsorted(page.text, np.arange(len(strip)))
+                    is_open = np.zeros(n_units, dtype=bool)
+                    for base, units in zip(page.unit[begins].tolist(), strip["opened"]):
+                        if units is not None and len(units):
+                            is_open[base + np.asarray(units, dtype=np.int64)] = True
+                word = (page.code & _KIND) != STOP
+                plain = page.words().view(np.int64)
+                size = np.bincount(page.unit, weights=word, minlength=n_units)
+                pseudo = (size >= 2) & (np.bincount(page.unit, weights=_among(latin.value, plain), minlength=n_units) >= 0.6 * size)
+                shut = word & ~is_open[page.unit] & ~pseudo[page.unit]
+                total, hidden, left = (np.bincount(page.text, weights=page.chars * w, minlength=len(strip)).astype(np.int64) for w in (word, word & pseudo[page.unit], shut))
+                triples = page.triples()
+                ends = np.searchsorted(page.text, np.arange(len(strip) + 1))
+                out = []
+                for i in np.flatnonzero((total > 0) & (3 * (hidden + left) >= total)).tolist():
+                    here = slice(ends[i], ends[i + 1])
+                    mine = shut[here]
+                    # Runs of closed tokens stay apart: a zero stands for all that lies between two.
+                    out.append((strip["c1"].iloc[i], strip["c2"].iloc[i], int(total[i]), int(hidden[i]), int(left[i]), np.where(mine, triples[here], 0), np.where(mine, page.chars[here], 0).astype(np.int32)))
+                yield pd.DataFrame(out, columns=["c1", "c2", "total", "pseudo", "closed", "triples", "chars"])
+
+    if few:
+        return texts.mapInPandas(closed, _PAGES)
+    opened = texts.mapInPandas(positions, "c1 long, c2 long, unit long, code long").join(holes, "code", "left_semi")
+    by_text = opened.groupBy("c1", "c2").agg(F.collect_set("unit").alias("opened"))
+    return texts.join(by_text, ["c1", "c2"], "left").mapInPandas(closed, _PAGES)
+
+
+def _in_text(page: Layout) -> np.ndarray:
+    """Units numbered from 0 within each text."""
+    return page.unit - page.unit[np.searchsorted(page.text, page.text)]
+
+
+def _templates(pages: DataFrame, least: int) -> DataFrame:
+    """(c1, c2, total, pseudo, closed, covered): ``covered`` characters are of words in a triple that at least ``least`` texts have in closed units."""
+    own = pages.select("c1", "c2", F.explode(F.array_distinct("triples")).alias("code")).filter("code != 0")
+    again = cut(own.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("code"))
+    if again.count() <= MOST_BROADCAST:
+        again = F.broadcast(again)
+    repeated = own.join(again, "code", "left_semi").groupBy("c1", "c2").agg(F.collect_list("code").alias("again"))
+
+    def cover(batches):
+        for batch in batches:
+            covered = []
+            for triples, chars, known in zip(batch["triples"], batch["chars"], batch["again"]):
+                hit = _among(np.sort(np.asarray(known, dtype=np.int64)), np.asarray(triples)) if known is not None and len(known) else np.zeros(len(triples), bool)
+                near = hit.copy()
+                near[1:] |= hit[:-1]
+                near[:-1] |= hit[1:]
+                covered.append(int(np.asarray(chars)[near].sum()))
+            yield batch[["c1", "c2", "total", "pseudo", "closed"]].assign(covered=covered)
 
-def _tell(counts: Counter) -> pd.DataFrame:
-    """Counter of (kind, first, second, detail, code, setting)."""
-    out = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "one", "two", "detail", "code", "setting", "n"])
-    return out.astype({"code": "int64", "setting": "int64", "n": "int64"})
+    return pages.join(repeated, ["c1", "c2"], "left").mapInPandas(cover, "c1 long, c2 long, total long, pseudo long, closed long, covered long")
 
 
-_TOLD = "kind string, one string, two string, detail string, code long, setting long, n long"
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), text).alias("c1"), F.xxhash64(F.lit(2), text).alias("c2")]
 
 
-def _added(told: DataFrame) -> DataFrame:
-    """Sums of what the tasks tell; ``varied``: whether in several settings."""
-    return told.groupBy("kind", "one", "two", "detail", "code").agg(F.sum("n").alias("n"), (F.min("setting") < F.max("setting")).alias("varied"))
+def residue(df: DataFrame, key: str, text: str, least_texts: int = 3, least_filler: float = 0.45) -> DataFrame:
+    """(key, reason): the documents with residue in place of content, one row per input row.
 
+    ``reason`` is ``placeholder``, ``filler`` (pseudo-text, or template for at least ``least_filler`` of the characters of its
+    words) or ``error page`` (at least nine tenths fill no open slot, and a third of it is template).  A triple of words is
+    template if at least ``least_texts`` different texts have it outside open slots.  Null and empty texts, and texts
+    without a word, are no case.  Null keys pass through and repeated rows come out repeatedly; an empty table gives an
+    empty result; other columns are ignored, whatever their names.  Evidence needs a corpus: in a table of few texts little is
+    residue.
 
-def _first_pass(batches):
-    """Counts of placeholder notations by frame, of units, and of words in seeded units."""
-    for batch in batches:
-        seen: Counter = Counter()
-        for text in batch["text"]:
-            if not text:
-                continue
-            seen.update({(*frame, f.notation, 0, f.setting) for f in fillings(text) for frame in (f.left, f.right)})
-            low = text.lower()
-            seeded = any(s in low for s in SEEDS)
-            alone, pseudo = set(), set()
-            for piece in pieces(text):
-                u = Unit(piece)
-                alone.add((_code(u.masked), len(u.masked.split())))
-                if seeded and len(SEEDS.intersection(u.words)) >= 2:
-                    pseudo.update(u.words)
-            seen.update(("word", w, "", "", 0, 0) for w in pseudo)
-            seen.update(("unit", str(n), "", "", c, 0) for c, n in alone)
-        yield _tell(seen)
-
-
-class Codes:
-    """A set of unit hashes as a sorted array."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(codes)
-
-    def __contains__(self, code: int) -> bool:
-        at = int(np.searchsorted(self.codes, code))
-        return at < len(self.codes) and int(self.codes[at]) == code
-
-
-class Evidence:
-    """What the corpus says about frames, units and words."""
-
-    def __init__(self, rows=(), codes=(), lengths=()):
-        self.notations: dict[Frame, set[str]] = defaultdict(set)
-        self.placed: Counter = Counter()
-        self.varied: set[Frame] = set()
-        self.filled: Counter = Counter()
-        self.alone: set[int] | Codes = set(map(int, codes)) if len(codes) <= MOST_ENTRIES else Codes(codes)
-        self.lengths: set[int] = set(lengths)
-        self.latin: set[str] = set(SEEDS)
-        for kind, one, two, detail, code, n, varied in rows:
-            if kind == "word":
-                self.latin.add(one)
-            elif detail:
-                self.notations[kind, one, two].add(detail)
-                self.placed[kind, one, two] += n
-                if varied:
-                    self.varied.add((kind, one, two))
-            else:
-                self.filled[kind, one, two] += n
-
-    def slot(self, frame: Frame) -> bool:
-        return len(self.notations.get(frame, ())) >= 2 or self.filled[frame] >= max(3, self.placed[frame])
-
-    def open_question(self, frame: Frame) -> bool:
-        """Whether the ordinary fillings of a frame can decide anything: one notation, and that in several settings or a default."""
-        held = self.notations[frame]
-        return len(held) == 1 and (frame in self.varied or not held <= NOTATIONS.keys())
-
-    def literal(self, frame: Frame) -> bool:
-        """Whether most texts with the frame hold the one notation; copies and records of one template are no several texts."""
-        return len(self.notations.get(frame, ())) == 1 and frame in self.varied and self.filled[frame] < self.placed[frame]
-
-
-def left_over(text: str, e: Evidence) -> str | None:
-    """The first placeholder or default left in a slot."""
-    for f in fillings(text):
-        if f.quoted:
-            continue
-        if e.literal(f.left) or e.literal(f.right):
-            continue
-        if f.notation in NOTATIONS or e.slot(f.left) or e.slot(f.right):
-            return f.value
-    return None
-
-
-def filler_share(text: str, e: Evidence) -> float:
-    """Share of the characters that is pseudo-text or stock filler."""
-    low = text.lower()
-    if not (any(h in low for h in _FILLER_HINTS) and FILLER.search(low)) and not any(s in low for s in SEEDS):
-        return 0.0
-    total = filler = 0
-    for u in units(text):
-        total += len(u.text)
-        pseudo = u.words and sum(w in e.latin for w in u.words) >= 0.6 * len(u.words)
-        if pseudo or (FILLER.search(u.masked) and (len(u.words) <= 24 or _strange(u, e)[0] <= 0.3 * len(u.words))):
-            filler += len(u.text)
-    return filler / total if total else 0.0
-
-
-def _strange(u: Unit, e: Evidence) -> tuple[int, int]:
-    """(words, names) of a unit that neither error nor filler wording nor units that stand alone elsewhere account for.
-
-    Stand-alone units are laid over the words so that the fewest stay bare.
-    """
-    words = u.masked.split()
-    if _code(u.masked) in e.alone:
-        return 0, 0
-    plain = u.text.split()
-    said = [False] * len(words)
-    ends, at = [], 0
-    for w in words:
-        ends.append((at, at + len(w)))
-        at += len(w) + 1
-    for pattern in (ERROR, FILLER):
-        for m in pattern.finditer(u.masked):
-            for i, (a, b) in enumerate(ends):
-                said[i] = said[i] or (a < m.end() and m.start() < b)
-    lengths = sorted(n for n in e.lengths if n >= 2)
-    best: list[tuple[int, int, list]] = [(0, -1, [])] + [(10**9, -1, [])] * len(words)
-    for i in range(len(words)):
-        step = best[i][0] + (not said[i])
-        if step < best[i + 1][0]:
-            best[i + 1] = (step, i, [] if said[i] else [i])
-        for n in lengths:
-            if (j := i + n) > len(words):
-                break
-            if best[i][0] < best[j][0] and _code(" ".join(words[i:j])) in e.alone:
-                best[j] = (best[i][0], i, [])
-    bare, at = [], len(words)
-    while at > 0:
-        bare += best[at][2]
-        at = best[at][1]
-    names = sum(i > 0 and plain[i][0].isupper() and not plain[i].isupper() for i in bare if i < len(plain)) if len(plain) == len(words) else len(bare)
-    return sum(any(c.isalpha() for c in words[i]) for i in bare), names
-
-
-def error_page(text: str, e: Evidence) -> bool:
-    """Whether a page consists of error or notice wording and of units that stand alone elsewhere."""
-    said, unsaid = False, []
-    for u in units(text):
-        wording = _error_wording(u.masked)
-        said |= wording
-        if _code(u.masked) in e.alone:
-            continue
-        if not wording:
-            if len(u.words) > 12:  # a sentence of its own
-                return False
-            unsaid.append(u)
-            continue
-        bare, names = _strange(u, e)
-        if bare and not (names <= 1 and (len(u.words) <= 24 or bare <= 0.3 * len(u.words))):
-            return False
-    return said and not any(_strange(u, e)[0] for u in unsaid)
-
-
-def residue(df: DataFrame, key: str, text: str, least_alone: int = 4, least_filler: float = 0.4) -> DataFrame:
-    """(key, reason, evidence): the documents with residue in place of content, one row per input row.
-
-    ``reason`` is ``placeholder`` (evidence: the first one), ``filler`` (its share of the characters) or ``error page``.
-    A unit stands alone if at least ``least_alone`` documents have it word for word; ``least_filler`` is the least share
-    of filler.  Null and empty texts, and texts without a word, are no case.  Null keys pass through and repeated rows
-    come out repeatedly; an empty table gives an empty result; other columns are ignored, whatever their names.
-
-    Two passes count over the distinct texts, combined per batch before the shuffle; a third judges each document.
+    Texts are made distinct; counts are combined per strip of texts before they are shuffled.  Surroundings of variables are counted
+    behind a filter of fixed size and joined.  Open holes and repeated triples go to all tasks up to ``MOST_BROADCAST`` of
+    them, beyond that they are joined, with the same result.  Words learned for pseudo-text are a vocabulary of 8 bytes a word.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
-    texts = cut(docs.select("text").filter("text != ''").distinct())
-    counted = _added(texts.mapInPandas(_first_pass, _TOLD))
-    telling = F.col("kind").isin("left", "right") | ((F.col("kind") == "unit") & (F.col("n") >= least_alone)) | ((F.col("kind") == "word") & (F.col("n") >= 2))
-    kept = cut(counted.filter(telling))
-    found = [tuple(r) for r in kept.filter("kind != 'unit'").collect()]
-    alone = kept.filter("kind = 'unit'").select("code", F.col("one").cast("int").alias("length"))
-    lengths = [r["length"] for r in alone.select("length").distinct().collect()]
-    codes = pa.concat_arrays([pa.array([], "int64"), *alone.select("code").toArrow()["code"].chunks]).to_numpy()
-    placed, left, right = Evidence(r for r in found if r[0] in ("left", "right")), defaultdict(set), defaultdict(set)
-    for frame in filter(placed.open_question, list(placed.notations)):
-        if frame[0] == "left":
-            left[frame[2]].add(frame[1:])
-        else:
-            right[frame[1]].add(frame[1:])
-    in_seeded = {r[1]: r[5] for r in found if r[0] == "word"}
-    asked = spark.sparkContext.broadcast((dict(left), dict(right), set(in_seeded)))
-
-    def second_pass(batches):
-        left, right, words = asked.value
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch["text"]:
-                if text:
-                    ordinary(text, left, right, seen)
-            out = Counter({(*frame, "", 0, 0): n for frame, n in seen.items()})
-            for text in batch["text"]:
-                if text and words:
-                    out.update(("word", w, "", "", 0, 0) for w in words.intersection(_WORDS.findall(text.lower())))
-            yield _tell(out)
-
-    again = [tuple(r) for r in _added(texts.mapInPandas(second_pass, _TOLD)).collect()]
-    filled = [r for r in again if r[0] != "word"]
-    latin = [r for r in again if r[0] == "word" and in_seeded[r[1]] >= 0.4 * r[5]]
-    facts = spark.sparkContext.broadcast(([*filled, *latin, *(r for r in found if r[0] != "word")], codes, lengths))
-
-    def judge(batches):
-        e = Evidence(*facts.value)
-        for batch in batches:
-            out = []
-            for k, text in zip(batch["k"], batch["text"]):
-                if not text or not _WORDS.search(text):
-                    continue
-                if (value := left_over(text, e)) is not None:
-                    out.append((k, "placeholder", value))
-                elif (share := filler_share(text, e)) >= least_filler:
-                    out.append((k, "filler", f"{share:.2f}"))
-                elif error_page(text, e):
-                    out.append((k, "error page", None))
-            yield pd.DataFrame(out, columns=["k", "reason", "evidence"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return docs.mapInPandas(judge, f"k {kind}, reason string, evidence string").withColumnRenamed("k", key)
+    t = F.col(f"`{text}`")
+    docs = df.select(F.col(f"`{key}`").alias("k"), t.alias("text")).filter("text != ''")
+    texts = cut(docs.select(*_keys(F.col("text")), "text").dropDuplicates(["c1", "c2"]))
+    spans = cut(texts.mapInPandas(_spans, _SPANS))
+    variables = cut(_variables(spans))
+    seeded = spans.filter("kind = 'word'").groupBy("code").agg(F.count_distinct("c1", "c2").alias("seeded")).filter("seeded >= 2")
+    asked = variables.select(F.explode(F.array("l", "r")).alias("code")).unionByName(seeded.select("code"))
+    wanted = spark.sparkContext.broadcast(_filter(asked))
+    around = cut(_surroundings(texts, wanted))
+    filled = around.filter("filled IS NOT NULL").select("code", "filled")
+    placeholders = _left_over(variables, filled)
+
+    latin = spark.sparkContext.broadcast(_sorted_codes(seeded.join(filled, "code").filter("seeded >= 0.4 * filled").select("code")))
+    pages = cut(_pages(texts, around.filter("open").select("code"), latin))
+    judged = _templates(pages, least_texts)
+    whole = (F.col("closed") + F.col("pseudo") >= 0.9 * F.col("total")) & (F.col("covered") >= 0.3 * F.col("total"))
+    pseudo = F.col("pseudo") >= least_filler * F.col("total")
+    filler = F.col("pseudo") + F.col("covered") >= least_filler * F.col("total")
+    reason = F.when(pseudo, "filler").when(whole, "error page").when(filler, "filler")
+    found = judged.select("c1", "c2", reason.alias("reason")).filter("reason IS NOT NULL")
+    verdicts = cut(placeholders.withColumn("reason", F.lit("placeholder")).unionByName(found).groupBy("c1", "c2").agg(F.max("reason").alias("reason")))
+    if verdicts.count() <= MOST_BROADCAST // 8:
+        verdicts = F.broadcast(verdicts)
+    keyed = docs.select("k", *_keys(F.col("text")))
+    return keyed.join(verdicts, ["c1", "c2"]).select(F.col("k").alias(key), "reason")

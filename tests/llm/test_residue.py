@@ -1,97 +1,133 @@
-from quarry.llm.residue import Evidence, error_page, filler_share, fillings, residue
-
-PLACES = ["Norby", "Tarwick", "Velmoor", "Jorstead", "Elmgard"]
-
-
-def records():
-    real = [(i, f"Hi Ann,\n\nResidents of {PLACES[i % 5]} asked whether the mill {i} had been closed. We met in {PLACES[(i + 2) % 5]} on Friday.") for i in range(40)]
-    cases = {
-        100: "Residents of [Name] asked whether the mill 3 had been closed. We met in Norby on Friday.",
-        101: "Residents of {{ city }} asked whether the mill 4 had been closed.",
-        102: "Dear %FIRST_NAME%, thank you for writing to ${company} about <<TBD>>.",
-        103: "Dear <first name>, thank you for writing to @@company@@ about [enter subject].",
-        104: "Residents of undefined asked whether the mill 9 had been closed.",
-        110: "Lorem ipsum dolor amet, porsit feugia ipsum velora. Ipsum dolor lorem amet velora porsit.",
-        111: "Sample text goes here. Replace this paragraph with your own words.",
-        112: "We met in Norby on Friday.\n\nThis is a placeholder paragraph. Nothing here is final copy. Add your heading.",
-        120: "Home | About | Contact\nError 404\n\nPage not found.",
-        121: "<html><body><h1>503 Service Unavailable</h1></body></html>",
-        122: "Please enable JavaScript to continue using this page.",
-        123: '{"error": true, "message": "Internal Server Error"}',
-    }
-    quiet = {
-        200: 'The guide of Ann explains that "{{city}}" in a template is swapped for the value.',
-        201: "The 503 errors during the move came from a full disk, Ann Kordley wrote in the review of Project Blue Loom.",
-        202: "Page not found was the most common complaint in the May survey that Ivo Marnell ran.",
-        203: "Ann Ostley lectured on why printers once used lorem ipsum, and showed a specimen from Norby.",
-        204: "The column city is null for 3 rows and undefined in the old export, Ann found.",
-        205: 'Config used by Ann: {"first_name": 4, "retries": 3} and it worked.',
-        206: "Long report about the mill in Norby and its new owner, told by Ann Kordley over four evenings.\nThis site requires JavaScript.",
-        207: "", 208: None, 209: " \n\t",
-    }
-    return real, cases, quiet
-
-
-def test_cases_and_look_alikes(spark):
-    real, cases, quiet = records()
-    home = [(300 + i, f"Home | About | Contact\nPlace {PLACES[i % 5]} is nice in May, said Ann number {i} of Norby.") for i in range(6)]
-    rows = [*real, *home, *cases.items(), *quiet.items(), (100, cases[100]), (None, cases[111])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, reason string")
-    got = residue(df, "doc_id", "text").collect()
-    assert {r.doc_id for r in got} == {None, *cases}
-    assert sum(r.doc_id == 100 for r in got) == 2
+import random
+import time
+
+import pytest
+
+from quarry.llm import residue as module
+from quarry.llm.residue import _Codes, _spans, layout, residue, variable
+
+PLACES = [a + b for a in ("Nor", "Tar", "Vel", "Jor", "Elm", "Gos") for b in ("by", "wick", "moor", "stead", "gard")]
+NOUNS = [a + b for a in ("mill", "barn", "kiln", "dock", "shed") for b in ("", "s", "ery", "yard", "side", "land")]
+NAMES = "first name,city,company,order ref,due date,phone".split(",")
+NOTATIONS = ["{{%s}}", "{{ %s }}", "%%%s%%", "<%s>", "[%s]", "${%s}", "@@%s@@", "__%s__", "*|%s|*", "<%%= %s %%>", "&lt;%s&gt;", "[enter %s]", "(%s goes here)"]
+FORMS = ["Dear %s, thank you for writing to %s about %s.", "The %s for %s was moved to %s.", "To: %s\nSubject: %s\n\nWe confirm %s as agreed."]
+ERRORS = ["Error {n}", "Page not found.", "The {w} you asked for may have been deleted.", "Please try again in {n} minutes.", "Your session has expired.", "This {w} needs scripts to be shown."]
+FURNITURE = ["Home | About | Contact", "Skip to main content", "All rights reserved."]
+STOCK = ["Replace this paragraph with your own words.", "Nothing in here is final copy yet.", "More headings will be added at this place."]
+
+
+def real(rng):
+    return rng.choice(
+        [
+            f"Residents of {rng.choice(PLACES)} asked whether the {rng.choice(NOUNS)} had been closed.",
+            f"We met in {rng.choice(PLACES)} about the {rng.choice(NOUNS)} and the {rng.choice(NOUNS)} on Friday.",
+            f"Officials near {rng.choice(PLACES)} counted {rng.randrange(9000)} crates before the {rng.choice(NOUNS)} opened.",
+        ]
+    )
+
+
+def a_variable(rng):
+    name = rng.choice(NAMES)
+    notation = rng.choice(NOTATIONS)
+    return notation % (name if " " in notation.replace(" %s", "").replace("%s ", "") or notation[0] in "<[&" else name.replace(" ", "_"))
+
+
+def corpus(seed=3):
+    """(rows, ids of cases, ids of look-alikes)."""
+    rng, rows, cases = random.Random(seed), {}, {}
+    for i in range(600):
+        rows[i] = " ".join(real(rng) for _ in range(rng.randrange(1, 6)))
+    for i in range(1000, 1060):
+        text = " ".join(rng.choice(FORMS) % tuple(a_variable(rng) for _ in range(3)) for _ in range(rng.randrange(1, 3)))
+        rows[i], cases[i] = text, "placeholder"
+    for i in range(1100, 1130):
+        rows[i], cases[i] = f"{real(rng)} Residents of {a_variable(rng)} asked whether the {rng.choice(NOUNS)} had been closed.", "placeholder"
+    for i in range(1200, 1260):
+        body = "\n".join(rng.choice(ERRORS).format(n=rng.randrange(10, 99), w=rng.choice(["page", "site", "view"])) for _ in range(rng.randrange(1, 4)))
+        rows[i], cases[i] = "\n".join([rng.choice(FURNITURE)] * rng.randrange(2) + [body] + [rng.choice(FURNITURE)] * rng.randrange(2)), "error page"
+    for i in range(1300, 1330):
+        rows[i], cases[i] = f"{real(rng)}\n\n{' '.join(rng.sample(STOCK, 3))}", "filler"
+    pseudo = "lorem ipsum dolor amet velora porsit feugia rutrim sodalem pretios".split()
+    for i in range(1400, 1420):
+        rows[i], cases[i] = " ".join(" ".join(rng.choice(pseudo) for _ in range(8)).capitalize() + "." for _ in range(4)), "filler"
+    quiet = {}
+    for i in range(2000, 2010):
+        quiet[i] = f'The guide of {rng.choice(PLACES)} explains that "{{{{{rng.choice(NAMES)}}}}}" in a mail is swapped for the value.'
+    for i in range(2010, 2020):
+        quiet[i] = f"The {rng.choice(NOUNS)} form of {rng.choice(PLACES)} lists fields [city], [phone] and [company], which all worked."
+    for i in range(2020, 2030):
+        quiet[i] = f"{rng.choice(FURNITURE)}\n{real(rng)} {real(rng)}\nThis site needs scripts to be shown."
+    for i in range(2030, 2040):
+        quiet[i] = f"Ann of {rng.choice(PLACES)} told why printers used lorem ipsum for the {rng.choice(NOUNS)} in May."
+    quiet |= {2040: "", 2041: None, 2042: " \n\t", 2043: "...", 2044: 'Config: {"first_name": 4, "retries": 3} and it worked for the whole of our long summer party.'}
+    return rows | quiet, cases, quiet
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    rows, cases, quiet = corpus()
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows.items()] + [(1000, rows[1000], "y"), (None, rows[1001], "z")], "doc_id long, text string, reason string")
+    return df, cases, quiet, residue(df, "doc_id", "text").collect()
+
+
+def test_cases_are_found_without_any_list_of_wording(found):
+    _, cases, quiet, got = found
+    reasons = {r.doc_id: r.reason for r in got}
+    for reason in ("placeholder", "error page", "filler"):
+        wanted = {i for i, r in cases.items() if r == reason}
+        assert len(wanted & set(reasons)) >= 0.9 * len(wanted), reason
+    assert not set(reasons) & set(quiet)
+    assert len([i for i in reasons if i is not None and i not in cases]) <= 6  # of 600
+    assert sum(r.doc_id == 1000 for r in got) == 2 and sum(r.doc_id is None for r in got) == 1
+
+
+def test_joined_evidence_gives_the_same_result(found, monkeypatch):
+    df, _, _, got = found
+    monkeypatch.setattr(module, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(module, "STRIP_CHARS", 500)
+    assert sorted(map(str, residue(df, "doc_id", "text").collect())) == sorted(map(str, got))
+
+
+def test_a_tiny_filter_only_costs_time(found, monkeypatch):
+    df, _, _, got = found
+    whole = module._filter
+    monkeypatch.setattr(module, "_filter", lambda codes: whole(codes, 15))
+    assert sorted(map(str, residue(df, "doc_id", "text").collect())) == sorted(map(str, got))
+
+
+def test_copies_change_nothing(found, spark):
+    df, _, _, got = found
+    copies = spark.createDataFrame([(9000 + i, "Residents of Norby asked whether the mill had been closed.", "c") for i in range(400)], df.schema)
+    again = residue(df.unionByName(copies), "doc_id", "text").collect()
+    assert {r.doc_id for r in again if (r.doc_id or 0) < 9000} >= {r.doc_id for r in got} - {None}
+
+
+def test_an_empty_table_and_one_text(spark):
+    df = spark.createDataFrame([(1, "Nothing else is known here.")], "doc_id long, text string")
     assert residue(df.limit(0), "doc_id", "text").count() == 0
+    assert residue(df, "doc_id", "text").count() == 0
 
 
-def test_frames():
-    (f,) = fillings("We met in {{ city }} on Friday.")
-    assert (f.left, f.right, f.notation) == (("left", "met", "in"), ("right", "on", "Aa"), "mustache")
-    (q,) = fillings('write "{{city}}" there')
-    assert q.quoted
+def test_variables():
+    assert variable("{{ first_name }}") == ("{{", ["first", "name"], "}}", False)
+    assert variable('"{{city}}"')[3]
+    assert variable("<%= city %>")[:3] == ("<%=", ["city"], "%>")
+    assert variable("&lt;due date&gt;")[1] == ["due", "date"]
+    assert variable("*|CITY|*")[1] == ["city"]
+    assert variable("[city)") is None
 
 
-def test_very_long_text_stays_linear():
-    e = Evidence()
-    for text in ("{" * 100_000, "<a" * 50_000, "word " * 100_000, "[x" * 50_000, "." * 100_000, "_" * 100_000, "error 500 " * 3_000):
-        list(fillings(text))
-        filler_share(text, e)
-        error_page(text, e)
+def test_names_are_one_token():
+    page = layout(["Residents of Ann Mary Kordley asked Bo."], _Codes())
+    assert (page.kind == module.NAMES).sum() == 1
+    assert page.chars.sum() == len("ResidentsofAnnMaryKordleyaskedBo")
 
 
-def test_copies_and_records_of_a_template_stay_residue(spark):
-    copies = [(i, "Dear {{name}}, your parcel is on its way to the depot.") for i in range(3)]
-    records_ = [(10 + i, f"Bonjour [client], votre commande {i} pour {PLACES[i % 5]} est partie.") for i in range(30)]
-    about = [(50 + i, f"{PLACES[i]} keeps {w} in the hall. The guide explains that %s in a form is swapped for the value.".replace("%s", "{{city}}")) for i, w in enumerate(("coal", "salt", "wool"))]
-    got = residue(spark.createDataFrame([*copies, *records_, *about], "doc_id long, text string"), "doc_id", "text").collect()
-    assert {r.doc_id for r in got} == {i for i, _ in copies + records_}
+def test_very_long_texts_stay_linear(spark):
+    import pandas as pd
 
-
-def test_a_frequent_pseudo_text_hides_no_other(spark):
-    short = [(i, f"Lorem ipsum dolor sit amet {PLACES[i % 5]} {i}.") for i in range(60)]
-    other = [(100 + i, f"Lorem ipsum porsit feugia velora. Tandris morvel feugia porsit quelum velora {i}.") for i in range(5)]
-    learned = [(200 + i, f"Ipsum dolor tandris morvel quelum feugia porsit velora {i}.") for i in range(5)]
-    got = residue(spark.createDataFrame([*short, *other, *learned], "doc_id long, text string"), "doc_id", "text").collect()
-    assert {100 + i for i in range(5)} <= {r.doc_id for r in got if r.reason == "filler"}
-
-
-def test_long_sentences_of_error_pages_are_learned(spark):
-    stock = "If you are the system administrator of this resource then you should check the server records for details."
-    pages = [(i, f"Error {500 + i}\n\n{stock}" + "\nError 500" * i) for i in range(5)]
-    real = [(10, "Error 500\n\nThe long report on the mill in Norby tells how its owner came to the town and built a school.")]
-    got = residue(spark.createDataFrame([*pages, *real], "doc_id long, text string"), "doc_id", "text").collect()
-    assert {r.doc_id for r in got if r.reason == "error page"} == set(range(5))
-
-
-def test_no_evidence_is_dropped_beyond_the_bound(spark, monkeypatch):
-    import numpy as np
-
-    from quarry.llm import residue as module
-
-    monkeypatch.setattr(module, "MOST_ENTRIES", 1)
-    stock = "The gardener of this place has been told and will see to it as soon as the day allows for it."
-    pages = [(i, f"Error {500 + i}\n\n{stock}" + "\nError 500" * i) for i in range(5)]
-    common = [(100 + i, f"Nice day\n\nPlace {'x' * i} was open.") for i in range(20)]
-    got = residue(spark.createDataFrame([*pages, *common], "doc_id long, text string"), "doc_id", "text").collect()
-    assert {r.doc_id for r in got} == set(range(5))
-    alone = Evidence((), np.array([9, 5, -3])).alone
-    assert isinstance(alone, module.Codes) and 5 in alone and -3 in alone and 6 not in alone and 10 not in alone
+    for text in ("{" * 100_000, "<a" * 50_000, "word " * 100_000, "[x" * 50_000, "." * 100_000, "_" * 100_000, "error 500 " * 3_000, "( " * 50_000, "a" * 200_000, "[a b c d " * 20_000):
+        began = time.perf_counter()
+        layout([text], _Codes())
+        list(_spans([pd.DataFrame({"c1": [1], "c2": [2], "text": [text]})]))
+        assert time.perf_counter() - began < 5, text[:10]
