@@ -85,7 +85,10 @@ def _known(spark, targets: list[Target]) -> DataFrame:
 
 
 def solve(counts: DataFrame, targets: dict[str, Target], tolerance: float = 1e-7, most_steps: int = 60) -> dict[str, Target]:
-    """Lambdas for ``counts`` (source, s, n): n documents of size s.  A source that can't reach its target gets its cap."""
+    """Lambdas for ``counts`` (source, s, n): n documents of size s.  A source that can't reach its target gets its cap.
+
+    Raises if a source that can reach its target hasn't after ``most_steps``.
+    """
     spark = counts.sparkSession
     sums = counts.groupBy(F.col("source").isNotNull().alias("known"), "source").agg(F.sum(F.col("s") * F.col("n")).alias("size"), F.sum("n").alias("docs"))
     totals = sums.filter("known").agg(F.sum("size")).first()[0] or 0
@@ -105,6 +108,8 @@ def solve(counts: DataFrame, targets: dict[str, Target], tolerance: float = 1e-7
         used = F.col("s") * F.col("n") * F.col("r")
         for r in at.groupBy("source").agg(F.sum(used).alias("size"), F.sum(used * free).alias("slope")).collect():
             targets[r.source].step(r.size, r.slope, tolerance)
+    if left := [t.source for t in targets.values() if not t.done]:
+        raise RuntimeError(f"no solution in {most_steps} steps for the sources {left[:5]}")
     return targets
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenisation pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are encoded in stretches of at most this many characters, cut between words, so that
-#: the pattern's look-ahead never runs over an unbounded text.
+#: Texts are encoded in stretches of about this many characters.
 STRETCH = 50_000
+#: A letter or digit before something else: the pattern ends a match there, whatever stands before and after.
+_END = re.compile(r"[^\W_](?=[\W_])")
 
 
 @lru_cache(maxsize=4)
@@ -28,17 +30,15 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
-    """The whole text in pieces of at most ``most`` characters, cut before a blank where there is one."""
+def stretches(text: str, least: int = STRETCH) -> Iterator[str]:
+    """The whole text in pieces of at least ``least`` characters that end where a match of the pattern ends.
+
+    So the pieces have the tokens of the uncut text; a text without such an end stays whole.
+    """
     start = 0
-    while len(text) - start > most:
-        at = text.rfind(" ", start + 1, start + most)
-        # A cut inside a run of blanks would change how the run is split.
-        while at > start and text[at - 1].isspace():
-            at -= 1
-        at = at if at > start else start + most
-        yield text[start:at]
-        start = at
+    while len(text) - start > least and (end := _END.search(text, start + least)):
+        yield text[start : end.end()]
+        start = end.end()
     yield text[start:]
 
 

@@ -54,3 +54,14 @@ def test_bad_targets(spark):
     _, df = documents(spark, 50)
     with pytest.raises(ValueError):
         mix(df, "id", "source", "size", spark.createDataFrame([("big", 0.5, 1), ("big", 0.5, 2)], TARGETS))
+
+
+def test_an_unsolved_source_is_an_error(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm import mixing
+
+    _, df = documents(spark, 50)
+    counts = df.filter("source IS NOT NULL AND size > 0").groupBy("source", F.col("size").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    with pytest.raises(RuntimeError):
+        mixing.solve(counts, {"big": mixing.Target("big", 0.3, 3)}, most_steps=1)
