@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items packed together by one task: 16 bytes each, and enough that a group's few unfinished
-#: containers don't count.
-GROUP_ITEMS = 200_000
+from quarry.session import cut
+
+#: Items packed together by one task.
+GROUP_ITEMS = 20_000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,37 +64,57 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, group_items: int = G
     room.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
 
     Items are spread over ``ceil(n / group_items)`` groups by a hash of the key and packed in hash
-    order within a group, so the result doesn't depend on the input's partitioning.  Only keys and
-    sizes move.  Containers are numbered ``group * 2**40 + number``.
+    order within a group, so the result doesn't depend on the input's partitioning.  What lies in a
+    group's unfinished containers is packed again, together with that of the other groups, in groups
+    of as many items, as long as that takes a fiftieth of the items or less away from the round before; so
+    only the last round's containers stay unfinished.  Only keys and sizes move.  Containers are
+    numbered ``round * 2**56 + group * 2**32 + number``.
     """
     k, s = F.col(f"`{key}`"), F.col(f"`{size}`").cast("long")
     kind = df.schema[key].dataType.simpleString()
-    items = df.select(k.alias("k"), s.alias("s")).filter("k IS NOT NULL AND s > 0").groupBy("k").agg(F.max("s").alias("s"))
-    # An upper bound of the number of items is enough, and counting rows needs no sizes.
-    groups = max(1, -(-df.select(k).count() // group_items))
+    items = cut(df.select(k.alias("k"), s.alias("s")).filter("k IS NOT NULL AND s > 0").groupBy("k").agg(F.max("s").alias("s")))
+    left, at, packed = items.select("k", F.lit(0).cast("long").alias("begin"), "s"), 0, None
+    n = items.count()
+    while packed is None or left is not None:
+        groups = max(1, -(-n // group_items))
+        placed = cut(_round(left, kind, capacity, groups, at))
+        open_ = placed.filter("fill < container_size")
+        n_open = open_.count() if groups > 1 else 0
+        again = groups > 1 and 2 * n_open <= n
+        done = placed.filter("fill = container_size") if again else placed
+        packed = done if packed is None else packed.unionByName(done)
+        left = open_.groupBy("k", "piece").agg(F.min("size_start").alias("begin"), F.min(F.col("size_end") - F.col("size_start")).alias("s")).select("k", "begin", "s") if again else None
+        n, at = n_open, at + 1
+    return packed.select(F.col("k").alias(key), "piece", "size_start", "size_end", "container", "container_start")
+
+
+def _round(items: DataFrame, kind: str, capacity: int, groups: int, at: int) -> DataFrame:
+    """Pack items (k, begin, s), of which ``begin`` lies in containers already; with the fill of each container."""
 
     def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "k"], ignore_index=True)
-        g, total = int(pdf["g"].iloc[0]), pdf["s"].to_numpy(dtype=np.int64)
+        g, total, begin = int(pdf["g"].iloc[0]), pdf["s"].to_numpy(dtype=np.int64), pdf["begin"].to_numpy(dtype=np.int64)
         full, rest = np.divmod(total, capacity)
-        at = np.flatnonzero(rest)
-        bins, levels = sum_of_squares(rest[at], capacity)
+        some = np.flatnonzero(rest)
+        bins, levels = sum_of_squares(rest[some], capacity)
         made = int(bins.max()) + 1 if len(bins) else 0
+        fills = np.bincount(bins, weights=rest[some], minlength=made).astype(np.int64)
         who = np.repeat(np.arange(len(total)), full)
         piece = np.arange(len(who)) - np.repeat(np.cumsum(full) - full, full)
-        rows = np.concatenate([at, who])
-        start = np.concatenate([full[at] * capacity, piece * capacity])
+        rows = np.concatenate([some, who])
+        start = begin[rows] + np.concatenate([full[some], piece]) * capacity
         return pd.DataFrame(
             {
                 "k": pdf["k"].to_numpy()[rows],
-                "piece": np.concatenate([full[at], piece]).astype("int32"),
+                "piece": (start // capacity).astype("int32"),
                 "size_start": start,
-                "size_end": np.concatenate([total[at], (piece + 1) * capacity]),
-                "container": (g << 40) + np.concatenate([bins, made + np.arange(len(who))]),
+                "size_end": start + np.concatenate([rest[some], np.full(len(who), capacity)]),
+                "container": (at << 56) + (g << 32) + np.concatenate([bins, made + np.arange(len(who))]),
                 "container_start": np.concatenate([levels, np.zeros(len(who), dtype=np.int64)]),
+                "fill": np.concatenate([fills[bins], np.full(len(who), capacity)]),
+                "container_size": capacity,
             }
         )
 
-    packed = items.withColumn("h", F.xxhash64("k")).withColumn("g", F.pmod(F.col("h"), F.lit(groups))).groupBy("g")
-    out = packed.applyInPandas(one_group, f"k {kind}, piece int, size_start long, size_end long, container long, container_start long")
-    return out.withColumnRenamed("k", key)
+    spread = items.withColumn("h", F.xxhash64("k", F.lit(at))).withColumn("g", F.pmod(F.col("h"), F.lit(groups))).repartition(groups, "g").groupBy("g")
+    return spread.applyInPandas(one_group, f"k {kind}, piece int, size_start long, size_end long, container long, container_start long, fill long, container_size long")

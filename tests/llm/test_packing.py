@@ -78,3 +78,10 @@ def test_tokens(spark):
         assert n_tokens(run) > 0
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "id long, text string")
     assert {r.id: r.n for r in sized(df, "text", "n").collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_unfinished_containers_are_packed_again(spark):
+    rnd = random.Random(8)
+    sizes = {i: rnd.randrange(1, 90) for i in range(6000)}
+    df = spark.createDataFrame(list(sizes.items()), "id long, n long")
+    assert check(pack(df, "id", "n", 256, group_items=500).collect(), 256, sizes) > 0.985
