@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.components import components
+from quarry.operators.prefix import prefix_sum
 from quarry.session import cut
 
 #: A variant that more rows than this share is cut into pieces of about this size.
 BUCKET_ROWS = 50_000
-#: Share of the texts on which such variants are recognised, and the most of them that are.
-HOT_SAMPLE, MOST_HOT = 64, 10_000
+#: Share of the texts on which such variants are recognised, and how many of them are broadcast; more are joined.
+HOT_SAMPLE, FEW_HOT = 64, 1_000_000
 #: Up to so many keys are broadcast to fetch texts; more are joined by shuffling.
 FEW_KEYS = 50_000
 _WORD = re.compile(r"[^\W_]+")
@@ -42,13 +43,20 @@ class Signature:
     """``segments`` segments of ``width`` positions over shingles of ``words`` words; ``similarity`` is the least of a link.
 
     With 16 segments of 4, signatures that agree in 33 of 64 positions are found for certain; a pair at
-    similarity 0.6 is missed with probability 3e-5, one at 0.8 with 1e-12.
+    similarity 0.6 is missed with probability 3e-5, one at 0.8 with 1e-12.  ``bits`` is what a position keeps of
+    its min-hash: with 1 it is a single bit, and positions agree by chance in half the cases.
+
+    ``deviations`` is how far below its expectation the agreement of two sketches may lie before a pair is dropped
+    unverified: at 4.4 standard deviations a pair at the least similarity is lost with probability 6e-6, a fifth of what
+    the signatures lose.  Without (None) every pair whose sizes allow it is verified on its texts.
     """
 
     words: int = 5
     similarity: float = 0.8
     segments: int = 16
     width: int = 4
+    bits: int = 32
+    deviations: float | None = 4.4
     seed: int = 11
 
 
@@ -105,7 +113,7 @@ class _Signer:
 
     def __init__(self, s: Signature):
         rng = np.random.default_rng(s.seed)
-        self.shape, self.n = (s.segments, s.width), s.segments * s.width
+        self.shape, self.n, self.kept = (s.segments, s.width), s.segments * s.width, np.uint64((1 << s.bits) - 1)
         self.odd = rng.integers(0, 1 << 63, (2, self.n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(0, 1 << 63, (2, *self.shape), dtype=np.uint64)
 
@@ -119,7 +127,7 @@ class _Signer:
             h *= self.odd[1, p]
             h >>= np.uint64(32)
             least[:, p] = np.minimum.reduceat(h, starts)
-        term = _mix(least.reshape(-1, *self.shape) + self.salt[0])
+        term = _mix((least & self.kept).reshape(-1, *self.shape) + self.salt[0])
         # A segment's hash is the sum of its terms; leaving one out is the wildcard, named by the salt.
         wild = term.sum(axis=2, dtype=np.uint64)[:, :, None] - term + self.salt[1]
         places = np.arange(min(64, self.n), dtype=np.uint64)
@@ -156,7 +164,7 @@ def hot_variants(classes: DataFrame) -> DataFrame:
     """(v, anchor, pieces): variants that too many texts share, recognised on a sample; decides balance only."""
     sampled = classes.filter(F.pmod(F.xxhash64("c1", "c2"), F.lit(HOT_SAMPLE)) == 0).select("c1", F.explode("variants").alias("v"))
     counted = sampled.groupBy("v").agg(F.min("c1").alias("anchor"), (F.count(F.lit(1)) * HOT_SAMPLE).alias("rows"))
-    hot = counted.filter(F.col("rows") > BUCKET_ROWS).orderBy(F.col("rows").desc(), "v").limit(MOST_HOT)
+    hot = counted.filter(F.col("rows") > BUCKET_ROWS)
     return hot.select("v", "anchor", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("pieces"))
 
 
@@ -167,10 +175,11 @@ def shared_variants(contents: DataFrame) -> tuple[DataFrame, bool]:
     """
     rows = contents.select(F.col("c1").alias("n"), F.explode("variants").alias("v"))
     hot = cut(hot_variants(contents))
-    cut_up = not hot.isEmpty()
+    n_hot = hot.count()
+    cut_up = n_hot > 0
     if cut_up:
         piece = F.coalesce(F.pmod(F.xxhash64("n"), F.col("pieces")), F.lit(0)).cast("int")
-        rows = rows.join(F.broadcast(hot), "v", "left").select("v", "n", "anchor", piece.alias("piece"))
+        rows = rows.join(F.broadcast(hot) if n_hot <= FEW_HOT else hot, "v", "left").select("v", "n", "anchor", piece.alias("piece"))
     else:
         rows = rows.select("v", "n", F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("piece"))
     bucket = Window.partitionBy("v", "piece").orderBy("n")
@@ -178,18 +187,38 @@ def shared_variants(contents: DataFrame) -> tuple[DataFrame, bool]:
     return cut(placed.filter("last IS NOT NULL OR next IS NOT NULL OR anchor IS NOT NULL").drop("last", "next")), cut_up
 
 
+def _across(buckets: DataFrame, low: int, high: int, cut_up: bool) -> DataFrame:
+    """(n, m): rows of (v, n, g) that are ``low`` to ``high`` apart in the order of their bucket and in different groups.
+
+    Where buckets were cut into pieces, none is gathered: rows are numbered by blocked prefix sums, and each meets the rows of
+    its own stretch of ``high`` numbers and of the stretch before.
+    """
+    if not cut_up:
+        further = Window.partitionBy("v").orderBy("n").rowsBetween(-high, -low)
+        others = buckets.select("n", "g", F.collect_list(F.struct(F.col("n").alias("m"), F.col("g").alias("h"))).over(further).alias("others"))
+        return others.select("n", "g", F.explode("others").alias("o")).filter("g != o.h").select("n", "o.m")
+    numbered = cut(prefix_sum(buckets.select("v", "n", "g"), ["v"], ["n"], F.lit(1), "at"))
+    stretch = F.floor(F.col("at") / high)
+    here = numbered.select("v", "n", "g", "at", stretch.alias("stretch"))
+    back = numbered.select("v", F.col("n").alias("m"), F.col("g").alias("h"), F.col("at").alias("from"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    apart = F.col("at") - F.col("from")
+    return here.join(back, ["v", "stretch"]).filter((apart >= low) & (apart <= high) & (F.col("g") != F.col("h"))).select("n", "m")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("m IS NOT NULL AND m != n").select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
 
 
 def least_agreement(s: Signature) -> int:
-    """The fewest of 64 positions that agree in two bits, by 4.4 standard deviations, for a pair at the least similarity.
+    """The fewest of 64 positions that agree in two bits, within ``deviations``, for a pair at the least similarity.
 
     A position agrees with probability J, else by chance in one of four.
     """
+    if s.deviations is None:
+        return 0
     p = s.similarity + (1 - s.similarity) / 4
     n = min(64, s.segments * s.width)
-    return int(max(0, np.floor(n * p - 4.4 * np.sqrt(n * p * (1 - p)))))
+    return int(max(0, np.floor(n * p - s.deviations * np.sqrt(n * p * (1 - p)))))
 
 
 class _Verifier:
@@ -253,7 +282,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, time: str | None = None,
     Contents sharing a variant are first compared with the bucket's first, and grouped.  Where a bucket still holds
     several groups, all its pairs across groups are compared: at once if those of all such buckets are no more than
     the rows, else in rounds that each reach four times further along the bucket's order and leave out what has become
-    one group.  So no link of a bucket is lost, and a bucket of near copies costs as much as it has rows.
+    one group.  So every pair of a bucket is known to be in one group or was compared, and a bucket of near copies costs as much as
+    it has rows.  What is lost: pairs whose signatures share no variant, and pairs that the sketches rule out (``Signature``).
     """
     s = signature
     rows = cut(index(df, key, time, text, s))
@@ -276,10 +306,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, time: str | None = None,
         if open_pairs <= n_shared:
             high = max(high, longest)
         buckets = grouped.join(still.select("v"), "v")
-        further = Window.partitionBy("v").orderBy("n").rowsBetween(-high, -low)
-        others = buckets.select("n", "g", F.collect_list(F.struct(F.col("n").alias("m"), F.col("g").alias("h"))).over(further).alias("others"))
-        across = others.select("n", "g", F.explode("others").alias("o")).filter("g != o.h")
-        more = verify.links(_ordered(across.select("n", "o.m")))
+        more = verify.links(_ordered(_across(buckets, low, high, cut_up)))
         if not more.isEmpty():
             links = cut(links.unionByName(more).distinct())
             roots = components(links, "a", "b")

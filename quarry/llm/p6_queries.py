@@ -27,5 +27,5 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.groupBy(tenth).agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum(CAPACITY - F.col("used")).alias("unused"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill}
+QUERIES = {"p6_method": p6_packing, "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill}
 SQL: dict[str, str] = {}

@@ -25,5 +25,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).report()
 
 
-QUERIES = {"p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p7_method": p7_mix, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}

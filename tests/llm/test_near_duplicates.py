@@ -77,3 +77,21 @@ def test_components(spark):
     got = {r.node: r.root for r in components(df, "a", "b").collect()}
     assert got == {**dict.fromkeys(range(31), 0), 50: 50, 100: 50, **dict.fromkeys(range(300, 341), 300)}
     assert components(df.limit(0), "a", "b").count() == 0
+
+
+def test_every_pair_is_verified_without_a_sketch(spark):
+    texts = corpus(8, n=40)
+    df = spark.createDataFrame(list(texts.items()), "id string, body string")
+    with_all = N.near_duplicates(df, "id", "body", signature=N.Signature(words=3, similarity=0.6, deviations=None)).collect()
+    got = {}
+    for r in with_all:
+        got.setdefault(r.group_id, set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == brute_groups(texts, 3, 0.6)
+
+
+@pytest.mark.parametrize("high", [2, 7, 50])
+def test_cut_buckets_give_the_same_pairs(spark, high):
+    rows = [(v, n, n % 3) for v in range(3) for n in range(40 * (v + 1))]
+    df = spark.createDataFrame(rows, "v long, n long, g long")
+    pairs = [{tuple(sorted(r)) for r in N._across(df, 2, high, cut_up).collect()} for cut_up in (False, True)]
+    assert pairs[0] == pairs[1] and pairs[0]
