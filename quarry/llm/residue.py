@@ -36,7 +36,9 @@ MOST_BROADCAST = 4_000_000
 #: Bits of the filter that tells which surroundings are worth counting; what passes is joined exactly.
 FILTER_BITS = 26
 #: Characters of texts laid out together by a task.
-STRIP_CHARS = 4_000_000
+STRIP_CHARS = 1_000_000
+#: Surroundings and fillings a task counts together before it passes them on.
+MOST_HELD = 2_000_000
 
 # Seed words of pseudo-text.
 SEEDS = ("lorem", "ipsum", "dolor", "amet")
@@ -52,13 +54,15 @@ _INNER = r"[^\W\d_][\w.-]{0,40}?(?: {1,2}[\w.-]{1,40}?){0,5}?"
 _SPAN = rf"{_OPEN} ?{_INNER} ?{_CLOSE}"
 _CHARACTER = "[぀-ヿ㐀-鿿]"  # of scripts without blanks between words
 _WORD = r"[^\W_぀-ヿ㐀-鿿]+(?:['’-][^\W_぀-ヿ㐀-鿿]+)*"
-_TOKEN = re.compile(rf"{_TAG}|{_QUOTE}?(?:{DEFAULTS}){_QUOTE}?|{_QUOTE}?{_SPAN}{_QUOTE}?|{_JSON}|[.!?…。]+(?=\s|$)|。|[\r\n\x0b\x0c  ]+|\s\|\s|{_CHARACTER}|{_WORD}")
+_STOPS = r"[.!?…。]+(?=\s|$)|。|[\r\n\x0b\x0c\u2028\u2029]+|\s\|\s"
+_TOKEN = re.compile(rf"{_TAG}|{_QUOTE}?(?:{DEFAULTS}){_QUOTE}?|{_QUOTE}?{_SPAN}{_QUOTE}?|{_JSON}|{_STOPS}|{_CHARACTER}|{_WORD}")
+_SIMPLE = re.compile(rf"{_WORD}|{_STOPS}|{_CHARACTER}")
 _LEFT_OUT = re.compile(rf"{_QUOTE}?(?:{DEFAULTS}){_QUOTE}?")
 _VARIABLE = re.compile(rf"({_QUOTE}?)({_OPEN}) ?({_INNER}) ?({_CLOSE})({_QUOTE}?)")
 _PLAIN = re.compile(rf"{_CHARACTER}|{_WORD}")
 _BETWEEN = re.compile(r"[\W_]+")
 _DIGIT = re.compile(r"\d")
-#: What every variable or default has in it, to pass over texts without any.
+#: What every variable, default or tag has in it; texts without any have words and stops only.
 _HINT = re.compile(r"[{}<>\[\]()$%@#«»*]|__|&lt;|XXXX|null|None|undefined|NaN")
 _MIRROR = str.maketrans("{}<>[]()«»", "}{><][)(»«")
 
@@ -96,7 +100,7 @@ class _Codes(dict):
     """Codes of tokens, 61 bits of hash and 3 of kind, remembered up to a bound."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         if _PLAIN.fullmatch(token) and not _LEFT_OUT.fullmatch(token):
             if _DIGIT.search(token):
@@ -172,7 +176,7 @@ def layout(texts, codes: _Codes, tokens: list[list[str]] | None = None) -> Layou
     """Lay out texts; ``tokens`` receives the tokens of each."""
     flat, chars, counts = [], [], []
     for text in texts:
-        found = _TOKEN.findall(text)
+        found = (_TOKEN if _HINT.search(text) else _SIMPLE).findall(text)
         if tokens is not None:
             tokens.append(found)
         flat += (0, 0)
@@ -313,23 +317,38 @@ def _sorted_codes(rows: DataFrame) -> np.ndarray:
 def _surroundings(texts: DataFrame, wanted) -> DataFrame:
     """(code, open, filled): holes that are open slots, and in how many texts wanted surroundings have ordinary words or wanted words occur."""
 
+    def flushed(keys, fills):
+        key, fill = np.concatenate(keys), np.concatenate(fills)
+        both = _mix(key.view(np.uint64)) ^ fill.view(np.uint64)
+        order = np.argsort(both, kind="stable")
+        begins = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(order) else order
+        first = order[begins]
+        return pd.DataFrame({"code": key[first], "fill": fill[first], "n": np.diff(np.append(begins, len(order)))})
+
     def count(batches):
-        codes, bits = _Codes(), wanted.value
+        codes, bits, held = _Codes(), wanted.value, 0
+        keys: list[np.ndarray] = []
+        fills: list[np.ndarray] = []
         for batch in batches:
             for strip in _strips(batch):
                 page = layout(strip["text"], codes)
                 ok, holes = page.holes()
-                keys, fills = [holes[ok]], [page.filling[ok]]
+                keys.append(holes[ok])
+                fills.append(page.filling[ok])
                 filled = np.flatnonzero((page.kind == WORD) | (page.kind == NUMBER) | (page.kind == NAME) | (page.kind == NAMES))
                 owner = page.text[page.at]
-                for surrounding, where in ((page.left(), filled), (page.right(), filled), (page.words().view(np.int64)[page.at], filled)):
-                    where = where[_passes(bits, surrounding[where])]
-                    once = np.unique(np.stack([owner[where], surrounding[where]]), axis=1)
-                    keys.append(once[1])
-                    fills.append(np.zeros(once.shape[1], dtype=np.int64))
-                key, fill = np.concatenate(keys), np.concatenate(fills)
-                _, first, n = np.unique(_mix(key.view(np.uint64)) ^ fill.view(np.uint64), return_index=True, return_counts=True)
-                yield pd.DataFrame({"code": key[first], "fill": fill[first], "n": n})
+                for surrounding in (page.left(), page.right(), page.words().view(np.int64)[page.at]):
+                    where = filled[_passes(bits, surrounding[filled])]
+                    if len(where):
+                        once = np.unique(np.stack([owner[where], surrounding[where]]), axis=1)
+                        keys.append(once[1])
+                        fills.append(np.zeros(once.shape[1], dtype=np.int64))
+                held += sum(map(len, keys[-4:]))
+                if held >= MOST_HELD:
+                    yield flushed(keys, fills)
+                    keys, fills, held = [], [], 0
+        if keys:
+            yield flushed(keys, fills)
 
     by_fill = texts.mapInPandas(count, "code long, fill long, n long").groupBy("code", "fill").agg(F.sum("n").alias("n"))
     word = F.col("fill") != 0
