@@ -2,7 +2,9 @@
 
 Vectors are unit length, so the smaller the distance the larger the cosine.  A coarse quantiser is
 fitted on a bounded sample; every vector lies in the list of its nearest centroid and, as a query,
-also probes the lists whose centroids are nearly as near.  A task holds one list.  It rotates the
+also probes the lists whose centroids are nearly as near.  Lists grow in number with the collection: beyond
+what one quantiser may have, each list of a coarse one is divided by a quantiser of its own, fitted where
+the list is.  A task holds one list.  It rotates the
 vectors by one random orthogonal matrix and lays them out in column blocks; after each block the
 partial distance over the d columns read so far, scaled by D / d, is an estimate of the distance,
 and a candidate is abandoned when the hypothesis "it is nearer than the k-th found so far" is
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bounds of what the driver fits and every task receives: sampled vectors and centroids.
+from quarry.session import cut
+
+#: Bounds of what the driver, or the task of one coarse list, fits: sampled vectors and centroids.
 MOST_SAMPLED, MOST_LISTS = 32_768, 4_096
 #: Ends of the column blocks as fractions of the dimension.
 BLOCKS = (1 / 6, 1 / 3, 2 / 3, 1.0)
@@ -158,6 +162,129 @@ def scan_list(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
     return best, found
 
 
+def _nearest_lists(unit: np.ndarray, centroids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, distances), each (rows, probes), nearest first."""
+    dist = np.sqrt(np.maximum(0, 2 - 2 * (unit @ centroids.T)))
+    probes = min(most, len(centroids))
+    near = np.argpartition(dist, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(unit), 1))
+    far = np.take_along_axis(dist, near, 1)
+    order = np.argsort(far, axis=1, kind="stable")
+    return np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+
+
+def _units(row: np.ndarray, lists: np.ndarray, own: np.ndarray, ks: np.ndarray, parts: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
+    """(row, unit, is candidate, is query) of rows that go to lists, ``own`` where they lie in them too.
+
+    A list cut into p parts is p * p units, one for each pair of a part of candidates and a part of queries.
+    """
+    cuts = parts[lists]
+    at = np.repeat(np.arange(len(row)), cuts)
+    s = np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    mine = (((ks * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) & np.int64(0x7FFFFFFF))[row] % cuts)[at]
+    base, held = (first + lists[at]) << 32, own[at]
+    a, b = held, ~held | (s != mine)
+    unit = np.concatenate([(base + (mine << 16) + s)[a], (base + (s << 16) + mine)[b]])
+    candidate = np.concatenate([np.ones(a.sum(), bool), np.zeros(b.sum(), bool)])
+    query = np.concatenate([(s == mine)[a], np.ones(b.sum(), bool)])
+    return row[np.concatenate([at[a], at[b]])], unit, candidate, query
+
+
+_SPREAD = "u long, k long, cand boolean, query boolean, b binary"
+
+
+def _one_level(searched: DataFrame, dim: int, centroids: np.ndarray, parts: np.ndarray, scan: Scan) -> DataFrame:
+    fitted = searched.sparkSession.sparkContext.broadcast((centroids, parts))
+
+    def assign(batches):
+        centroids, parts = fitted.value
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                ks, vs = batch["k"].to_numpy()[a : a + 2048], batch["v"].iloc[a : a + 2048]
+                unit = unit_rows(np.concatenate(vs.to_list()), dim)
+                near, far = _nearest_lists(unit, centroids, scan.most_probes)
+                go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
+                go[:, 0] = True
+                i, p = np.nonzero(go)
+                at, no, cand, query = _units(i, near[i, p].astype(np.int64), p == 0, ks, parts, 0)
+                yield pd.DataFrame({"u": no, "k": ks[at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[at]]})
+
+    return searched.mapInPandas(assign, _SPREAD)
+
+
+def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.ndarray, n: int, scan: Scan) -> DataFrame:
+    """Lists within the lists of ``coarse``, which hold the ``share`` of the rows each.
+
+    Each coarse list's quantiser is fitted on a sample of it, of at most ``MOST_SAMPLED`` rows picked by key, with a list for
+    every ``per_list`` rows up to ``MOST_LISTS``.  A large coarse list is spread over several tasks, which all get its centroids.
+    """
+    spark = searched.sparkSession
+    expected = np.maximum(1.0, share * n)
+    lists = np.minimum(MOST_LISTS, np.maximum(1, np.ceil(expected / scan.per_list))).astype(np.int64)
+    picked = np.minimum(1.0, np.minimum(MOST_SAMPLED, 16 * lists) / expected)
+    salts = np.maximum(1, np.ceil(expected / (2 * UNIT_ROWS))).astype(np.int64)
+    known = spark.sparkContext.broadcast((coarse, lists, picked, salts, expected))
+
+    def sampled(batches):
+        coarse, _, picked, _, _ = known.value
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                ks = batch["k"].to_numpy()[a : a + 2048]
+                unit = unit_rows(np.concatenate(batch["v"].iloc[a : a + 2048].to_list()), dim)
+                own = _nearest_lists(unit, coarse, 1)[0][:, 0]
+                draw = ((ks * np.int64(0xBF58476D1CE4E5B9 - (1 << 64))) & np.int64(0x7FFFFFFF)) / float(1 << 31)
+                take = np.flatnonzero(draw < picked[own])
+                yield pd.DataFrame({"c": own[take].astype(np.int64), "b": [r.tobytes() for r in unit[take]]})
+
+    def fine(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, lists, picked, salts, _ = known.value
+        c = int(pdf["c"].iloc[0])
+        sample = np.frombuffer(b"".join(pdf["b"]), dtype=np.float32).reshape(-1, dim)
+        centroids = fit(sample, int(lists[c]), scan.seed)
+        rows = np.bincount(_nearest_lists(sample, centroids, 1)[0][:, 0], minlength=len(centroids)) / picked[c]
+        parts = np.maximum(1, np.ceil(rows / UNIT_ROWS)).astype(np.int64)
+        out = [(c, s, centroids.tobytes(), parts.tobytes()) for s in range(int(salts[c]))]
+        return pd.DataFrame(out, columns=["c", "salt", "centroids", "parts"])
+
+    def probe(batches):
+        coarse, _, _, salts, _ = known.value
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                ks = batch["k"].to_numpy()[a : a + 2048]
+                unit = unit_rows(np.concatenate(batch["v"].iloc[a : a + 2048].to_list()), dim)
+                near, far = _nearest_lists(unit, coarse, scan.most_probes)
+                go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
+                go[:, 0] = True
+                i, p = np.nonzero(go)
+                c = near[i, p].astype(np.int64)
+                salt = ((ks >> np.int64(7)) * np.int64(0x94D049BB133111EB - (1 << 64)) & np.int64(0x7FFFFFFF))[i] % salts[c]
+                yield pd.DataFrame({"c": c, "salt": salt, "k": ks[i], "own": p == 0, "d": far[i, 0], "b": [r.tobytes() for r in unit[i]]})
+
+    def divide(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"u": [], "k": [], "cand": [], "query": [], "b": []}).astype({"u": "int64", "k": "int64", "cand": bool, "query": bool})
+        unit = np.frombuffer(b"".join(rows["b"]), dtype=np.float32).reshape(-1, dim)
+        if len(fitted):
+            centroids = np.frombuffer(fitted["centroids"].iloc[0], dtype=np.float32).reshape(-1, dim)
+            parts = np.frombuffer(fitted["parts"].iloc[0], dtype=np.int64)
+        else:  # a coarse list of which nothing was sampled
+            centroids, parts = known.value[0][int(rows["c"].iloc[0])][None], np.ones(1, dtype=np.int64)
+        ks, own, d = rows["k"].to_numpy(), rows["own"].to_numpy(dtype=bool), rows["d"].to_numpy()
+        out = []
+        for a in range(0, len(rows), 2048):
+            near, far = _nearest_lists(unit[a : a + 2048], centroids, scan.most_probes)
+            mine = own[a : a + 2048]
+            go = far <= np.minimum(far[:, 0], d[a : a + 2048])[:, None] * (1 + scan.slack) + 1e-6
+            go[mine, 0] = True
+            i, p = np.nonzero(go)
+            at, no, cand, query = _units(i, near[i, p].astype(np.int64), mine[i] & (p == 0), ks[a : a + 2048], parts, int(rows["c"].iloc[0]) * MOST_LISTS)
+            out.append(pd.DataFrame({"u": no, "k": ks[a : a + 2048][at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[a : a + 2048][at]]}))
+        return pd.concat(out)
+
+    fitted = searched.mapInPandas(sampled, "c long, b binary").groupBy("c").applyInPandas(fine, "c long, salt long, centroids binary, parts binary")
+    probed = searched.mapInPandas(probe, "c long, salt long, k long, own boolean, d double, b binary")
+    return probed.groupBy("c", "salt").cogroup(fitted.groupBy("c", "salt")).applyInPandas(divide, _SPREAD)
+
+
 def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan()) -> DataFrame:
     """(key, neighbour, cosine, place): the ``scan.k`` most similar other vectors of every usable one.
 
@@ -168,15 +295,19 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan())
     With fewer than ``k`` others there are fewer rows; an empty table gives an empty result.  Other columns
     are ignored, whatever their names.
 
-    The driver holds at most ``MOST_SAMPLED`` sampled vectors to fit at most ``MOST_LISTS`` centroids; all
-    vectors are indexed and all are queries.  A list expected to exceed ``UNIT_ROWS`` (by its share of the
-    sample) is cut into blocks of candidates and of queries, each pair of which is one task's work.
+    The driver holds at most ``MOST_SAMPLED`` sampled vectors to fit at most ``MOST_LISTS`` centroids, and so does
+    each task that divides a coarse list; with ``per_list`` rows a list that makes lists for a thousand million
+    vectors, beyond which they grow.  All vectors are indexed and all are queries.  A list expected to exceed ``UNIT_ROWS``
+    (by its share of the sample) is cut into blocks of candidates and of queries, each pair of which is one task's work.
     """
     spark = df.sparkSession
     rows = usable(df, key, vector, dim)
     searched, first, keys = distinct_vectors(rows, scan.k + 1)
     n = df.count()  # with unusable rows; good enough to choose sizes by, and read from the footers
-    lists = int(min(MOST_LISTS, max(1, 2 ** np.ceil(np.log2(max(1.0, n / scan.per_list))))))
+    lists = int(max(1, 2 ** np.ceil(np.log2(max(1.0, n / scan.per_list)))))
+    deep = lists > MOST_LISTS
+    if deep:  # a coarse list for every so many lists within it
+        lists = int(min(MOST_LISTS, 2 ** np.ceil(np.log2(np.sqrt(lists)))))
     wanted = min(MOST_SAMPLED, max(1_024, 16 * lists))
     share = 1.0 if n <= wanted else wanted / n
     picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(scan.seed)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
@@ -184,39 +315,10 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan())
     sample = unit_rows(drawn, dim) if len(drawn) else np.zeros((1, dim), dtype=np.float32)
     centroids = fit(sample, lists, scan.seed)
     held = np.concatenate([np.argmax(sample[a : a + 4096] @ centroids.T, axis=1) for a in range(0, len(sample), 4096)])
-    parts = np.maximum(1, np.ceil(np.bincount(held, minlength=len(centroids)) / len(sample) * n / UNIT_ROWS)).astype(np.int64)
-    fitted = spark.sparkContext.broadcast((centroids, parts))
+    held_share = np.bincount(held, minlength=len(centroids)) / len(sample)
+    parts = np.maximum(1, np.ceil(held_share * n / UNIT_ROWS)).astype(np.int64)
     turn = spark.sparkContext.broadcast(rotation(dim, scan.seed))
 
-    def assign(batches):
-        centroids, parts = fitted.value
-        for batch in batches:
-            for a in range(0, len(batch), 2048):
-                ks, vs = batch["k"].to_numpy()[a : a + 2048], batch["v"].iloc[a : a + 2048]
-                unit = unit_rows(np.concatenate(vs.to_list()), dim)
-                dist = np.sqrt(np.maximum(0, 2 - 2 * (unit @ centroids.T)))
-                probes = min(scan.most_probes, len(centroids))
-                near = np.argpartition(dist, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(unit), 1))
-                far = np.take_along_axis(dist, near, 1)
-                order = np.argsort(far, axis=1, kind="stable")
-                near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
-                go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
-                go[:, 0] = True
-                out: list[tuple[int, int, int, int]] = []  # row, unit, is candidate, is query
-                spread = (ks * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) & np.int64(0x7FFFFFFF)
-                for i, p in zip(*np.nonzero(go)):
-                    j = near[i, p]
-                    cuts = parts[j]
-                    mine = int(spread[i] % cuts)
-                    base = int(j) << 32
-                    if p == 0:
-                        out += [(i, base + (mine << 16) + s, 1, int(s == mine)) for s in range(cuts)]
-                        out += [(i, base + (s << 16) + mine, 0, 1) for s in range(cuts) if s != mine]
-                    else:
-                        out += [(i, base + (s << 16) + mine, 0, 1) for s in range(cuts)]
-                at, unit_no, cand, query = (np.array(x) for x in zip(*out))
-                yield pd.DataFrame({"u": unit_no.astype(np.int64), "k": ks[at], "cand": cand.astype(bool), "query": query.astype(bool), "b": [r.tobytes() for r in unit[at]]})
-
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.frombuffer(b"".join(pdf["b"]), dtype=np.float32).reshape(-1, dim) @ turn.value
         ks, cand, query = pdf["k"].to_numpy(), pdf["cand"].to_numpy(), pdf["query"].to_numpy()
@@ -224,7 +326,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan())
         qi, p = np.nonzero(np.isfinite(d))
         return pd.DataFrame({"k": ks[query][qi], "o": ids[qi, p], "c": 1 - d[qi, p].astype(np.float64) / 2})
 
-    spread = searched.mapInPandas(assign, "u long, k long, cand boolean, query boolean, b binary")
+    spread = _two_levels(cut(searched), dim, centroids, held_share, n, scan) if deep else _one_level(searched, dim, centroids, parts, scan)
     partial = spread.groupBy("u").applyInPandas(search, "k long, o long, c double")
     scanned = partial.groupBy("k", "o").agg(F.max("c").alias("c"))
     # Keys beyond the k + 1 smallest of equal vectors.

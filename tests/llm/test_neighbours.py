@@ -53,3 +53,35 @@ def test_many_equal_vectors(spark):
         got.setdefault(r.id, []).append(r.neighbour)
     assert all(sorted(got[i]) == [j for j in range(4) if j != i][:3] for i in range(40))
     assert sorted(got[100]) == [0, 1, 2]
+
+
+def test_lists_within_lists(spark, monkeypatch):
+    """Beyond the bound of one quantiser lists go on growing in number, and recall holds; large lists are cut."""
+    from quarry.llm import neighbours as module
+
+    rng = np.random.default_rng(4)
+    centres = rng.random((40, 32))
+    vectors = {i: (centres[i % 40] + 0.4 * rng.random(32)).astype(np.float32) for i in range(3000)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<float>")
+    want = brute(vectors, 5)
+    monkeypatch.setattr(module, "MOST_LISTS", 16)
+    monkeypatch.setattr(module, "UNIT_ROWS", 60)
+    seen = []
+    deep = module._two_levels
+    monkeypatch.setattr(module, "_two_levels", lambda *a: seen.append(deep(*a)) or seen[-1])
+    got = {}
+    for r in module.nearest(df, "id", "v", 32, Scan(k=5, per_list=24, slack=0.3)).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert sum(len(got[i] & set(want[i])) for i in want) >= 0.95 * 5 * len(want)
+    spread = seen[0].filter("cand").selectExpr("u >> 32 AS list", "k").distinct()
+    assert spread.select("list").distinct().count() > 3 * 16
+    assert spread.count() == 3000  # each vector lies in one list
+
+
+def test_parts_of_a_list_meet_all_parts():
+    from quarry.llm.neighbours import _units
+
+    ks = np.arange(50, dtype=np.int64)
+    row, unit, cand, query = _units(np.arange(50), np.zeros(50, dtype=np.int64), np.ones(50, dtype=bool), ks, np.array([3]), 0)
+    met = {(a, b) for u in set(unit.tolist()) for a in row[(unit == u) & cand] for b in row[(unit == u) & query]}
+    assert met == {(a, b) for a in range(50) for b in range(50)}
