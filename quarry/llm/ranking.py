@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.prefix import prefix_sum
+from quarry.operators.prefix import blocked, prefix_sum, with_carry
+from quarry.session import cut
 
 
 def _comparable(score: Column) -> Column:
@@ -21,15 +22,29 @@ def _comparable(score: Column) -> Column:
 
 
 def _below(items: DataFrame, score: str, name: str) -> DataFrame:
-    """``items`` with ``name``: how many of the pool's items have a lower ``score``, null being lowest.
+    """``items`` with ``name``, how many of the pool's items have a lower ``score``, null being lowest, and ``size`` of the pool.
 
-    Counts per distinct (pool, score) are prefix-summed in blocks, so a pool of any size is spread over
-    tasks, and joined back; that join's side of counts has one row per distinct score.
+    Rows are range-partitioned by (pool, score, item), so a pool, or one score that many of its items have, is spread over
+    tasks.  Each block counts on its own; of the pools that span blocks, a table with a row per block tells how many rows
+    lie in earlier ones, and how many of these have the block's first score.
     """
-    counts = items.groupBy("pool", score).agg(F.count(F.lit(1)).alias("same"))
-    upto = prefix_sum(counts, ["pool"], [score], F.col("same"), "upto")
-    lower = upto.select(F.col("pool").alias("p"), F.col(score).alias("s"), (F.col("upto") - F.col("same")).alias(name))
-    return items.join(lower, (F.col("pool") == F.col("p")) & F.col(score).eqNullSafe(F.col("s"))).drop("p", "s")
+    cells = blocked(items.drop("size"), ["pool"], [score, "item"], "block")
+    runs = cells.groupBy("pool", "block", score).agg(F.count(F.lit(1)).alias("same"))
+    s = F.struct(F.col(score).alias("s"))  # nulls compare as lowest inside a struct
+    per = runs.groupBy("pool", "block").agg(F.sum("same").alias("n"), F.min(s).alias("first"), F.max(s).alias("last"), F.max_by("same", s).alias("tail"))
+    of_pool = Window.partitionBy("pool")
+    spanning = cut(per.withColumn("blocks", F.count(F.lit(1)).over(of_pool)).filter("blocks > 1"))
+    earlier = of_pool.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spanning.select("pool", "block", "first", F.sum("n").over(earlier).alias("before"), F.sum("n").over(of_pool).alias("total"))
+    ends = spanning.select(F.col("pool").alias("p"), F.col("block").alias("b"), "last", "tail")
+    ties = counts.join(ends, (F.col("p") == F.col("pool")) & F.col("first").eqNullSafe(F.col("last")) & (F.col("b") < F.col("block"))).groupBy("pool", "block").agg(F.sum("tail").alias("ties"))
+    carry = counts.join(ties, ["pool", "block"], "left")
+    local = Window.partitionBy("pool", "block")
+    ranked = cells.withColumn("rank", F.rank().over(local.orderBy(score))).withColumn("here", F.count(F.lit(1)).over(local))
+    joined = with_carry(ranked, carry, ["pool"], "block")
+    tied = F.when(F.struct(F.col(score).alias("s")).eqNullSafe(F.col("first")), F.coalesce("ties", F.lit(0))).otherwise(0)
+    lower = F.col("rank") - 1 + F.coalesce("before", F.lit(0)) - tied
+    return joined.withColumn(name, lower).withColumn("size", F.coalesce("total", "here")).drop("block", "rank", "here", "first", "before", "total", "ties")
 
 
 def leximin(df: DataFrame, pool: str, item: str, scores: list[str]) -> DataFrame:
@@ -46,9 +61,8 @@ def leximin(df: DataFrame, pool: str, item: str, scores: list[str]) -> DataFrame
     items = rows.filter("pool IS NOT NULL AND item IS NOT NULL").groupBy("pool", "item").agg(*[F.max(n).alias(n) for n in names])
     for n in names:
         items = _below(items, n, f"below_{n}")
-    sizes = items.groupBy("pool").agg(F.count(F.lit(1)).alias("size"))
     share = [F.col(f"below_{n}") / F.greatest(F.col("size") - 1, F.lit(1)) for n in names]
-    return items.join(sizes, "pool").select(F.col("pool").alias(pool), F.col("item").alias(item), F.array_sort(F.array(*share)).alias("standing"))
+    return items.select(F.col("pool").alias(pool), F.col("item").alias(item), F.array_sort(F.array(*share)).alias("standing"))
 
 
 def top(df: DataFrame, pool: str, item: str, scores: list[str], n: int) -> DataFrame:

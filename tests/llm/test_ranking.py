@@ -46,3 +46,14 @@ def test_neither_scale_dominates(spark):
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
     assert [r.d for r in sorted(ranking(df, "q", "d", ["a", "b"]).collect(), key=lambda r: r.place)][0] == "both"
     assert leximin(df.limit(0), "q", "d", ["a", "b"]).count() == 0
+
+
+def test_a_large_pool_with_one_frequent_score_spans_blocks(spark):
+    rnd = random.Random(9)
+    rows = [("hot", f"d{i:05}", None if rnd.random() < 0.4 else float(rnd.randrange(4)), 1.0 if rnd.random() < 0.7 else rnd.random()) for i in range(900)]
+    rows += [(f"p{i}", f"d{j}", rnd.random(), rnd.choice([None, 0.5])) for i in range(40) for j in range(3)]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
+    got = {}
+    for r in sorted(ranking(df, "q", "d", ["a", "b"]).collect(), key=lambda r: r.place):
+        got.setdefault(r.q, []).append(r.d)
+    assert got == brute(rows)
