@@ -1,7 +1,9 @@
 """The verbs over a table location: a thin layer that loads, calls operators and commits (S1, S4, H1, appendix A).
 
-A workspace is a folder of versions; ``CURRENT`` names the one in force and is replaced last, so a batch is seen
-whole or not at all.  There is one committer, the driver.
+A workspace is a folder in any store that Spark reads.  Tables are lists of Parquet folders; a commit adds folders with what
+is new and then one file that lists all folders in force, so a batch is seen whole or not at all.  Rows are
+appended, never rewritten: that a version has been superseded is a row of its own, joined when the table is read.  Erasure and
+lifecycle verbs rewrite what they touch.  There is one committer, the driver.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ import time
 import uuid
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import replace
-from pathlib import Path
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,78 +27,109 @@ from quarry.operators.filters import Filter, Json
 from quarry.operators.projections import Projection
 from quarry.operators.textindex import Okapi
 from quarry.operators.views import DEFAULT_VIEW, ReadView, edge_live
+from quarry.session import cut
 from quarry.sources import corpus
+from quarry.storage import Store
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+@dataclass(frozen=True)
+class Options:
+    """How a search runs: its view, the arms and weights beyond text and vectors, and the reranking."""
+
+    view: ReadView = DEFAULT_VIEW
+    use_graph_arm: bool = False
+    recency: bool = False
+    importance: bool = False
+    rerank_depth: int = 0
+    alpha: float = 0.3
+    scorer: Callable[[str, list[str]], list[float]] | None = None
+
+
+@dataclass(frozen=True)
+class Explanation:
+    """``hits``, a row per hit of what placed it in ``per_hit``, and the ``trace`` of the query, which holds no text."""
+
+    hits: DataFrame
+    per_hit: DataFrame
+    trace: dict
+
+
 class Engine:
     """A workspace at ``path``.  ``now`` gives the instant of reads without one; nothing in a plan reads the clock."""
 
     def __init__(self, spark: SparkSession, path: str, now: Callable[[], int] = lambda: int(time.time()), embedder: Embedder | None = None, dim: int = 384):
-        self.spark, self.path, self.now, self.embedder, self.dim = spark, Path(path), now, embedder, dim
+        self.spark, self.path, self.now, self.embedder, self.dim = spark, str(path), now, embedder, dim
+        self.store = Store(spark, self.path)
         self.counters: Counter = Counter()
         self.errors_by_code: Counter = Counter()
-        self.telemetry: Path | None = None
+        self.telemetry: Store | None = None
         self.last_query_id: str | None = None
         self.slow_threshold_ms: int | None = None
         self.profile: list[tuple[str, float]] = []
         self.dense_disabled_reason: str | None = None
-        self.path.mkdir(parents=True, exist_ok=True)
-        self.meta = json.loads((self._current() / "meta.json").read_text()) if self._current() else {"version": schema.VERSION, "commit": 0, "cursor": 0, "collections": {}, "config": {}, "registry": {}}
+        commits = [n for n in self.store.names("commits") if n.endswith(".json")]
+        fresh = {"version": schema.VERSION, "commit": 0, "cursor": 0, "collections": {}, "config": {}, "registry": {}, "tables": {}, "mean": None}
+        self.meta = json.loads(self.store.read(f"commits/{commits[-1]}")) if commits else fresh
         if self.meta["version"] > schema.VERSION:
             raise InvalidArgument(f"version {self.meta['version']} is newer than {schema.VERSION}")
 
     # -- storage
 
-    def _current(self) -> Path | None:
-        pointer = self.path / "CURRENT"
-        return self.path / pointer.read_text() if pointer.exists() else None
+    def _stored(self, name: str) -> DataFrame:
+        parts = self.meta["tables"].get(name, [])
+        if not parts:
+            return schema.empty(self.spark, name)
+        return schema.migrate(self.spark.read.schema(schema.TABLES[name]).parquet(*map(self.store.at, parts)), name, self.meta["version"])
 
     def table(self, name: str) -> DataFrame:
-        at = self._current()
-        where = at / name if at else None
-        if where is None or not where.exists():
-            return schema.empty(self.spark, name)
-        return schema.migrate(self.spark.read.schema(schema.TABLES[name]).parquet(str(where)), name, self.meta["version"])
-
-    def _commit(self, changed: dict[str, DataFrame], **meta) -> int:
-        """A new version with the changed tables; unchanged ones are carried over by reference to their folder."""
-        before, name = self._current(), f"v{self.meta['commit'] + 1:08}-{uuid.uuid4().hex[:8]}"
-        target = self.path / name
-        target.mkdir()
-        for t in schema.TABLES:
-            if t in changed:
-                schema.fitted(changed[t], t).write.parquet(str(target / t))
-            elif before is not None and (before / t).exists():
-                (target / t).symlink_to((before / t).resolve())
-        self.meta = {**self.meta, **meta, "version": schema.VERSION, "commit": self.meta["commit"] + 1}
-        (target / "meta.json").write_text(json.dumps(self.meta, sort_keys=True))
-        fresh = self.path / "CURRENT.next"
-        fresh.write_text(name)
-        fresh.replace(self.path / "CURRENT")
+        """A table in force; versions of nodes and edges with the cursor that superseded them."""
+        rows = self._stored(name)
+        if name not in schema.ENDS or not self.meta["tables"].get(schema.ENDS[name]):
+            return rows
+        ends = self._stored(schema.ENDS[name]).groupBy("write_cursor").agg(F.min("superseded_at").alias("__end"))
+        joined = rows.join(ends, "write_cursor", "left").withColumn("superseded_at", F.coalesce("__end", "superseded_at")).drop("__end")
+        return joined.select(*rows.columns)
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = f"data/{self.meta['commit'] + 1:08}-{uuid.uuid4().hex[:12]}-{name}"
+        schema.fitted(rows, name).write.parquet(self.store.at(part))
+        return part
+
+    def _commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, parts: dict[str, list[str]] | None = None, **meta) -> int:
+        """Put tables, rows, or parts that are written already in force together."""
+        tables = dict(self.meta["tables"])
+        for name, rows in (replaced or {}).items():
+            tables[name] = [self._write(name, rows)]
+            if name in schema.ENDS:  # the rows carry their ends now
+                tables[schema.ENDS[name]] = []
+        for name, rows in (appended or {}).items():
+            tables[name] = [*tables.get(name, []), self._write(name, rows)]
+        for name, more in (parts or {}).items():
+            tables[name] = [*tables.get(name, []), *more]
+        after = {**self.meta, **meta, "tables": tables, "version": schema.VERSION, "commit": self.meta["commit"] + 1}
+        self.store.write_new(f"commits/{after['commit']:012}.json", json.dumps(after, sort_keys=True))
+        self.meta = after
         self.counters["commits"] += 1
         return self.meta["cursor"]
 
     def vacuum(self) -> int:
-        """Remove the files of versions that aren't in force, so that what was erased is gone from disk; the number of folders removed."""
-        import shutil
-
-        at = self._current()
-        used = {(at / t).resolve() for t in schema.TABLES if (at / t).exists()} if at else set()
-        gone = 0
-        for v in sorted(self.path.glob("v*")):
-            if v == at:
-                continue
-            for t in v.iterdir():
-                if t.is_symlink():
-                    t.unlink()
-                elif t.resolve() not in used:
-                    shutil.rmtree(t) if t.is_dir() else t.unlink()
-                    gone += 1
-            if not any(v.iterdir()):
-                v.rmdir()
-        return gone
+        """Remove the folders and commits that aren't in force, so that what was erased is gone from disk; the number of folders removed."""
+        used = {p for parts in self.meta["tables"].values() for p in parts}
+        gone = [n for n in self.store.names("data") if f"data/{n}" not in used]
+        for n in self.store.names("commits"):
+            if n != f"{self.meta['commit']:012}.json":
+                self.store.delete(f"commits/{n}")
+        return sum(self.store.delete(f"data/{n}") for n in gone)
+
+    def compact(self) -> None:
+        """One folder per table, ends in their rows; shadows of versions that aren't current are dropped."""
+        nodes = self.table("nodes")
+        current = nodes.filter("superseded_at IS NULL").select("write_cursor")
+        shadows = {t: self.table(t).join(current, "write_cursor", "left_semi") for t in ("attributes", "vectors")}
+        self._commit({"nodes": nodes, "edges": self.table("edges"), "log": self.table("log"), "state": self._latest(self.table("state")), **shadows})
+        self.vacuum()
 
     def open_report(self) -> dict:
         return {"version": self.meta["version"], "commit": self.meta["commit"], "cursor": self.meta["cursor"], "dense_disabled": self.dense_disabled}
@@ -108,9 +140,12 @@ class Engine:
     # -- writes
 
     def write(self, nodes: list[dict] | DataFrame | None = None, edges: list[dict] | DataFrame | None = None) -> dict:
-        """Validate all, give every row a cursor in order, supersede earlier versions, commit; ``{cursor, dangling}``."""
+        """Validate all, give every row a cursor in order, supersede earlier versions, commit; ``{cursor, dangling}``.
+
+        Only what is new is written: the rows, the ends of the versions they replace, their attributes.
+        """
         self._count("write")
-        changed, cursor = {}, self.meta["cursor"]
+        batches, cursor = {}, self.meta["cursor"]
         for name, rows, problems in (("nodes", nodes, lifecycle.node_problems), ("edges", edges, lifecycle.edge_problems)):
             if rows is None:
                 continue
@@ -118,15 +153,27 @@ class Engine:
             if name == "nodes":
                 fresh = fresh.fillna({"state": "active", "row_kind": "leaf", "status": ""})
                 projections.require_scalars(fresh, self._registry())
-            fresh = lifecycle.accept(fresh, problems())
-            fresh = lifecycle.assign_cursors(fresh.drop("write_cursor"), ["__order"], cursor).drop("__order")
-            cursor = fresh.agg(F.coalesce(F.max("write_cursor"), F.lit(cursor))).first()[0]
-            changed[name] = lifecycle.supersede(self.table(name).drop("superseded_at").unionByName(fresh.drop("superseded_at"), allowMissingColumns=True)) if name == "nodes" or "logical_id" in fresh.columns else fresh
-        if "nodes" in changed and self._registry():
-            changed["attributes"] = projections.attributes(changed["nodes"].filter("superseded_at IS NULL"), self._registry())
-        new_edges = changed.get("edges")
-        dangling = 0 if new_edges is None else lifecycle.dangling_endpoints(new_edges.filter(F.col("write_cursor") > self.meta["cursor"]), changed.get("nodes", self.table("nodes"))).count()
-        return {"cursor": self._commit(changed, cursor=cursor), "dangling": dangling}
+            batches[name] = lifecycle.accept(fresh, problems())
+        parts: dict[str, list[str]] = {}
+        added = {}
+        for name, fresh in batches.items():
+            numbered = lifecycle.assign_cursors(fresh.drop("write_cursor", "superseded_at"), ["__order"], cursor).drop("__order")
+            part = self._write(name, numbered)
+            added[name] = self.spark.read.schema(schema.TABLES[name]).parquet(self.store.at(part))
+            cursor = added[name].agg(F.coalesce(F.max("write_cursor"), F.lit(cursor))).first()[0]
+            key = ["write_cursor", "logical_id"]
+            mine = added[name].filter("logical_id IS NOT NULL").select(*key)
+            before = self.table(name).filter("superseded_at IS NULL").select(*key).join(mine.select("logical_id").distinct(), "logical_id", "left_semi")
+            ended = lifecycle.supersede(before.unionByName(mine)).filter("superseded_at IS NOT NULL").select("write_cursor", "superseded_at")
+            parts[name], parts[schema.ENDS[name]] = [part], [self._write(schema.ENDS[name], ended)]
+        if "nodes" in added and self._registry():
+            parts["attributes"] = [self._write("attributes", projections.attributes(added["nodes"].filter("state = 'active'"), self._registry()))]
+        known = self.table("nodes")
+        if "nodes" in added:
+            # An id that the batch writes again is known by its newest version only.
+            known = known.join(added["nodes"].select("logical_id").distinct(), "logical_id", "left_anti").unionByName(added["nodes"])
+        dangling = lifecycle.dangling_endpoints(added["edges"], known).count() if "edges" in added else 0
+        return {"cursor": self._commit(parts=parts, cursor=cursor), "dangling": dangling}
 
     def _batch(self, rows: list[dict] | DataFrame, name: str) -> DataFrame:
         if isinstance(rows, DataFrame):
@@ -162,7 +209,7 @@ class Engine:
         """Register a collection: append_only_log or latest_state."""
         if kind not in ("append_only_log", "latest_state"):
             raise InvalidArgument(f"no such kind of collection: {kind!r}")
-        self._commit({}, collections={**self.meta["collections"], name: {"kind": kind, "schema": schema.check_schema(json_schema or {})}})
+        self._commit(collections={**self.meta["collections"], name: {"kind": kind, "schema": schema.check_schema(json_schema or {})}})
 
     def put(self, collection: str, rows: list[tuple[str, str]]) -> int:
         """Append (record_key, payload) rows; a latest-state collection keeps the last of each key."""
@@ -173,11 +220,10 @@ class Engine:
             raise WriteRejected("; ".join(bad[:5]))
         c = self.meta["cursor"]
         fresh = self.spark.createDataFrame([(c + i, collection, k, "append", b, None, c + i) for i, (k, b) in enumerate(rows, 1)], schema.LOG)
-        changed = {"log": self.table("log").unionByName(fresh)}
+        added = {"log": fresh}
         if known["kind"] == "latest_state":
-            both = self.table("state").unionByName(fresh.select("collection_name", "record_key", "payload_json", "schema_id", "write_cursor"))
-            changed["state"] = lifecycle.latest_state(both, ["collection_name", "record_key"], ["write_cursor"])
-        return self._commit(changed, cursor=c + len(rows))
+            added["state"] = fresh.select("collection_name", "record_key", "payload_json", "schema_id", "write_cursor")
+        return self._commit(appended=added, cursor=c + len(rows))
 
     def collection(self, name: str, after_id: int = 0, limit: int = 100) -> DataFrame:
         if name not in self.meta["collections"]:
@@ -185,7 +231,11 @@ class Engine:
         return reads.page(self.table("log").filter(F.col("collection_name") == name), after_id, limit)
 
     def state(self, name: str) -> DataFrame:
-        return self.table("state").filter(F.col("collection_name") == name)
+        return self._latest(self.table("state").filter(F.col("collection_name") == name))
+
+    @staticmethod
+    def _latest(rows: DataFrame) -> DataFrame:
+        return lifecycle.latest_state(rows, ["collection_name", "record_key"], ["write_cursor"])
 
     def mutations(self, after_id: int = 0, limit: int = 100) -> DataFrame:
         return reads.page(self.table("log"), after_id, limit)
@@ -212,40 +262,75 @@ class Engine:
 
     # -- search
 
-    def search(self, query: str, where: Filter = Filter(), limit: int = 10, *, view: ReadView = DEFAULT_VIEW, use_graph_arm: bool = False, recency: bool = False, importance: bool = False, rerank_depth: int = 0, alpha: float = 0.3, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
+    def search(self, query: str, where: Filter = Filter(), limit: int = 10, **options) -> DataFrame:
         """Hybrid search: text and vector arms, optionally the graph arm, fused by body, reweighted, reranked, cut.
 
-        The rows keep the rank of each arm, so they are their own explanation.
+        ``options`` are those of ``Options``.  The rows keep the rank of each arm.
         """
+        out = self._searched(query, where, limit, Options(**options))[0]
+        self._tell(query, out)
+        return out.orderBy("rank")
+
+    def search_explained(self, query: str, where: Filter = Filter(), limit: int = 10, **options) -> Explanation:
+        """The hits of ``search`` with, hit by hit, what placed them, and a trace of the query."""
+        o = Options(**options)
+        out, arms, dropped = self._searched(query, where, limit, o)
+        self._tell(query, out)
+        hits = {n: a.count() for n, a in arms.items()}
+        trace = {
+            "query_chars": len(query), "k": limit, "rerank_depth": o.rerank_depth, "pool_n": o.rerank_depth, "alpha": o.alpha, "use_graph_arm": o.use_graph_arm, "recency": o.recency,
+            "embedder_id": "" if self.embedder is None else f"{getattr(self.embedder, '__name__', 'embedder')} (dim={self.dim})", "ce_active": bool(o.rerank_depth and o.scorer is not None),
+            **{f"{n}_hits": hits.get(n, 0) for n in fusion.ARM_ORDER}, "dropped_edge_hits": dropped.count(), "missing": [n for n in arms if not hits[n]],
+        }
+        none = F.lit(None)
+        wanted = {"id": F.col("write_cursor"), "arm": F.col("branch")} | {f"{n}_rank": F.col(f"{n}_rank") if n in arms else none.cast("int") for n in fusion.ARM_ORDER}
+        ce = F.col("ce_score") if "ce_score" in out.columns else none.cast("double")
+        blended = F.coalesce("blended", "score") if "blended" in out.columns else F.col("score")
+        per_hit = out.orderBy("rank").select(*[c.alias(n) for n, c in wanted.items()], F.col("score").alias("fused_score"), ce.alias("ce_score"), blended.alias("blended"), "importance", "confidence")
+        return Explanation(out.orderBy("rank"), per_hit, trace)
+
+    def _searched(self, query: str, where: Filter, limit: int, o: Options) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
         textindex.check_limit(limit)
-        view.for_search()
+        o.view.for_search()
         now, asked = self.now(), self.spark.createDataFrame([("q", query)], "query_id string, text string")
-        seen = where.for_search(view.of(self.table("nodes"), now), self.table("attributes"))
+        seen = where.for_search(o.view.of(self.table("nodes"), now), self.table("attributes"))
         # Attributes belong to nodes, so a filter on one leaves edges out.
-        facts = self.table("edges").filter(edge_live(now) & F.col("body").isNotNull())
-        facts = facts.limit(0) if where.attributes else where.for_search(facts.withColumns({"created_at": F.lit(None).cast("long"), "status": F.lit("")}))
+        live = self.table("edges").filter(edge_live(now) & F.col("body").isNotNull()).withColumns({"created_at": F.lit(None).cast("long"), "status": F.lit("")})
+        other = replace(where, attributes={}) if where.attributes else where
+        all_facts = other.for_search(live)
+        facts = all_facts.limit(0) if where.attributes else all_facts
         rows = seen.select("write_cursor", "logical_id", "kind", "body", "source_id", "importance", F.lit(None).cast("double").alias("confidence"))
-        both = rows.unionByName(facts.select("write_cursor", "logical_id", "kind", "body", "source_id", F.lit(None).cast("double").alias("importance"), "confidence"))
-        hits = textindex.top(textindex.bm25(both, "write_cursor", F.col("body"), asked, Okapi(1.2, 0.75), every=False), textindex.MOST_RESULTS)
+        as_rows = lambda e: e.select("write_cursor", "logical_id", "kind", "body", "source_id", F.lit(None).cast("double").alias("importance"), "confidence")
+        both = rows.unionByName(as_rows(facts))
+        hits = cut(textindex.top(textindex.bm25(both, "write_cursor", F.col("body"), asked, Okapi(1.2, 0.75), every=False, stems=True), textindex.MOST_RESULTS))
+        dropped = textindex.bm25(all_facts, "write_cursor", F.col("body"), asked, every=False, stems=True) if where.attributes else hits.limit(0)
         arms = {"text": hits.join(both.withColumnRenamed("write_cursor", "doc"), "doc").withColumnRenamed("doc", "write_cursor").drop("score")}
         if self.embedder is not None and not self.dense_disabled:
-            q = self.spark.createDataFrame([("q", [float(x) for x in self.embedder([query])[0]])], "query_id string, q array<float>")
-            near = vector.knn_two_phase(self.table("vectors"), q, self.dim, max(10, limit), None, key="write_cursor").select("query_id", "write_cursor", "rank")
+            # Only vectors of rows that the filter and the view let through take part, so they fill the ten.
+            within = self.table("vectors").join(rows.select("write_cursor"), "write_cursor", "left_semi")
+            q = self.spark.createDataFrame([("q", self._centre(self.embedder([query])[0]))], "query_id string, q array<float>")
+            near = vector.knn_two_phase(within, q, self.dim, max(10, limit), None, key="write_cursor", vector="centred").select("query_id", "write_cursor", "rank")
             arms = {"vector": near.join(rows, "write_cursor"), **arms}
-        if use_graph_arm:
-            started = graph.seeds(hits.withColumnRenamed("doc", "write_cursor").select("query_id", "write_cursor"), hits.join(rows.withColumnRenamed("write_cursor", "doc"), "doc").select("query_id", "logical_id"), self.table("nodes"), self.table("edges"), now)
-            arms["graph"] = graph.graph_arm(started, self.table("nodes"), self.table("edges"), 2, now).join(rows, "logical_id")
-        fused = fusion.fuse(arms)
-        if recency:
+        if o.use_graph_arm:
+            placed = hits.withColumnRenamed("doc", "write_cursor").select("query_id", "write_cursor", "score")
+            edge_hits = textindex.top(placed.join(facts.select("write_cursor"), "write_cursor", "left_semi"), graph.SEEDS, "write_cursor")
+            node_hits = textindex.top(placed.join(rows.select("write_cursor"), "write_cursor", "left_semi"), graph.SEEDS, "write_cursor").join(rows.select("write_cursor", "logical_id"), "write_cursor")
+            started = graph.seeds(edge_hits.select("query_id", "write_cursor"), node_hits.select("query_id", "logical_id"), self.table("nodes"), self.table("edges"), now)
+            reached = graph.graph_arm(started, self.table("nodes"), self.table("edges"), 2, now)
+            arms["graph"] = reached.join(rows.drop("confidence"), "logical_id").withColumn("source_id", F.coalesce("via", "source_id")).drop("via")
+        fused = fusion.fuse(arms, weigh_confidence=o.importance)
+        if o.recency:
             fused = fusion.with_recency(fused)
-        if importance:
-            fused = fusion.with_importance(fused)
+        if o.importance:
+            fused = fused.withColumn("score", F.col("score") * F.coalesce("importance", F.lit(1.0)))
         ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.fused_order(list(arms)))))
-        if rerank_depth and scorer is not None:
-            ranked = self._rerank(ranked, query, scorer, rerank_depth, alpha)
-        out = ranked.filter(F.col("rank") <= limit).withColumn("id", fusion.identity()).drop("__arm")
-        self._tell(query, out)
-        return out.orderBy("rank")
+        if o.rerank_depth and o.scorer is not None:
+            ranked = self._rerank(ranked, query, o.scorer, o.rerank_depth, o.alpha)
+        return ranked.filter(F.col("rank") <= limit).withColumn("id", fusion.identity()).drop("__arm"), arms, dropped
+
+    def _centre(self, v: list[float]) -> list[float]:
+        """A vector less the pinned mean, if there is one."""
+        return [float(x) for x in v[: self.dim]] if self.meta["mean"] is None else [float(x) - m for x, m in zip(v, self.meta["mean"])]
 
     def _rerank(self, ranked: DataFrame, query: str, scorer, depth: int, alpha: float) -> DataFrame:
         @F.pandas_udf("double")
@@ -266,7 +351,7 @@ class Engine:
     def search_text_only(self, query: str, limit: int = 10, view: ReadView = DEFAULT_VIEW) -> DataFrame:
         asked = self.spark.createDataFrame([("q", query)], "query_id string, text string")
         rows = view.for_search().of(self.table("nodes"), self.now())
-        return textindex.top(textindex.bm25(rows, "write_cursor", F.col("body"), asked, Okapi(1.2, 0.75), every=False), limit).join(rows.withColumnRenamed("write_cursor", "doc"), "doc").orderBy("rank")
+        return textindex.top(textindex.bm25(rows, "write_cursor", F.col("body"), asked, Okapi(1.2, 0.75), every=False, stems=True), limit).join(rows.withColumnRenamed("write_cursor", "doc"), "doc").orderBy("rank")
 
     def search_projected_text(self, query: str, name: str, limit: int = 10, where: Filter = Filter()) -> DataFrame:
         if name not in self._registry() or "searchable" not in self._registry()[name].roles:
@@ -274,13 +359,13 @@ class Engine:
         asked = self.spark.createDataFrame([("q", query)], "query_id string, text string")
         seen = where.for_search(DEFAULT_VIEW.of(self.table("nodes"), self.now()), self.table("attributes")).select("write_cursor")
         docs = self.table("attributes").filter(F.col("attr_name") == name).join(seen, "write_cursor", "left_semi")
-        return textindex.top(textindex.bm25(docs, "write_cursor", F.col("attr_value"), asked, Okapi(1.2, 0.75), every=False), limit).orderBy("rank")
+        return textindex.top(textindex.bm25(docs, "write_cursor", F.col("attr_value"), asked, Okapi(1.2, 0.75), every=False, stems=True), limit).orderBy("rank")
 
     def bm25f_search(self, query: str, weights: dict[str, float] | None = None, limit: int = 10) -> DataFrame:
         asked = self.spark.createDataFrame([("q", query)], "query_id string, text string")
         rows = DEFAULT_VIEW.of(self.table("nodes"), self.now())
         status = F.coalesce(F.get_json_object("body", "$.status"), F.lit(""))
-        return textindex.top(textindex.bm25_fielded(rows, "write_cursor", {"kind": F.col("kind"), "body": F.col("body"), "status": status}, asked, Okapi(1.2, 0.75, weights or {})), limit).orderBy("rank")
+        return textindex.top(textindex.bm25_fielded(rows, "write_cursor", {"kind": F.col("kind"), "body": F.col("body"), "status": status}, asked, Okapi(1.2, 0.75, weights or {}), stems=True), limit).orderBy("rank")
 
     # -- graph
 
@@ -332,8 +417,29 @@ class Engine:
             return pd.Series([[float(x) for x in v[:dim]] for v in embedder(bodies.tolist())])
 
         fresh = missing.select("write_cursor", embedded("body").alias("embedding"), F.lit("").alias("source_type"), "kind", "created_at", "status")
-        self._commit({"vectors": self.table("vectors").unionByName(fresh)})
-        return self.table("vectors").count()
+        self._commit(appended={"vectors": self._coded(fresh, self.meta["mean"])})
+        n = self.table("vectors").count()
+        if self.meta["mean"] is None and n >= vector.PIN_AFTER:
+            first = vector.pinned_mean(self.table("vectors"), "write_cursor", vector.PIN_AFTER).first()
+            self._requantise(list(first.m))
+        return n
+
+    def _coded(self, rows: DataFrame, mean: list[float] | None) -> DataFrame:
+        """Vectors with what is searched: themselves less the mean, and the sign bits of that."""
+        m = None if mean is None else F.array(*[F.lit(float(x)) for x in mean])
+        less = F.col("embedding") if m is None else F.zip_with(F.col("embedding"), m, lambda x, y: (x - y).cast("float"))
+        return rows.withColumn("centred", less).withColumn("bits", vector.sign_words(F.col("centred"), self.dim))
+
+    def _requantise(self, mean: list[float]) -> None:
+        """Store a mean, and all vectors less it with new sign bits."""
+        self._commit({"vectors": self._coded(self.table("vectors"), mean)}, mean=mean)
+
+    def recompute_mean(self) -> DataFrame:
+        """(pos, mean) of all vectors, stored; vectors are quantised again by it."""
+        means = vector.mean_vector(self.table("vectors")).orderBy("pos").collect()
+        if means:
+            self._requantise([r["mean"] for r in means])
+        return self.spark.createDataFrame([(r.pos, r["mean"]) for r in means], "pos int, mean double")
 
     def projection_status(self) -> DataFrame:
         return projections.readiness(self.table("nodes").filter("superseded_at IS NULL"), self.table("vectors"), self.table("vectors").limit(0))
@@ -341,11 +447,10 @@ class Engine:
     embedding_readiness = projection_status
 
     def rebuild_projections(self) -> None:
-        """Derive attributes again from the active canonical rows alone."""
-        self._commit({"attributes": projections.attributes(self.table("nodes").filter("superseded_at IS NULL AND state = 'active'"), self._registry())})
-
-    def recompute_mean(self) -> DataFrame:
-        return vector.mean_vector(self.table("vectors"))
+        """Derive attributes, and vectors if there is an embedder, again from the active canonical rows alone."""
+        self._commit({"attributes": projections.attributes(self.table("nodes").filter("superseded_at IS NULL AND state = 'active'"), self._registry()), "vectors": self.table("vectors").limit(0)})
+        if self.embedder is not None:
+            self.project_vectors()
 
     def verify_embedder(self, probes: DataFrame, fresh: DataFrame) -> DataFrame:
         """Probe results; a failed one disables the vector arm and leaves text search."""
@@ -383,7 +488,12 @@ class Engine:
     # -- observation
 
     def enable_telemetry(self, path: str) -> None:
-        self.telemetry = Path(path)
+        """Events go to files of JSON lines below ``path``."""
+        self.telemetry = Store(self.spark, path)
+
+    def _note(self, event: dict) -> None:
+        self.counters["telemetry"] += 1
+        self.telemetry.write_new(f"{int(time.time() * 1000):015}-{self.counters['telemetry']:06}-{uuid.uuid4().hex[:8]}.json", json.dumps(event, sort_keys=True) + "\n")
 
     def _tell(self, query: str, hits: DataFrame) -> None:
         self._count("search")
@@ -392,14 +502,12 @@ class Engine:
         self.last_query_id = f"q{self.counters['search']}"
         rows = hits.select("write_cursor", "branch").collect()
         event = {"type": "event", "query_id": self.last_query_id, "schema_version": 1, "query_chars": len(query), "result_ids": [r[0] for r in rows], "arm_of": {str(r[0]): r[1] for r in rows}}
-        with self.telemetry.open("a") as f:
-            f.write(json.dumps(event, sort_keys=True) + "\n")
+        self._note(event)
 
     def record_feedback(self, query_id: str, relevant: list[int], irrelevant: list[int], label_source: str) -> None:
         if self.telemetry is None:
             raise InvalidArgument("telemetry is off")
-        with self.telemetry.open("a") as f:
-            f.write(json.dumps({"type": "feedback", "query_id": query_id, "relevant_ids": relevant, "irrelevant_ids": irrelevant, "label_source": label_source}, sort_keys=True) + "\n")
+        self._note({"type": "feedback", "query_id": query_id, "relevant_ids": relevant, "irrelevant_ids": irrelevant, "label_source": label_source})
 
     def _count(self, what: str) -> None:
         self.counters[what] += 1
@@ -423,16 +531,16 @@ class Engine:
         return lifecycle.integrity_findings(self.table("nodes"), self.table("edges"))
 
     def safe_export(self, out: str) -> dict:
-        return corpus.export({t: self.table(t) for t in schema.TABLES}, out)
+        return corpus.export(self.spark, {t: self.table(t) for t in schema.PUBLIC}, out)
 
     def trace(self, source_id: str) -> DataFrame:
         return lifecycle.trace_source(source_id, self.table("nodes"), self.table("edges"))
 
     def dump_schema(self) -> dict[str, str]:
-        return {t: self.table(t).schema.simpleString() for t in schema.TABLES}
+        return {t: self.table(t).schema.simpleString() for t in schema.PUBLIC}
 
     def dump_row_counts(self) -> DataFrame:
-        return lifecycle.row_counts({t: self.table(t) for t in schema.TABLES})
+        return lifecycle.row_counts({t: self.table(t) for t in schema.PUBLIC})
 
     def dump_profile(self) -> dict:
         return {"dimension": self.dim, "embedder": self.embedder is not None, "registry": sorted(self.meta["registry"]), "counters": dict(self.counters)}
@@ -460,4 +568,4 @@ def hashing_embedder(dim: int) -> Embedder:
     return embed
 
 
-__all__ = ["Engine", "IllegalTransition", "hashing_embedder", "replace", "terms"]
+__all__ = ["Engine", "Explanation", "IllegalTransition", "Options", "hashing_embedder", "replace", "terms"]

@@ -22,6 +22,18 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with diacritics and their bases, and combining marks, which have none."""
+    letters = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)])]
+    plain = [(c, d[0]) for c, d in letters if len(d) > 1 and d[0].isascii() and d[0].islower() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in plain) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in plain)
+
+
+def folded_terms(text: Column) -> Column:
+    """Terms of the text without diacritics; folding is a character table, so no Python runs."""
+    return F.regexp_extract_all(F.translate(F.lower(text), *_folding()), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
 def content_terms(query: str) -> list[str]:
     """Terms a query asks for: at least three UTF-8 bytes, no stopword, first occurrence only.
 

@@ -60,13 +60,24 @@ def mean_interval(values: Sequence[float], seed: int = 0, resamples: int = 2000)
     return float(x.mean()), float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5))
 
 
-def clustered_interval(values: Sequence[float], clusters: Sequence, seed: int = 0, resamples: int = 1000) -> tuple[float, float]:
-    """Interval of the mean with whole clusters resampled."""
-    frame = pd.DataFrame({"c": list(clusters), "v": list(values)}).groupby("c")["v"].agg(["sum", "size"]).to_numpy()
-    pick = np.random.default_rng(seed).integers(0, len(frame), (resamples, len(frame)))
-    sums = frame[pick].sum(axis=1)
-    means = sums[:, 0] / sums[:, 1]
-    return float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5))
+def win_rate_intervals(verdicts: DataFrame, arm: str, cluster: str, outcome: str, seed: int = 0, resamples: int = 1000) -> DataFrame:
+    """(arm, n, win_rate, low, high, effect): ties half a win, the interval from resampling clusters, ``effect`` half its width.
+
+    Only a sum and a count per cluster reach the task that resamples an arm.
+    """
+    won = F.when(F.col(outcome) == "win", 1.0).when(F.col(outcome) == "tie", 0.5).otherwise(0.0)
+    per = verdicts.groupBy(arm, cluster).agg(F.sum(won).alias("won"), F.count(F.lit(1)).alias("n"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(cluster)
+        sums = pdf[["won", "n"]].to_numpy(dtype=np.float64)
+        drawn = sums[np.random.default_rng(seed).integers(0, len(sums), (resamples, len(sums)))].sum(axis=1)
+        low, high = np.percentile(drawn[:, 0] / drawn[:, 1], [2.5, 97.5])
+        total = sums.sum(axis=0)
+        return pd.DataFrame({arm: [pdf[arm].iloc[0]], "n": [int(total[1])], "win_rate": [round(total[0] / total[1], 4)], "low": [low], "high": [high], "effect": [(high - low) / 2]})
+
+    kind = verdicts.schema[arm].dataType.simpleString()
+    return per.groupBy(arm).applyInPandas(one, f"{arm} {kind}, n long, win_rate double, low double, high double, effect double")
 
 
 def detectable_effect(sd: float, n: int, power_z: float = 0.8416, alpha_z: float = 1.96) -> float:
@@ -205,6 +216,23 @@ def tf_idf(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))).select("doc", "term", "weight")
 
 
+def tfidf_cosine(docs: DataFrame, doc: str, terms: Column, queries: DataFrame, digits: int = 9) -> DataFrame:
+    """(query_id, doc, score): cosine of count times ln(n / df) + 1 of all documents that share a term with a query.
+
+    Query terms without a document count nothing.  Weights are made of the asked terms only; of the other terms only the
+    documents' norms are needed, which are summed before they are joined to the matches.
+    """
+    asked = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    counts = docs.select(F.col(doc).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n_docs") / F.col("df")) + 1).alias("idf"))
+    norms = counts.join(idf, "term").groupBy("doc").agg(F.sqrt(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf"))).alias("z"))
+    weighed = asked.join(idf, "term").select("query_id", "term", "idf", (F.col("qf") * F.col("idf")).alias("w"))
+    sizes = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qz"))
+    dots = counts.join(weighed, "term").groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("tf") * F.col("idf")).alias("dot"))
+    return dots.join(norms, "doc").join(sizes, "query_id").select("query_id", "doc", F.round(F.col("dot") / (F.col("z") * F.col("qz")), digits).alias("score"))
+
+
 def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
     """(doc, predicted): test documents (doc, term, weight) go to the class whose mean training vector (doc, label, term, weight) has the largest cosine; ties to the first label."""
     n = train.select("label", "doc").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -25,22 +25,24 @@ def rank_arm(hits: DataFrame, order: list[Column]) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def fuse(arms: dict[str, DataFrame], k: int = RRF_K, weights: dict[str, float] = ARM_WEIGHTS, digits: int = 12) -> DataFrame:
+def fuse(arms: dict[str, DataFrame], k: int = RRF_K, weights: dict[str, float] = ARM_WEIGHTS, digits: int = 12, weigh_confidence: bool = False) -> DataFrame:
     """(query_id, body, score, branch, ranks..., hit columns): reciprocal-rank fusion keyed by body.
 
     The representative of a body is its hit in the first arm of vector, text, graph; exact ties are ordered by
-    that arm, then by the ranks in it and the next.
+    that arm, then by the ranks in it and the next.  With ``weigh_confidence`` the graph arm's part is multiplied by the
+    confidence of the edge that led to the hit, null being 1.
     """
-    marked = [a.withColumn("branch", F.lit(n)).withColumn("__arm", F.lit(ARM_ORDER.index(n))) for n, a in arms.items()]
+    trust = lambda n, a: F.coalesce(F.col("confidence"), F.lit(1.0)) if weigh_confidence and n == "graph" and "confidence" in a.columns else F.lit(1.0)
+    marked = [a.withColumn("branch", F.lit(n)).withColumn("__arm", F.lit(ARM_ORDER.index(n))).withColumn("__trust", trust(n, a)) for n, a in arms.items()]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
     weight = F.create_map(*[F.lit(x) for n in arms for x in (n, float(weights[n]))])
-    others = [c for c in rows.columns if c not in ("query_id", "body", "rank", "branch", "__arm")]
+    others = [c for c in rows.columns if c not in ("query_id", "body", "rank", "branch", "__arm", "__trust")]
     best = F.min_by(F.struct("branch", *others), F.struct("__arm", "rank"))
     ranks = [F.min(F.when(F.col("branch") == n, F.col("rank"))).alias(f"{n}_rank") for n in arms]
     # A body that an arm lists twice counts with its best rank there.
-    per_arm = rows.groupBy("query_id", "body", "branch", "__arm").agg(F.min("rank").alias("rank"), F.min_by(F.struct(*others), "rank").alias("r") if others else F.first(F.lit(None)).alias("r"))
-    flat = per_arm.select("query_id", "body", "branch", "__arm", "rank", *([F.col(f"r.{c}").alias(c) for c in others]))
-    total = F.round(F.sum(weight[F.col("branch")] / (k + F.col("rank"))), digits).alias("score")
+    per_arm = rows.groupBy("query_id", "body", "branch", "__arm").agg(F.min("rank").alias("rank"), F.min_by("__trust", "rank").alias("__trust"), F.min_by(F.struct(*others), "rank").alias("r") if others else F.first(F.lit(None)).alias("r"))
+    flat = per_arm.select("query_id", "body", "branch", "__arm", "__trust", "rank", *([F.col(f"r.{c}").alias(c) for c in others]))
+    total = F.round(F.sum(weight[F.col("branch")] * F.col("__trust") / (k + F.col("rank"))), digits).alias("score")
     return flat.groupBy("query_id", "body").agg(total, best.alias("hit"), F.min("__arm").alias("__arm"), *ranks).select("query_id", "body", "score", "hit.*", *[f"{n}_rank" for n in arms], "__arm")
 
 
@@ -86,7 +88,7 @@ def blend(hits: DataFrame, logit: str, alpha: float = 0.3, depth: int = 50) -> D
     finite = F.col(logit).isNotNull() & ~F.isnan(logit) & (F.abs(F.col(logit)) < float("inf"))
     ce = F.when(finite, 1 / (1 + F.exp(-F.col(logit)))).otherwise(0.0)
     blended = F.when(F.col("rank") <= depth, alpha * ce + (1 - alpha) * scaled)
-    mixed = hits.withColumn("blended", F.round(blended, 12))
+    mixed = hits.withColumn("blended", F.round(blended, 12)).withColumn("ce_score", F.when(F.col("rank") <= depth, ce))
     order = Window.partitionBy("query_id").orderBy(F.col("blended").desc_nulls_last(), F.col("rank"))
     return mixed.withColumn("old_rank", F.col("rank")).withColumn("rank", F.row_number().over(order))
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.errors import InvalidArgument
+from quarry.operators.prefix import prefix_sum
 from quarry.operators.views import active, current, edge_live, valid_at
+from quarry.session import cut
 
 MOST_NEIGHBOURS = 50
 MOST_DEPTH = 3
+#: Seeds of the graph arm from each of the text sources, edge facts and entity nodes.
+SEEDS = 10
+#: Nodes and edges of a question's graph that one task holds.
+MOST_ROWS = 2_000_000
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -41,11 +47,17 @@ def reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int, dire
     seen_by = nodes.filter(current() & active() & valid_at(now)) if "superseded_at" in nodes.columns else nodes.filter(active() & valid_at(now))
     alive = seen_by.select(F.col("logical_id").alias("b")).distinct()
     steps = oriented(edges.filter(edge_live(now)), direction).select("a", "b").distinct().join(alive, "b", "left_semi")
+    if depth > 1:  # every hop joins these, and each frontier is asked for twice: both are kept, so the plan stays as deep as one hop
+        steps = cut(steps)
     start = roots.select(F.col("root"), F.col("root").alias("id")).join(alive.withColumnRenamed("b", "id"), "id", "left_semi").select("root", "id", F.lit(0).alias("hop"))
+    if depth > 1:
+        start = cut(start)
     found, frontier = start, start
     for hop in range(1, depth + 1):
         following = frontier.select("root", F.col("id").alias("a")).join(steps, "a").select("root", F.col("b").alias("id")).distinct()
         frontier = following.join(found.select("root", "id"), ["root", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        if depth > 1:
+            frontier = cut(frontier)
         found = found.unionByName(frontier)
     return found.filter("hop > 0")
 
@@ -80,12 +92,25 @@ def seeds(edge_hits: DataFrame, node_hits: DataFrame, nodes: DataFrame, edges: D
 
 
 def graph_arm(seeded: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, now: int = 0, most: int = MOST_NEIGHBOURS) -> DataFrame:
-    """(query_id, logical_id, rank): seeds and what they reach, by hop and id, as the third arm of fusion."""
+    """(query_id, logical_id, rank, confidence, via): seeds and what they reach, by hop and id, as the third arm of fusion.
+
+    ``confidence`` and ``via`` are those of the surest live edge that leads to the node at its nearest hop, null confidence
+    being 1, and the source of that edge; a seed has 1 and none.
+    """
+    seeded = cut(seeded)
     near = reach(nodes, edges, seeded.select(F.col("logical_id").alias("root")).distinct(), depth, "both", now)
     reached = seeded.select("query_id", F.col("logical_id").alias("root")).join(near, "root").select("query_id", F.col("id").alias("logical_id"), "hop")
-    every = reached.unionByName(seeded.select("query_id", "logical_id", F.lit(0).alias("hop"))).groupBy("query_id", "logical_id").agg(F.min("hop").alias("hop"))
+    every = cut(reached.unionByName(seeded.select("query_id", "logical_id", F.lit(0).alias("hop"))).groupBy("query_id", "logical_id").agg(F.min("hop").alias("hop")))
     order = Window.partitionBy("query_id").orderBy("hop", "logical_id")
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "logical_id", "rank")
+    first = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    sure = F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in edges.columns else F.lit(1.0)
+    live = edges.filter(edge_live(now)).select("from_id", "to_id", "source_id", sure.alias("sure"))
+    led = live.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "source_id", "sure").unionByName(live.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"), "source_id", "sure"))
+    # An edge led here if its other end was reached one hop earlier.
+    before = every.select("query_id", F.col("logical_id").alias("a"), (F.col("hop") + 1).alias("hop"))
+    ways = first.filter("hop > 0").select("query_id", F.col("logical_id").alias("b"), "hop").join(led, "b").join(before, ["query_id", "a", "hop"])
+    best = ways.groupBy("query_id", F.col("b").alias("logical_id")).agg(F.max(F.struct("sure", "source_id")).alias("w"))
+    return first.join(best, ["query_id", "logical_id"], "left").select("query_id", "logical_id", "rank", F.coalesce("w.sure", F.lit(1.0)).alias("confidence"), F.col("w.source_id").alias("via"))
 
 
 def frontier_stats(considered: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -116,40 +141,65 @@ def seed_weights(mentions: DataFrame, ranked: DataFrame, passages: DataFrame, se
     return best.join(spread, ["question", "entity"]).join(passages, "question").select("question", "entity", F.when(w > 0, w).otherwise(1e-6).alias("weight"))
 
 
-def personalised_pagerank(nodes: DataFrame, edges: DataFrame, weights: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 1000) -> DataFrame:
-    """(question, entity, mass) per question: its graph is small and goes to one task, where the iteration runs to convergence.
+def personalised_pagerank(nodes: DataFrame, edges: DataFrame, weights: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 1000, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(question, entity, mass) per question by power iteration to convergence.
 
-    Mass teleports, and leaves nodes without edges, to the seeds.
+    Mass teleports, and leaves nodes without edges, to the seeds; it has settled when a round moves less than ``tolerance`` per
+    node.  The graph of a question with at most ``most_rows`` nodes and edges goes to one task; the graphs of larger ones are
+    iterated together, a join and a sum a round.  A question without weight has mass 0.
     """
+    size = nodes.select("question").unionByName(edges.select("question")).groupBy("question").agg(F.count(F.lit(1)).alias("rows"))
+    large = cut(size.filter(F.col("rows") > most_rows).select("question"))
+    if large.isEmpty():
+        return _small_pagerank(nodes, edges, weights, alpha, tolerance, rounds)
+    small = [t.join(large, "question", "left_anti") for t in (nodes, edges, weights)]
+    rest = [t.join(large, "question", "left_semi") for t in (nodes, edges, weights)]
+    return _small_pagerank(*small, alpha, tolerance, rounds).unionByName(_large_pagerank(*rest, alpha, tolerance, rounds))
+
+
+def _large_pagerank(nodes: DataFrame, edges: DataFrame, weights: DataFrame, alpha: float, tolerance: float, rounds: int) -> DataFrame:
+    links = edges.select("question", "a", "b").unionByName(edges.select("question", F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = links.groupBy("question", "a").agg(F.count(F.lit(1)).alias("degree"))
+    ways = cut(links.join(degree, ["question", "a"]).select("question", "a", "b", "degree"))
+    seeds = nodes.select("question", "entity").join(weights, ["question", "entity"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    totals = seeds.groupBy("question").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    homes = seeds.join(totals, "question").join(degree.select("question", F.col("a").alias("entity"), F.lit(1).alias("linked")), ["question", "entity"], "left")
+    state = cut(homes.filter("total > 0").select("question", "entity", "n", F.col("linked").isNull().alias("stuck"), (F.col("weight") / F.col("total")).alias("home"), (1 / F.col("n")).alias("mass")))
+    settled = homes.filter("total <= 0").select("question", "entity", F.lit(0.0).alias("mass"))
+    for _ in range(rounds):
+        stuck = state.groupBy("question").agg(F.sum(F.when(F.col("stuck"), F.col("mass")).otherwise(0.0)).alias("held"))
+        arrived = state.select("question", F.col("entity").alias("a"), "mass").join(ways, ["question", "a"]).groupBy("question", F.col("b").alias("entity")).agg(F.sum(F.col("mass") / F.col("degree")).alias("got"))
+        after = (1 - alpha + alpha * F.col("held")) * F.col("home") + alpha * F.coalesce("got", F.lit(0.0))
+        state = cut(state.join(stuck, "question").join(arrived, ["question", "entity"], "left").select("question", "entity", "n", "stuck", "home", F.col("mass").alias("old"), after.alias("mass")))
+        moving = state.groupBy("question").agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("moved"), F.first("n").alias("n")).filter(F.col("moved") >= F.col("n") * tolerance)
+        if moving.isEmpty():
+            break
+    return state.select("question", "entity", "mass").unionByName(settled)
+
+
+def _small_pagerank(nodes: DataFrame, edges: DataFrame, weights: DataFrame, alpha: float, tolerance: float, rounds: int) -> DataFrame:
     tagged = nodes.select("question", F.lit("n").alias("t"), F.col("entity").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w"))
     tagged = tagged.unionByName(edges.select("question", F.lit("e").alias("t"), "a", "b", F.lit(0.0).alias("w"))).unionByName(weights.select("question", F.lit("s").alias("t"), F.col("entity").alias("a"), F.lit(None).cast("string").alias("b"), F.col("weight").alias("w")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf["question"].iloc[0]
-        names = sorted(pdf.loc[pdf.t == "n", "a"])
-        links: dict[str, list[str]] = {n: [] for n in names}
-        for a, b in zip(pdf.loc[pdf.t == "e", "a"], pdf.loc[pdf.t == "e", "b"]):
-            links[a].append(b)
-            links[b].append(a)
-        seed = dict(zip(pdf.loc[pdf.t == "s", "a"], pdf.loc[pdf.t == "s", "w"]))
-        total = math.fsum(seed.get(n, 0.0) for n in names)
-        if total <= 0:
-            return pd.DataFrame({"question": q, "entity": names, "mass": 0.0})
-        home = {n: seed.get(n, 0.0) / total for n in names}
-        mass = {n: 1 / len(names) for n in names}
-        for _ in range(rounds):
-            stuck = alpha * math.fsum(mass[n] for n in names if not links[n])
-            after = {n: (1 - alpha + stuck) * home[n] for n in names}
-            for n in names:
-                if links[n]:
-                    share = alpha * mass[n] / len(links[n])
-                    for m in links[n]:
-                        after[m] += share
-            moved = sum(abs(after[n] - mass[n]) for n in names)
-            mass = after
-            if moved < len(names) * tolerance:
-                break
-        return pd.DataFrame({"question": q, "entity": names, "mass": [mass[n] for n in names]})
+        names = np.sort(pdf.loc[pdf.t == "n", "a"].to_numpy(dtype=object))
+        at = {v: i for i, v in enumerate(names)}
+        ends = [pdf.loc[pdf.t == "e", c].map(at).to_numpy(dtype=np.int64) for c in ("a", "b")]
+        source, target = np.concatenate(ends), np.concatenate(ends[::-1])
+        degree = np.bincount(source, minlength=len(names))
+        home = np.zeros(len(names))
+        seeds = pdf[(pdf.t == "s") & pdf.a.isin(at)]
+        home[seeds["a"].map(at).to_numpy(dtype=np.int64)] = seeds["w"].to_numpy(dtype=np.float64)
+        mass = np.zeros(len(names))
+        if home.sum() > 0:
+            home, mass = home / home.sum(), np.full(len(names), 1 / len(names))
+            for _ in range(rounds):
+                flow = np.bincount(target, weights=(mass / np.maximum(degree, 1))[source], minlength=len(names))
+                after = (1 - alpha + alpha * mass[degree == 0].sum()) * home + alpha * flow
+                moved, mass = np.abs(after - mass).sum(), after
+                if moved < len(names) * tolerance:
+                    break
+        return pd.DataFrame({"question": pdf["question"].iloc[0], "entity": names, "mass": mass})
 
     return tagged.groupBy("question").applyInPandas(one, "question string, entity string, mass double")
 
@@ -159,6 +209,12 @@ def passage_scores(mentions: DataFrame, mass: DataFrame) -> DataFrame:
     return mentions.select("question", "passage", "entity").distinct().join(mass, ["question", "entity"]).groupBy("question", "passage").agg(F.sum("mass").alias("score"))
 
 
+def ranked_passages(passages: DataFrame, score: str) -> DataFrame:
+    """(question, passage, rank): all passages of each question, a missing score being 0, ties by passage; a question of any size is numbered in blocks."""
+    rows = passages.select("question", "passage", (-F.coalesce(score, F.lit(0.0))).alias("__low"))
+    return prefix_sum(rows, ["question"], ["__low", "passage"], F.lit(1), "rank").select("question", "passage", "rank")
+
+
 def chains(documents: DataFrame) -> DataFrame:
     """(from_id, to_id, kind): documents linked to a parent that is there too, by their relation tag, else linked."""
     relation = F.coalesce(F.try_element_at(F.transform(F.filter("tags", lambda t: t.startswith("relation:")), lambda t: F.substring(t, 10, 100)), F.lit(1)), F.lit("linked"))

@@ -107,11 +107,18 @@ def purge(nodes: DataFrame, edges: DataFrame, logical_id: str, shadows: dict[str
     mine = nodes.filter(F.col("logical_id") == logical_id)
     if not mine.filter(F.col("superseded_at").isNull() & (F.col("state") != "deleted")).isEmpty():
         raise IllegalTransition("purge asks for a deleted node")
-    touched = edges.filter((F.col("from_id") == logical_id) | (F.col("to_id") == logical_id))
-    gone = mine.select("write_cursor").unionByName(touched.select("write_cursor")).distinct()
-    kept_edges = edges.filter(~F.coalesce((F.col("from_id") == logical_id) | (F.col("to_id") == logical_id), F.lit(False)))
-    kept_nodes = nodes.filter(~F.coalesce(F.col("logical_id") == logical_id, F.lit(False)))
-    return kept_nodes, kept_edges, {n: t.join(gone, "write_cursor", "left_anti") for n, t in shadows.items()}
+    return purge_all(nodes, edges, nodes.sparkSession.createDataFrame([(logical_id,)], "logical_id string"), shadows)
+
+
+def purge_all(nodes: DataFrame, edges: DataFrame, ids: DataFrame, shadows: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """All tables without the nodes of ``ids`` (logical_id), all their versions and edges, and what was derived from them."""
+    gone = ids.filter("logical_id IS NOT NULL").select("logical_id").distinct()
+    kept_nodes = nodes.join(gone, "logical_id", "left_anti").select(*nodes.columns)
+    ends = [gone.withColumnRenamed("logical_id", side) for side in ("from_id", "to_id")]
+    kept_edges = edges.join(ends[0], "from_id", "left_anti").join(ends[1], "to_id", "left_anti").select(*edges.columns)
+    touched = [edges.join(end, end.columns[0], "left_semi").select("write_cursor") for end in ends]
+    cursors = nodes.join(gone, "logical_id", "left_semi").select("write_cursor").unionByName(touched[0]).unionByName(touched[1]).distinct()
+    return kept_nodes, kept_edges, {n: t.join(cursors, "write_cursor", "left_anti").select(*t.columns) for n, t in shadows.items()}
 
 
 def erase_source(source_id: str, tables: dict[str, DataFrame], shadows: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:

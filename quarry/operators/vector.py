@@ -53,17 +53,22 @@ def quantised(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFr
     return vectors.withColumn("bits", sign_words(F.col(vector), dim))
 
 
-def knn_two_phase(vectors: DataFrame, queries: DataFrame, dim: int, k: int, where: Column | None = None, candidates: int = PHASE_ONE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def knn_two_phase(vectors: DataFrame, queries: DataFrame, dim: int, k: int, where: Column | None = None, candidates: int = PHASE_ONE, key: str = "vec_id", vector: str = "embedding", bits: str = "bits") -> DataFrame:
     """Nearest of the ``candidates`` closest by sign bits, by exact distance.
 
-    ``where`` is applied before the first phase, so a selective filter still fills the result.  The vector
-    travels with its candidate; nothing is looked up again.
+    ``where`` is applied before the first phase, so a selective filter still fills the result.  Where ``vectors`` has
+    the sign bits in ``bits``, the first phase reads nothing but them and the candidates' vectors are fetched by key; else the
+    bits are made on the way and the vector travels with its candidate.
     """
     rows = vectors if where is None else vectors.filter(where)
-    coded = quantised(rows, dim, vector)
     asked = queries.withColumn("q_bits", sign_words(F.col("q"), dim))
-    near = scan(coded, asked, hamming(F.col("bits"), F.col("q_bits")), [F.col("score"), F.col(key)], candidates).drop("rank", "score")
-    return _best(near.withColumn("score", l2(F.col(vector), F.col("q"))), [F.col("score"), F.col(key)], k)
+    order = [F.col("score"), F.col(key)]
+    if bits in vectors.columns:
+        narrow = scan(rows.select(key, F.col(bits).alias("bits")), asked, hamming(F.col("bits"), F.col("q_bits")), order, candidates).select("query_id", "q", key)
+        near = rows.join(narrow, key)
+    else:
+        near = scan(quantised(rows, dim, vector), asked, hamming(F.col("bits"), F.col("q_bits")), order, candidates).drop("rank", "score")
+    return _best(near.withColumn("score", l2(F.col(vector), F.col("q"))), order, k)
 
 
 def mean_vector(vectors: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -1,14 +1,18 @@
 """Fusion, reweighting and reranking queries (H1-H15) over search arms and rerank_pool."""
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.vectors import cosine
-from quarry.operators import fusion, graph, metrics, textindex
+from quarry.operators import fusion, graph, metrics, textindex, vector
+from quarry.operators.textindex import Okapi
 from quarry.operators.views import DEFAULT_VIEW, edge_live
-from quarry.plans.frames import EDGES, LIVE, NODES, NOW, VALID, as_integers, edges, nodes, searches
+from quarry.plans.frames import EDGES, LIVE, NODES, NOW, SEARCHES, VALID, as_integers, edges, nodes, searches
 from quarry.plans.text_queries import _bm25
-from quarry.session import table
+from quarry.plans.vector_queries import _E, _phases
+from quarry.session import cut, table
 
 
 def _pool(spark, d):
@@ -102,17 +106,31 @@ def soft_fallback(spark, d):
 
 
 def hybrid_search(spark, d):
-    """The whole pipeline: document text arm, edge-fact arm and graph arm, fused by body (no SQL counterpart: three arms with traversal)."""
+    """Facts and what they lead to: edge facts by text, and the graph walked from the best facts and entity names, fused by body."""
     asked, n, e = searches(spark), nodes(spark, d), edges(spark, d)
     facts = e.filter(edge_live(NOW) & F.col("body").isNotNull())
-    fact_hits = textindex.top(textindex.bm25(facts, "write_cursor", F.col("body"), asked, every=False), 100)
-    names = textindex.top(textindex.bm25(DEFAULT_VIEW.of(n, NOW), "write_cursor", F.col("body"), asked, every=False), 10)
-    text = fact_hits.join(facts.select(F.col("write_cursor").alias("doc"), "body", "source_id"), "doc").select("query_id", "body", "source_id", "rank")
-    started = graph.seeds(textindex.top(fact_hits.drop("rank"), 10).withColumnRenamed("doc", "write_cursor"), names.join(n.select(F.col("write_cursor").alias("doc"), "logical_id"), "doc"), n, e, NOW)
-    arm = graph.graph_arm(started, n, e, 2, NOW).join(n.select("logical_id", "body", "source_id"), "logical_id")
-    arms = {"text": text, "graph": arm.select("query_id", "body", "source_id", "rank")}
+    fact_hits = cut(textindex.top(textindex.bm25(facts, "write_cursor", F.col("body"), asked, every=False), 100))
+    names = textindex.top(textindex.bm25(DEFAULT_VIEW.of(n, NOW), "write_cursor", F.col("body"), asked, every=False), graph.SEEDS)
+    text = fact_hits.join(facts.select(F.col("write_cursor").alias("doc"), "body"), "doc").select("query_id", "body", "rank")
+    started = graph.seeds(textindex.top(fact_hits.drop("rank"), graph.SEEDS).withColumnRenamed("doc", "write_cursor"), names.join(n.select(F.col("write_cursor").alias("doc"), "logical_id"), "doc"), n, e, NOW)
+    arm = graph.graph_arm(started, n, e, 2, NOW).join(n.filter("body IS NOT NULL").select("logical_id", "body"), "logical_id")
+    return _placed({"text": text, "graph": arm.select("query_id", "body", "rank")})
+
+
+def _placed(arms):
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.fused_order(list(arms))))
-    return fusion.fuse(arms).withColumn("place", place).filter("place <= 10").select("query_id", "body", "source_id", F.round("score", 9).alias("score"), "branch", "place")
+    return fusion.fuse(arms).withColumn("place", place).filter("place <= 10").select("query_id", "body", F.round("score", 9).alias("score"), "branch", "place")
+
+
+def hybrid_search_vector(spark, d):
+    """Documents by text and by vector under one filter, which comes before both arms; the document's vector is the one of its id."""
+    asked, vectors = searches(spark), table(spark, d, "embeddings")
+    ids = F.concat(F.lit("q"), (F.col("vec_id") / 100 + 1).cast("int"))
+    probes = vectors.filter(F.col("vec_id").isin(*[100 * i for i in range(len(SEARCHES))])).select(ids.alias("query_id"), F.col("embedding").alias("q"))
+    near = vector.knn_two_phase(vectors, probes, 64, 10, F.col("label") == 3).select("query_id", F.col("vec_id").cast("string").alias("body"), "rank")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(vectors.filter("label = 3").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    hits = textindex.top(textindex.bm25(docs, "doc_id", F.col("text"), asked, Okapi(1.2, 0.75), every=False), 100)
+    return _placed({"vector": near, "text": hits.select("query_id", F.col("doc").cast("string").alias("body"), "rank")}).withColumnRenamed("body", "doc_id")
 
 
 def cosine_rerank(spark, d):
@@ -122,7 +140,7 @@ def cosine_rerank(spark, d):
     return v.filter("unit_index > 0").join(first, "doc_id").select("doc_id", "unit_index", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).filter("similarity IS NOT NULL AND NOT isnan(similarity)")
 
 
-QUERIES = {f.__name__: f for f in (rrf_two_arm_weighted, rrf_three_arm, rrf_eval_k60, explain_ranks, recency_reweight, importance_reweight, score_blend, joint_tuning, hit_identity, soft_fallback, hybrid_search, cosine_rerank)}
+QUERIES = {f.__name__: f for f in (rrf_two_arm_weighted, rrf_three_arm, rrf_eval_k60, explain_ranks, recency_reweight, importance_reweight, score_blend, joint_tuning, hit_identity, soft_fallback, hybrid_search, hybrid_search_vector, cosine_rerank)}
 
 _POOL = """pool AS (
   SELECT qid AS query_id, doc_id, max(CASE WHEN NOT isnan(base_score) THEN base_score END) AS base, max(CASE WHEN NOT isnan(ce_norm) THEN ce_norm END) AS ce, max(reporting_class) AS query_class
@@ -175,6 +193,35 @@ s AS (SELECT doc_id, unit_index, list_dot_product(e, qe) / nullif(sqrt(list_dot_
 SELECT doc_id, unit_index, round(s, 6) AS similarity FROM s WHERE s IS NOT NULL AND NOT isnan(s)
 """,
 }
-_ = VALID
+_OTHER = re.compile(r"\b(asked|tok|stats|hit|dfs|scored|ranked)\b")
+_FACT_HITS = _bm25("edge_rows", "write_cursor", "body", 1.5, 0.75, False, extra=f"WHERE {LIVE} AND body IS NOT NULL")
+_NAME_HITS = _OTHER.sub(r"\1_n", _bm25("node_rows", "write_cursor", "body", 1.5, 0.75, False, queries="", extra=f"WHERE {VALID}"))
+
+
+def _fused_by_body(first, second):
+    k = {"vector": 1.0, "text": 3.0, "graph": 1.0}
+    return f"""fused AS (SELECT query_id, body, round({k[first]} * coalesce(1.0 / (30 + x.rank), 0) + {k[second]} * coalesce(1.0 / (30 + y.rank), 0), 12) AS score, CASE WHEN x.rank IS NOT NULL THEN '{first}' ELSE '{second}' END AS branch, x.rank AS xr, y.rank AS yr
+  FROM (SELECT query_id, body, min(rank) AS rank FROM {first}_arm GROUP BY ALL) AS x FULL JOIN (SELECT query_id, body, min(rank) AS rank FROM {second}_arm GROUP BY ALL) AS y USING (query_id, body)),
+placed AS (SELECT query_id, body, round(score, 9) AS score, branch, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, xr IS NULL, xr NULLS LAST, yr NULLS LAST, body) AS INTEGER) AS place FROM fused)"""
+
+
+SQL["hybrid_search"] = f"""WITH RECURSIVE {NODES}, {EDGES}, {_FACT_HITS}{_NAME_HITS},
+text_arm AS (SELECT query_id, body, rank FROM ranked JOIN edge_rows ON doc = write_cursor WHERE rank <= 100),
+s AS (SELECT query_id, from_id, to_id FROM ranked JOIN edge_rows ON doc = write_cursor WHERE rank <= 10 AND NOT coalesce(temporal_fallback = 1, false)),
+start AS (SELECT DISTINCT query_id, logical_id FROM (SELECT query_id, from_id AS logical_id FROM s UNION ALL SELECT query_id, to_id FROM s UNION ALL SELECT query_id, logical_id FROM ranked_n JOIN node_rows ON doc = write_cursor WHERE rank <= 10) WHERE logical_id IN (SELECT logical_id FROM node_rows WHERE state = 'active')),
+alive AS (SELECT DISTINCT logical_id AS id FROM node_rows WHERE {VALID}), live AS (SELECT from_id, to_id FROM edge_rows WHERE {LIVE}),
+step AS (SELECT DISTINCT a, b FROM (SELECT from_id AS a, to_id AS b FROM live UNION ALL SELECT to_id, from_id FROM live) WHERE b IN (SELECT id FROM alive)),
+walk(query_id, id, hop) AS (SELECT query_id, logical_id, 0 FROM start WHERE logical_id IN (SELECT id FROM alive) UNION SELECT query_id, b, hop + 1 FROM walk JOIN step ON a = id WHERE hop < 2),
+near AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT * FROM walk UNION ALL SELECT query_id, logical_id, 0 FROM start) GROUP BY query_id, id),
+capped AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS rank FROM near),
+graph_arm AS (SELECT query_id, body, rank FROM capped JOIN node_rows ON logical_id = id WHERE rank <= 50 AND body IS NOT NULL),
+{_fused_by_body('text', 'graph')} SELECT query_id, body, score, branch, place FROM placed WHERE place <= 10"""
+SQL["hybrid_search_vector"] = (
+    _phases("label = 3", head=f"WITH {_E.replace('vec_id AS query_id', chr(39) + 'q' + chr(39) + ' || (vec_id // 100 + 1) AS query_id').replace('vec_id % 100 = 0', 'vec_id IN (0, 100, 200, 300)')}")
+    + ", "
+    + _bm25("(SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3))", "doc_id", "text", 1.2, 0.75, False)
+    + f""", vector_arm AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS body, rank FROM two WHERE rank <= 10), text_arm AS (SELECT query_id, CAST(doc AS VARCHAR) AS body, rank FROM ranked WHERE rank <= 100),
+{_fused_by_body('vector', 'text')} SELECT query_id, body AS doc_id, score, branch, place FROM placed WHERE place <= 10"""
+)
 
 SQL = as_integers(SQL, {"rrf_two_arm_weighted": ["place"], "rrf_three_arm": ["place"], "explain_ranks": ["vector_rank", "text_rank"], "score_blend": ["rank"]})

@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, lifecycle, textindex
+from quarry.operators import fusion, graph, lifecycle, textindex
 from quarry.operators.views import DEFAULT_VIEW, edge_live
-from quarry.plans.frames import EDGES, LIVE, NODES, NOW, SEARCHED, VALID, edges, nodes, searches
+from quarry.plans.frames import ARTICLES, EDGES, LIVE, NODES, NOW, VALID, articles, edges, nodes, searches
 from quarry.plans.text_queries import _bm25
-from quarry.session import table
+from quarry.session import cut, table
+
+#: What every question asks for beside its source type, and the instants of the temporal walk.
+PHRASE = "regional harbour sensor report"
+INSTANTS = (NOW - 200_000_000, NOW, NOW + 200_000_000)
 
 
 def _roots(spark, d):
@@ -55,13 +59,29 @@ def frontier_stats(spark, d):
     return graph.frontier_stats(ends, ends.join(nodes(spark, d).filter("state = 'active'").select("logical_id").distinct(), "logical_id", "left_semi")).select("considered", "resolved", F.round("rate", 6).alias("rate"))
 
 
+def neighbors_temporal(spark, d):
+    """What the topics lead to at three instants: facts that have ended and nodes not yet valid are passed over."""
+    roots, out = nodes(spark, d).filter("kind = 'topic'").select(F.col("logical_id").alias("root")).distinct(), None
+    for at in INSTANTS:
+        one = graph.neighbours(nodes(spark, d), edges(spark, d), roots, 2, "both", at).withColumn("as_of", F.lit(at).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _questions(spark, d):
     """Articles as passages of one question per source type; their entities are the nodes that facts from them name."""
-    a = table(spark, d, "article").filter("source_type IN ('paper', 'note')").select("doc_id", F.col("source_type").alias("question")).distinct()
+    a = table(spark, d, "article").select("doc_id", F.col("source_type").alias("question")).filter("question IS NOT NULL").distinct()
     e = edges(spark, d).filter("source_id IS NOT NULL").select(F.col("source_id").alias("doc_id"), "from_id", "to_id").join(a, "doc_id")
     mentions = e.selectExpr("question", "doc_id AS passage", "stack(2, from_id, to_id) AS entity").filter("entity IS NOT NULL").distinct()
     relations = e.select("question", F.col("from_id").alias("subject"), F.col("to_id").alias("object")).filter("subject IS NOT NULL AND object IS NOT NULL")
-    return a, mentions, relations
+    return a.withColumnRenamed("doc_id", "passage"), mentions, relations
+
+
+def _by_text(spark, d, passages):
+    """The passages of each question by BM25 of its text, which is its source type and a fixed phrase."""
+    asked = passages.select("question").distinct().select(F.col("question").alias("query_id"), F.concat_ws(" ", "question", F.lit(PHRASE)).alias("text"))
+    scores = textindex.bm25(articles(spark, d), "doc_id", F.col("body"), asked).select(F.col("query_id").alias("question"), F.col("doc").alias("passage"), "score")
+    return graph.ranked_passages(passages.join(scores, ["question", "passage"], "left"), "score")
 
 
 def entity_graph(spark, d):
@@ -71,25 +91,27 @@ def entity_graph(spark, d):
 
 
 def seed_weights(spark, d):
-    a, mentions, _ = _questions(spark, d)
-    ranked = graph.Window.partitionBy("question").orderBy("doc_id")
-    order = a.withColumn("rank", F.row_number().over(ranked)).select("question", F.col("doc_id").alias("passage"), "rank")
-    n = a.groupBy("question").agg(F.count(F.lit(1)).alias("n_passages"))
-    return graph.seed_weights(mentions, order, n).select("question", "entity", F.round("weight", 9).alias("weight"))
+    """Entities of the ten best passages of each question by BM25, rare ones heavier."""
+    passages, mentions, _ = _questions(spark, d)
+    n = passages.groupBy("question").agg(F.count(F.lit(1)).alias("n_passages"))
+    return graph.seed_weights(mentions, _by_text(spark, d, passages), n).select("question", "entity", F.round("weight", 9).alias("weight"))
 
 
 def ppr_fusion(spark, d):
-    """Passages by the mass of their entities (no SQL counterpart: power iteration)."""
-    a, mentions, relations = _questions(spark, d)
-    ranked = graph.Window.partitionBy("question").orderBy("doc_id")
-    order = a.withColumn("rank", F.row_number().over(ranked)).select("question", F.col("doc_id").alias("passage"), "rank")
-    n = a.groupBy("question").agg(F.count(F.lit(1)).alias("n_passages"))
+    """Passages by BM25 and by the mass of their entities, fused at 60 (no SQL counterpart: power iteration)."""
+    passages, mentions, relations = _questions(spark, d)
+    n = passages.groupBy("question").agg(F.count(F.lit(1)).alias("n_passages"))
     names, pairs = graph.entity_graph(mentions, relations)
-    mass = graph.personalised_pagerank(names, pairs, graph.seed_weights(mentions, order, n))
-    return graph.passage_scores(mentions, mass).select("question", "passage", F.round("score", 6).alias("score"))
+    text = cut(_by_text(spark, d, passages))
+    mass = graph.personalised_pagerank(names, pairs, graph.seed_weights(mentions, text, n))
+    scores = graph.passage_scores(mentions, mass).withColumn("score", F.round("score", 9))
+    walked = graph.ranked_passages(passages.join(scores, ["question", "passage"], "left"), "score")
+    both = text.withColumn("arm", F.lit("text")).unionByName(walked.withColumn("arm", F.lit("graph")))
+    fused = fusion.rrf_unweighted(both.select(F.col("question").alias("query_id"), "arm", F.col("passage").alias("id"), "rank"))
+    return fused.select(F.col("query_id").alias("question"), F.col("id").alias("passage"), "score")
 
 
-QUERIES = {f.__name__: f for f in (neighbors_depth1, neighbors_depth2, neighbors_depth3, search_expand, dangling_edges, graph_arm_seeds, frontier_stats, entity_graph, seed_weights, ppr_fusion)}
+QUERIES = {f.__name__: f for f in (neighbors_depth1, neighbors_depth2, neighbors_depth3, neighbors_temporal, search_expand, dangling_edges, graph_arm_seeds, frontier_stats, entity_graph, seed_weights, ppr_fusion)}
 
 _ALIVE = f"{NODES}, {EDGES}, alive AS (SELECT DISTINCT logical_id AS id FROM node_rows WHERE {VALID}), live AS (SELECT from_id, to_id FROM edge_rows WHERE {LIVE})"
 _OUT = "step AS (SELECT DISTINCT from_id AS a, to_id AS b FROM live WHERE to_id IN (SELECT id FROM alive))"
@@ -105,7 +127,7 @@ near AS (SELECT root, id, min(hop) AS hop FROM walk GROUP BY root, id HAVING min
 
 _CAPPED = " SELECT root, id, hop FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY hop, id) AS place FROM near) WHERE place <= 50"
 _KIND = "SELECT logical_id FROM node_rows WHERE kind = '{}'"
-_QUESTIONS = f"""{EDGES}, a AS (SELECT DISTINCT doc_id, source_type AS question FROM article WHERE source_type IN ('paper', 'note')),
+_QUESTIONS = f"""{EDGES}, a AS (SELECT DISTINCT doc_id, source_type AS question FROM article WHERE source_type IS NOT NULL),
 qe AS (SELECT question, doc_id, from_id, to_id FROM edge_rows JOIN a ON source_id = doc_id),
 m AS (SELECT DISTINCT question, doc_id AS passage, entity FROM (SELECT question, doc_id, from_id AS entity FROM qe UNION ALL SELECT question, doc_id, to_id FROM qe) WHERE entity IS NOT NULL)"""
 
@@ -119,8 +141,13 @@ SELECT DISTINCT query_id, logical_id FROM (SELECT query_id, from_id AS logical_i
     "frontier_stats": f"WITH {NODES}, {EDGES}, e AS (SELECT DISTINCT id FROM (SELECT from_id AS id FROM edge_rows WHERE {LIVE} UNION ALL SELECT to_id FROM edge_rows WHERE {LIVE})) SELECT count(*) AS considered, count(*) FILTER (id IN (SELECT logical_id FROM node_rows WHERE state = 'active')) AS resolved, round(count(*) FILTER (id IN (SELECT logical_id FROM node_rows WHERE state = 'active')) / count(*), 6) AS rate FROM e",
     "entity_graph": f"""WITH {_QUESTIONS}, n AS (SELECT question, count(*) AS entities FROM (SELECT question, entity FROM m UNION SELECT question, from_id FROM qe WHERE to_id IS NOT NULL AND from_id IS NOT NULL UNION SELECT question, to_id FROM qe WHERE to_id IS NOT NULL AND from_id IS NOT NULL) GROUP BY question),
 p AS (SELECT question, count(*) AS pairs FROM (SELECT DISTINCT question, least(from_id, to_id) AS x, greatest(from_id, to_id) AS y FROM qe WHERE from_id <> to_id) GROUP BY question) SELECT question, entities, pairs FROM n JOIN p USING (question)""",
-    "seed_weights": f"""WITH {_QUESTIONS}, r AS (SELECT question, doc_id AS passage, row_number() OVER (PARTITION BY question ORDER BY doc_id) AS rank FROM a), n AS (SELECT question, count(*) AS n FROM a GROUP BY question), f AS (SELECT question, entity, count(*) AS df FROM m GROUP BY question, entity),
-s AS (SELECT DISTINCT question, entity FROM m JOIN r USING (question, passage) WHERE rank <= 10)
-SELECT question, entity, round(CASE WHEN ln((n + 1) / (df + 0.5)) > 0 THEN ln((n + 1) / (df + 0.5)) ELSE 1e-6 END, 9) AS weight FROM s JOIN f USING (question, entity) JOIN n USING (question)""",
+    "seed_weights": f"WITH {_QUESTIONS}, {ARTICLES}, " + _bm25("article_rows", "doc_id", "body", 1.5, 0.75, True, queries=f"searched AS (SELECT DISTINCT question AS query_id, question || ' {PHRASE}' AS text FROM a)") + """, r AS (SELECT question, a.doc_id AS passage, row_number() OVER (PARTITION BY question ORDER BY coalesce(score, 0) DESC, a.doc_id) AS rank FROM a LEFT JOIN scored ON query_id = question AND doc = a.doc_id),
+n AS (SELECT question, count(*) AS n FROM a GROUP BY question), f AS (SELECT question, entity, count(*) AS df FROM m GROUP BY question, entity),
+s AS (SELECT DISTINCT question, entity FROM m JOIN r USING (question, passage) WHERE r.rank <= 10)
+SELECT question, entity, round(CASE WHEN ln((n.n + 1) / (f.df + 0.5)) > 0 THEN ln((n.n + 1) / (f.df + 0.5)) ELSE 1e-6 END, 9) AS weight FROM s JOIN f USING (question, entity) JOIN n USING (question)""",
+    "neighbors_temporal": " UNION ALL ".join(f"SELECT * FROM ({_reach(_BOTH, _KIND.format('topic'), 2)}{_CAPPED.replace('SELECT root, id, hop', f'SELECT root, id, hop, {t}::BIGINT AS as_of')})".replace(str(NOW), str(t)) for t in INSTANTS),
+    "search_expand": f"WITH {_ALIVE}, {_BOTH}, names AS (SELECT * FROM node_rows WHERE {VALID}), " + _bm25("names", "write_cursor", "body", 1.5, 0.75, True, queries="searched AS (SELECT DISTINCT logical_id AS query_id, body AS text FROM hub_node)") + """,
+h AS (SELECT query_id, logical_id FROM ranked JOIN names ON doc = write_cursor WHERE rank <= 5), near AS (SELECT DISTINCT a AS root, b AS id FROM step WHERE a IN (SELECT logical_id FROM h) AND a IN (SELECT id FROM alive) AND a <> b),
+capped AS (SELECT root, id FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY id) AS place FROM near) WHERE place <= 50)
+SELECT query_id, logical_id, 'hit' AS origin, 0 AS hop FROM h UNION ALL SELECT DISTINCT query_id, id, 'expanded', 1 FROM h JOIN capped ON root = logical_id WHERE (query_id, id) NOT IN (SELECT (query_id, logical_id) FROM h)""",
 }
-_ = SEARCHED

@@ -1,14 +1,14 @@
 """Metric, statistic, source and streaming queries (A5-A24, S10-S11, W3, 2.12)."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quarry.operators import evalkit, fusion, metrics
+from quarry.operators.prefix import following
 from quarry.plans.frames import NODES, as_integers, nodes
 from quarry.plans.fusion_queries import _POOL, _pool, _ranked_pool
-from quarry.session import table
+from quarry.session import shared_folder, table
 from quarry.sources import corpus
 from quarry.streaming import projection
 
@@ -51,10 +51,8 @@ def abstentions(spark, d):
 
 
 def token_f1(spark, d):
-    """Node names against the name of the next node of their kind, as answers."""
-    from pyspark.sql.window import Window
-
-    n = nodes(spark, d).withColumn("gold", F.lead("body").over(Window.partitionBy("kind").orderBy("write_cursor"))).filter("gold IS NOT NULL")
+    """Node names against the name of the next node of their kind, as answers; a kind of any size is cut into blocks."""
+    n = following(nodes(spark, d), ["kind"], ["write_cursor"], ["body"]).withColumnRenamed("next_body", "gold").filter("gold IS NOT NULL")
     return metrics.answer_scores(n, "body", "gold").select("write_cursor", "em", F.round("f1", 6).alias("f1"))
 
 
@@ -101,13 +99,25 @@ def win_rates(spark, d):
     return metrics.win_rates(a.join(b, "query_id").select(F.lit("base").alias("arm"), outcome.alias("outcome")))
 
 
+def win_rate_interval(spark, d):
+    """The rate with its interval, outcomes of one query class being one cluster (no SQL counterpart: seeded draws)."""
+    m = _arm_metrics(spark, d)
+    a, b = m.filter("arm = 'base'").select("query_id", "query_class", F.col("value").alias("x")), m.filter("arm = 'ce'").select("query_id", F.col("value").alias("y"))
+    outcome = F.when(F.col("x") > F.col("y"), "win").when(F.col("x") == F.col("y"), "tie").otherwise("loss")
+    return evalkit.win_rate_intervals(a.join(b, "query_id").select(F.lit("base").alias("arm"), "query_id", outcome.alias("outcome")), "arm", "query_id", "outcome")
+
+
 def decision_rule(spark, d):
     facts = oracle_bound(spark, d)
     return metrics.decide(facts, [("go", "best_arm_mean >= 0.9"), ("look", "best_arm_mean >= 0.5")], "no_go").select("query_class", "decision")
 
 
 def gold_issues(spark, d):
-    return metrics.gold_issues(_gold(spark, d), table(spark, d, "article"))
+    """Gold with faults put in: supporting evidence twice, documents renamed, required evidence taken out, each by the first digit of the document."""
+    gold, digit = _gold(spark, d), F.substring("doc_id", 1, 1)
+    broken = gold.filter(~((F.col("necessity") == "required") & digit.isin("0", "1", "2", "3", "4", "5"))).unionByName(gold.filter("necessity = 'supporting'").filter(digit.isin("6", "7")))
+    renamed = broken.withColumn("doc_id", F.when(digit == "8", F.concat(F.lit("no-"), "doc_id")).otherwise(F.col("doc_id")))
+    return metrics.gold_issues(renamed, table(spark, d, "article"))
 
 
 def perturbed_ranks(spark, d):
@@ -150,9 +160,8 @@ def telemetry_events(spark, d):
 
 def _streamed(spark, d):
     """The events file as a stream, and a place for its checkpoint and output in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
     schema = table(spark, d, "events").schema
-    return projection.source(spark, f"{d}/events.parquet", schema), f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return projection.source(spark, f"{d}/events.parquet", schema), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_projection_equals_batch(spark, d):
@@ -163,7 +172,15 @@ def stream_projection_equals_batch(spark, d):
     return spark.read.parquet(f"{work}/out").groupBy("event_type").agg(F.sum("events").alias("events"), F.round(F.sum("total"), 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_recall_ladder, hit_mrr_ndcg, multi_hop_recall, gold_ranks, abstentions, token_f1, auc_rank, coverage_prf, confusion_matrix, paired_deltas, oracle_bound, win_rates, decision_rule, gold_issues, perturbed_ranks, percentile_ceil, perf_regressions, bootstrap_ci, telemetry_gold, telemetry_events, stream_projection_equals_batch)}
+def stream_latest_state(spark, d):
+    """The last event of each (type, user), kept by micro-batches."""
+    stream, work = _streamed(spark, d)
+    log = stream.select("event_type", "user_id", "event_id", "value")
+    projection.drain(projection.latest_state_stream(log, ["event_type", "user_id"], ["event_id"], f"{work}/state", f"{work}/checkpoint"))
+    return projection.read_state(spark, f"{work}/state", ["event_type", "user_id"], ["event_id"])
+
+
+QUERIES = {f.__name__: f for f in (evidence_recall_ladder, hit_mrr_ndcg, multi_hop_recall, gold_ranks, abstentions, token_f1, auc_rank, coverage_prf, confusion_matrix, paired_deltas, oracle_bound, win_rates, win_rate_interval, decision_rule, gold_issues, perturbed_ranks, percentile_ceil, perf_regressions, bootstrap_ci, telemetry_gold, telemetry_events, stream_projection_equals_batch, stream_latest_state)}
 
 _CTE = f"""WITH {_POOL}, classes AS (SELECT query_id, coalesce(max(query_class), 'none') AS query_class FROM pool GROUP BY query_id),
 shares AS (SELECT *, percent_rank() OVER (PARTITION BY query_id ORDER BY ce DESC NULLS LAST) AS p FROM pool),
@@ -199,14 +216,24 @@ SELECT g AS gold_items, f AS found_items, m AS matched, round(m / g, 4) AS recal
     "oracle_bound": _CTE + _ARM + _BOUND + " SELECT query_class, best_arm_mean FROM bound",
     "win_rates": _CTE + _ARM + " SELECT 'base' AS arm, count(*) AS n, round(avg(CASE WHEN a.value > b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0.0 END), 4) AS win_rate FROM (SELECT * FROM m WHERE arm = 'base') AS a JOIN (SELECT query_id, value FROM m WHERE arm = 'ce') AS b USING (query_id)",
     "decision_rule": _CTE + _ARM + _BOUND + " SELECT query_class, CASE WHEN best_arm_mean >= 0.9 THEN 'go' WHEN best_arm_mean >= 0.5 THEN 'look' ELSE 'no_go' END AS decision FROM bound",
-    "gold_issues": _CTE + """ SELECT 'no such document' AS issue, query_id, doc_id FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM article)
-UNION ALL SELECT 'nothing required', query_id, NULL FROM gold GROUP BY query_id HAVING count(*) FILTER (necessity = 'required') = 0""",
+    "gold_issues": _CTE + """, broken AS (SELECT * FROM gold WHERE NOT (necessity = 'required' AND doc_id[1] IN ('0', '1', '2', '3', '4', '5')) UNION ALL SELECT * FROM gold WHERE necessity = 'supporting' AND doc_id[1] IN ('6', '7')),
+named AS (SELECT query_id, CASE WHEN doc_id[1] = '8' THEN 'no-' || doc_id ELSE doc_id END AS doc_id, necessity FROM broken)
+SELECT 'repeated evidence' AS issue, query_id, doc_id FROM named GROUP BY query_id, doc_id HAVING count(*) > 1 UNION ALL SELECT 'no such document', query_id, doc_id FROM named WHERE doc_id NOT IN (SELECT doc_id FROM article)
+UNION ALL SELECT 'nothing required', query_id, NULL FROM named GROUP BY query_id HAVING count(*) FILTER (necessity = 'required') = 0""",
     "perturbed_ranks": _CTE + """, s AS (SELECT r.query_id, r.doc_id, g.doc_id IS NOT NULL AS own, row_number() OVER (PARTITION BY r.query_id ORDER BY rank + CASE WHEN g.doc_id IS NOT NULL THEN 5.5 ELSE 0 END, r.doc_id) AS rank FROM ranked_pool r LEFT JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id)
 SELECT query_id, min(rank) AS first_rank, max(rank) AS full_rank FROM s WHERE own GROUP BY query_id""",
     "percentile_ceil": "WITH o AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT 0.5::DOUBLE AS p, value FROM o WHERE r = ceil(0.5 * n) UNION ALL SELECT 0.99, value FROM o WHERE r = ceil(0.99 * n)",
     "perf_regressions": """WITH runs AS (SELECT event_type AS metric, cast(ts AS DATE) AS run_at, round(avg(value), 6) AS value FROM events GROUP BY ALL)
 SELECT metric, run_at, coalesce(value > 1.15 * quantile_cont(value, 0.5) OVER (PARTITION BY metric ORDER BY run_at ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) AS regressed FROM runs""",
     "telemetry_events": f"WITH {_POOL} SELECT query_id, cast(length(query_id) AS INTEGER) AS query_chars, cast(count(*) AS INTEGER) AS results, cast(count(*) AS INTEGER) AS arms FROM ranked_pool WHERE rank <= 5 GROUP BY query_id",
+    "telemetry_gold": """WITH e AS (SELECT event_id, event_type = 'view' AS opens, user_id FROM events WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL),
+t AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
+l AS (SELECT *, least(min(total) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS low FROM t),
+o AS (SELECT *, NOT opens AND low < coalesce(lag(low) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS orphan FROM l),
+n AS (SELECT user_id, event_id, opens, total - low + CASE WHEN opens THEN 0 ELSE 1 END AS depth FROM o WHERE NOT orphan),
+p AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id, depth ORDER BY event_id) AS candidate, lag(opens) OVER (PARTITION BY user_id, depth ORDER BY event_id) AS opened FROM n)
+SELECT cast(user_id AS VARCHAR) AS query_id, candidate, event_id AS relevant FROM p WHERE NOT opens AND opened""",
+    "stream_latest_state": "SELECT event_type, user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type, user_id",
     "stream_projection_equals_batch": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY event_type",
 }
 

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import lifecycle, projections, providers, reads
+from quarry.operators import lifecycle, projections, providers, reads, textindex
 from quarry.operators.filters import Filter, Json, source_type
 from quarry.operators.projections import Projection
-from quarry.operators.views import DEFAULT_VIEW, ReadView
-from quarry.plans.frames import EDGES, LIVE, NODES, NOW, VALID, edges, nodes
+from quarry.operators.textindex import Okapi
+from quarry.operators.views import ReadView
+from quarry.plans.frames import ARTICLES, EDGES, NODES, NOW, VALID, articles, edges, nodes, searches
+from quarry.plans.text_queries import _bm25
 from quarry.session import table
 from quarry.sources import corpus
 
@@ -43,8 +45,12 @@ def read_list_limited(spark, d):
 
 
 def filter_constant_fold(spark, d):
-    """A contradiction answers without reading."""
-    return reads.list_nodes(nodes(spark, d), "person", NOW, where=Filter(kind="place")).select("logical_id")
+    """What a list of persons finds under filters on the kind: its own, none, and a contradiction, which is answered without reading."""
+    out = None
+    for name, where in (("own", Filter(kind="person")), ("none", Filter()), ("contradiction", Filter(kind="place"))):
+        one = reads.list_nodes(nodes(spark, d), "person", NOW, where=where, limit=1000).agg(F.count(F.lit(1)).alias("nodes")).select(F.lit(name).alias("filter"), "nodes")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def envelope_filter(spark, d):
@@ -65,10 +71,11 @@ def nested_attribute_projection(spark, d):
 
 
 def projected_text_search(spark, d):
-    """Nodes by a searchable projection's text."""
-    attrs = projections.attributes(order_nodes(spark, d), {"status": Projection("status", frozenset({"searchable"}), full_text=True)})
-    hits = projections.projected_text(attrs, "status").filter("term = 'p'")
-    return hits.select(F.col("doc").alias("write_cursor"), "tf", "length")
+    """Articles by the text of a searchable projection, their titles, ranked (F8)."""
+    rows = articles(spark, d).select(F.col("doc_id").alias("write_cursor"), F.to_json(F.struct("title")).alias("body"))
+    attrs = projections.attributes(rows, {"title": Projection("title", frozenset({"searchable"}), full_text=True)}).filter("attr_name = 'title'")
+    hits = textindex.bm25(attrs, "write_cursor", F.col("attr_value"), searches(spark), Okapi(1.2, 0.75), every=False)
+    return textindex.top(hits, 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
 
 
 def source_types(spark, d):
@@ -156,11 +163,14 @@ def erase_source_report(spark, d):
 
 
 def purge_cascade(spark, d):
-    """Purging every pending node with its edges, as one anti-join."""
+    """What is left after every pending node is purged: nodes, edges and, as a shadow, the names of nodes."""
     n, e = nodes(spark, d), edges(spark, d)
-    gone = n.filter("state = 'pending'").select("logical_id").distinct()
-    left = e.join(gone.withColumnRenamed("logical_id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("logical_id", "to_id"), "to_id", "left_anti")
-    return left.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
+    kept_nodes, kept_edges, shadows = lifecycle.purge_all(n, e, n.filter("state = 'pending'"), {"names": n.filter("body IS NOT NULL").select("write_cursor", "kind")})
+    out = None
+    for name, t in (("node", kept_nodes), ("edge", kept_edges), ("name", shadows["names"])):
+        one = t.groupBy("kind").agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def trace_lineage(spark, d):
@@ -221,7 +231,7 @@ def embedding_readiness(spark, d):
 
 def stable_digests(spark, d):
     lines = corpus.stable_lines(table(spark, d, "mix_target").withColumn("target_share", F.col("target_share").cast("string")), "source")
-    return lines.select("source", F.length("line").alias("n_chars"), F.length("digest").alias("n_digest"))
+    return lines.select("source", "line", "digest")
 
 
 def cache_misses(spark, d):
@@ -239,12 +249,12 @@ SQL = {
     "read_get_many": f"WITH {NODES}, {EDGES}, ids AS (SELECT DISTINCT from_id AS logical_id FROM edge_rows WHERE from_id IS NOT NULL), seen AS (SELECT * FROM node_rows WHERE {VALID}) SELECT logical_id, write_cursor, body FROM ids LEFT JOIN seen USING (logical_id)",
     "read_list_typed_predicates": f"WITH {_O} SELECT logical_id FROM o WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderstatus = 'O' AND level <= 2",
     "read_list_limited": f"WITH {NODES} SELECT write_cursor, logical_id FROM node_rows WHERE kind = 'person' AND {VALID} ORDER BY write_cursor LIMIT 100",
-    "filter_constant_fold": f"WITH {NODES} SELECT logical_id FROM node_rows WHERE kind = 'person' AND kind = 'place'",
+    "filter_constant_fold": f"WITH {NODES}, p AS (SELECT least(count(*), 1000) AS n FROM node_rows WHERE kind = 'person' AND {VALID}) SELECT 'own' AS filter, n AS nodes FROM p UNION ALL SELECT 'none', n FROM p UNION ALL SELECT 'contradiction', 0",
     "envelope_filter": f"WITH {_O} SELECT logical_id FROM o WHERE o_orderstatus = 'F' AND born >= {ORDER_NOW}",
     "attribute_filter": f"WITH {_O} SELECT logical_id FROM o WHERE o_orderkey % 11 <> 0 AND level = 1",
     "nested_attribute_projection": f"""WITH {_O}, ok AS (SELECT * FROM o WHERE o_orderkey % 11 <> 0)
 SELECT 'customer' AS attr_name, cast(o_custkey AS VARCHAR) AS attr_value, {_COUNT} nodes FROM ok GROUP BY o_custkey UNION ALL SELECT 'status', o_orderstatus, count(*) FROM ok GROUP BY o_orderstatus""",
-    "projected_text_search": f"WITH {_O} SELECT o_orderkey AS write_cursor, 1::BIGINT AS tf, 1 AS length FROM o WHERE o_orderkey % 11 <> 0 AND lower(o_orderstatus) = 'p'",
+    "projected_text_search": f"WITH {ARTICLES}, " + _bm25("article_rows", "doc_id", "title", 1.2, 0.75, False, extra="WHERE title IS NOT NULL") + "SELECT query_id, doc AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
     "source_types": "SELECT CASE WHEN source_type IN ('email', 'article', 'paper', 'meeting', 'note', 'todo') THEN source_type WHEN source_type = 'doc' THEN 'article' END AS source_type, count(*) AS documents FROM documents GROUP BY 1",
     "page_after_id": "SELECT event_id AS id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 1000",
     "valid_as_of": f"WITH {_O} SELECT logical_id FROM o WHERE born <= {ORDER_NOW} AND born + 86400 * (o_orderkey % 90) > {ORDER_NOW}",
@@ -262,7 +272,9 @@ SELECT logical_id, day, write_cursor FROM days JOIN w USING (logical_id) WHERE b
     "lifecycle_states": f"WITH {NODES} SELECT logical_id, 'active' AS state, 2 AS accepted, 1 AS refused FROM node_rows WHERE state IN ('active', 'pending')",
     "erase_source_residue": f"WITH {NODES} SELECT kind, {_COUNT} nodes FROM node_rows WHERE source_id IS NULL OR source_id <> 'seed-import' GROUP BY kind",
     "erase_source_report": f"WITH {NODES}, {EDGES} SELECT 'node' AS table_name, {_COUNT} erased FROM node_rows WHERE source_id = 'seed-import' UNION ALL SELECT 'edge', count(*) FROM edge_rows WHERE source_id = 'seed-import'",
-    "purge_cascade": f"WITH {NODES}, {EDGES}, gone AS (SELECT logical_id FROM node_rows WHERE state = 'pending') SELECT kind, {_COUNT} edges FROM edge_rows WHERE NOT coalesce(from_id IN (SELECT logical_id FROM gone), false) AND NOT coalesce(to_id IN (SELECT logical_id FROM gone), false) GROUP BY kind",
+    "purge_cascade": f"""WITH {NODES}, {EDGES}, gone AS (SELECT logical_id FROM node_rows WHERE state = 'pending'), kept AS (SELECT * FROM node_rows WHERE logical_id IS NULL OR logical_id NOT IN (SELECT logical_id FROM gone WHERE logical_id IS NOT NULL))
+SELECT kind, {_COUNT} row_count, 'node' AS table_name FROM kept GROUP BY kind UNION ALL SELECT kind, count(*), 'name' FROM kept WHERE body IS NOT NULL GROUP BY kind
+UNION ALL SELECT kind, count(*), 'edge' FROM edge_rows WHERE NOT coalesce(from_id IN (SELECT logical_id FROM gone), false) AND NOT coalesce(to_id IN (SELECT logical_id FROM gone), false) GROUP BY kind""",
     "trace_lineage": f"WITH {NODES}, {EDGES} SELECT 'node' AS row_kind, write_cursor FROM node_rows WHERE source_id = 'seed-import' UNION ALL SELECT 'edge', write_cursor FROM edge_rows WHERE source_id = 'seed-import'",
     "row_counts": f"WITH {NODES}, {EDGES} SELECT 'node' AS table_name, {_COUNT} row_count FROM node_rows UNION ALL SELECT 'edge', count(*) FROM edge_rows UNION ALL SELECT 'article', count(*) FROM article",
     "provenance_census": f"WITH {EDGES} SELECT source_id, {_COUNT} row_count, count(*) FILTER (superseded_at IS NULL) AS current_rows, count(logical_id) AS addressable_rows, coalesce(bool_or(source_id LIKE '\\_%' ESCAPE '\\'), false) AS reserved FROM edge_rows GROUP BY source_id",
@@ -288,6 +300,6 @@ SELECT is_current, count(*) AS facts FROM (SELECT is_current FROM old UNION ALL
     "embedding_readiness": """WITH a AS (SELECT DISTINCT doc_id, source_type AS kind FROM article), ok AS (SELECT DISTINCT doc_id FROM embshim_vector WHERE len(embedding) = 384), bad AS (SELECT DISTINCT doc_id FROM embshim_vector WHERE len(embedding) <> 384),
 c AS (SELECT kind, count(*) AS total, count(ok.doc_id) AS ready, count(*) FILTER (ok.doc_id IS NULL AND bad.doc_id IS NOT NULL) AS failed FROM a LEFT JOIN ok USING (doc_id) LEFT JOIN bad USING (doc_id) GROUP BY kind)
 SELECT *, total - ready - failed AS pending, CASE WHEN total - ready - failed > 0 THEN 'pending' WHEN failed > 0 THEN 'failed' ELSE 'up_to_date' END AS state FROM c""",
+    "stable_digests": """WITH l AS (SELECT source, '{"max_repeat":' || max_repeat || ',"source":"' || source || '","target_share":"' || target_share || '"}' AS line FROM mix_target) SELECT source, line, sha256(line) AS digest FROM l""",
     "cache_misses": "SELECT DISTINCT doc_id FROM article WHERE doc_id NOT IN (SELECT doc_id FROM embshim_vector WHERE doc_id IS NOT NULL)",
 }
-_ = (DEFAULT_VIEW, LIVE)

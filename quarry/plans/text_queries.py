@@ -68,10 +68,14 @@ def text_one_per_body(spark, d):
 
 
 def bm25_porter(spark, d):
-    """Search under Porter stems of folded terms (no SQL counterpart)."""
-    index = textindex.stemmed_index(textindex.postings(_docs(spark, d), "doc_id", {"text": F.col("text")}))
-    asked = textindex.query_terms(searches(spark), True).withColumn("stem", textindex.stemmed(F.col("term"))).select("query_id", F.col("stem").alias("term")).distinct()
-    hits = index.join(F.broadcast(asked), "term").groupBy("query_id", "doc").agg(F.sum("tf").cast("double").alias("score"))
+    """Search under Porter stems of folded terms (no SQL counterpart: stems)."""
+    hits = textindex.bm25(_docs(spark, d), "doc_id", F.col("text"), searches(spark), stems=True)
+    return textindex.top(hits, 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
+
+
+def tfidf_cosine(spark, d):
+    """The ten documents with the largest TF-IDF cosine to each search."""
+    hits = evalkit.tfidf_cosine(_docs(spark, d), "doc_id", terms(F.col("text")), searches(spark))
     return textindex.top(hits, 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
 
 
@@ -133,7 +137,7 @@ _TOPK = "WITH " + _bm25("documents", "doc_id", "text", 1.5, 0.75)
 _FACTS = f"WITH {EDGES}, " + _bm25("edge_rows", "write_cursor", "body", 1.5, 0.75, False, extra=f"WHERE {LIVE} AND body IS NOT NULL")
 _BLANK = r"[ \t\n\x0b\f\r]+"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus, bm25_fielded, bm25_batch_queries, bm25_title_queries, text_prefix_limit, content_or_match, text_edge_facts, text_one_per_body, bm25_porter, chunk_words, paragraph_chunks, tfidf_terms, intent_classifier, canonical_names, enriched_text)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus, bm25_fielded, bm25_batch_queries, bm25_title_queries, text_prefix_limit, content_or_match, text_edge_facts, text_one_per_body, bm25_porter, chunk_words, paragraph_chunks, tfidf_terms, tfidf_cosine, intent_classifier, canonical_names, enriched_text)}
 
 SQL = {
     "bm25_topk": _TOPK + "SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10",
@@ -169,6 +173,16 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term), dfs
 raw AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (term), n),
 unit AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM raw)
 SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM unit) WHERE r = 1
+""",
+    "tfidf_cosine": f"""
+WITH {SEARCHED}, tok AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+tf AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY doc, term), dfs AS (SELECT term, ln(n / count(*)) + 1 AS idf FROM tf, n GROUP BY term, n),
+norms AS (SELECT doc, sqrt(sum(tf * idf * tf * idf)) AS z FROM tf JOIN dfs USING (term) GROUP BY doc),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM searched) GROUP BY query_id, term),
+qw AS (SELECT query_id, term, qf * idf AS w, idf FROM q JOIN dfs USING (term)), qn AS (SELECT query_id, sqrt(sum(w * w)) AS z FROM qw GROUP BY query_id),
+scored AS (SELECT query_id, doc, round(sum(w * tf * idf) / (any_value(norms.z) * any_value(qn.z)), 9) AS score FROM tf JOIN qw USING (term) JOIN norms USING (doc) JOIN qn USING (query_id) GROUP BY query_id, doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM scored)
+SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10
 """,
     "enriched_text": f"""
 WITH {ARTICLES}, names AS (SELECT DISTINCT doc_id, e.surface AS name FROM (SELECT doc_id, unnest(entity_ids) AS e FROM article) WHERE e.surface IS NOT NULL),
@@ -177,4 +191,4 @@ SELECT doc_id, md5(CASE WHEN body IS NULL THEN coalesce(names, '') WHEN names IS
 """,
 }
 
-SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"], "bm25_title_queries": ["rank"]})
+SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"], "tfidf_cosine": ["rank"], "bm25_title_queries": ["rank"]})

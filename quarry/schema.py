@@ -15,8 +15,12 @@ EDGE = "write_cursor long, logical_id string, kind string, from_id string, to_id
 LOG = "id long, collection_name string, record_key string, op_kind string, payload_json string, schema_id string, write_cursor long"
 STATE = "collection_name string, record_key string, payload_json string, schema_id string, write_cursor long"
 ATTRIBUTE = "write_cursor long, attr_name string, attr_value string"
-VECTOR = "write_cursor long, embedding array<float>, source_type string, kind string, created_at long, status string"
-TABLES = {"nodes": NODE, "edges": EDGE, "log": LOG, "state": STATE, "attributes": ATTRIBUTE, "vectors": VECTOR}
+VECTOR = "write_cursor long, embedding array<float>, source_type string, kind string, created_at long, status string, centred array<float>, bits array<long>"
+END = "write_cursor long, superseded_at long"
+PUBLIC = {"nodes": NODE, "edges": EDGE, "log": LOG, "state": STATE, "attributes": ATTRIBUTE, "vectors": VECTOR}
+#: Where the ends of superseded versions are noted.
+ENDS = {"nodes": "node_ends", "edges": "edge_ends"}
+TABLES = PUBLIC | dict.fromkeys(ENDS.values(), END)
 
 #: Versions of the layout, oldest first: (version, table, column and type added).  Steps are contiguous and only forward.
 VERSIONS: list[tuple[int, str, str]] = [(1, "nodes", "write_cursor long"), (2, "nodes", "row_kind string"), (3, "nodes", "importance double"), (4, "edges", "temporal_fallback int"), (5, "nodes", "status string")]

@@ -37,19 +37,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and forget its lineage.
 
     The files go to the folder the cluster names in ``spark.checkpoint.dir``, so they
-    outlive an executor.  Only where that setting is absent and no folder has been set
-    (tests, a laptop) a temporary one is made.
+    outlive an executor.  Only where that setting is absent, no folder has been set and the master is
+    local (tests, a laptop) a temporary one is made.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="quarry-checkpoint-")
-            atexit.register(shutil.rmtree, shared, True)
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a temporary one where it names none and all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
 def shuffle_width(df: DataFrame) -> int:
     """The number of partitions an explicit range partitioning should use."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

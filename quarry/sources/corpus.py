@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.storage import Store
+
 DOCUMENT = (
     "doc_id string, source_type string, title string, body string, created_at string, modified_at string, author_or_sender string, recipients array<string>, "
     "people_mentions array<string>, project_mentions array<string>, tags array<string>, url_or_external_id string, thread_id string, parent_doc_id string, "
@@ -48,25 +48,34 @@ def stable_lines(rows: DataFrame, order: str) -> DataFrame:
     return rows.select(F.col(order), line.alias("line")).withColumn("digest", F.sha2("line", 256))
 
 
-def export(tables: dict[str, DataFrame], out: str) -> dict:
-    """Parquet of every table with a manifest of row counts and file digests; a folder that exists is refused."""
-    root = Path(out)
-    if root.exists():
+def _digests(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """(file, digest) of a table's Parquet files, hashed where they are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{out}/{table}")
+    return files.select(F.concat(F.lit(f"{table}/"), F.element_at(F.split("path", "/"), -1)).alias("file"), F.sha2("content", 256).alias("digest"))
+
+
+def export(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> dict:
+    """Parquet of every table with a manifest of row counts and file digests; a folder that exists is refused.
+
+    The driver holds the manifest, a line per file.
+    """
+    store = Store(spark, out)
+    if store.exists():
         raise FileExistsError(out)
     manifest = {}
     for name, t in tables.items():
-        t.write.parquet(f"{out}/{name}")
-        files = sorted(p for p in (root / name).rglob("*.parquet"))
-        manifest[name] = {"rows": t.sparkSession.read.parquet(f"{out}/{name}").count(), "files": {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in files}}
-    (root / "manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=1))
+        t.write.parquet(store.at(name))
+        manifest[name] = {"rows": spark.read.schema(t.schema).parquet(store.at(name)).count(), "files": {r.file: r.digest for r in _digests(spark, store.at(), name).collect()}}
+    store.write_new("manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
     return manifest
 
 
-def verify_export(out: str) -> list[str]:
+def verify_export(spark: SparkSession, out: str) -> list[str]:
     """Files whose digest isn't the manifest's."""
-    root = Path(out)
-    manifest = json.loads((root / "manifest.json").read_text())
-    return [f for t in manifest.values() for f, d in t["files"].items() if not (root / f).exists() or hashlib.sha256((root / f).read_bytes()).hexdigest() != d]
+    store = Store(spark, out)
+    manifest = json.loads(store.read("manifest.json"))
+    found = {r.file: r.digest for name in manifest for r in _digests(spark, store.at(), name).collect()}
+    return sorted(f for t in manifest.values() for f, d in t["files"].items() if found.get(f) != d)
 
 
 EVENT = "type string, query_id string, schema_version int, query_chars int, result_ids array<long>, arm_of map<string,string>, relevant_ids array<long>, irrelevant_ids array<long>, label_source string"

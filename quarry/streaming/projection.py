@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,28 +54,24 @@ def drain(query: StreamingQuery) -> None:
 
 
 def latest_state_stream(stream: DataFrame, keys: list[str], order: list[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key: every micro-batch is merged with the version before it into a new one.
+    """Keep the latest row of each key: every micro-batch adds its own latest rows, and reading takes the latest of all.
 
-    Versions are folders; a pointer file names the current one and is replaced last.
+    A batch writes no more than it holds, into a folder of its own, so a repeated batch replaces itself.
     """
-    pointer = Path(out) / "CURRENT"
-    Path(out).mkdir(parents=True, exist_ok=True)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        now = f"{out}/v={batch_id}"
-        rows = batch
-        if pointer.exists() and (before := pointer.read_text()) != now:
-            rows = batch.unionByName(batch.sparkSession.read.parquet(before))
-        latest_state(rows, keys, order).write.mode("overwrite").parquet(now)
-        fresh = pointer.with_suffix(".next")
-        fresh.write_text(now)
-        fresh.replace(pointer)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        latest_state(batch, keys, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_state(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet((Path(out) / "CURRENT").read_text())
+def read_state(spark: SparkSession, out: str, keys: list[str], order: list[str]) -> DataFrame:
+    return latest_state(spark.read.parquet(out).drop("batch"), keys, order)
+
+
+def compact_state(spark: SparkSession, out: str, keys: list[str], order: list[str], into: str) -> None:
+    """The state as one table at ``into``, for a reader that shouldn't see its history."""
+    read_state(spark, out, keys, order).write.parquet(into)
 
 
 def projection_cursor(query: StreamingQuery) -> int:

@@ -1,5 +1,6 @@
 import json
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def test_write_and_read(engine, spark):
     assert r["cursor"] == 7 and engine.get("n0").first().body == "alpha omega"
     history = {x.write_cursor: x.superseded_at for x in engine.table("nodes").filter("logical_id = 'n0'").collect()}
     assert history == {1: 7, 7: None}
-    assert Engine(spark, str(engine.path)).get("n0").first().body == "alpha omega"  # a fresh one sees the commit
+    assert Engine(spark, engine.path).get("n0").first().body == "alpha omega"  # a fresh one sees the commit
 
 
 def test_dangling_is_reported(engine):
@@ -64,7 +65,7 @@ def test_erasure_leaves_no_bytes(engine):
     report = engine.erase_source("src0")
     assert report["nodes"] == 3 and report["edges"] == 1
     assert engine.erase_source("src0")["nodes"] == 0
-    assert not any(b"SECRETWORD" in p.read_bytes() or b"alpha beta" in p.read_bytes() for p in engine.path.rglob("*.parquet"))
+    assert not any(b"SECRETWORD" in p.read_bytes() or b"alpha beta" in p.read_bytes() for p in Path(engine.path).rglob("*.parquet"))
     assert {r.logical_id for r in engine.table("nodes").collect()} == {"n1", "n3"}
 
 
@@ -141,17 +142,17 @@ def test_graph_and_diagnostics(engine, tmp_path):
     assert manifest["nodes"]["rows"] == 4
     from quarry.sources.corpus import verify_export
 
-    assert verify_export(str(tmp_path / "x")) == []
+    assert verify_export(engine.spark, str(tmp_path / "x")) == []
     assert engine.trace("src0").count() == 3 and {r.table_name: r.row_count for r in engine.dump_row_counts().collect()}["edges"] == 2
 
 
 def test_telemetry(engine, spark, tmp_path):
     from quarry.sources.corpus import EVENT, gold_records
 
-    engine.enable_telemetry(str(tmp_path / "t.jsonl"))
+    engine.enable_telemetry(str(tmp_path / "events"))
     engine.search("alpha").collect()
     engine.record_feedback(engine.last_query_id, [1], [2, 1], "user")
-    log = spark.read.schema(EVENT).json(str(tmp_path / "t.jsonl")).withColumn("n", F.monotonically_increasing_id())
+    log = spark.read.schema(EVENT).json(str(tmp_path / "events")).withColumn("n", F.monotonically_increasing_id())
     (r,) = gold_records(log, "n").collect()
     assert r.labels == {1: 0, 2: 0} and set(r.candidate_ids) == {1, 5}
 
@@ -173,3 +174,112 @@ def test_dense_refusal(engine, spark):
     assert engine.dense_disabled and engine.search("alpha").count() >= 1
     engine.verify_embedder(a, a)
     assert not engine.dense_disabled
+
+
+def test_the_filter_comes_before_the_nearest_vectors(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"), now=lambda: 1000, embedder=hashing_embedder(32), dim=32)
+    e.write([node(i, f"alpha beta {i}") for i in range(30)] + [node(40, "gamma delta", "email")])
+    e.project_vectors()
+    (hit,) = e.search("alpha beta", Filter(kind="email")).collect()
+    assert hit.logical_id == "n40" and hit.vector_rank == 1 and hit.text_rank is None
+    # Vectors of superseded versions neither fill the ten nor come back.
+    e.write([node(i, f"alpha beta new {i}") for i in range(30)])
+    assert e.project_vectors() == 61
+    hits = e.search("alpha beta").collect()
+    assert all(h.vector_rank is not None and "new" in h.body for h in hits) and len(hits) == 10
+    e.compact()
+    assert e.table("vectors").count() == 31 and [h.id for h in e.search("alpha beta").collect()] == [h.id for h in hits]
+
+
+def test_searches_stem_and_fold(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"), now=lambda: 1000)
+    e.write([node(1, "she was running to the café"), node(2, "nothing else here")])
+    for query in ("run", "cafe", "Café", "runs", "RUNNING"):
+        assert [h.logical_id for h in e.search(query).collect()] == ["n1"]
+        assert e.search_text_only(query).count() == 1 and e.bm25f_search(query).count() == 1
+
+
+def test_explanation(engine):
+    engine.project_vectors()
+    x = engine.search_explained("alpha beta", use_graph_arm=True, rerank_depth=5, scorer=lambda q, ps: [1.0] * len(ps))
+    hits, why = x.hits.collect(), x.per_hit.collect()
+    assert [h.write_cursor for h in hits] == [w.id for w in why] and all(w.ce_score is not None and w.blended is not None for w in why)
+    assert {w.arm for w in why} <= {"vector", "text", "graph"} and x.trace["missing"] == []
+    assert x.trace["query_chars"] == 10 and x.trace["text_hits"] == 3 and x.trace["vector_hits"] == 2 and x.trace["graph_hits"] >= 2 and x.trace["ce_active"]
+    assert "beta" not in json.dumps(x.trace)
+    engine.write([node(10, '{"rank": 1, "text": "alpha"}', "todo")])
+    engine.configure_projections([Projection("rank")])
+    t = engine.search_explained("alpha", Filter(attributes={"rank": 1})).trace
+    assert t["dropped_edge_hits"] == 1 and t["text_hits"] == 1
+    assert engine.search_explained("zzz").trace["missing"] == ["text"]
+
+
+def test_graph_arm_is_bounded_and_weighed(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"), now=lambda: 1000)
+    people = [node(i, f"person number {i}") for i in range(60)]
+    links = [{"kind": "knows", "from": f"n{i}", "to": f"n{30 + i}", "source_id": f"edge{i}", "body": "meets often", "confidence": 0.1 if i == 0 else 0.9} for i in range(30)]
+    e.write(people, links)
+    x = e.search_explained("meets", use_graph_arm=True)
+    assert x.trace["graph_hits"] == 20  # both ends of ten facts, not of thirty
+    reached = [{h.body: h.score for h in e.search("meets", limit=50, use_graph_arm=True, importance=w).collect()} for w in (False, True)]
+    assert all(reached[1][b] <= s + 1e-12 for b, s in reached[0].items())
+
+
+def test_confidence_weighs_the_graph_arm(spark):
+    from quarry.operators import fusion
+
+    arm = spark.createDataFrame([("q", "a", 1, 0.5), ("q", "b", 2, None)], "query_id string, body string, rank int, confidence double")
+    plain = {r.body: r.score for r in fusion.fuse({"graph": arm}).collect()}
+    weighed = {r.body: r.score for r in fusion.fuse({"graph": arm}, weigh_confidence=True).collect()}
+    assert weighed["a"] == pytest.approx(plain["a"] / 2) and weighed["b"] == plain["b"]
+
+
+def test_graph_hits_name_the_edge_they_came_by(spark):
+    from quarry.operators import graph
+
+    nodes = spark.createDataFrame([(i, f"n{i}", "active", None, None, None) for i in range(4)], "write_cursor long, logical_id string, state string, valid_from long, valid_until long, superseded_at long")
+    rows = [("n0", "n1", "weak", 0.2), ("n0", "n1", "sure", 0.8), ("n1", "n2", "blank", None), ("n0", "n3", "far", 0.5)]
+    edges = spark.createDataFrame([(10 + i, *r, None, None) for i, r in enumerate(rows)], "write_cursor long, from_id string, to_id string, source_id string, confidence double, superseded_at long, t_invalid long")
+    got = {r.logical_id: (r.rank, r.confidence, r.via) for r in graph.graph_arm(spark.createDataFrame([("q", "n0")], "query_id string, logical_id string"), nodes, edges, 2, 0).collect()}
+    assert got == {"n0": (1, 1.0, None), "n1": (2, 0.8, "sure"), "n3": (3, 0.5, "far"), "n2": (4, 1.0, "blank")}
+
+
+def test_the_mean_is_pinned_once_and_recomputed_by_hand(spark, tmp_path, monkeypatch):
+    from quarry.operators import vector
+
+    monkeypatch.setattr(vector, "PIN_AFTER", 4)
+    e = Engine(spark, str(tmp_path / "w"), now=lambda: 1000, embedder=hashing_embedder(16), dim=16)
+    e.write([node(i, f"alpha w{i}") for i in range(3)])
+    e.project_vectors()
+    assert e.meta["mean"] is None
+    e.write([node(i, f"alpha w{i}") for i in range(3, 6)])
+    e.project_vectors()
+    pinned = e.meta["mean"]
+    assert pinned is not None
+    e.write([node(i, f"beta w{i}") for i in range(6, 9)])
+    e.project_vectors()
+    assert e.meta["mean"] == pinned
+    means = {r.pos: r["mean"] for r in e.recompute_mean().collect()}
+    rows = [r.embedding for r in e.table("vectors").collect()]
+    assert e.meta["mean"] != pinned and all(abs(means[i] - sum(v[i] for v in rows) / len(rows)) < 1e-6 for i in range(16))
+    r = e.table("vectors").first()
+    assert all(abs(c - (v - means[i])) < 1e-5 for i, (c, v) in enumerate(zip(r.centred, r.embedding)))
+    assert r.bits[0] == sum(1 << i for i, c in enumerate(r.centred) if c > 0)
+    assert e.search("beta").first().vector_rank is not None
+
+
+def test_a_workspace_by_uri_appends_only(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/w", now=lambda: 1000)
+    e.write([node(1, "one"), node(2, "two")])
+    before = {p: p.stat().st_mtime_ns for p in Path(tmp_path / "w").rglob("*.parquet")}
+    e.write([node(1, "uno")], [{"kind": "k", "from": "n1", "to": "n2", "source_id": "s"}])
+    assert before == {p: p.stat().st_mtime_ns for p in before}  # nothing was written again
+    assert {(r.body, r.superseded_at) for r in e.table("nodes").collect()} == {("one", 3), ("two", None), ("uno", None)}
+    e.compact()
+    assert not any(p.exists() for p in before)
+    assert {(r.body, r.superseded_at) for r in Engine(spark, f"file://{tmp_path}/w").table("nodes").collect()} == {("one", 3), ("two", None), ("uno", None)}
+    import inspect
+
+    import quarry.engine as module
+
+    assert "pathlib" not in inspect.getsource(module) and "open(" not in inspect.getsource(module).replace("def open_report", "")

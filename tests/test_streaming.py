@@ -31,4 +31,6 @@ def test_latest_state_equals_batch(spark, tmp_path):
     df.repartition(4).write.parquet(src)
     stream = projection.source(spark, src, df.schema, 1)
     projection.drain(projection.latest_state_stream(stream, ["k"], ["id"], out, str(tmp_path / "cp")))
-    assert {(r.k, r.v) for r in projection.read_state(spark, out).collect()} == {(f"k{i % 7}", f"v{i}") for i in range(53, 60)}
+    assert {(r.k, r.v) for r in projection.read_state(spark, out, ["k"], ["id"]).collect()} == {(f"k{i % 7}", f"v{i}") for i in range(53, 60)}
+    projection.compact_state(spark, out, ["k"], ["id"], str(tmp_path / "one"))
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 7
