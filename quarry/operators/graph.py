@@ -164,16 +164,19 @@ def _large_pagerank(nodes: DataFrame, edges: DataFrame, weights: DataFrame, alph
     seeds = nodes.select("question", "entity").join(weights, ["question", "entity"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = seeds.groupBy("question").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
     homes = seeds.join(totals, "question").join(degree.select("question", F.col("a").alias("entity"), F.lit(1).alias("linked")), ["question", "entity"], "left")
-    state = cut(homes.filter("total > 0").select("question", "entity", "n", F.col("linked").isNull().alias("stuck"), (F.col("weight") / F.col("total")).alias("home"), (1 / F.col("n")).alias("mass")))
+    start = 1 / F.col("n")
+    state = cut(homes.filter("total > 0").select("question", "entity", F.col("linked").isNull().alias("stuck"), (F.col("weight") / F.col("total")).alias("home"), (start + 1).alias("old"), start.alias("mass")))
     settled = homes.filter("total <= 0").select("question", "entity", F.lit(0.0).alias("mass"))
+    moved = F.sum(F.abs(F.col("mass") - F.col("old")))
     for _ in range(rounds):
-        stuck = state.groupBy("question").agg(F.sum(F.when(F.col("stuck"), F.col("mass")).otherwise(0.0)).alias("held"))
+        # A question that has settled keeps its last two masses, and so stays settled.
+        facts = cut(state.groupBy("question").agg(F.sum(F.when(F.col("stuck"), F.col("mass")).otherwise(0.0)).alias("held"), (moved >= F.count(F.lit(1)) * tolerance).alias("moving")))
+        if facts.filter("moving").isEmpty():
+            break
         arrived = state.select("question", F.col("entity").alias("a"), "mass").join(ways, ["question", "a"]).groupBy("question", F.col("b").alias("entity")).agg(F.sum(F.col("mass") / F.col("degree")).alias("got"))
         after = (1 - alpha + alpha * F.col("held")) * F.col("home") + alpha * F.coalesce("got", F.lit(0.0))
-        state = cut(state.join(stuck, "question").join(arrived, ["question", "entity"], "left").select("question", "entity", "n", "stuck", "home", F.col("mass").alias("old"), after.alias("mass")))
-        moving = state.groupBy("question").agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("moved"), F.first("n").alias("n")).filter(F.col("moved") >= F.col("n") * tolerance)
-        if moving.isEmpty():
-            break
+        both = state.join(facts, "question").join(arrived, ["question", "entity"], "left")
+        state = cut(both.select("question", "entity", "stuck", "home", F.when(F.col("moving"), F.col("mass")).otherwise(F.col("old")).alias("old"), F.when(F.col("moving"), after).otherwise(F.col("mass")).alias("mass")))
     return state.select("question", "entity", "mass").unionByName(settled)
 
 

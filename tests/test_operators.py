@@ -187,3 +187,68 @@ def test_intent_classifier_covers_the_table(spark):
     sf = "/root/testdata/sf0.001"
     want = table(spark, sf, "documents").filter("text IS NOT NULL AND source_type IS NOT NULL").count()
     assert intent_classifier(spark, sf).agg(F.sum("documents")).first()[0] == want
+
+
+def test_folded_terms(spark):
+    from quarry.functions.text import fold_text, folded_terms
+
+    texts = ["Café naïve Straße", "ÅNGSTRÖM étude", "plain 42", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(folded_terms(F.col("t"))).collect()]
+    assert got == [["cafe", "naive", "stra", "e"], ["angstrom", "etude"], ["plain", "42"], [], None]
+    assert fold_text("Café") == "cafe"
+
+
+def test_stemmed_ranking_has_idf_length_and_saturation(spark):
+    docs = [("a", "running runs run"), ("b", "the runner was running far away from all of the other people there"), ("c", "nothing"), ("d", "a run")]
+    df = spark.createDataFrame(docs, "id string, t string")
+    asked = spark.createDataFrame([("q", "runs")], "query_id string, text string")
+    got = {r.doc: r.score for r in textindex.bm25(df, "id", F.col("t"), asked, textindex.Okapi(1.2, 0.75), stems=True).collect()}
+    counts, lengths = {"a": 3, "b": 1, "d": 1}, {"a": 3, "b": 13, "c": 1, "d": 2}
+    mean, idf = sum(lengths.values()) / 4, math.log(1 + (4 - 3 + 0.5) / (3 + 0.5))
+    assert got == {k: pytest.approx(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[k] / mean)), abs=1e-8) for k, tf in counts.items()}
+    many = spark.createDataFrame([(f"q{i}", "runs walks") for i in range(700)], "query_id string, text string")
+    assert textindex.query_terms(many, stems=True).count() == 1400  # stemmed on the executors beyond the driver's bound
+    fielded = textindex.bm25_fielded(df, "id", {"t": F.col("t")}, asked, stems=True)
+    assert {r.doc for r in fielded.collect()} == set(counts)
+
+
+def test_tfidf_cosine(spark):
+    docs = {"a": "x y y", "b": "y z", "c": "w"}
+    df = spark.createDataFrame(list(docs.items()), "id string, t string")
+    asked = spark.createDataFrame([("q", "Y y unknown z")], "query_id string, text string")
+    from quarry.functions.text import terms
+
+    got = {r.doc: r.score for r in evalkit.tfidf_cosine(df, "id", terms(F.col("t")), asked).collect()}
+    idf = {"x": math.log(3) + 1, "y": math.log(3 / 2) + 1, "z": math.log(3) + 1}
+    vec = lambda words: {w: words.count(w) * idf[w] for w in words if w in idf}
+    dot = lambda u, v: sum(u[k] * v.get(k, 0) for k in u)
+    q = vec(["y", "y", "z"])
+    assert got == {k: pytest.approx(dot(q, vec(docs[k].split())) / math.sqrt(dot(q, q) * dot(vec(docs[k].split()), vec(docs[k].split()))), abs=1e-8) for k in ("a", "b")}
+
+
+def test_pagerank_small_and_large_agree(spark):
+    rnd = random.Random(3)
+    nodes = spark.createDataFrame([(q, f"e{i}") for q in ("one", "two", "none") for i in range(30)], "question string, entity string")
+    pairs = {(q, *sorted(rnd.sample(range(25), 2))) for q in ("one", "two") for _ in range(60)}
+    edges = spark.createDataFrame([(q, f"e{a}", f"e{b}") for q, a, b in pairs], "question string, a string, b string")
+    weights = spark.createDataFrame([("one", "e1", 2.0), ("one", "e29", 1.0), ("two", "e3", 1.0), ("two", "elsewhere", 9.0)], "question string, entity string, weight double")
+    one = {(r.question, r.entity): r.mass for r in graph.personalised_pagerank(nodes, edges, weights, tolerance=1e-4).collect()}
+    two = {(r.question, r.entity): r.mass for r in graph.personalised_pagerank(nodes, edges, weights, tolerance=1e-4, most_rows=0).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+    assert sum(m for (q, _), m in one.items() if q == "one") == pytest.approx(1) and all(m == 0 for (q, _), m in one.items() if q == "none")
+
+
+def test_win_rate_intervals(spark):
+    rows = [("a", f"q{i}", o) for i in range(40) for o in (["win", "win"] if i < 30 else ["loss", "tie"])] + [("b", "q", "win")]
+    got = {r.arm: r for r in evalkit.win_rate_intervals(spark.createDataFrame(rows, "arm string, q string, o string"), "arm", "q", "o").collect()}
+    assert got["a"].n == 80 and got["a"].win_rate == pytest.approx((60 + 5) / 80, abs=1e-4)
+    assert got["a"].low < got["a"].win_rate < got["a"].high and got["a"].effect == pytest.approx((got["a"].high - got["a"].low) / 2)
+    assert (got["b"].low, got["b"].high) == (1.0, 1.0)
+
+
+def test_purging_many(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "write_cursor long, logical_id string")
+    edges = spark.createDataFrame([(10, "a", "b"), (11, "b", "c"), (12, None, "b"), (13, "c", "a")], "write_cursor long, from_id string, to_id string")
+    shadow = spark.createDataFrame([(i,) for i in (1, 3, 10, 11, 13)], "write_cursor long")
+    n, e, s = lifecycle.purge_all(nodes, edges, spark.createDataFrame([("a",), (None,)], "logical_id string"), {"s": shadow})
+    assert [sorted(r.write_cursor for r in t.collect()) for t in (n, e, s["s"])] == [[3, 4], [11, 12], [3, 11]]
