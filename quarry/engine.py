@@ -257,6 +257,12 @@ class Engine:
     def list(self, kind: str, predicates: tuple[Json, ...] = (), where: Filter = Filter(), limit: int = 100, view: ReadView = DEFAULT_VIEW) -> DataFrame:
         return reads.list_nodes(self.table("nodes"), kind, self.now(), where=where, predicates=predicates, limit=limit, view=view, attributes=self.table("attributes"))
 
+    def rows_of(self, row_kind: str, view: ReadView = DEFAULT_VIEW) -> DataFrame:
+        """Nodes of one structural kind: leaf, coverage or graph."""
+        if row_kind not in schema.ROW_KINDS:
+            raise InvalidArgument(f"no such kind of row: {row_kind!r}")
+        return view.of(self.table("nodes"), self.now()).filter(F.coalesce("row_kind", F.lit("leaf")) == row_kind)
+
     def crossed_boundary_since(self, since: int, view: ReadView = DEFAULT_VIEW) -> DataFrame:
         return reads.crossed_boundary(self.table("nodes"), since, self.now(), view)
 
@@ -385,7 +391,7 @@ class Engine:
 
     def configure_projections(self, wanted: list[Projection], drop: tuple[str, ...] = ()) -> projections.Difference:
         """Declare, backfill what is new, drop what is named."""
-        change = projections.configure(self._registry(), wanted, drop)
+        change = projections.configure(self._registry(), wanted, drop, self.embedder is not None and not self.dense_disabled)
         current = self.table("nodes").filter("superseded_at IS NULL AND state = 'active'")
         projections.require_scalars(current, change.registry)
         stored = {n: {"roles": sorted(p.roles), "source": list(p.source), "full_text": p.full_text, "vector": p.vector} for n, p in change.registry.items()}
@@ -404,11 +410,11 @@ class Engine:
         return self.embedder(texts)
 
     def project_vectors(self) -> int:
-        """Embed the current nodes that have no vector; by partition on the executors."""
+        """Embed the current nodes that have no vector; by partition on the executors.  Rows of kind graph are found by text alone."""
         embedder, dim = self.embedder, self.dim
         if embedder is None:
             raise InvalidArgument("no embedder was given")
-        missing = self.table("nodes").filter("superseded_at IS NULL AND state = 'active'").join(self.table("vectors").select("write_cursor"), "write_cursor", "left_anti")
+        missing = self.table("nodes").filter("superseded_at IS NULL AND state = 'active' AND coalesce(row_kind, 'leaf') != 'graph'").join(self.table("vectors").select("write_cursor"), "write_cursor", "left_anti")
 
         @F.pandas_udf("array<float>")
         def embedded(bodies):

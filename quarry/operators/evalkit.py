@@ -196,15 +196,26 @@ def cluster_labels(vectors: DataFrame, key: str, vector: str, k: int, seed: int
     return KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="cluster").fit(data).transform(data).select(key, "cluster")
 
 
-def coverage_index(chunks: DataFrame, k: int, summarise: Callable[[list[str]], str], seed: int = 0) -> DataFrame:
-    """(cluster, n_chunks, summary): chunks (chunk, chunk_text, vector) clustered, each cluster's texts summarised by the caller's function."""
+def coverage_index(chunks: DataFrame, k: int, summarise: Callable[[list[str]], str], embed: Callable[[list[str]], list[list[float]]], seed: int = 0) -> DataFrame:
+    """(cluster, n_chunks, summary, vector): chunks (chunk, chunk_text, vector) clustered, each cluster summarised by the caller's function and the summary embedded.
+
+    The texts of one cluster go to one task, because the caller's function reads them together: ``k`` bounds how many these are.
+    """
     labels = cluster_labels(chunks, "chunk", "vector", k, seed)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf.sort_values("chunk")["chunk_text"].tolist()
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "n_chunks": [len(texts)], "summary": [summarise(texts)]})
+        summary = summarise(texts)
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "n_chunks": [len(texts)], "summary": [summary], "vector": [[float(x) for x in embed([summary])[0]]]})
+
+    return chunks.join(labels, "chunk").select("cluster", "chunk", "chunk_text").groupBy("cluster").applyInPandas(one, "cluster int, n_chunks long, summary string, vector array<float>")
+
+
+def themes(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(query_id, cluster, summary, rank): the ``k`` summaries nearest to each question (query_id, q); ties by cluster."""
+    from quarry.operators.vector import knn_cosine
 
-    return chunks.join(labels, "chunk").select("cluster", "chunk", "chunk_text").groupBy("cluster").applyInPandas(one, "cluster int, n_chunks long, summary string")
+    return knn_cosine(index, questions, k, "cluster", "vector").select("query_id", "cluster", "summary", "rank")
 
 
 def tf_idf(docs: DataFrame, doc: str, terms: Column) -> DataFrame:

@@ -44,15 +44,20 @@ class Projection:
 
 @dataclass(frozen=True)
 class Difference:
-    """What a new declaration changes; dropping asks for consent."""
+    """What a new declaration changes; dropping asks for consent.
+
+    ``built`` has values now; ``deferred`` are newly declared parts that have none yet: ranks, and vectors as long as
+    nothing embeds.  A projection may be in both.
+    """
 
     built: tuple[str, ...] = ()
     dropped: tuple[str, ...] = ()
+    deferred: tuple[str, ...] = ()
     unchanged: tuple[str, ...] = ()
     registry: dict[str, Projection] = field(default_factory=dict)
 
 
-def configure(registry: dict[str, Projection], wanted: list[Projection], drop: tuple[str, ...] = ()) -> Difference:
+def configure(registry: dict[str, Projection], wanted: list[Projection], drop: tuple[str, ...] = (), embeds: bool = False) -> Difference:
     names = [p.name for p in wanted]
     if len(set(names)) != len(names):
         raise ProjectionRejected("a name is declared twice")
@@ -64,14 +69,17 @@ def configure(registry: dict[str, Projection], wanted: list[Projection], drop: t
     for p in changed:
         if set(registry[p.name].roles) - set(p.roles) or registry[p.name].source != p.source:
             raise ProjectionRejected(f"changing {p.name!r} loses what is there: drop it first")
-    built = [p.name for p in wanted if registry.get(p.name) != p]
+    new = [p for p in wanted if registry.get(p.name) != p]
+    built = [p.name for p in new if set(p.roles) != {"rankable"} and (p.full_text or not p.vector or "filterable" in p.roles or embeds)]
+    deferred = [p.name for p in new if "rankable" in p.roles or (p.vector and not embeds)]
     after = {n: p for n, p in registry.items() if n not in drop} | {p.name: p for p in wanted}
     same = [n for n in after if n in registry and registry[n] == after[n]]
-    return Difference(tuple(built), tuple(drop), tuple(same), after)
+    return Difference(tuple(built), tuple(drop), tuple(deferred), tuple(same), after)
 
 
 def attributes(nodes: DataFrame, registry: dict[str, Projection]) -> DataFrame:
-    """(write_cursor, attr_name, attr_value): canonical text of each projected scalar; missing and null give no row."""
+    """(write_cursor, attr_name, attr_value): canonical text of each projected scalar; missing and null give no row, nor does a rank alone."""
+    registry = {n: p for n, p in registry.items() if set(p.roles) != {"rankable"}}
     if not registry:
         return nodes.select("write_cursor", F.lit("").alias("attr_name"), F.lit("").alias("attr_value")).filter(F.lit(False))
     each = [F.struct(F.lit(p.name).alias("attr_name"), scalar_text(F.col("body"), p.path).alias("attr_value")) for p in registry.values()]

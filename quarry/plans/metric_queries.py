@@ -158,6 +158,12 @@ def telemetry_events(spark, d):
     return corpus.telemetry_events(hits).select("query_id", "query_chars", F.size("result_ids").alias("results"), F.size("arm_of").alias("arms"))
 
 
+def telemetry_arms(spark, d):
+    """The arm of every result of an event, by the result's id."""
+    hits = _ranked_pool(spark, d).filter("rank <= 5").select("query_id", F.length("query_id").alias("query_chars"), (F.col("rank") * 10).cast("long").alias("doc"), "rank", F.when(F.col("rank") <= 2, "vector").otherwise("text").alias("branch"))
+    return corpus.telemetry_events(hits).select("query_id", F.explode("arm_of").alias("result", "arm"))
+
+
 def _streamed(spark, d):
     """The events file as a stream, and a place for its checkpoint and output in the shared folder."""
     schema = table(spark, d, "events").schema
@@ -180,7 +186,7 @@ def stream_latest_state(spark, d):
     return projection.read_state(spark, f"{work}/state", ["event_type", "user_id"], ["event_id"])
 
 
-QUERIES = {f.__name__: f for f in (evidence_recall_ladder, hit_mrr_ndcg, multi_hop_recall, gold_ranks, abstentions, token_f1, auc_rank, coverage_prf, confusion_matrix, paired_deltas, oracle_bound, win_rates, win_rate_interval, decision_rule, gold_issues, perturbed_ranks, percentile_ceil, perf_regressions, bootstrap_ci, telemetry_gold, telemetry_events, stream_projection_equals_batch, stream_latest_state)}
+QUERIES = {f.__name__: f for f in (evidence_recall_ladder, hit_mrr_ndcg, multi_hop_recall, gold_ranks, abstentions, token_f1, auc_rank, coverage_prf, confusion_matrix, paired_deltas, oracle_bound, win_rates, win_rate_interval, decision_rule, gold_issues, perturbed_ranks, percentile_ceil, perf_regressions, bootstrap_ci, telemetry_gold, telemetry_events, telemetry_arms, stream_projection_equals_batch, stream_latest_state)}
 
 _CTE = f"""WITH {_POOL}, classes AS (SELECT query_id, coalesce(max(query_class), 'none') AS query_class FROM pool GROUP BY query_id),
 shares AS (SELECT *, percent_rank() OVER (PARTITION BY query_id ORDER BY ce DESC NULLS LAST) AS p FROM pool),
@@ -226,6 +232,7 @@ SELECT query_id, min(rank) AS first_rank, max(rank) AS full_rank FROM s WHERE ow
     "perf_regressions": """WITH runs AS (SELECT event_type AS metric, cast(ts AS DATE) AS run_at, round(avg(value), 6) AS value FROM events GROUP BY ALL)
 SELECT metric, run_at, coalesce(value > 1.15 * quantile_cont(value, 0.5) OVER (PARTITION BY metric ORDER BY run_at ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) AS regressed FROM runs""",
     "telemetry_events": f"WITH {_POOL} SELECT query_id, cast(length(query_id) AS INTEGER) AS query_chars, cast(count(*) AS INTEGER) AS results, cast(count(*) AS INTEGER) AS arms FROM ranked_pool WHERE rank <= 5 GROUP BY query_id",
+    "telemetry_arms": f"WITH {_POOL} SELECT query_id, cast(rank * 10 AS VARCHAR) AS result, CASE WHEN rank <= 2 THEN 'vector' ELSE 'text' END AS arm FROM ranked_pool WHERE rank <= 5",
     "telemetry_gold": """WITH e AS (SELECT event_id, event_type = 'view' AS opens, user_id FROM events WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL),
 t AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
 l AS (SELECT *, least(min(total) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS low FROM t),

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from quarry import schema
+from quarry.functions.epochs import epoch, malformed
 from quarry.operators import lifecycle, projections, providers, reads, textindex
 from quarry.operators.filters import Filter, Json, source_type
 from quarry.operators.projections import Projection
@@ -35,6 +37,38 @@ def read_get_many(spark, d):
     return got.select("logical_id", "write_cursor", "body")
 
 
+def read_get(spark, d):
+    """The first hub by id, at one instant."""
+    first = table(spark, d, "hub_node").agg(F.min("logical_id")).first()[0]
+    return reads.get(nodes(spark, d), first or "", NOW).select("logical_id", "write_cursor", "kind", "body")
+
+
+def instants_to_epoch(spark, d):
+    """Times of articles written in several ways and read strictly: a date, with zone, without, and two that aren't instants."""
+    at, way = F.col("created_at"), F.pmod(F.length("doc_id") + F.ascii("doc_id"), F.lit(5))
+    written = [F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00")), F.date_format(at, "yyyy-MM-dd HH:mm"), F.concat(F.date_format(at, "yyyy"), F.lit("-13-45"))]
+    text = written[0]
+    for i, w in enumerate(written[1:], 1):
+        text = F.when(way == i, w).otherwise(text)
+    rows = table(spark, d, "article").filter("doc_id IS NOT NULL AND created_at IS NOT NULL").select("doc_id", text.alias("written")).distinct()
+    return rows.select("doc_id", epoch(F.col("written")).alias("at"), malformed(F.col("written")).alias("malformed"))
+
+
+def excised_log(spark, d):
+    """An event log and its latest rows after one user's purchases are excised."""
+    log = table(spark, d, "events").select(F.col("event_type").alias("collection_name"), F.col("user_id").cast("string").alias("record_key"), F.col("event_id").alias("id"))
+    one = log.filter("collection_name = 'purchase'").agg(F.min("record_key")).first()[0]
+    kept, latest = lifecycle.excise_record(log, lifecycle.latest_state(log, ["collection_name", "record_key"], ["id"]), "purchase", one or "")
+    left = kept.groupBy("collection_name").agg(F.count(F.lit(1)).alias("log_rows"))
+    return left.join(latest.groupBy("collection_name").agg(F.count(F.lit(1)).alias("keys")), "collection_name")
+
+
+def migrated_nodes(spark, d):
+    """Nodes of the first layout read by the newest: what later layouts added is null."""
+    first = nodes(spark, d).select("write_cursor", "logical_id", "kind", "body")
+    return schema.migrate(first, "nodes", 1).select("write_cursor", "kind", "row_kind", "importance", "status")
+
+
 def read_list_typed_predicates(spark, d):
     hits = Filter(json=(Json("$.status", "O"), Json("$.priority", 2, "lte"))).for_list(order_nodes(spark, d), "todo")
     return EVER.of(hits, NOW).select("logical_id")
@@ -239,13 +273,19 @@ def cache_misses(spark, d):
     return corpus.cache_misses(table(spark, d, "article").select("doc_id").distinct(), table(spark, d, "embshim_vector"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (read_get_many, read_list_typed_predicates, read_list_limited, filter_constant_fold, envelope_filter, attribute_filter, nested_attribute_projection, projected_text_search, source_types, page_after_id, valid_as_of, read_view_matrix, boundary_crossings, as_of_versions, supersession_history, latest_state, append_log_page, retention_cap, lifecycle_states, erase_source_residue, erase_source_report, purge_cascade, trace_lineage, row_counts, provenance_census, high_water, integrity_findings, write_validation, assigned_cursors, consolidate_recency, merged_facts, corpus_chains, embedding_readiness, stable_digests, cache_misses)}
+QUERIES = {f.__name__: f for f in (read_get, instants_to_epoch, excised_log, migrated_nodes, read_get_many, read_list_typed_predicates, read_list_limited, filter_constant_fold, envelope_filter, attribute_filter, nested_attribute_projection, projected_text_search, source_types, page_after_id, valid_as_of, read_view_matrix, boundary_crossings, as_of_versions, supersession_history, latest_state, append_log_page, retention_cap, lifecycle_states, erase_source_residue, erase_source_report, purge_cascade, trace_lineage, row_counts, provenance_census, high_water, integrity_findings, write_validation, assigned_cursors, consolidate_recency, merged_facts, corpus_chains, embedding_readiness, stable_digests, cache_misses)}
 
 _O = "o AS (SELECT *, 'order:' || o_orderkey AS logical_id, epoch(o_orderdate)::BIGINT AS born, cast(substr(o_orderpriority, 1, 1) AS INTEGER) AS level FROM orders)"
 _V = "v AS (SELECT event_id AS write_cursor, user_id || ':' || event_type AS logical_id, epoch(date_trunc('second', ts))::BIGINT AS born FROM events)"
 _COUNT = "count(*) AS"
 
 SQL = {
+    "read_get": f"WITH {NODES} SELECT logical_id, write_cursor, kind, body FROM node_rows WHERE logical_id = (SELECT min(logical_id) FROM hub_node) AND {VALID}",
+    "instants_to_epoch": """WITH a AS (SELECT DISTINCT doc_id, created_at, (length(doc_id) + ascii(doc_id)) % 5 AS way FROM article WHERE doc_id IS NOT NULL AND created_at IS NOT NULL), s AS (SELECT doc_id, way, floor(epoch(created_at))::BIGINT AS s FROM a)
+SELECT DISTINCT doc_id, CASE way WHEN 0 THEN s // 86400 * 86400 WHEN 1 THEN s WHEN 2 THEN s - 3600 END AS at, way >= 3 AS malformed FROM s""",
+    "excised_log": """WITH l AS (SELECT event_type AS collection_name, cast(user_id AS VARCHAR) AS record_key FROM events), k AS (SELECT * FROM l WHERE NOT (collection_name = 'purchase' AND record_key = (SELECT min(record_key) FROM l WHERE collection_name = 'purchase')))
+SELECT collection_name, count(*) AS log_rows, count(DISTINCT record_key) AS keys FROM k GROUP BY collection_name""",
+    "migrated_nodes": f"WITH {NODES} SELECT write_cursor, kind, CAST(NULL AS VARCHAR) AS row_kind, CAST(NULL AS DOUBLE) AS importance, CAST(NULL AS VARCHAR) AS status FROM node_rows",
     "read_get_many": f"WITH {NODES}, {EDGES}, ids AS (SELECT DISTINCT from_id AS logical_id FROM edge_rows WHERE from_id IS NOT NULL), seen AS (SELECT * FROM node_rows WHERE {VALID}) SELECT logical_id, write_cursor, body FROM ids LEFT JOIN seen USING (logical_id)",
     "read_list_typed_predicates": f"WITH {_O} SELECT logical_id FROM o WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderstatus = 'O' AND level <= 2",
     "read_list_limited": f"WITH {NODES} SELECT write_cursor, logical_id FROM node_rows WHERE kind = 'person' AND {VALID} ORDER BY write_cursor LIMIT 100",

@@ -7,7 +7,11 @@ from quarry.operators import evalkit, textindex
 from quarry.operators.textindex import Okapi
 from quarry.operators.views import edge_live
 from quarry.plans.frames import ARTICLES, EDGES, LIVE, NOW, SEARCHED, articles, as_integers, edges, searches
-from quarry.session import table
+from quarry.session import cut, table
+
+
+#: Searches in the control syntax of full-text engines.
+HOSTILE = [("h1", 'harbour* AND "sensor" NEAR(team, 3)'), ("h2", "budget OR NOT (pension) -levy +council"), ("h3", "title:hatchery ^2 {invoice} [drop table]; --"), ("h4", '"" \' * : ( )')]
 
 
 def _docs(spark, d):
@@ -102,8 +106,40 @@ def intent_classifier(spark, d):
     return predicted.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def literal_syntax_search(spark, d):
+    """Searches full of another engine's control syntax: every run of letters is a term and nothing else is."""
+    hits = textindex.bm25(_docs(spark, d), "doc_id", F.col("text"), spark.createDataFrame(HOSTILE, "query_id string, text string"), every=False)
+    return textindex.top(hits, 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
+
+
+def hit_sources(spark, d):
+    """Facts found by text with the source each came from."""
+    facts = edges(spark, d).filter(edge_live(NOW) & F.col("body").isNotNull())
+    hits = textindex.top(textindex.bm25(facts, "write_cursor", F.col("body"), searches(spark), every=False), 20)
+    return hits.join(facts.select(F.col("write_cursor").alias("doc"), "source_id"), "doc").select("query_id", F.col("doc").alias("write_cursor"), "source_id", "rank")
+
+
+def coverage_themes(spark, d):
+    """Themes of the articles, clusters of windows each summed up by its first words, for every search (no SQL counterpart: seeded iteration)."""
+    from quarry.engine import hashing_embedder
+
+    embed = hashing_embedder(64)
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts):
+        import pandas as pd
+
+        return pd.Series(embed(texts.tolist()))
+
+    windows = evalkit.word_windows(articles(spark, d).filter("body IS NOT NULL"), "doc_id", F.col("body"), 200, 200)
+    chunks = cut(windows.select(F.concat_ws("#", "doc", "chunk").alias("chunk"), "chunk_text", vectors("chunk_text").alias("vector")))
+    index = cut(evalkit.coverage_index(chunks, 12, lambda texts: " ".join(" ".join(t.split()[:8]) for t in texts[:4]), embed))
+    asked = searches(spark).select("query_id", vectors("text").alias("q"))
+    return evalkit.themes(index, asked, 3).select("query_id", "cluster", "rank")
+
+
 def canonical_names(spark, d):
-    """Node names by canonical form (no SQL counterpart: compatibility decomposition)."""
+    """Node names by canonical form."""
     return table(spark, d, "node").select(canon(F.col("body")).alias("name"), "logical_id").groupBy("name").agg(F.count_distinct("logical_id").alias("nodes"))
 
 
@@ -137,7 +173,7 @@ _TOPK = "WITH " + _bm25("documents", "doc_id", "text", 1.5, 0.75)
 _FACTS = f"WITH {EDGES}, " + _bm25("edge_rows", "write_cursor", "body", 1.5, 0.75, False, extra=f"WHERE {LIVE} AND body IS NOT NULL")
 _BLANK = r"[ \t\n\x0b\f\r]+"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus, bm25_fielded, bm25_batch_queries, bm25_title_queries, text_prefix_limit, content_or_match, text_edge_facts, text_one_per_body, bm25_porter, chunk_words, paragraph_chunks, tfidf_terms, tfidf_cosine, intent_classifier, canonical_names, enriched_text)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus, bm25_fielded, bm25_batch_queries, bm25_title_queries, text_prefix_limit, content_or_match, text_edge_facts, text_one_per_body, bm25_porter, chunk_words, paragraph_chunks, tfidf_terms, tfidf_cosine, literal_syntax_search, hit_sources, coverage_themes, intent_classifier, canonical_names, enriched_text)}
 
 SQL = {
     "bm25_topk": _TOPK + "SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10",
@@ -174,6 +210,9 @@ raw AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN
 unit AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM raw)
 SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM unit) WHERE r = 1
 """,
+    "literal_syntax_search": "WITH " + _bm25("documents", "doc_id", "text", 1.5, 0.75, False, queries="hostile(query_id, text) AS (VALUES " + ", ".join("('{}', '{}')".format(q, t.replace("'", "''")) for q, t in HOSTILE) + ")", asked_from="hostile") + "SELECT query_id, doc AS doc_id, score, rank FROM ranked WHERE rank <= 10",
+    "hit_sources": _FACTS + "SELECT query_id, doc AS write_cursor, source_id, rank FROM ranked JOIN edge_rows ON doc = write_cursor WHERE rank <= 20",
+    "canonical_names": r"SELECT array_to_string(list_filter(string_split_regex(lower(strip_accents(coalesce(body, ''))), '[\s\x{a0}\x{3000}]+'), lambda x: x <> ''), ' ') AS name, count(DISTINCT logical_id) AS nodes FROM node GROUP BY 1",
     "tfidf_cosine": f"""
 WITH {SEARCHED}, tok AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
 tf AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY doc, term), dfs AS (SELECT term, ln(n / count(*)) + 1 AS idf FROM tf, n GROUP BY term, n),
@@ -191,4 +230,4 @@ SELECT doc_id, md5(CASE WHEN body IS NULL THEN coalesce(names, '') WHEN names IS
 """,
 }
 
-SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"], "tfidf_cosine": ["rank"], "bm25_title_queries": ["rank"]})
+SQL = as_integers(SQL, {"bm25_topk": ["rank"], "text_prefix_limit": ["rank"], "bm25_corpus": ["rank"], "bm25_batch_queries": ["rank"], "bm25_fielded": ["rank"], "text_edge_facts": ["rank"], "tfidf_cosine": ["rank"], "literal_syntax_search": ["rank"], "hit_sources": ["rank"], "bm25_title_queries": ["rank"]})

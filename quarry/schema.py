@@ -18,6 +18,7 @@ ATTRIBUTE = "write_cursor long, attr_name string, attr_value string"
 VECTOR = "write_cursor long, embedding array<float>, source_type string, kind string, created_at long, status string, centred array<float>, bits array<long>"
 END = "write_cursor long, superseded_at long"
 PUBLIC = {"nodes": NODE, "edges": EDGE, "log": LOG, "state": STATE, "attributes": ATTRIBUTE, "vectors": VECTOR}
+ROW_KINDS = ("leaf", "coverage", "graph")
 #: Where the ends of superseded versions are noted.
 ENDS = {"nodes": "node_ends", "edges": "edge_ends"}
 TABLES = PUBLIC | dict.fromkeys(ENDS.values(), END)

@@ -283,3 +283,23 @@ def test_a_workspace_by_uri_appends_only(spark, tmp_path):
     import quarry.engine as module
 
     assert "pathlib" not in inspect.getsource(module) and "open(" not in inspect.getsource(module).replace("def open_report", "")
+
+
+def test_row_kinds_have_their_own_indexes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"), now=lambda: 1000, embedder=hashing_embedder(16), dim=16)
+    e.write([node(i, f"foxtrot golf {i}", row_kind=k) for i, k in enumerate(["leaf"] * 3 + ["coverage"] * 2 + ["graph"])])
+    assert e.project_vectors() == 5
+    assert [e.rows_of(k).count() for k in ("leaf", "coverage", "graph")] == [3, 2, 1]
+    assert e.search_text_only("foxtrot").count() == 6
+    with pytest.raises(InvalidArgument):
+        e.rows_of("twig")
+
+
+def test_what_has_no_values_yet_is_deferred():
+    from quarry.operators.projections import configure
+
+    first = configure({}, [Projection("importance", frozenset({"rankable"})), Projection("summary", frozenset({"searchable"}), vector=True), Projection("status", frozenset({"filterable", "rankable"}))])
+    assert first.built == ("status",) and first.deferred == ("importance", "summary", "status")
+    again = configure(first.registry, list(first.registry.values()))
+    assert again.built == again.dropped == again.deferred == () and len(again.unchanged) == 3
+    assert configure({}, [Projection("summary", frozenset({"searchable"}), vector=True)], embeds=True).deferred == ()
