@@ -172,23 +172,27 @@ class Layout:
         return _mix(_mix(_mix(np.roll(w, 1) + _GOLDEN) ^ w) ^ np.roll(w, -1)).view(np.int64)
 
 
-def layout(texts, codes: _Codes, tokens: list[list[str]] | None = None) -> Layout:
-    """Lay out texts; ``tokens`` receives the tokens of each."""
-    flat, chars, counts = [], [], []
+def _tokens(texts, codes: _Codes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, their codes, their lengths, tokens of each text), two stops around each text."""
+    flat: list[str] = []
+    counts = []
     for text in texts:
         found = (_TOKEN if _HINT.search(text) else _SIMPLE).findall(text)
-        if tokens is not None:
-            tokens.append(found)
-        flat += (0, 0)
-        flat += [codes[t] for t in found]
-        flat += (0, 0)
-        chars += (0, 0)
-        chars += map(len, found)
-        chars += (0, 0)
+        flat += ("\n", "\n")
+        flat += found
+        flat += ("\n", "\n")
         counts.append(len(found) + 4)
-    code = np.array(flat, dtype=np.uint64)
+    code = np.array([codes[t] for t in flat], dtype=np.uint64)
+    chars = np.where((code & _KIND) == STOP, 0, np.array([*map(len, flat)], dtype=np.int64))
+    return flat, code, chars, np.array(counts, dtype=np.int64)
+
+
+def layout(texts, codes: _Codes) -> Layout:
+    return _arranged(*_tokens(texts, codes)[1:])
+
+
+def _arranged(code: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> Layout:
     kinds = (code & _KIND).astype(np.int8)
-    stop = kinds == STOP
     name = kinds == NAME
     starts = np.ones(len(code), dtype=bool)
     starts[1:] = ~(name[1:] & name[:-1])
@@ -208,7 +212,7 @@ def layout(texts, codes: _Codes, tokens: list[list[str]] | None = None) -> Layou
     context[kind == NAMES] = _A_NAME
     context[(kind == SPAN) | (kind == DEFAULT)] = _A_FILLING
     return Layout(
-        code, np.where(stop, 0, np.array(chars, dtype=np.int64)), np.repeat(np.arange(len(counts)), counts), np.cumsum(stop),
+        code, chars, np.repeat(np.arange(len(counts)), counts), np.cumsum(kinds == STOP),
         at, kind, context, np.where(kind == NAME, lower, merged).view(np.int64), (kind == WORD) | ((kind == NAME) & first),
     )
 
@@ -225,42 +229,65 @@ def _strips(batch: pd.DataFrame):
         yield batch.iloc[begin:]
 
 
-_SPANS = "kind string, c1 long, c2 long, place int, name string, notation string, whole boolean, quoted boolean, setting long, l long, r long, code long"
+_SPAN_FIELDS = "kind: string, c1: long, c2: long, place: int, name: string, notation: string, whole: boolean, quoted: boolean, setting: long, l: long, r: long, code: long"
+_STRIPS = f"c1 binary, c2 binary, counts binary, places binary, codes binary, chars binary, spans array<struct<{_SPAN_FIELDS}>>"
 
 
-def _spans(batches):
-    """Variables in all readings, defaults, and words of sentences with two seed words."""
-    codes, columns = _Codes(), [c.split()[0] for c in _SPANS.split(", ")]
+def _stripped(batches):
+    """Texts as strips of tokens: a dictionary of (code, length) and the places of the texts in it.  With them what is bracketed, left out or seeded."""
+    codes = _Codes()
     for batch in batches:
-        out: list[tuple] = []
-        for c1, c2, text in zip(batch["c1"], batch["c2"], batch["text"]):
-            low = text.lower()
-            if any(s in low for s in SEEDS):
-                for sentence in re.split(r"[.!?…。]+(?=\s|$)|[\r\n]+", low):
-                    words = set(re.findall(r"[^\W\d_]+", sentence))
-                    if len(words.intersection(SEEDS)) >= 2:
-                        out += [("word", c1, c2, 0, w, "", True, False, 0, 0, 0, word_code(w)) for w in words]
-            if not _HINT.search(text):
-                continue
-            tokens: list[list[str]] = []
-            page = layout([text], codes, tokens)
-            places = np.flatnonzero((page.kind == SPAN) | (page.kind == DEFAULT))
-            if not len(places):
-                continue
-            left, right = page.left(), page.right()
-            setting = int(_mix(page.context + _GOLDEN * np.arange(len(page.context), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            for p in places.tolist():
-                token, where = tokens[0][int(page.at[p]) - 2], (setting, int(left[p]), int(right[p]), 0)
-                if page.kind[p] == DEFAULT:
-                    quoted = token[0] in "\"'`“”„" or token[-1] in "\"'`“”„"
-                    out.append(("default", c1, c2, p, "", token.strip("\"'`“”„")[:8], True, quoted, *where))
-                elif (v := variable(token)) is not None:
-                    opening, words, closing, quoted = v
-                    for i in range(len(words)):
-                        for j in range(i + 1, min(i + 4, len(words) + 1)):
-                            notation = " ".join([opening, *words[:i], "…", *words[j:], closing])
-                            out.append(("variable", c1, c2, p, " ".join(words[i:j]), notation, j - i == len(words), quoted, *where))
-        yield pd.DataFrame(out, columns=columns)
+        for strip in _strips(batch):
+            c1, c2 = strip["c1"].to_numpy(dtype=np.int64), strip["c2"].to_numpy(dtype=np.int64)
+            tokens, code, chars, counts = _tokens(strip["text"], codes)
+            spans = [*_seeded(c1, c2, strip["text"]), *_spans(c1, c2, tokens, _arranged(code, chars, counts))]
+            both = _mix(code + _GOLDEN * chars.astype(np.uint64))
+            _, first, place = np.unique(both, return_index=True, return_inverse=True)
+            row = (c1.tobytes(), c2.tobytes(), counts.tobytes(), place.astype(np.uint32).tobytes(), code[first].tobytes(), chars[first].tobytes(), spans)
+            yield pd.DataFrame([row], columns=["c1", "c2", "counts", "places", "codes", "chars", "spans"])
+
+
+def _opened(batches):
+    """(row of the batch, keys of the texts, layout) of strips."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            places = np.frombuffer(row.places, dtype=np.uint32)
+            c1, c2, counts, chars = (np.frombuffer(b, dtype=np.int64) for b in (row.c1, row.c2, row.counts, row.chars))
+            yield row, c1, c2, _arranged(np.frombuffer(row.codes, dtype=np.uint64)[places], chars[places], counts)
+
+
+def _seeded(c1, c2, texts):
+    """Words of sentences with two seed words."""
+    for a, b, text in zip(c1.tolist(), c2.tolist(), texts):
+        low = text.lower()
+        if any(s in low for s in SEEDS):
+            for sentence in re.split(r"[.!?…。]+(?=\s|$)|[\r\n]+", low):
+                words = set(re.findall(r"[^\W\d_]+", sentence))
+                if len(words.intersection(SEEDS)) >= 2:
+                    yield from (("word", a, b, 0, w, "", True, False, 0, 0, 0, word_code(w)) for w in words)
+
+
+def _spans(c1, c2, tokens: list[str], page: Layout):
+    """Variables in all readings, and defaults."""
+    places = np.flatnonzero((page.kind == SPAN) | (page.kind == DEFAULT))
+    if not len(places):
+        return
+    left, right, owner = page.left(), page.right(), page.text[page.at]
+    begins = np.searchsorted(owner, np.arange(len(c1)))
+    within = np.arange(len(owner)) - begins[owner]
+    setting = np.add.reduceat(_mix(page.context + _GOLDEN * within.astype(np.uint64)), begins).view(np.int64)
+    for p in places.tolist():
+        token, o = tokens[int(page.at[p])], int(owner[p])
+        key, where = (int(c1[o]), int(c2[o]), int(within[p])), (int(setting[o]), int(left[p]), int(right[p]), 0)
+        if page.kind[p] == DEFAULT:
+            quoted = token[0] in "\"'`“”„" or token[-1] in "\"'`“”„"
+            yield ("default", *key, "", token.strip("\"'`“”„")[:8], True, quoted, *where)
+        elif (v := variable(token)) is not None:
+            opening, words, closing, quoted = v
+            for i in range(len(words)):
+                for j in range(i + 1, min(i + 4, len(words) + 1)):
+                    notation = " ".join([opening, *words[:i], "…", *words[j:], closing])
+                    yield ("variable", *key, " ".join(words[i:j]), notation, j - i == len(words), quoted, *where)
 
 
 def _variables(spans: DataFrame) -> DataFrame:
@@ -314,7 +341,7 @@ def _sorted_codes(rows: DataFrame) -> np.ndarray:
     return np.sort(np.concatenate([np.empty(0, np.int64), *[c.to_numpy() for c in chunks]]))
 
 
-def _surroundings(texts: DataFrame, wanted) -> DataFrame:
+def _surroundings(strips: DataFrame, wanted) -> DataFrame:
     """(code, open, filled): holes that are open slots, and in how many texts wanted surroundings have ordinary words or wanted words occur."""
 
     def flushed(keys, fills):
@@ -326,31 +353,30 @@ def _surroundings(texts: DataFrame, wanted) -> DataFrame:
         return pd.DataFrame({"code": key[first], "fill": fill[first], "n": np.diff(np.append(begins, len(order)))})
 
     def count(batches):
-        codes, bits, held = _Codes(), wanted.value, 0
+        bits, held = wanted.value, 0
         keys: list[np.ndarray] = []
         fills: list[np.ndarray] = []
-        for batch in batches:
-            for strip in _strips(batch):
-                page = layout(strip["text"], codes)
-                ok, holes = page.holes()
-                keys.append(holes[ok])
-                fills.append(page.filling[ok])
-                filled = np.flatnonzero((page.kind == WORD) | (page.kind == NUMBER) | (page.kind == NAME) | (page.kind == NAMES))
-                owner = page.text[page.at]
-                for surrounding in (page.left(), page.right(), page.words().view(np.int64)[page.at]):
-                    where = filled[_passes(bits, surrounding[filled])]
-                    if len(where):
-                        once = np.unique(np.stack([owner[where], surrounding[where]]), axis=1)
-                        keys.append(once[1])
-                        fills.append(np.zeros(once.shape[1], dtype=np.int64))
-                held += sum(map(len, keys[-4:]))
-                if held >= MOST_HELD:
-                    yield flushed(keys, fills)
-                    keys, fills, held = [], [], 0
+        for _, _, _, page in _opened(batches):
+            ok, holes = page.holes()
+            keys.append(holes[ok])
+            fills.append(page.filling[ok])
+            held += len(keys[-1])
+            filled = np.flatnonzero((page.kind == WORD) | (page.kind == NUMBER) | (page.kind == NAME) | (page.kind == NAMES))
+            owner = page.text[page.at]
+            for surrounding in (page.left(), page.right(), page.words().view(np.int64)[page.at]):
+                where = filled[_passes(bits, surrounding[filled])]
+                if len(where):
+                    once = np.unique(np.stack([owner[where], surrounding[where]]), axis=1)
+                    keys.append(once[1])
+                    fills.append(np.zeros(once.shape[1], dtype=np.int64))
+                    held += once.shape[1]
+            if held >= MOST_HELD:
+                yield flushed(keys, fills)
+                keys, fills, held = [], [], 0
         if keys:
             yield flushed(keys, fills)
 
-    by_fill = texts.mapInPandas(count, "code long, fill long, n long").groupBy("code", "fill").agg(F.sum("n").alias("n"))
+    by_fill = strips.drop("spans").mapInPandas(count, "code long, fill long, n long").groupBy("code", "fill").agg(F.sum("n").alias("n"))
     word = F.col("fill") != 0
     by_hole = by_fill.groupBy("code").agg(
         F.count(F.when(word, 1)).alias("fills"), F.sum(F.when(word, F.col("n"))).alias("seen"),
@@ -379,62 +405,45 @@ def _left_over(variables: DataFrame, filled: DataFrame) -> DataFrame:
 _PAGES = "c1 long, c2 long, total long, pseudo long, closed long, triples array<long>, chars array<int>"
 
 
-def _pages(texts: DataFrame, holes: DataFrame, latin) -> DataFrame:
+def _pages(strips: DataFrame, holes: DataFrame, latin) -> DataFrame:
     """Texts of which at least a third fills no open slot: their pseudo-text, and the triples of words of the other closed units."""
-    spark = texts.sparkSession
+    spark = strips.sparkSession
     few = holes.count() <= MOST_BROADCAST
     known = spark.sparkContext.broadcast(_sorted_codes(holes) if few else None)
 
     def positions(batches):
-        codes = _Codes()
-        for batch in batches:
-            for strip in _strips(batch):
-                page = layout(strip["text"], codes)
-                ok, around = page.holes()
-                owner = page.text[page.at][ok]
-                yield pd.DataFrame({"c1": strip["c1"].to_numpy()[owner], "c2": strip["c2"].to_numpy()[owner], "unit": _in_text(page)[page.at][ok], "code": around[ok]})
+        for row, _, _, page in _opened(batches):
+            ok, around = page.holes()
+            yield pd.DataFrame({"first": row.c1[:8] + row.c2[:8], "unit": page.unit[page.at][ok], "code": around[ok]})
 
     def closed(batches):
-        codes = _Codes()
-        for batch in batches:
-            for strip in _strips(batch):
-                page = layout(strip["text"], codes)
-                n_units = int(page.unit[-1]) + 1
-                if known.value is not None:
-                    ok, around = page.holes()
-                    is_open = np.bincount(page.unit[page.at][ok], weights=_among(known.value, around[ok]), minlength=n_units) > 0
-                else:
-                    begins = np.searchsorted(page.text, np.arange(len(strip)))
-                    is_open = np.zeros(n_units, dtype=bool)
-                    for base, units in zip(page.unit[begins].tolist(), strip["opened"]):
-                        if units is not None and len(units):
-                            is_open[base + np.asarray(units, dtype=np.int64)] = True
-                word = (page.code & _KIND) != STOP
-                plain = page.words().view(np.int64)
-                size = np.bincount(page.unit, weights=word, minlength=n_units)
-                pseudo = (size >= 2) & (np.bincount(page.unit, weights=_among(latin.value, plain), minlength=n_units) >= 0.6 * size)
-                shut = word & ~is_open[page.unit] & ~pseudo[page.unit]
-                total, hidden, left = (np.bincount(page.text, weights=page.chars * w, minlength=len(strip)).astype(np.int64) for w in (word, word & pseudo[page.unit], shut))
-                triples = page.triples()
-                ends = np.searchsorted(page.text, np.arange(len(strip) + 1))
-                out = []
-                for i in np.flatnonzero((total > 0) & (3 * (hidden + left) >= total)).tolist():
-                    here = slice(ends[i], ends[i + 1])
-                    mine = shut[here]
-                    # Runs of closed tokens stay apart: a zero stands for all that lies between two.
-                    out.append((strip["c1"].iloc[i], strip["c2"].iloc[i], int(total[i]), int(hidden[i]), int(left[i]), np.where(mine, triples[here], 0), np.where(mine, page.chars[here], 0).astype(np.int32)))
-                yield pd.DataFrame(out, columns=["c1", "c2", "total", "pseudo", "closed", "triples", "chars"])
-
+        for row, c1, c2, page in _opened(batches):
+            n_units, n = int(page.unit[-1]) + 1, len(c1)
+            is_open = np.zeros(n_units, dtype=bool)
+            if known.value is not None:
+                ok, around = page.holes()
+                is_open[page.unit[page.at][ok][_among(known.value, around[ok])]] = True
+            elif row.opened is not None:
+                is_open[np.asarray(row.opened, dtype=np.int64)] = True
+            word = (page.code & _KIND) != STOP
+            size = np.bincount(page.unit, weights=word, minlength=n_units)
+            pseudo = (size >= 2) & (np.bincount(page.unit, weights=_among(latin.value, page.words().view(np.int64)), minlength=n_units) >= 0.6 * size)
+            shut = word & ~is_open[page.unit] & ~pseudo[page.unit]
+            total, hidden, left = (np.bincount(page.text, weights=page.chars * w, minlength=n).astype(np.int64) for w in (word, word & pseudo[page.unit], shut))
+            triples = np.where(shut, page.triples(), 0)  # a zero stands for all that lies between two runs of closed tokens
+            sizes = np.where(shut, page.chars, 0).astype(np.int32)
+            ends = np.searchsorted(page.text, np.arange(n + 1))
+            kept = np.flatnonzero((total > 0) & (3 * (hidden + left) >= total))
+            out = [(c1[i], c2[i], total[i], hidden[i], left[i], triples[ends[i] : ends[i + 1]], sizes[ends[i] : ends[i + 1]]) for i in kept.tolist()]
+            yield pd.DataFrame(out, columns=["c1", "c2", "total", "pseudo", "closed", "triples", "chars"])
+
+    bare = strips.drop("spans")
     if few:
-        return texts.mapInPandas(closed, _PAGES)
-    opened = texts.mapInPandas(positions, "c1 long, c2 long, unit long, code long").join(holes, "code", "left_semi")
-    by_text = opened.groupBy("c1", "c2").agg(F.collect_set("unit").alias("opened"))
-    return texts.join(by_text, ["c1", "c2"], "left").mapInPandas(closed, _PAGES)
-
-
-def _in_text(page: Layout) -> np.ndarray:
-    """Units numbered from 0 within each text."""
-    return page.unit - page.unit[np.searchsorted(page.text, page.text)]
+        return bare.mapInPandas(closed, _PAGES)
+    opened = bare.mapInPandas(positions, "first binary, unit long, code long").join(holes, "code", "left_semi")
+    by_strip = opened.groupBy("first").agg(F.collect_set("unit").alias("opened"))
+    first = F.concat(F.substring("c1", 1, 8), F.substring("c2", 1, 8))
+    return bare.withColumn("first", first).join(by_strip, "first", "left").mapInPandas(closed, _PAGES)
 
 
 def _templates(pages: DataFrame, least: int) -> DataFrame:
@@ -473,25 +482,27 @@ def residue(df: DataFrame, key: str, text: str, least_texts: int = 3, least_fill
     empty result; other columns are ignored, whatever their names.  Evidence needs a corpus: in a table of few texts little is
     residue.
 
-    Texts are made distinct; counts are combined per strip of texts before they are shuffled.  Surroundings of variables are counted
+    Texts are made distinct and read once; what is kept of them are strips of tokens, each with its own dictionary.  Counts are
+    combined per strip before they are shuffled.  Surroundings of variables are counted
     behind a filter of fixed size and joined.  Open holes and repeated triples go to all tasks up to ``MOST_BROADCAST`` of
     them, beyond that they are joined, with the same result.  Words learned for pseudo-text are a vocabulary of 8 bytes a word.
     """
     spark = df.sparkSession
     t = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{key}`").alias("k"), t.alias("text")).filter("text != ''")
-    texts = cut(docs.select(*_keys(F.col("text")), "text").dropDuplicates(["c1", "c2"]))
-    spans = cut(texts.mapInPandas(_spans, _SPANS))
+    texts = docs.select(*_keys(F.col("text")), "text").dropDuplicates(["c1", "c2"])
+    strips = cut(texts.mapInPandas(_stripped, _STRIPS))
+    spans = cut(strips.select(F.explode("spans").alias("s")).select("s.*"))
     variables = cut(_variables(spans))
     seeded = spans.filter("kind = 'word'").groupBy("code").agg(F.count_distinct("c1", "c2").alias("seeded")).filter("seeded >= 2")
     asked = variables.select(F.explode(F.array("l", "r")).alias("code")).unionByName(seeded.select("code"))
     wanted = spark.sparkContext.broadcast(_filter(asked))
-    around = cut(_surroundings(texts, wanted))
+    around = cut(_surroundings(strips, wanted))
     filled = around.filter("filled IS NOT NULL").select("code", "filled")
     placeholders = _left_over(variables, filled)
 
     latin = spark.sparkContext.broadcast(_sorted_codes(seeded.join(filled, "code").filter("seeded >= 0.4 * filled").select("code")))
-    pages = cut(_pages(texts, around.filter("open").select("code"), latin))
+    pages = cut(_pages(strips, around.filter("open").select("code"), latin))
     judged = _templates(pages, least_texts)
     whole = (F.col("closed") + F.col("pseudo") >= 0.9 * F.col("total")) & (F.col("covered") >= 0.3 * F.col("total"))
     pseudo = F.col("pseudo") >= least_filler * F.col("total")

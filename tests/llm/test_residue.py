@@ -4,7 +4,7 @@ import time
 import pytest
 
 from quarry.llm import residue as module
-from quarry.llm.residue import _Codes, _spans, layout, residue, variable
+from quarry.llm.residue import _Codes, _stripped, layout, residue, variable
 
 PLACES = [a + b for a in ("Nor", "Tar", "Vel", "Jor", "Elm", "Gos") for b in ("by", "wick", "moor", "stead", "gard")]
 NOUNS = [a + b for a in ("mill", "barn", "kiln", "dock", "shed") for b in ("", "s", "ery", "yard", "side", "land")]
@@ -129,5 +129,5 @@ def test_very_long_texts_stay_linear(spark):
     for text in ("{" * 100_000, "<a" * 50_000, "word " * 100_000, "[x" * 50_000, "." * 100_000, "_" * 100_000, "error 500 " * 3_000, "( " * 50_000, "a" * 200_000, "[a b c d " * 20_000):
         began = time.perf_counter()
         layout([text], _Codes())
-        list(_spans([pd.DataFrame({"c1": [1], "c2": [2], "text": [text]})]))
+        list(_stripped([pd.DataFrame({"c1": [1], "c2": [2], "text": [text]})]))
         assert time.perf_counter() - began < 5, text[:10]
