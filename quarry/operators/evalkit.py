@@ -215,7 +215,7 @@ def themes(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, cluster, summary, rank): the ``k`` summaries nearest to each question (query_id, q); ties by cluster."""
     from quarry.operators.vector import knn_cosine
 
-    return knn_cosine(index, questions, k, "cluster", "vector").select("query_id", "cluster", "summary", "rank")
+    return knn_cosine(index, questions, k, "cluster", "vector").join(index.select("cluster", "summary"), "cluster").select("query_id", "cluster", "summary", "rank")
 
 
 def tf_idf(docs: DataFrame, doc: str, terms: Column) -> DataFrame:

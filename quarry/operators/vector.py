@@ -25,27 +25,30 @@ def _best(pairs: DataFrame, order: list[Column], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def scan(vectors: DataFrame, queries: DataFrame, score: Column, order: list[Column], k: int) -> DataFrame:
-    """Best ``k`` rows of ``vectors`` per query, in blocks of queries."""
+def scan(vectors: DataFrame, queries: DataFrame, score: Column, order: list[Column], k: int, key: str = "vec_id") -> DataFrame:
+    """(query_id, key, score, rank): the best ``k`` rows of ``vectors`` per query, in blocks of queries.
+
+    Only ids and scores are sorted; what else a caller wants of the rows is fetched by key.
+    """
     n = queries.count()
+    pairs = lambda q: _best(vectors.crossJoin(F.broadcast(q)).select("query_id", key, score.alias("score")), order, k)
     if n <= BLOCK_QUERIES:
-        return _best(vectors.crossJoin(F.broadcast(queries)).withColumn("score", score), order, k)
+        return pairs(queries)
     blocks = -(-n // BLOCK_QUERIES)
     out = None
     for i in range(blocks):
-        one = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        part = _best(vectors.crossJoin(F.broadcast(one)).withColumn("score", score), order, k)
+        part = pairs(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact nearest by Euclidean distance; ties by key."""
-    return scan(vectors, queries, l2(F.col(vector), F.col("q")), [F.col("score"), F.col(key)], k)
+    return scan(vectors, queries, l2(F.col(vector), F.col("q")), [F.col("score"), F.col(key)], k, key)
 
 
 def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    return scan(vectors, queries, cosine(F.col(vector), F.col("q")), [F.col("score").desc(), F.col(key)], k)
+    return scan(vectors, queries, cosine(F.col(vector), F.col("q")), [F.col("score").desc(), F.col(key)], k, key)
 
 
 def quantised(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -54,21 +57,18 @@ def quantised(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFr
 
 
 def knn_two_phase(vectors: DataFrame, queries: DataFrame, dim: int, k: int, where: Column | None = None, candidates: int = PHASE_ONE, key: str = "vec_id", vector: str = "embedding", bits: str = "bits") -> DataFrame:
-    """Nearest of the ``candidates`` closest by sign bits, by exact distance.
+    """(query_id, key, score, rank): the nearest of the ``candidates`` closest by sign bits, by exact distance.
 
-    ``where`` is applied before the first phase, so a selective filter still fills the result.  Where ``vectors`` has
-    the sign bits in ``bits``, the first phase reads nothing but them and the candidates' vectors are fetched by key; else the
-    bits are made on the way and the vector travels with its candidate.
+    ``where`` is applied before the first phase, so a selective filter still fills the result.  The first phase sorts nothing but
+    keys and bits, which ``vectors`` may have in ``bits``; the candidates' vectors are fetched by key.
     """
     rows = vectors if where is None else vectors.filter(where)
     asked = queries.withColumn("q_bits", sign_words(F.col("q"), dim))
     order = [F.col("score"), F.col(key)]
-    if bits in vectors.columns:
-        narrow = scan(rows.select(key, F.col(bits).alias("bits")), asked, hamming(F.col("bits"), F.col("q_bits")), order, candidates).select("query_id", "q", key)
-        near = rows.join(narrow, key)
-    else:
-        near = scan(quantised(rows, dim, vector), asked, hamming(F.col("bits"), F.col("q_bits")), order, candidates).drop("rank", "score")
-    return _best(near.withColumn("score", l2(F.col(vector), F.col("q"))), order, k)
+    coded = rows.select(key, F.col(bits).alias("bits")) if bits in vectors.columns else quantised(rows, dim, vector).select(key, "bits")
+    near = scan(coded, asked.select("query_id", "q_bits"), hamming(F.col("bits"), F.col("q_bits")), order, candidates, key).select("query_id", key)
+    pairs = rows.select(key, F.col(vector).alias("__v")).join(near, key).join(queries.select("query_id", "q"), "query_id")
+    return _best(pairs.select("query_id", key, l2(F.col("__v"), F.col("q")).alias("score")), order, k)
 
 
 def mean_vector(vectors: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -86,7 +86,7 @@ def kmeans_labels(spark, d):
 
 def mmr_select(spark, d):
     """Ten of the hundred most similar, relevance against redundancy (no SQL counterpart: greedy)."""
-    near = vector.knn_cosine(_vectors(spark, d), _queries(spark, d), 100)
+    near = vector.knn_cosine(_vectors(spark, d), _queries(spark, d), 100).join(_vectors(spark, d).select("vec_id", "embedding"), "vec_id")
     return evalkit.mmr(near.select("query_id", F.col("vec_id").alias("doc"), F.col("score").alias("rel"), F.col("embedding").alias("vector")), 10)
 
 
