@@ -202,6 +202,17 @@ WITH words AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{_BLAN
 starts AS (SELECT doc_id, text, w, unnest(CASE WHEN len(w) > 120 THEN range(0, cast(ceil((len(w) - 120) / 100) AS BIGINT) + 1) ELSE [0] END) AS i FROM words)
 SELECT doc_id, cast(i AS INTEGER) AS chunk, md5(CASE WHEN len(w) > 120 THEN array_to_string(w[i * 100 + 1 : i * 100 + 120], ' ') ELSE text END) AS digest,
   cast(CASE WHEN len(w) > 120 THEN len(w[i * 100 + 1 : i * 100 + 120]) ELSE len(w) END AS INTEGER) AS n_words FROM starts
+""",
+    "paragraph_chunks": f"""
+WITH RECURSIVE {ARTICLES}, big AS (SELECT doc_id, title, body, string_split(body, chr(10) || chr(10)) AS ps FROM article_rows WHERE length(body) > 6000),
+walk(doc_id, title, body, i, size, g) AS (
+  SELECT doc_id, title, body, 1, length(ps[1]), 0 FROM big UNION ALL
+  SELECT b.doc_id, b.title, b.body, i + 1, CASE WHEN size = 0 OR size + 2 + length(ps[i + 1]) > 6000 THEN length(ps[i + 1]) ELSE size + 2 + length(ps[i + 1]) END, g + CASE WHEN size > 0 AND size + 2 + length(ps[i + 1]) > 6000 THEN 1 ELSE 0 END
+  FROM walk AS w JOIN big AS b ON b.doc_id = w.doc_id AND b.body = w.body AND b.title IS NOT DISTINCT FROM w.title WHERE i < len(ps)
+), packed AS (SELECT doc_id, title, body, g, arg_max(size, i) AS size FROM walk GROUP BY ALL),
+cut AS (SELECT doc_id, title, body, g, size, unnest(range(0, CAST(ceil(size / 6000) AS BIGINT))) AS k FROM packed WHERE size > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id, title, body ORDER BY g, k) - 1 AS INTEGER) AS chunk, CAST(least(6000, size - k * 6000) AS INTEGER) AS n_chars FROM cut
+UNION ALL SELECT doc_id, 0, CAST(length(body) AS INTEGER) FROM article_rows WHERE length(body) <= 6000
 """,
     "tfidf_terms": """
 WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
