@@ -3,7 +3,8 @@
 Records made from one template say the same words around the places where they differ.  Those places are
 induced from the whole corpus.  A *hole* is a word's surrounding, the two words before it and the one after
 it, names and numbers masked.  A hole is an open slot if records fill it with many different words, or if the
-next record would likely fill it with a new one (at least half of its fillings were seen once).
+next record would likely fill it with a new one (at least half of its fillings were seen once).  A word that has a
+fifth of a slot's fillings for itself doesn't fill it: it belongs to a template of its own there.
 
 * Placeholders.  A variable name is a name that comes in several notations, a notation is a pair of brackets
   that holds several such names; both are learned from the corpus, no notation is listed.  Where aligned records
@@ -342,7 +343,7 @@ def _sorted_codes(rows: DataFrame) -> np.ndarray:
 
 
 def _surroundings(strips: DataFrame, wanted) -> DataFrame:
-    """(code, open, filled): holes that are open slots, and in how many texts wanted surroundings have ordinary words or wanted words occur."""
+    """(code, open, usual, filled): holes that are open slots with the filling that has a fifth of all, 0 if none, and in how many texts wanted surroundings have ordinary words or wanted words occur."""
 
     def flushed(keys, fills):
         key, fill = np.concatenate(keys), np.concatenate(fills)
@@ -381,9 +382,11 @@ def _surroundings(strips: DataFrame, wanted) -> DataFrame:
     by_hole = by_fill.groupBy("code").agg(
         F.count(F.when(word, 1)).alias("fills"), F.sum(F.when(word, F.col("n"))).alias("seen"),
         F.count(F.when(word & (F.col("n") == 1), 1)).alias("once"), F.sum(F.when(~word, F.col("n"))).alias("filled"),
+        F.max(F.when(word, F.struct("n", "fill"))).alias("top"),
     )
+    usual = F.when(F.col("top.n") >= 0.2 * F.col("seen"), F.col("top.fill")).otherwise(0)
     slot = (F.col("fills") > 12) | ((F.col("seen") >= 5) & (2 * F.col("once") >= F.col("seen")))
-    return by_hole.select("code", slot.alias("open"), "filled").filter("open OR filled IS NOT NULL")
+    return by_hole.select("code", slot.alias("open"), usual.alias("usual"), "filled").filter("open OR filled IS NOT NULL")
 
 
 def _left_over(variables: DataFrame, filled: DataFrame) -> DataFrame:
@@ -405,16 +408,24 @@ def _left_over(variables: DataFrame, filled: DataFrame) -> DataFrame:
 _PAGES = "c1 long, c2 long, total long, pseudo long, closed long, triples array<long>, chars array<int>"
 
 
+def _open_holes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order and the usual fillings; at most ``MOST_BROADCAST``, counted before."""
+    found = rows.toArrow()
+    codes, usual = (np.concatenate([np.empty(0, np.int64), *[c.to_numpy() for c in found[name].chunks]]) for name in ("code", "usual"))
+    order = np.argsort(codes)
+    return codes[order], usual[order]
+
+
 def _pages(strips: DataFrame, holes: DataFrame, latin) -> DataFrame:
     """Texts of which at least a third fills no open slot: their pseudo-text, and the triples of words of the other closed units."""
     spark = strips.sparkSession
     few = holes.count() <= MOST_BROADCAST
-    known = spark.sparkContext.broadcast(_sorted_codes(holes) if few else None)
+    known = spark.sparkContext.broadcast(_open_holes(holes) if few else None)
 
     def positions(batches):
         for row, _, _, page in _opened(batches):
             ok, around = page.holes()
-            yield pd.DataFrame({"first": row.c1[:8] + row.c2[:8], "unit": page.unit[page.at][ok], "code": around[ok]})
+            yield pd.DataFrame({"first": row.c1[:8] + row.c2[:8], "unit": page.unit[page.at][ok], "code": around[ok], "fill": page.filling[ok]})
 
     def closed(batches):
         for row, c1, c2, page in _opened(batches):
@@ -422,7 +433,10 @@ def _pages(strips: DataFrame, holes: DataFrame, latin) -> DataFrame:
             is_open = np.zeros(n_units, dtype=bool)
             if known.value is not None:
                 ok, around = page.holes()
-                is_open[page.unit[page.at][ok][_among(known.value, around[ok])]] = True
+                codes, usual = known.value
+                if len(codes):
+                    place = np.minimum(np.searchsorted(codes, around[ok]), len(codes) - 1)
+                    is_open[page.unit[page.at][ok][(codes[place] == around[ok]) & (usual[place] != page.filling[ok])]] = True
             elif row.opened is not None:
                 is_open[np.asarray(row.opened, dtype=np.int64)] = True
             word = (page.code & _KIND) != STOP
@@ -440,7 +454,7 @@ def _pages(strips: DataFrame, holes: DataFrame, latin) -> DataFrame:
     bare = strips.drop("spans")
     if few:
         return bare.mapInPandas(closed, _PAGES)
-    opened = bare.mapInPandas(positions, "first binary, unit long, code long").join(holes, "code", "left_semi")
+    opened = bare.mapInPandas(positions, "first binary, unit long, code long, fill long").join(holes, "code").filter("fill != usual")
     by_strip = opened.groupBy("first").agg(F.collect_set("unit").alias("opened"))
     first = F.concat(F.substring("c1", 1, 8), F.substring("c2", 1, 8))
     return bare.withColumn("first", first).join(by_strip, "first", "left").mapInPandas(closed, _PAGES)
@@ -502,7 +516,7 @@ def residue(df: DataFrame, key: str, text: str, least_texts: int = 3, least_fill
     placeholders = _left_over(variables, filled)
 
     latin = spark.sparkContext.broadcast(_sorted_codes(seeded.join(filled, "code").filter("seeded >= 0.4 * filled").select("code")))
-    pages = cut(_pages(strips, around.filter("open").select("code"), latin))
+    pages = cut(_pages(strips, around.filter("open").select("code", "usual"), latin))
     judged = _templates(pages, least_texts)
     whole = (F.col("closed") + F.col("pseudo") >= 0.9 * F.col("total")) & (F.col("covered") >= 0.3 * F.col("total"))
     pseudo = F.col("pseudo") >= least_filler * F.col("total")
