@@ -4,7 +4,8 @@ Vectors are unit length, so the smaller the distance the larger the cosine.  A c
 fitted on a bounded sample; every vector lies in the list of its nearest centroid and, as a query,
 also probes the lists whose centroids are nearly as near.  Lists grow in number with the collection: beyond
 what one quantiser may have, each list of a coarse one is divided by a quantiser of its own, fitted where
-the list is.  A task holds one list.  It rotates the
+the list is.  Rows reach a task in order of their lists: it holds one list's candidates, or one quantiser, and
+the queries pass by.  It rotates the
 vectors by one random orthogonal matrix and lays them out in column blocks; after each block the
 partial distance over the d columns read so far, scaled by D / d, is an estimate of the distance,
 and a candidate is abandoned when the hypothesis "it is nearer than the k-th found so far" is
@@ -13,6 +14,7 @@ rejected at that estimate.  Candidates that survive all blocks have their exact
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +29,10 @@ from quarry.session import cut
 MOST_SAMPLED, MOST_LISTS = 32_768, 4_096
 #: Ends of the column blocks as fractions of the dimension.
 BLOCKS = (1 / 6, 1 / 3, 2 / 3, 1.0)
-#: Rows of one list that a task holds as candidates, and as queries; larger lists are cut.
+#: Rows of one list that a task holds as candidates; larger lists are cut.
 UNIT_ROWS = 8_192
+#: Rows with a vector that a task gives away at once, and numbers of neighbours.
+EMITTED, EMITTED_PAIRS = 4_096, 65_536
 #: Queries and candidates compared at once; the first few candidates of a list are compared in full, for a k-th distance to test against.
 QUERY_STRIP, FIRST_CANDIDATES, CANDIDATE_STRIP = 512, 48, 1_024
 
@@ -172,6 +176,14 @@ def _nearest_lists(unit: np.ndarray, centroids: np.ndarray, most: int) -> tuple[
     return np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
 
 
+def _draw(ks: np.ndarray, salt: int) -> np.ndarray:
+    """31 bits of each key, which depend on all its bits, so that no pattern of keys draws all rows or puts them in one part."""
+    z = ks.astype(np.uint64) + np.uint64(salt)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(33)).astype(np.int64)
+
+
 def _units(row: np.ndarray, lists: np.ndarray, own: np.ndarray, ks: np.ndarray, parts: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
     """(row, unit, is candidate, is query) of rows that go to lists, ``own`` where they lie in them too.
 
@@ -180,7 +192,7 @@ def _units(row: np.ndarray, lists: np.ndarray, own: np.ndarray, ks: np.ndarray,
     cuts = parts[lists]
     at = np.repeat(np.arange(len(row)), cuts)
     s = np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    mine = (((ks * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) & np.int64(0x7FFFFFFF))[row] % cuts)[at]
+    mine = (_draw(ks, 1)[row] % cuts)[at]
     base, held = (first + lists[at]) << 32, own[at]
     a, b = held, ~held | (s != mine)
     unit = np.concatenate([(base + (mine << 16) + s)[a], (base + (s << 16) + mine)[b]])
@@ -192,6 +204,21 @@ def _units(row: np.ndarray, lists: np.ndarray, own: np.ndarray, ks: np.ndarray,
 _SPREAD = "u long, k long, cand boolean, query boolean, b binary"
 
 
+def _spread(unit: np.ndarray, ks: np.ndarray, row: np.ndarray, lists: np.ndarray, own: np.ndarray, parts: np.ndarray, first: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``_units`` with their vectors, in frames of about ``EMITTED`` rows however many lists and parts they go to."""
+    piece = np.cumsum(2 * parts[lists]) // EMITTED
+    for s in np.split(np.arange(len(row)), np.flatnonzero(np.diff(piece)) + 1):
+        at, no, cand, query = _units(row[s], lists[s], own[s], ks, parts, first)
+        yield pd.DataFrame({"u": no, "k": ks[at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[at]]})
+
+
+def _runs(*columns: np.ndarray) -> Iterator[slice]:
+    """Stretches of rows that are equal in all columns."""
+    changes = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+    edges = [0, *changes.tolist(), len(columns[0])]
+    return (slice(a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
 def _one_level(searched: DataFrame, dim: int, centroids: np.ndarray, parts: np.ndarray, scan: Scan) -> DataFrame:
     fitted = searched.sparkSession.sparkContext.broadcast((centroids, parts))
 
@@ -205,8 +232,7 @@ def _one_level(searched: DataFrame, dim: int, centroids: np.ndarray, parts: np.n
                 go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
                 go[:, 0] = True
                 i, p = np.nonzero(go)
-                at, no, cand, query = _units(i, near[i, p].astype(np.int64), p == 0, ks, parts, 0)
-                yield pd.DataFrame({"u": no, "k": ks[at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[at]]})
+                yield from _spread(unit, ks, i, near[i, p].astype(np.int64), p == 0, parts, 0)
 
     return searched.mapInPandas(assign, _SPREAD)
 
@@ -215,38 +241,37 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
     """Lists within the lists of ``coarse``, which hold the ``share`` of the rows each.
 
     Each coarse list's quantiser is fitted on a sample of it, of at most ``MOST_SAMPLED`` rows picked by key, with a list for
-    every ``per_list`` rows up to ``MOST_LISTS``.  A large coarse list is spread over several tasks, which all get its centroids.
+    every ``per_list`` rows up to ``MOST_LISTS``.  A large coarse list is spread over several tasks, which all get its centroids;
+    they come before the list's rows, which pass by in batches however many probe the list.
     """
-    spark = searched.sparkSession
     expected = np.maximum(1.0, share * n)
     lists = np.minimum(MOST_LISTS, np.maximum(1, np.ceil(expected / scan.per_list))).astype(np.int64)
     picked = np.minimum(1.0, np.minimum(MOST_SAMPLED, 16 * lists) / expected)
     salts = np.maximum(1, np.ceil(expected / (2 * UNIT_ROWS))).astype(np.int64)
-    known = spark.sparkContext.broadcast((coarse, lists, picked, salts, expected))
+    known = searched.sparkSession.sparkContext.broadcast((coarse, lists, picked, salts))
 
     def sampled(batches):
-        coarse, _, picked, _, _ = known.value
+        coarse, _, picked, _ = known.value
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 ks = batch["k"].to_numpy()[a : a + 2048]
                 unit = unit_rows(np.concatenate(batch["v"].iloc[a : a + 2048].to_list()), dim)
                 own = _nearest_lists(unit, coarse, 1)[0][:, 0]
-                draw = ((ks * np.int64(0xBF58476D1CE4E5B9 - (1 << 64))) & np.int64(0x7FFFFFFF)) / float(1 << 31)
-                take = np.flatnonzero(draw < picked[own])
+                take = np.flatnonzero(_draw(ks, 2) / float(1 << 31) < picked[own])
                 yield pd.DataFrame({"c": own[take].astype(np.int64), "b": [r.tobytes() for r in unit[take]]})
 
     def fine(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, lists, picked, salts, _ = known.value
+        _, lists, picked, salts = known.value
         c = int(pdf["c"].iloc[0])
         sample = np.frombuffer(b"".join(pdf["b"]), dtype=np.float32).reshape(-1, dim)
         centroids = fit(sample, int(lists[c]), scan.seed)
-        rows = np.bincount(_nearest_lists(sample, centroids, 1)[0][:, 0], minlength=len(centroids)) / picked[c]
+        near = [_nearest_lists(sample[a : a + 2048], centroids, 1)[0][:, 0] for a in range(0, len(sample), 2048)]
+        rows = np.bincount(np.concatenate(near), minlength=len(centroids)) / picked[c]
         parts = np.maximum(1, np.ceil(rows / UNIT_ROWS)).astype(np.int64)
-        out = [(c, s, centroids.tobytes(), parts.tobytes()) for s in range(int(salts[c]))]
-        return pd.DataFrame(out, columns=["c", "salt", "centroids", "parts"])
+        return pd.DataFrame([(c, int(salts[c]), centroids.tobytes(), parts.tobytes())], columns=["c", "salts", "b", "parts"])
 
     def probe(batches):
-        coarse, _, _, salts, _ = known.value
+        coarse, _, _, salts = known.value
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 ks = batch["k"].to_numpy()[a : a + 2048]
@@ -254,35 +279,91 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
                 near, far = _nearest_lists(unit, coarse, scan.most_probes)
                 go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
                 go[:, 0] = True
-                i, p = np.nonzero(go)
-                c = near[i, p].astype(np.int64)
-                salt = ((ks >> np.int64(7)) * np.int64(0x94D049BB133111EB - (1 << 64)) & np.int64(0x7FFFFFFF))[i] % salts[c]
-                yield pd.DataFrame({"c": c, "salt": salt, "k": ks[i], "own": p == 0, "d": far[i, 0], "b": [r.tobytes() for r in unit[i]]})
-
-    def divide(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"u": [], "k": [], "cand": [], "query": [], "b": []}).astype({"u": "int64", "k": "int64", "cand": bool, "query": bool})
-        unit = np.frombuffer(b"".join(rows["b"]), dtype=np.float32).reshape(-1, dim)
-        if len(fitted):
-            centroids = np.frombuffer(fitted["centroids"].iloc[0], dtype=np.float32).reshape(-1, dim)
-            parts = np.frombuffer(fitted["parts"].iloc[0], dtype=np.int64)
-        else:  # a coarse list of which nothing was sampled
-            centroids, parts = known.value[0][int(rows["c"].iloc[0])][None], np.ones(1, dtype=np.int64)
-        ks, own, d = rows["k"].to_numpy(), rows["own"].to_numpy(dtype=bool), rows["d"].to_numpy()
-        out = []
-        for a in range(0, len(rows), 2048):
-            near, far = _nearest_lists(unit[a : a + 2048], centroids, scan.most_probes)
-            mine = own[a : a + 2048]
-            go = far <= np.minimum(far[:, 0], d[a : a + 2048])[:, None] * (1 + scan.slack) + 1e-6
-            go[mine, 0] = True
-            i, p = np.nonzero(go)
-            at, no, cand, query = _units(i, near[i, p].astype(np.int64), mine[i] & (p == 0), ks[a : a + 2048], parts, int(rows["c"].iloc[0]) * MOST_LISTS)
-            out.append(pd.DataFrame({"u": no, "k": ks[a : a + 2048][at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[a : a + 2048][at]]}))
-        return pd.concat(out)
-
-    fitted = searched.mapInPandas(sampled, "c long, b binary").groupBy("c").applyInPandas(fine, "c long, salt long, centroids binary, parts binary")
+                rows, probes = np.nonzero(go)
+                for s in range(0, len(rows), EMITTED):
+                    i, p = rows[s : s + EMITTED], probes[s : s + EMITTED]
+                    c = near[i, p].astype(np.int64)
+                    yield pd.DataFrame({"c": c, "salt": _draw(ks, 3)[i] % salts[c], "k": ks[i], "own": p == 0, "d": far[i, 0], "b": [r.tobytes() for r in unit[i]]})
+
+    def divide(batches):
+        at, centroids, parts = -1, None, None
+        for batch in batches:
+            cs, ks, own, d = batch["c"].to_numpy(), batch["k"].to_numpy(), batch["own"].to_numpy(dtype=bool), batch["d"].to_numpy()
+            passing = batch["passing"].to_numpy(dtype=bool)
+            for run in _runs(cs, batch["salt"].to_numpy(), passing):
+                c = int(cs[run.start])
+                if not passing[run.start]:
+                    at, centroids = c, np.frombuffer(batch["b"].iloc[run.start], dtype=np.float32).reshape(-1, dim)
+                    parts = np.frombuffer(batch["parts"].iloc[run.start], dtype=np.int64)
+                    continue
+                if at != c:  # a coarse list of which nothing was sampled
+                    at, centroids, parts = c, known.value[0][c][None], np.ones(1, dtype=np.int64)
+                for a in range(run.start, run.stop, 2048):
+                    s = slice(a, min(a + 2048, run.stop))
+                    unit = np.frombuffer(b"".join(batch["b"].iloc[s]), dtype=np.float32).reshape(-1, dim)
+                    near, far = _nearest_lists(unit, centroids, scan.most_probes)
+                    go = far <= np.minimum(far[:, 0], d[s])[:, None] * (1 + scan.slack) + 1e-6
+                    go[own[s], 0] = True
+                    i, p = np.nonzero(go)
+                    if len(i):
+                        yield from _spread(unit, ks[s], i, near[i, p].astype(np.int64), own[s][i] & (p == 0), parts, c * MOST_LISTS)
+
+    fitted = searched.mapInPandas(sampled, "c long, b binary").groupBy("c").applyInPandas(fine, "c long, salts long, b binary, parts binary")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    none = [F.lit(0).cast("long").alias("k"), F.lit(False).alias("own"), F.lit(0.0).alias("d")]
+    first = fitted.select("c", each, *none, "b", "parts", F.lit(False).alias("passing"))
     probed = searched.mapInPandas(probe, "c long, salt long, k long, own boolean, d double, b binary")
-    return probed.groupBy("c", "salt").cogroup(fitted.groupBy("c", "salt")).applyInPandas(divide, _SPREAD)
+    both = first.unionByName(probed.withColumns({"parts": F.lit(None).cast("binary"), "passing": F.lit(True)}))
+    return both.repartition("c", "salt").sortWithinPartitions("c", "salt", "passing").mapInPandas(divide, _SPREAD)
+
+
+def _search(spread: DataFrame, dim: int, scan: Scan) -> DataFrame:
+    """(k, o, c): of each query in each unit the ``scan.k`` most similar candidates.
+
+    A task gets its units one after another, candidates first; it holds those of one unit, and queries pass by.
+    """
+    turn = spread.sparkSession.sparkContext.broadcast(rotation(dim, scan.seed))
+
+    def search(batches):
+        turned, now = turn.value, None
+        held, asked, found = [], [], []
+
+        def ask():
+            nonlocal held
+            if held and asked:
+                held = [tuple(np.concatenate(x) for x in zip(*held))] if len(held) > 1 else held
+                queries, ids = (np.concatenate(x) for x in zip(*asked))
+                d, others = scan_list(queries, ids, *held[0], scan)
+                i, p = np.nonzero(np.isfinite(d))
+                found.append((ids[i], others[i, p], 1 - d[i, p].astype(np.float64) / 2))
+            asked.clear()
+
+        def given():
+            out = pd.DataFrame(dict(zip("koc", (np.concatenate(x) for x in zip(*found)))))
+            found.clear()
+            return out
+
+        for batch in batches:
+            vectors = np.frombuffer(b"".join(batch["b"]), dtype=np.float32).reshape(-1, dim) @ turned
+            us, ks, cand, query = batch["u"].to_numpy(), batch["k"].to_numpy(), batch["cand"].to_numpy(dtype=bool), batch["query"].to_numpy(dtype=bool)
+            for run in _runs(us):
+                if us[run.start] != now:
+                    ask()
+                    now, held = us[run.start], []
+                c, q = run.start + np.flatnonzero(cand[run]), run.start + np.flatnonzero(query[run])
+                if len(c):
+                    held.append((vectors[c], ks[c]))
+                if len(q):
+                    asked.append((vectors[q], ks[q]))
+                if not cand[run.stop - 1]:  # no more candidates come
+                    ask()
+                if sum(len(x[0]) for x in found) >= EMITTED_PAIRS:
+                    yield given()
+        ask()
+        if found:
+            yield given()
+
+    return spread.repartition("u").sortWithinPartitions("u", F.desc("cand"), "k").mapInPandas(search, "k long, o long, c double")
 
 
 def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan()) -> DataFrame:
@@ -300,7 +381,6 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan())
     vectors, beyond which they grow.  All vectors are indexed and all are queries.  A list expected to exceed ``UNIT_ROWS``
     (by its share of the sample) is cut into blocks of candidates and of queries, each pair of which is one task's work.
     """
-    spark = df.sparkSession
     rows = usable(df, key, vector, dim)
     searched, first, keys = distinct_vectors(rows, scan.k + 1)
     n = df.count()  # with unusable rows; good enough to choose sizes by, and read from the footers
@@ -317,18 +397,9 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan())
     held = np.concatenate([np.argmax(sample[a : a + 4096] @ centroids.T, axis=1) for a in range(0, len(sample), 4096)])
     held_share = np.bincount(held, minlength=len(centroids)) / len(sample)
     parts = np.maximum(1, np.ceil(held_share * n / UNIT_ROWS)).astype(np.int64)
-    turn = spark.sparkContext.broadcast(rotation(dim, scan.seed))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.frombuffer(b"".join(pdf["b"]), dtype=np.float32).reshape(-1, dim) @ turn.value
-        ks, cand, query = pdf["k"].to_numpy(), pdf["cand"].to_numpy(), pdf["query"].to_numpy()
-        d, ids = scan_list(vectors[query], ks[query], vectors[cand], ks[cand], scan)
-        qi, p = np.nonzero(np.isfinite(d))
-        return pd.DataFrame({"k": ks[query][qi], "o": ids[qi, p], "c": 1 - d[qi, p].astype(np.float64) / 2})
 
     spread = _two_levels(cut(searched), dim, centroids, held_share, n, scan) if deep else _one_level(searched, dim, centroids, parts, scan)
-    partial = spread.groupBy("u").applyInPandas(search, "k long, o long, c double")
-    scanned = partial.groupBy("k", "o").agg(F.max("c").alias("c"))
+    scanned = _search(spread, dim, scan).groupBy("k", "o").agg(F.max("c").alias("c"))
     # Keys beyond the k + 1 smallest of equal vectors.
     crowded = first.filter(F.col("place") == scan.k + 1).select("c1", "c2", F.col("k").alias("last"))
     rest = keys.join(crowded, ["c1", "c2"]).filter(F.col("k") > F.col("last")).select("k", "c1", "c2")

@@ -85,3 +85,55 @@ def test_parts_of_a_list_meet_all_parts():
     row, unit, cand, query = _units(np.arange(50), np.zeros(50, dtype=np.int64), np.ones(50, dtype=bool), ks, np.array([3]), 0)
     met = {(a, b) for u in set(unit.tolist()) for a in row[(unit == u) & cand] for b in row[(unit == u) & query]}
     assert met == {(a, b) for a in range(50) for b in range(50)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_holds_all_that_probes_a_list(spark, monkeypatch):
+    """Rows reach quantisers and lists in batches; only the bounded samples, of which quantisers are fitted, are groups."""
+    from quarry.llm import neighbours as module
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.random(16).tolist()) for i in range(600)], "id long, v array<float>")
+    assert "InPandas" in plan(nearest(df, "id", "v", 16)) and "GroupsInPandas" not in plan(nearest(df, "id", "v", 16))
+    monkeypatch.setattr(module, "MOST_LISTS", 4)
+    deep = plan(module.nearest(df, "id", "v", 16, Scan(per_list=20)))
+    assert "CoGroupsInPandas" not in deep and deep.count("FlatMapGroupsInPandas") == 1
+
+
+def test_batches_may_end_anywhere(spark, monkeypatch):
+    from quarry.llm import neighbours as module
+
+    monkeypatch.setattr(module, "MOST_LISTS", 4)
+    monkeypatch.setattr(module, "UNIT_ROWS", 60)
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, rng.random(16).tolist()) for i in range(500)], "id long, v array<float>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    got, usual = [], spark.conf.get(name)
+    try:
+        for rows in ("7", "10000"):
+            spark.conf.set(name, rows)
+            got.append(sorted((r.id, r.place, r.neighbour) for r in module.nearest(df, "id", "v", 16, Scan(k=4, per_list=20)).collect()))
+    finally:
+        spark.conf.set(name, usual)
+    assert len(got[0]) == 4 * 500 and got[0] == got[1]
+
+
+def test_rows_leave_in_small_frames():
+    """Also rows that go to lists cut into many parts; and each list's rows still meet."""
+    from quarry.llm.neighbours import EMITTED, _spread
+
+    ks, unit = np.arange(2000, dtype=np.int64), np.zeros((2000, 4), dtype=np.float32)
+    row, lists = np.repeat(np.arange(2000), 2), np.tile([0, 1], 2000)
+    frames = list(_spread(unit, ks, row, lists, lists == 0, np.array([20, 30]), 0))
+    assert max(map(len, frames)) <= EMITTED + 60 and sum(map(len, frames)) == 2000 * (2 * 20 - 1 + 30)
+
+
+def test_keys_of_any_pattern_are_spread():
+    from quarry.llm.neighbours import _draw
+
+    for ks in (np.arange(3000) << 32, np.arange(3000) * -128, np.arange(3000)):
+        counts = np.bincount(_draw(ks.astype(np.int64), 1) % 3, minlength=3)
+        assert counts.min() > 850
