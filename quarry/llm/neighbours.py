@@ -147,7 +147,7 @@ def scan_list(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray
                 if len(qi) > 0.2 * partial.size:  # few abandoned: the block as one product
                     more = (q[:, a:b] @ c[:, a:b].T)[qi, ci]
                 else:
-                    more = np.concatenate([np.einsum("ij,ij->i", q[qi[i : i + 65536], a:b], c[ci[i : i + 65536], a:b]) for i in range(0, len(qi), 65536)]) if len(qi) else so_far
+                    more = np.concatenate([np.einsum("ij,ij->i", q[qi[i : i + 8192], a:b], c[ci[i : i + 8192], a:b]) for i in range(0, len(qi), 8192)]) if len(qi) else so_far
                 so_far = so_far + q_norms[n][strip][qi] + c_norms[n][part][ci] - 2 * more
                 keep = (so_far <= worst[qi] * limits[n]) & np.isfinite(so_far)
                 qi, ci, so_far = qi[keep], ci[keep], so_far[keep]
@@ -204,12 +204,15 @@ def _units(row: np.ndarray, lists: np.ndarray, own: np.ndarray, ks: np.ndarray,
 _SPREAD = "u long, k long, cand boolean, query boolean, b binary"
 
 
-def _spread(unit: np.ndarray, ks: np.ndarray, row: np.ndarray, lists: np.ndarray, own: np.ndarray, parts: np.ndarray, first: int) -> Iterator[pd.DataFrame]:
-    """The rows of ``_units`` with their vectors, in frames of about ``EMITTED`` rows however many lists and parts they go to."""
+def _spread(unit: np.ndarray, ks: np.ndarray, row: np.ndarray, lists: np.ndarray, own: np.ndarray, parts: np.ndarray, names: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows of ``_units`` with their vectors, in frames of about ``EMITTED`` rows however many lists and parts they go to.
+
+    ``names`` are the numbers by which the lists are known outside.
+    """
     piece = np.cumsum(2 * parts[lists]) // EMITTED
     for s in np.split(np.arange(len(row)), np.flatnonzero(np.diff(piece)) + 1):
-        at, no, cand, query = _units(row[s], lists[s], own[s], ks, parts, first)
-        yield pd.DataFrame({"u": no, "k": ks[at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[at]]})
+        at, no, cand, query = _units(row[s], lists[s], own[s], ks, parts, 0)
+        yield pd.DataFrame({"u": (names[no >> 32] << 32) + (no & 0xFFFFFFFF), "k": ks[at], "cand": cand, "query": query, "b": [r.tobytes() for r in unit[at]]})
 
 
 def _runs(*columns: np.ndarray) -> Iterator[slice]:
@@ -232,18 +235,42 @@ def _one_level(searched: DataFrame, dim: int, centroids: np.ndarray, parts: np.n
                 go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
                 go[:, 0] = True
                 i, p = np.nonzero(go)
-                yield from _spread(unit, ks, i, near[i, p].astype(np.int64), p == 0, parts, 0)
+                yield from _spread(unit, ks, i, near[i, p].astype(np.int64), p == 0, parts, np.arange(len(parts)))
 
     return searched.mapInPandas(assign, _SPREAD)
 
 
+#: A list within a coarse list that a row may probe: its place there, its distance, into how many parts it is cut.  Before those of a
+#: coarse list there is an item with the coarse list's number and no parts.
+_PROBE = np.dtype([("list", "<u2"), ("parts", "<u2"), ("d", "<f4")])
+_CHOSEN = np.dtype([("list", "<i8"), ("parts", "<i4"), ("own", "<i4")])
+
+
+def _choice(items: np.ndarray, row: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """(row, probe) of the probes that rows make: those of one level, over all coarse lists together; a row lies in the nearest list of all."""
+    head = items["parts"] == 0
+    of, at = np.cumsum(head)[~head] - 1, np.flatnonzero(~head)
+    row, d = row[at], items["d"][at]
+    probes = np.empty(len(at), dtype=_CHOSEN)
+    probes["list"] = items["list"][head][of].astype(np.int64) * MOST_LISTS + items["list"][at]
+    probes["parts"] = items["parts"][at]
+    order = np.lexsort((probes["list"], d, row))
+    starts = np.searchsorted(row[order], row[order], "left")
+    place = np.arange(len(row)) - starts
+    probes["own"][order] = place == 0
+    order = order[(place < scan.most_probes) & (d[order] <= d[order][starts] * (1 + scan.slack) + 1e-6)]
+    return row[order], probes[order]
+
+
 def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.ndarray, n: int, scan: Scan) -> DataFrame:
     """Lists within the lists of ``coarse``, which hold the ``share`` of the rows each.
 
     Each coarse list's quantiser is fitted on a sample of it, of at most ``MOST_SAMPLED`` rows picked by key, with a list for
     every ``per_list`` rows up to ``MOST_LISTS``.  A large coarse list is spread over several tasks, which all get its centroids;
-    they come before the list's rows, which pass by in batches however many probe the list.
+    they come before the list's rows, which pass by in batches however many probe the list.  To choose lists, half-precision
+    vectors go to the coarse lists that a row probes; the vectors themselves go to the chosen lists only.
     """
+    searched = cut(searched.withColumn("r", F.monotonically_increasing_id()))
     expected = np.maximum(1.0, share * n)
     lists = np.minimum(MOST_LISTS, np.maximum(1, np.ceil(expected / scan.per_list))).astype(np.int64)
     picked = np.minimum(1.0, np.minimum(MOST_SAMPLED, 16 * lists) / expected)
@@ -274,7 +301,7 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
         coarse, _, _, salts = known.value
         for batch in batches:
             for a in range(0, len(batch), 2048):
-                ks = batch["k"].to_numpy()[a : a + 2048]
+                ks, rs = batch["k"].to_numpy()[a : a + 2048], batch["r"].to_numpy()[a : a + 2048]
                 unit = unit_rows(np.concatenate(batch["v"].iloc[a : a + 2048].to_list()), dim)
                 near, far = _nearest_lists(unit, coarse, scan.most_probes)
                 go = far <= far[:, :1] * (1 + scan.slack) + 1e-6
@@ -283,12 +310,13 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
                 for s in range(0, len(rows), EMITTED):
                     i, p = rows[s : s + EMITTED], probes[s : s + EMITTED]
                     c = near[i, p].astype(np.int64)
-                    yield pd.DataFrame({"c": c, "salt": _draw(ks, 3)[i] % salts[c], "k": ks[i], "own": p == 0, "d": far[i, 0], "b": [r.tobytes() for r in unit[i]]})
+                    b = [r.tobytes() for r in unit.astype(np.float16)[i]]
+                    yield pd.DataFrame({"c": c, "salt": _draw(ks, 3)[i] % salts[c], "r": rs[i], "own": p == 0, "d": far[i, 0], "b": b})
 
     def divide(batches):
         at, centroids, parts = -1, None, None
         for batch in batches:
-            cs, ks, own, d = batch["c"].to_numpy(), batch["k"].to_numpy(), batch["own"].to_numpy(dtype=bool), batch["d"].to_numpy()
+            cs, rs, own, d = batch["c"].to_numpy(), batch["r"].to_numpy(), batch["own"].to_numpy(dtype=bool), batch["d"].to_numpy()
             passing = batch["passing"].to_numpy(dtype=bool)
             for run in _runs(cs, batch["salt"].to_numpy(), passing):
                 c = int(cs[run.start])
@@ -300,21 +328,48 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
                     at, centroids, parts = c, known.value[0][c][None], np.ones(1, dtype=np.int64)
                 for a in range(run.start, run.stop, 2048):
                     s = slice(a, min(a + 2048, run.stop))
-                    unit = np.frombuffer(b"".join(batch["b"].iloc[s]), dtype=np.float32).reshape(-1, dim)
+                    unit = np.frombuffer(b"".join(batch["b"].iloc[s]), dtype=np.float16).reshape(-1, dim).astype(np.float32)
                     near, far = _nearest_lists(unit, centroids, scan.most_probes)
                     go = far <= np.minimum(far[:, 0], d[s])[:, None] * (1 + scan.slack) + 1e-6
                     go[own[s], 0] = True
                     i, p = np.nonzero(go)
-                    if len(i):
-                        yield from _spread(unit, ks[s], i, near[i, p].astype(np.int64), own[s][i] & (p == 0), parts, c * MOST_LISTS)
+                    rows, starts = np.unique(i, return_index=True)
+                    items = np.empty(len(i), dtype=_PROBE)
+                    items["list"], items["parts"], items["d"] = near[i, p], parts[near[i, p]], far[i, p]
+                    heads = np.zeros(len(rows), dtype=_PROBE)
+                    heads["list"] = c
+                    items, starts = np.insert(items, starts, heads), (starts + np.arange(len(rows))).tolist()
+                    yield pd.DataFrame({"r": rs[s][rows], "probes": [items[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(items)])]})
+
+    def choose(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                given = [b"".join(x) for x in batch["probes"].iloc[a : a + 2048]]
+                row = np.repeat(np.arange(len(given)), [len(x) // _PROBE.itemsize for x in given])
+                row, probes = _choice(np.frombuffer(b"".join(given), dtype=_PROBE), row, scan)
+                ends = np.searchsorted(row, np.arange(len(given) + 1)).tolist()
+                yield pd.DataFrame({"r": batch["r"].iloc[a : a + 2048].to_numpy(), "probes": [probes[x:y].tobytes() for x, y in zip(ends, ends[1:])]})
+
+    def assign(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                ks, given = batch["k"].to_numpy()[a : a + 2048], batch["probes"].iloc[a : a + 2048]
+                unit = unit_rows(np.concatenate(batch["v"].iloc[a : a + 2048].to_list()), dim)
+                row = np.repeat(np.arange(len(given)), given.str.len().to_numpy(dtype=np.int64) // _CHOSEN.itemsize)
+                probes = np.frombuffer(b"".join(given), dtype=_CHOSEN)
+                names, some, lists = np.unique(probes["list"], return_index=True, return_inverse=True)
+                yield from _spread(unit, ks, row, lists, probes["own"] > 0, probes["parts"][some].astype(np.int64), names)
 
     fitted = searched.mapInPandas(sampled, "c long, b binary").groupBy("c").applyInPandas(fine, "c long, salts long, b binary, parts binary")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
-    none = [F.lit(0).cast("long").alias("k"), F.lit(False).alias("own"), F.lit(0.0).alias("d")]
+    none = [F.lit(0).cast("long").alias("r"), F.lit(False).alias("own"), F.lit(0.0).alias("d")]
     first = fitted.select("c", each, *none, "b", "parts", F.lit(False).alias("passing"))
-    probed = searched.mapInPandas(probe, "c long, salt long, k long, own boolean, d double, b binary")
+    probed = searched.mapInPandas(probe, "c long, salt long, r long, own boolean, d double, b binary")
     both = first.unionByName(probed.withColumns({"parts": F.lit(None).cast("binary"), "passing": F.lit(True)}))
-    return both.repartition("c", "salt").sortWithinPartitions("c", "salt", "passing").mapInPandas(divide, _SPREAD)
+    divided = both.repartition("c", "salt").sortWithinPartitions("c", "salt", "passing").mapInPandas(divide, "r long, probes binary")
+    possible = divided.groupBy("r").agg(F.collect_list("probes").alias("probes"))
+    chosen = possible.mapInPandas(choose, "r long, probes binary")
+    return searched.join(chosen, "r").select("k", "v", "probes").mapInPandas(assign, _SPREAD)
 
 
 def _search(spread: DataFrame, dim: int, scan: Scan) -> DataFrame:
@@ -398,7 +453,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, scan: Scan = Scan())
     held_share = np.bincount(held, minlength=len(centroids)) / len(sample)
     parts = np.maximum(1, np.ceil(held_share * n / UNIT_ROWS)).astype(np.int64)
 
-    spread = _two_levels(cut(searched), dim, centroids, held_share, n, scan) if deep else _one_level(searched, dim, centroids, parts, scan)
+    spread = _two_levels(searched, dim, centroids, held_share, n, scan) if deep else _one_level(searched, dim, centroids, parts, scan)
     scanned = _search(spread, dim, scan).groupBy("k", "o").agg(F.max("c").alias("c"))
     # Keys beyond the k + 1 smallest of equal vectors.
     crowded = first.filter(F.col("place") == scan.k + 1).select("c1", "c2", F.col("k").alias("last"))

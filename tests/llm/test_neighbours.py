@@ -127,7 +127,7 @@ def test_rows_leave_in_small_frames():
 
     ks, unit = np.arange(2000, dtype=np.int64), np.zeros((2000, 4), dtype=np.float32)
     row, lists = np.repeat(np.arange(2000), 2), np.tile([0, 1], 2000)
-    frames = list(_spread(unit, ks, row, lists, lists == 0, np.array([20, 30]), 0))
+    frames = list(_spread(unit, ks, row, lists, lists == 0, np.array([20, 30]), np.array([5, 9])))
     assert max(map(len, frames)) <= EMITTED + 60 and sum(map(len, frames)) == 2000 * (2 * 20 - 1 + 30)
 
 
@@ -137,3 +137,18 @@ def test_keys_of_any_pattern_are_spread():
     for ks in (np.arange(3000) << 32, np.arange(3000) * -128, np.arange(3000)):
         counts = np.bincount(_draw(ks.astype(np.int64), 1) % 3, minlength=3)
         assert counts.min() > 850
+
+
+def test_lists_within_lists_are_probed_as_lists_of_one_level(spark, monkeypatch):
+    """At most ``most_probes`` in all, the own list among them, and none for a coarse list as such."""
+    from quarry.llm import neighbours as module
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.random(24).tolist()) for i in range(1500)], "id long, v array<float>")
+    monkeypatch.setattr(module, "MOST_LISTS", 8)
+    seen, deep = [], module._two_levels
+    monkeypatch.setattr(module, "_two_levels", lambda *a: seen.append(deep(*a)) or seen[-1])
+    module.nearest(df, "id", "v", 24, Scan(k=3, per_list=24, most_probes=4, slack=5.0))
+    rows = [(r.k, r.u >> 32, r.cand) for r in seen[0].collect()]
+    assert sorted(k for k, _, cand in rows if cand) == list(range(1500))
+    assert len(set(rows)) == len(rows) and max(np.bincount([k for k, _, _ in rows])) <= 4
