@@ -14,6 +14,7 @@ rejected at that estimate.  Candidates that survive all blocks have their exact
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -342,13 +343,21 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
                     yield pd.DataFrame({"r": rs[s][rows], "probes": [items[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(items)])]})
 
     def choose(batches):
-        for batch in batches:
-            for a in range(0, len(batch), 2048):
-                given = [b"".join(x) for x in batch["probes"].iloc[a : a + 2048]]
-                row = np.repeat(np.arange(len(given)), [len(x) // _PROBE.itemsize for x in given])
-                row, probes = _choice(np.frombuffer(b"".join(given), dtype=_PROBE), row, scan)
-                ends = np.searchsorted(row, np.arange(len(given) + 1)).tolist()
-                yield pd.DataFrame({"r": batch["r"].iloc[a : a + 2048].to_numpy(), "probes": [probes[x:y].tobytes() for x, y in zip(ends, ends[1:])]})
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            rows = pd.concat([x for x in (rest, batch) if x is not None]) if rest is not None or batch is not None else []
+            if not len(rows):
+                continue
+            rs = rows["r"].to_numpy()
+            whole = len(rs) if batch is None else int(np.searchsorted(rs, rs[-1], "left"))  # more of the last row may come
+            rest = rows.iloc[whole:]
+            if not whole:
+                continue
+            given, (names, of) = rows["probes"].iloc[:whole], np.unique(rs[:whole], return_inverse=True)
+            row = np.repeat(of, given.str.len().to_numpy(dtype=np.int64) // _PROBE.itemsize)
+            row, probes = _choice(np.frombuffer(b"".join(given), dtype=_PROBE), row, scan)
+            ends = np.searchsorted(row, np.arange(len(names) + 1)).tolist()
+            yield pd.DataFrame({"r": names, "probes": [probes[x:y].tobytes() for x, y in zip(ends, ends[1:])]})
 
     def assign(batches):
         for batch in batches:
@@ -367,8 +376,7 @@ def _two_levels(searched: DataFrame, dim: int, coarse: np.ndarray, share: np.nda
     probed = searched.mapInPandas(probe, "c long, salt long, r long, own boolean, d double, b binary")
     both = first.unionByName(probed.withColumns({"parts": F.lit(None).cast("binary"), "passing": F.lit(True)}))
     divided = both.repartition("c", "salt").sortWithinPartitions("c", "salt", "passing").mapInPandas(divide, "r long, probes binary")
-    possible = divided.groupBy("r").agg(F.collect_list("probes").alias("probes"))
-    chosen = possible.mapInPandas(choose, "r long, probes binary")
+    chosen = divided.repartition("r").sortWithinPartitions("r").mapInPandas(choose, "r long, probes binary")
     return searched.join(chosen, "r").select("k", "v", "probes").mapInPandas(assign, _SPREAD)
 
 
