@@ -42,8 +42,7 @@ def bm25_batch_queries(spark, d):
 def bm25_title_queries(spark, d):
     """Every article's title as a query over all documents: thousands of searches in one pass."""
     titles = articles(spark, d).filter("title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-    hits = textindex.bm25(_docs(spark, d), "doc_id", F.col("text"), titles, every=False)
-    return textindex.top(hits, 5).select("query_id", F.col("doc").alias("doc_id"), "rank")
+    return textindex.bm25_top(_docs(spark, d), "doc_id", F.col("text"), titles, 5, every=False).select("query_id", F.col("doc").alias("doc_id"), "rank")
 
 
 def text_prefix_limit(spark, d):
