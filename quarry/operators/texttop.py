@@ -8,6 +8,7 @@ and only those whose bound reaches the best so far are scored exactly.  So nothi
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ class Queries:
         order = sorted(range(len(lists)), key=lists.__getitem__)
         self.ids = ids.take(pa.array(order, pa.int64()))
         self.starts = np.concatenate([[0], np.cumsum(lengths[order])])
-        self.terms = np.array([t for i in order for t in lists[i]], dtype=np.int64)
+        self.terms = np.array([t for i in order for t in lists[i]], dtype=np.int32)
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -117,24 +118,31 @@ def score_chunk(queries: Queries, best: Best, n: int, base: int, doc: np.ndarray
     row: list[np.ndarray | None] = [None] * n_terms
     for r, t in enumerate(dense.tolist()):
         row[t] = table[r]
-    ends, limits, begin, asked = at.tolist(), np.floor((least - 1e-8) * scale).tolist(), starts.tolist(), queries.terms.tolist()
-    none, sums, room, path, found, size = np.zeros(n, np.uint16), [], [], [], [], 0
+    ends, limits, begin, asked = at.tolist(), np.floor((least - 1e-8) * scale).astype(np.int64).tolist(), starts.tolist(), array("i", queries.terms.tobytes())
+    none, sums, room, path, peaks, found, size = np.zeros(n, np.uint16), [], [], array("i"), [], [], 0
 
     def score_found() -> None:
         q, d = np.repeat([i for i, _ in found], [len(c) for _, c in found]), np.concatenate([c for _, c in found])
         each = asks[q]
         first = np.cumsum(each) - each
-        t = queries.terms[np.arange(each.sum()) - np.repeat(first - starts[q], each)]
+        t = queries.terms[np.arange(each.sum()) - np.repeat(first - starts[q], each)].astype(np.int64)
         wanted = t * n + np.repeat(d, each)
         where = np.searchsorted(key, wanted).clip(max=len(key) - 1)
         best.add(q, np.add.reduceat(np.where(key[where] == wanted, part[where], 0.0), first), base + d)
 
     for i in np.flatnonzero(open_ & ~whole).tolist():
-        before, path = path, asked[begin[i] : begin[i + 1]]
-        same = next((k for k, (x, y) in enumerate(zip(before, path)) if x != y), min(len(before), len(path)))
-        del sums[same:]
+        wanted = asked[begin[i] : begin[i + 1]]
+        same = next((k for k, (x, y) in enumerate(zip(path, wanted)) if x != y), min(len(path), len(wanted)))
+        del sums[same:], peaks[same:]
+        path = wanted
         for k in range(same, len(path)):
             t, above = path[k], sums[-1] if sums else none
+            if k and k == len(path) - 1 and limits[i] >= 1:
+                if peaks[-1] < 0:
+                    peaks[-1] = int(np.maximum.reduce(above))
+                if peaks[-1] < limits[i]:  # none but the last term's documents reach the limit
+                    path = path[:-1]
+                    break
             if k == len(room):
                 room.append(np.empty(n, np.uint16))
             if row[t] is not None:
@@ -145,13 +153,15 @@ def score_chunk(queries: Queries, best: Best, n: int, base: int, doc: np.ndarray
                 sums.append(room[k])
             else:
                 sums.append(above)
+            peaks.append(-1)
         bound = sums[-1]
-        if limits[i] < 1:
+        if len(path) < len(wanted):
+            own = doc[ends[t] : ends[t + 1]]
+            near = own[bound[own] + up[ends[t] : ends[t + 1]] >= limits[i]]
+        elif limits[i] < 1:
             near = _candidates(bound, best.limit, len(path))
-        elif np.maximum.reduce(bound) >= limits[i]:
-            near = (bound >= limits[i]).nonzero()[0]
         else:
-            continue
+            near = (bound >= limits[i]).nonzero()[0]
         if len(near):
             found.append((i, near))
             size += len(near) * int(asks[i])
